@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import audio, bpe, mixing
+from . import audio, bpe, language, mixing, secrets
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents.where(~language.held_out(F.col("doc_id"))))
+    return language.language_columns(documents.withColumn("held_out", language.held_out(F.col("doc_id"))), model, keep=["doc_id", "held_out"])
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_columns(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -24,5 +31,9 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_columns(table(spark, sf_dir, "documents"), seek=False).drop("seek_offsets")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_bpe, op6_mix, op7_audio)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_columns(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op5_bpe, op6_mix, op7_audio, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE}
