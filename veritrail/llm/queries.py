@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import audio, bpe, language, mixing, near, secrets
+from . import audio, bpe, imatch, language, mixing, near, secrets
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -35,9 +35,13 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_columns(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op5_bpe, op6_mix, op7_audio, op8_jaccard, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE}

@@ -29,6 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ROOT) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_BREAK = _SPACE.copy()  # ASCII punctuation too
+_BREAK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -47,14 +49,17 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 
 class Words:
-    """The words of a batch of texts: ``hash`` per word, and ``first`` with the first word of each text (n + 1)."""
+    """The words of a batch of texts: ``hash`` per word, and ``first`` with the first word of each text (n + 1).
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = True):
+    ``terms`` ends words at ASCII punctuation as well.
+    """
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = True, terms: bool = False):
         data, self.offsets = text_bytes(column)
         n = len(self.offsets) - 1
         if lower:
             data = _LOWER[data]
-        inside = ~_SPACE[data]
+        inside = ~(_BREAK if terms else _SPACE)[data]
         starts = inside.copy()
         starts[1:] &= ~inside[:-1]
         edges = self.offsets[:-1]
