@@ -5,10 +5,11 @@ class.  Frequent are tokens whose count, lossy-counted per block of documents, r
 their list has at most ``FREQUENT_MOST`` entries; only efficiency depends on that list, never the result.
 
 A set x that links to y must share at least ``tau = ceil(threshold * |x|)`` tokens.  Its prefix is extended until
-``rare + sum over classes of max(0, tokens in class - 1) >= |x| - tau + 1``; then of two linking sets, the one whose
-prefix ends first shares with the other's prefix a rare token or two frequent tokens of one class.  So rare tokens are indexed
-alone and frequent tokens as pairs within a class (classes: the token's hash modulo a power of two that grows with the set, so the
-number of pairs stays near 300 for each 256 tokens).
+``rare + sum over classes of max(0, tokens in class - 1) >= |x| - tau + 1 + e`` with e half of ``|x| - tau + 1``; then of two
+linking sets, the one whose prefix ends first shares with the other's prefix e + 1 rare tokens, or two frequent tokens of
+one class.  So rare tokens are indexed alone and frequent tokens as pairs within a class (classes: the token's hash modulo a
+power of two that grows with the set), and a set whose prefix is all rare is a candidate only if e + 1 of its
+tokens (the least e of any set it can link to) are indexed by other sets too.
 
 Sets with a signature in common are not paired row by row: nodes (distinct sets) are laid into blocks of
 ``BLOCK`` neighbours, and a tile (two blocks with a common signature) is verified exactly in one go by counting shared
@@ -73,20 +74,30 @@ def _needed(n: int, num: int, den: int) -> int:
     return n + (-num * n // den) + 1
 
 
+def _extra(n: int, num: int, den: int) -> int:
+    """By how many tokens a prefix is extended."""
+    return _needed(n, num, den) // 2
+
+
+def _least(n: int, num: int, den: int) -> int:
+    """How many tokens of an all-rare prefix a linking set must have, whichever of the two prefixes ends first."""
+    return min(_extra(n, num, den), _extra(-(-num * n // den), num, den)) + 1
+
+
 def _classes(n: int, num: int, den: int) -> set[int]:
     """The class counts used by sets that a set of n tokens can link to."""
     low, high = -(-num * n // den), den * n // num
     return {1 << max(0, (size // 256).bit_length() - 1) for size in (low, n, high)}
 
 
-def signatures(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of one set; ``rank`` is 0 for rare tokens and grows with frequency for frequent ones."""
-    n = len(tokens)
+def signatures(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set, single tokens and pairs; ``rank`` is 0 for rare tokens and grows with frequency for frequent ones."""
+    n, none = len(tokens), np.zeros(0, np.uint64)
     if n < 2:  # links to no other set: one token of at most one
-        return np.zeros(0, np.uint64)
-    need = _needed(n, num, den)
+        return none, none
+    need = _needed(n, num, den) + _extra(n, num, den)
     rare = tokens[rank == 0]
-    out = [mix(rare[:need] ^ _SINGLE)]
+    pairs = [none]
     if len(rare) < need:
         often = np.flatnonzero(rank)
         often = tokens[often[np.argsort(rank[often], kind="stable")]]
@@ -101,8 +112,8 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.n
             for c in np.unique(kind):
                 mine = np.sort(part[kind == c])
                 a, b = np.triu_indices(len(mine), 1)
-                out.append(mix(mine[a] * _PAIR + mine[b]))
-    return np.unique(np.concatenate(out))
+                pairs.append(mix(mine[a] * _PAIR + mine[b]))
+    return mix(rare[:need] ^ _SINGLE), np.unique(np.concatenate(pairs))
 
 
 def _slot(column) -> F.Column:
@@ -186,51 +197,101 @@ def _rank(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndar
     return np.where(frequent[at] == tokens, rank[at], 0)
 
 
-def _signature_rows(parts: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    sizes = [len(p) for p in parts]
-    sig = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], names=["sig", "node"])
+def _signature_rows(parts: list[tuple[np.ndarray, np.ndarray]], nodes: list[int], leasts: list[int]) -> pa.RecordBatch:
+    """Rows (sig, node, least): least is 0 for a pair of frequent tokens."""
+    flat = [x for part in parts for x in part]
+    sizes = [len(x) for x in flat]
+    sig = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+    least = np.array([x for n in leasts for x in (n, 0)], np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.repeat(np.array(nodes, np.int64), 2), sizes)), pa.array(np.repeat(least, sizes))], names=["sig", "node", "least"])
 
 
 def all_signatures(documents: DataFrame, sketch: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sig, node) of every set: from the sketch where its rare tokens fill the prefix, else from the text again."""
+    """(sig, node, least) of every set: from the sketch where its rare tokens fill the prefix, else from the text again."""
     tokens, ranks = frequent_tokens(sketch)
     shared = documents.sparkSession.sparkContext.broadcast((tokens, ranks))
 
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filled(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray | None]]:
+        """(key, node, size, the prefix or None if the sketch doesn't hold it)."""
         frequent, rank = shared.value
+        columns = [c.to_pylist() for c in batch.columns]
+        blob = b"".join(columns[3])
+        every = _unpack(blob)
+        rare = _rank(every, frequent, rank) == 0
+        at = 0
+        for key, node, size, data in zip(*columns, strict=True):
+            stop = at + len(data) // 6
+            mine = every[at:stop][rare[at:stop]]
+            need = _needed(size, num, den) + _extra(size, num, den)
+            yield key, node, size, mine[:need] if len(mine) >= need else None
+            at = stop
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts, nodes, short = [], [], []
-            for key, node, size, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = _unpack(blob)
-                need = _needed(size, num, den)
-                which = _rank(mine, frequent, rank)
-                if len(mine) == size:
-                    parts.append(signatures(mine, which, num, den))
-                    nodes.append(node)
-                elif (which == 0).sum() >= need:
-                    parts.append(mix(mine[which == 0][:need] ^ _SINGLE))
-                    nodes.append(node)
-                else:
-                    short.append((key, node))
-            rows = _signature_rows(parts, nodes)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.int64())], names=["sig", "node", "key"])
-            if short:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array([n for _, n in short], pa.int64()), pa.array([x for x, _ in short], pa.int64())], names=["sig", "node", "key"])
+            found = [(node, size, prefix) for _, node, size, prefix in filled(batch) if prefix is not None]
+            none = np.zeros(0, np.uint64)
+            yield _signature_rows([(mix(p ^ _SINGLE), none) for _, _, p in found], [x[0] for x in found], [_least(x[1], num, den) for x in found])
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [(key, node) for key, node, _, prefix in filled(batch) if prefix is None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["key", "node"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
         for batch in slices(batches):
             values, begin, node = token_sets(batch.column(1), k)
             which = _rank(values, frequent, rank)
-            cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
-            yield _signature_rows([signatures(values[a:b], which[a:b], num, den) for a, b in cuts], node.tolist())
-
-    first = materialise(sketch.where("size > 1").mapInArrow(light, "sig long, node long, key long"), "light")
+            parts, leasts = [], []
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                parts.append(signatures(values[a:b], which[a:b], num, den))
+                full = (which[a:b] == 0).sum() >= _needed(b - a, num, den) + _extra(b - a, num, den)
+                leasts.append(_least(b - a, num, den) if full else 1)
+            yield _signature_rows(parts, node.tolist(), leasts)
+
+    sets = sketch.where("size > 1")
     # One document stands for all equal sets; several rows of one key and set would only repeat themselves.
-    again = first.where("sig is null").groupBy("node").agg(F.min("key").alias("key")).select("key")
-    heavy = only_slots(documents, "key", again).mapInArrow(whole, "sig long, node long")
-    return first.where("sig is not null").select("sig", "node").unionByName(heavy)
+    again = materialise(sets.mapInArrow(short, "key long, node long").groupBy("node").agg(F.min("key").alias("key")).select("key"), "again")
+    heavy = only_slots(documents, "key", again).mapInArrow(whole, "sig long, node long, least int")
+    return sets.mapInArrow(light, "sig long, node long, least int").unionByName(heavy)
+
+
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """The distinct (sig, node, least) whose sig two nodes or more have.
+
+    Single rare tokens, the bulk, have small buckets: they are dealt out by sig and told apart in sorted order, in a stream.  Pairs of frequent
+    tokens can have huge buckets: they are counted by partial aggregation and joined, so a large bucket can be split.
+    """
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            sig = held["sig"].to_numpy()
+            if sig[0] == sig[-1] and len(sig) < 1_000_000:
+                continue
+            last = int(np.searchsorted(sig, sig[-1])) if sig[0] != sig[-1] else len(sig) - 1
+            yield from some(held.slice(0, last + (sig[0] == sig[-1])), sig[0] == sig[-1])
+            held = held.slice(last)
+        if held is not None:
+            yield from some(held, False)
+
+    def some(rows: pa.Table, whole: bool) -> list[pa.RecordBatch]:
+        """Rows of buckets with several nodes; ``whole``: one bucket, of which more follows."""
+        sig, node = rows["sig"].to_numpy(), rows["node"].to_numpy()
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        count = np.add.reduceat(new.astype(np.int64), edge)
+        size = np.diff(np.append(edge, len(sig)))
+        keep = new & np.repeat((count > 1) | whole, size)
+        return rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    singles = rows.where("least > 0").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(several, "sig long, node long, least int")
+    pairs = materialise(rows.where("least = 0").select("sig", "node").distinct(), "pairs")
+    live = pairs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig")
+    return singles.unionByName(pairs.join(live, "sig").withColumn("least", F.lit(0)))
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -340,10 +401,10 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
     documents = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sketch = materialise(_sketch(documents, k, num, den), "sketch")
     sets = sketch.where("size >= 0").select("key", "node", "size")
-    pairs = materialise(all_signatures(documents, sketch, k, num, den), "signatures")
-    live = pairs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig", F.col("a").alias("group"))
-    found = materialise(pairs.join(live, "sig").distinct(), "candidates")
-    discard(pairs)
+    found = materialise(shared_signatures(all_signatures(documents, sketch, k, num, den)), "candidates")
+    enough = found.groupBy("node").agg(F.count_if(F.col("least") > 0).alias("n"), F.max("least").alias("least"), F.count_if(F.col("least") == 0).alias("pairs")).where("n >= least or pairs > 0").select("node")
+    found = found.join(enough, "node").select("sig", "node")
+    found = materialise(found.join(found.groupBy("sig").agg(F.min("node").alias("group"), F.max("node").alias("last")).where("group <> last").drop("last"), "sig"), "chosen")
     # Signatures of the same nodes say the same: one of them stays.
     by_sig = found.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.min("group").alias("g"))
     kept = by_sig.groupBy("n", "x", "y", "g").agg(F.min("sig").alias("sig")).select("sig")
