@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import audio, bpe, imatch, language, mixing, near, secrets
+from . import audio, bpe, imatch, language, mixing, near, secrets, urls
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -19,6 +19,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_columns(documents.withColumn("held_out", language.held_out(F.col("doc_id"))), model, keep=["doc_id", "held_out"])
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_columns(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -43,5 +47,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE}
