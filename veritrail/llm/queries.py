@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import audio, bpe, imatch, language, mixing, near, secrets, urls
+from . import audio, bpe, extraction, imatch, language, mixing, near, secrets, urls
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.text_columns(table(spark, sf_dir, "pages"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language.train(documents.where(~language.held_out(F.col("doc_id"))))
@@ -47,5 +51,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_language, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE}
