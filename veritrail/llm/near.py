@@ -13,7 +13,7 @@ tokens (the least e of any set it can link to) are indexed by other sets too.
 
 Sets with a signature in common are not paired row by row: nodes (distinct sets) are laid into blocks of
 ``BLOCK`` neighbours, and a tile (two blocks with a common signature) is verified exactly in one go by counting shared
-tokens.  A tile returns each node's number of links and one edge to its tile's component; labels then spread until nothing changes.
+tokens; before that, sketches (each set's smallest tokens by hash) rule out the nodes of which every partner in the tile provably lacks too many tokens.  A tile returns each node's number of links and one edge to its tile's component; labels then spread until nothing changes.
 
 Copies (equal sets) are one node from the start.  Every cut is a written table in the shared folder; what is broadcast has a fixed
 bound (the frequent tokens, and filters of 2**20 slots that let too much through but never too little).
@@ -38,7 +38,7 @@ from .words import Words, distinct, mix, shingles
 
 FREQUENT_LEAST = 64
 FREQUENT_MOST = 1 << 20
-BLOCK = 256
+BLOCK = 1024
 SLOTS = 1 << 20
 _MASK = np.uint64((1 << 48) - 1)
 _SINGLE, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -309,8 +309,8 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     return ordered.select("node").mapInArrow(number, "node long, block long")
 
 
-def links(sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """The matrix of links between sets: den * shared >= num * union, counted exactly."""
+def shared_counts(tokens: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets share."""
     n = len(tokens)
     owner = np.repeat(np.arange(n), [len(t) for t in tokens])
     flat = np.concatenate(tokens) if n else np.zeros(0, np.uint64)
@@ -318,31 +318,52 @@ def links(sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> np
     flat, owner = flat[order], owner[order]
     edge = np.flatnonzero(np.diff(flat, prepend=flat[:1] ^ np.uint64(1)))
     count = np.diff(np.append(edge, len(flat)))
-    shared = np.zeros(n * n, np.int64)
+    shared = np.zeros(n * n, np.int32)
     for c in range(2, 33):  # tokens of few sets: count their pairs
         at = edge[count == c]
         if len(at):
             who = owner[at[:, None] + np.arange(c)]
             a, b = np.triu_indices(c, 1)
-            for i in range(0, len(who), 1 + 2_000_000 // len(a)):
-                part = who[i : i + 1 + 2_000_000 // len(a)]
-                shared += np.bincount((part[:, a] * n + part[:, b]).ravel(), minlength=n * n)
+            step = 1 + 1_000_000 // len(a)
+            for i in range(0, len(who), step):
+                part = who[i : i + step]
+                pair, times = np.unique((part[:, a] * n + part[:, b]).ravel(), return_counts=True)
+                shared[pair] += times.astype(np.int32)
     shared = shared.reshape(n, n)
-    shared = shared + shared.T
+    shared += shared.T.copy()
     often = np.flatnonzero(count > 32)
-    for i in range(0, len(often), 4096):  # tokens of many sets: a product of 0/1 matrices
-        some = often[i : i + 4096]
+    for i in range(0, len(often), 2048):  # tokens of many sets: a product of 0/1 matrices
+        some = often[i : i + 2048]
         column = np.repeat(np.arange(len(some)), count[some])
         row = owner[np.repeat(edge[some], count[some]) + np.arange(len(column)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])]
         one = np.zeros((n, len(some)), np.float32)
         one[row, column] = 1
-        shared += (one @ one.T).astype(np.int64)
+        shared += (one @ one.T).astype(np.int32)
+    return shared
+
+
+def links(sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """The matrix of links between sets: den * shared >= num * union, counted exactly."""
+    shared = shared_counts(tokens)
     union = sizes[:, None] + sizes[None, :] - shared
     out = (den * shared >= num * union) & (shared > 0)
     np.fill_diagonal(out, False)
     return out
 
 
+def possible(sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs may link, from the smallest tokens of each set: a token below the end of the other's sketch that is not in it is not in the set."""
+    shared = shared_counts(sketches)
+    whole = np.iinfo(np.uint64).max
+    end = np.array([s[-1] if len(s) < n else whole for s, n in zip(sketches, sizes.tolist(), strict=True)], np.uint64)
+    missing = np.stack([np.searchsorted(s, end, side="right") for s in sketches]) - shared
+    both = sizes[:, None] + sizes[None, :]
+    spare = sizes[:, None] - -(-num * both // (num + den))
+    out = (missing <= spare) & (missing.T <= spare.T)
+    np.fill_diagonal(out, False)
+    return out
+
+
 def components(adjacent: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each."""
     label = np.arange(len(adjacent))
@@ -354,6 +375,22 @@ def components(adjacent: np.ndarray) -> np.ndarray:
         label = best
 
 
+def _promising(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(one, two, node, block) of the nodes that may link to another in their tile."""
+
+    def run(group: pa.Table) -> pa.Table:
+        one, two = group["one"][0].as_py(), group["two"][0].as_py()
+        node, where = np.unique(group["node"].to_numpy(), return_index=True)
+        block, sizes = group["block"].to_numpy()[where], group["size"].to_numpy()[where].astype(np.int64)
+        may = possible(sizes, [_unpack(group["blob"][int(i)].as_py()) for i in where], num, den)
+        if one != two:
+            may &= block[:, None] != block[None, :]
+        found = may.any(1)
+        return pa.table({"one": pa.array([one] * int(found.sum()), pa.int64()), "two": pa.array([two] * int(found.sum()), pa.int64()), "node": node[found], "block": block[found]})
+
+    return tiles.groupBy("one", "two").applyInArrow(run, "one long, two long, node long, block long")
+
+
 def _verify(tiles: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root, degree) per tile: root is the smallest node of the node's component in the tile, degree its links counted in copies."""
 
@@ -424,6 +461,9 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
             blobs = [_pack(values[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(blobs, pa.binary())], names=["key", "node", "blob"])
 
+    small = only_slots(sketch.where("size > 1"), "key", stands).join(stands, ["node", "key"]).select("node", "size", "blob")
+    members = materialise(_promising(members.join(small, "node"), num, den), "members")
+    stands = stands.join(members.select("node").distinct(), "node")
     blobs = only_slots(documents, "key", stands).mapInArrow(tokens, "key long, node long, blob binary")
     blobs = blobs.join(stands, ["node", "key"]).select("node", "copies", "blob")
     edges = materialise(_verify(members.join(blobs, "node"), num, den), "edges")
