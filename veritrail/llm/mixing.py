@@ -93,15 +93,35 @@ def thresholds(sized: DataFrame, aims: DataFrame, source: str, repeats: int = RE
     return state.groupBy("s").agg(F.sort_array(F.collect_list("stop"), asc=False).alias("stops"))
 
 
-def mix_columns(documents: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """Per document: the key, ``size``, ``source_size``, ``target`` (its source's) and ``taken`` (words the mix takes, repeats counted)."""
+def mix_plan(documents: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
+    """(sizes, plan): per document its key, source, size and hash; per source its size, target and the thresholds of its passes."""
     sized = materialise(documents.select(F.col(key), F.col(source), n_words(F.col(text)).alias("size"), document_hash(F.col(key)).alias("hash")), "sizes")
     aims = targets(sized, source, share, weights, repeats)
     stops = thresholds(sized, aims, source, repeats)
     plan = materialise(aims.join(stops, aims[source].eqNullSafe(stops["s"]), "left").select(F.col(source).alias("plan_source"), "source_size", "target", "stops"), "plan")
+    return sized, plan
+
+
+def _times(hashed: Column) -> Column:
+    return F.size(F.filter("stops", lambda stop: hashed < stop)).cast("long")
+
+
+def mix_columns(documents: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """Per document: the key, ``size``, ``source_size``, ``target`` (its source's) and ``taken`` (words the mix takes, repeats counted)."""
+    sized, plan = mix_plan(documents, text, source, key, share, weights, repeats)
     joined = sized.join(plan, sized[source].eqNullSafe(plan["plan_source"]), "left")
-    times = F.size(F.filter("stops", lambda stop: F.col("hash") < stop)).cast("long")
-    return joined.select(key, "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return joined.select(key, "size", "source_size", "target", (F.col("size") * _times(F.col("hash"))).alias("taken"))
+
+
+def mixed(documents: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """The mix itself: the rows of the input, each as often as the mix takes it; documents without words are not taken."""
+    _, plan = mix_plan(documents, text, source, key, share, weights, repeats)
+    names = documents.columns
+    plan = plan.select(F.col("plan_source").alias("__source"), F.col("stops").alias("__stops"))
+    joined = documents.join(plan, documents[source].eqNullSafe(plan["__source"]))
+    times = F.size(F.filter("__stops", lambda stop: document_hash(F.col(key)) < stop))
+    taken = joined.where(F.coalesce(F.col(text).rlike(WORD), F.lit(False))).withColumn("__times", times).where("__times > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*names)
 
 
 ORACLE = r"""
