@@ -295,18 +295,25 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """(node, block): nodes in the order of their groups, BLOCK to a block."""
+    """(node, block): nodes in the order of their groups, BLOCK to a block whatever the number of partitions."""
+    spark = nodes.sparkSession
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, at = TaskContext.get().partitionId() << 32, 0
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = base + (np.arange(at, at + batch.num_rows) // BLOCK)
+            ids = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids)], names=["node", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part)), pa.array(ids)], names=["node", "part", "place"])
 
-    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = nodes.repartitionByRange(parts, "group", "node").sortWithinPartitions("group", "node")
-    return ordered.select("node").mapInArrow(number, "node long, block long")
+    numbered = materialise(ordered.select("node").mapInArrow(number, "node long, part long, place long"), "numbered")
+    starts, total = [], 0
+    for row in sorted(numbered.groupBy("part").agg(F.count("*").alias("n")).collect()):  # one row per partition
+        starts.append((row["part"], total))
+        total += row["n"]
+    offsets = spark.createDataFrame(starts, "part long, first long")
+    return numbered.join(F.broadcast(offsets), "part").select("node", F.floor((F.col("first") + F.col("place")) / BLOCK).alias("block"))
 
 
 def shared_counts(tokens: list[np.ndarray]) -> np.ndarray:
@@ -440,18 +447,21 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
     sets = sketch.where("size >= 0").select("key", "node", "size")
     found = materialise(shared_signatures(all_signatures(documents, sketch, k, num, den)), "candidates")
     enough = found.groupBy("node").agg(F.count_if(F.col("least") > 0).alias("n"), F.max("least").alias("least"), F.count_if(F.col("least") == 0).alias("pairs")).where("n >= least or pairs > 0").select("node")
-    found = found.join(enough, "node").select("sig", "node")
+    found = found.join(enough, "node").select("sig", "node", found["least"])
     found = materialise(found.join(found.groupBy("sig").agg(F.min("node").alias("group"), F.max("node").alias("last")).where("group <> last").drop("last"), "sig"), "chosen")
-    # Signatures of the same nodes say the same: one of them stays.
-    by_sig = found.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.min("group").alias("g"))
-    kept = by_sig.groupBy("n", "x", "y", "g").agg(F.min("sig").alias("sig")).select("sig")
-    found = materialise(found.join(kept, "sig"), "buckets")
     block = materialise(_blocks(found.groupBy("node").agg(F.min("group").alias("group"))), "blocks")
-    found = materialise(found.select("sig", "node").join(block, "node"), "placed")
-    places = found.select("sig", "block").distinct()
+    # Signatures of the same nodes say the same: one of them stays, with their number as its weight.
+    by_sig = found.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.min("group").alias("g"), (F.max("least") > 0).alias("rare"))
+    kept = by_sig.groupBy("n", "x", "y", "g", "rare").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "rare", "weight")
+    placed = materialise(found.select("sig", "node", "least").join(kept, "sig").join(block, "node"), "placed")
+    discard(found)
+    places = placed.groupBy("sig", "block").agg(F.count("*").alias("n"))
     other = places.select("sig", F.col("block").alias("two"))
-    borders = places.select("sig", F.col("block").alias("one")).join(other, "sig").where("one <= two")
-    members = borders.join(found, "sig").where((F.col("block") == F.col("one")) | (F.col("block") == F.col("two"))).select("one", "two", "node", "block").distinct()
+    borders = places.select("sig", F.col("block").alias("one"), "n").join(other, "sig").where("one < two or one = two and n > 1").select("sig", "one", "two")
+    inside = borders.join(placed, "sig").where((F.col("block") == F.col("one")) | (F.col("block") == F.col("two")))
+    # A node links to another in a tile only if the tile's two blocks share enough of its signatures.
+    weighed = inside.groupBy("one", "two", "node", "block").agg(F.sum(F.when(F.col("rare"), F.col("weight")).otherwise(0)).alias("held"), F.max("least").alias("least"), F.bool_or(~F.col("rare")).alias("pair"))
+    members = materialise(weighed.where("held >= least or pair").select("one", "two", "node", "block"), "tiles")
     stands = block.select("node").join(sets.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "node")
     stands = materialise(stands, "stands")
 
