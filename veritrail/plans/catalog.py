@@ -1,5 +1,10 @@
 """All registered queries of the evidence operators."""
 
+from __future__ import annotations
+
+from . import retrieval, store
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_MODULES = (retrieval, store)
+QUERIES = {name: query for m in _MODULES for name, query in m.plans.queries.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.plans.oracles.items()}
