@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, store
+from . import claims, retrieval, store, textunits
 
 FLAGSHIP = "bm25_topk"
-_MODULES = (retrieval, store)
+_MODULES = (retrieval, store, textunits, claims)
 QUERIES = {name: query for m in _MODULES for name, query in m.plans.queries.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.plans.oracles.items()}
