@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import discard, materialise
@@ -446,15 +447,16 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
     sketch = materialise(_sketch(documents, k, num, den), "sketch")
     sets = sketch.where("size >= 0").select("key", "node", "size")
     found = materialise(shared_signatures(all_signatures(documents, sketch, k, num, den)), "candidates")
-    enough = found.groupBy("node").agg(F.count_if(F.col("least") > 0).alias("n"), F.max("least").alias("least"), F.count_if(F.col("least") == 0).alias("pairs")).where("n >= least or pairs > 0").select("node")
-    found = found.join(enough, "node").select("sig", "node", found["least"])
-    found = materialise(found.join(found.groupBy("sig").agg(F.min("node").alias("group"), F.max("node").alias("last")).where("group <> last").drop("last"), "sig"), "chosen")
-    block = materialise(_blocks(found.groupBy("node").agg(F.min("group").alias("group"))), "blocks")
+    mine = W.partitionBy("node")  # a node has as many rows as signatures
+    found = found.withColumns({"n": F.count_if(F.col("least") > 0).over(mine), "need": F.max("least").over(mine), "pairs": F.count_if(F.col("least") == 0).over(mine)}).where("n >= need or pairs > 0")
+    chosen = materialise(found.select("sig", "node", "least"), "chosen")
     # Signatures of the same nodes say the same: one of them stays, with their number as its weight.
-    by_sig = found.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.min("group").alias("g"), (F.max("least") > 0).alias("rare"))
-    kept = by_sig.groupBy("n", "x", "y", "g", "rare").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "rare", "weight")
-    placed = materialise(found.select("sig", "node", "least").join(kept, "sig").join(block, "node"), "placed")
-    discard(found)
+    by_sig = chosen.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("group"), F.max("node").alias("last"), (F.max("least") > 0).alias("rare")).where("group <> last")
+    kept = by_sig.groupBy("n", "x", "y", "group", "rare").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "group", "rare", "weight")
+    placed = materialise(chosen.join(kept, "sig"), "kept")
+    block = materialise(_blocks(placed.groupBy("node").agg(F.min("group").alias("group"))), "blocks")
+    placed = materialise(placed.select("sig", "node", "least", "rare", "weight").join(block, "node"), "placed")
+    discard(chosen)
     places = placed.groupBy("sig", "block").agg(F.count("*").alias("n"))
     other = places.select("sig", F.col("block").alias("two"))
     borders = places.select("sig", F.col("block").alias("one"), "n").join(other, "sig").where("one < two or one = two and n > 1").select("sig", "one", "two")
