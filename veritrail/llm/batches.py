@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +12,16 @@ import pyarrow.compute  # noqa: F401
 SLICE_BYTES = 2 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay alive between tasks and stages, several to an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``most`` bytes, or of one row where a row alone is larger."""
     for batch in batches:
@@ -29,3 +41,4 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
                 start, held = i, 0
             held += w + 16
         yield batch.slice(start)
+    give_back()

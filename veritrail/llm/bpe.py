@@ -30,8 +30,8 @@ from .batches import slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = np.iinfo(np.int64).max
 SHORT = 32  # bytes up to which failing words are merged together, in numpy
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 300_000
+CACHE_WORDS = 250_000
+CACHE_PAIRS = 200_000
 CACHE_CHARS = 64  # longer words are encoded but not remembered, so the memory is bounded
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import discard, materialise
-from .batches import slices
+from .batches import give_back, slices
 from .words import Words, distinct, mix, shingles
 
 FREQUENT_LEAST = 64
@@ -394,6 +394,8 @@ def _promising(tiles: DataFrame, num: int, den: int) -> DataFrame:
         if one != two:
             may &= block[:, None] != block[None, :]
         found = may.any(1)
+        del may
+        give_back()
         return pa.table({"one": pa.array([one] * int(found.sum()), pa.int64()), "two": pa.array([two] * int(found.sum()), pa.int64()), "node": node[found], "block": block[found]})
 
     return tiles.groupBy("one", "two").applyInArrow(run, "one long, two long, node long, block long")
@@ -411,6 +413,7 @@ def _verify(tiles: DataFrame, num: int, den: int) -> DataFrame:
         if one != two:  # pairs inside a block belong to that block's own tile
             adjacent &= block[:, None] != block[None, :]
         found = adjacent.any(1)
+        give_back()
         root, degree = node[components(adjacent)], adjacent @ copies
         return pa.table({"node": node[found], "root": root[found], "degree": degree[found]})
 
