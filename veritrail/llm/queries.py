@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import audio, bpe, extraction, imatch, language, mixing, near, secrets, urls
+from . import audio, bpe, extraction, imatch, language, mixing, near, quality, secrets, urls
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -23,6 +23,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_columns(documents.withColumn("held_out", language.held_out(F.col("doc_id"))), model, keep=["doc_id", "held_out"])
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -51,5 +55,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_language, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_language, op3_quality, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE}
