@@ -241,7 +241,7 @@ def language_columns(documents: DataFrame, model: bytes, text: str = "text", kee
     """The columns in ``keep`` (default all) with ``lang_pred``, ``score`` and, if asked for, ``lang_spans``, in place of any columns of these names."""
     added = ["lang_pred", "score", *["lang_spans"] * spans]
     names = [c for c in (documents.columns if keep is None else keep) if c not in added]
-    source = documents.select(*names, F.col(text).alias("__text"))
+    source = documents.select(*names, F.col(text).alias("__veritrail_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string", "score double", *["lang_spans array<struct<start:long,end:long,lang:string>>"] * spans])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

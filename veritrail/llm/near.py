@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialise
+from ..runtime import discard, materialise, release
 from .batches import give_back, slices
 from .words import Words, distinct, mix, shingles
 
@@ -445,14 +445,18 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
     """
     if not 51 <= percent <= 100:
         raise ValueError("percent must be from 51 to 100")
-    num, den = percent, 100
+    num, den, spark = percent, 100, documents.sparkSession
     documents = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sketch = materialise(_sketch(documents, k, num, den), "sketch")
     sets = sketch.where("size >= 0").select("key", "node", "size")
     found = materialise(shared_signatures(all_signatures(documents, sketch, k, num, den)), "candidates")
+    release(spark)
+    candidates = found
     mine = W.partitionBy("node")  # a node has as many rows as signatures
     found = found.withColumns({"n": F.count_if(F.col("least") > 0).over(mine), "need": F.max("least").over(mine), "pairs": F.count_if(F.col("least") == 0).over(mine)}).where("n >= need or pairs > 0")
     chosen = materialise(found.select("sig", "node", "least"), "chosen")
+    discard(candidates)
+    release(spark)
     # Signatures of the same nodes say the same: one of them stays, with their number as its weight.
     by_sig = chosen.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("group"), F.max("node").alias("last"), (F.max("least") > 0).alias("rare")).where("group <> last")
     kept = by_sig.groupBy("n", "x", "y", "group", "rare").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "group", "rare", "weight")
@@ -460,6 +464,7 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
     block = materialise(_blocks(placed.groupBy("node").agg(F.min("group").alias("group"))), "blocks")
     placed = materialise(placed.select("sig", "node", "least", "rare", "weight").join(block, "node"), "placed")
     discard(chosen)
+    release(spark)
     places = placed.groupBy("sig", "block").agg(F.count("*").alias("n"))
     other = places.select("sig", F.col("block").alias("two"))
     borders = places.select("sig", F.col("block").alias("one"), "n").join(other, "sig").where("one < two or one = two and n > 1").select("sig", "one", "two")
@@ -478,6 +483,7 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
 
     small = only_slots(sketch.where("size > 1"), "key", stands).join(stands, ["node", "key"]).select("node", "size", "blob")
     members = materialise(_promising(members.join(small, "node"), num, den), "members")
+    release(spark)
     stands = stands.join(members.select("node").distinct(), "node")
     blobs = only_slots(documents, "key", stands).mapInArrow(tokens, "key long, node long, blob binary")
     blobs = blobs.join(stands, ["node", "key"]).select("node", "copies", "blob")

@@ -221,6 +221,6 @@ def redacted(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def explode_spans(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per span from ``secret_columns``: the key, kind, start and end."""
-    one = F.split(F.explode(F.split("spans", ",")), ":")
-    parts = scanned.where(F.col("spans") != "").select(key, one.alias("part"))
+    each = scanned.where(F.col("spans") != "").select(key, F.explode(F.split("spans", ",")).alias("one"))
+    parts = each.select(key, F.split("one", ":").alias("part"))
     return parts.select(key, F.col("part")[0].alias("kind"), F.col("part")[1].cast("long").alias("start"), F.col("part")[2].cast("long").alias("end"))
