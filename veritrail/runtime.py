@@ -13,12 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+ARROW_ROWS = 2000  # rows of a batch between the JVM and Python: texts are long, and both sides hold a batch per task
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where the driver can, and read timestamps as UTC."""
+    """Let Python workers import this package where the driver can, and keep Arrow batches small."""
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, known) if x)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark
 
 
