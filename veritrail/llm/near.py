@@ -157,7 +157,7 @@ def _sketch(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     held.append(mine)
                     total += n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(sizes.astype(np.int32)), pa.array(blobs, pa.binary())], names=["key", "node", "size", "blob"])
-            if total > 3_000_000:
+            if total > 2_000_000:
                 yield counted()
                 total = 0
         if held:
@@ -471,7 +471,7 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
     inside = borders.join(placed, "sig").where((F.col("block") == F.col("one")) | (F.col("block") == F.col("two")))
     # A node links to another in a tile only if the tile's two blocks share enough of its signatures.
     weighed = inside.groupBy("one", "two", "node", "block").agg(F.sum(F.when(F.col("rare"), F.col("weight")).otherwise(0)).alias("held"), F.max("least").alias("least"), F.bool_or(~F.col("rare")).alias("pair"))
-    members = materialise(weighed.where("held >= least or pair").select("one", "two", "node", "block"), "tiles")
+    tiles = materialise(weighed.where("held >= least or pair").select("one", "two", "node", "block"), "tiles")
     stands = block.select("node").join(sets.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "node")
     stands = materialise(stands, "stands")
 
@@ -482,7 +482,7 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(blobs, pa.binary())], names=["key", "node", "blob"])
 
     small = only_slots(sketch.where("size > 1"), "key", stands).join(stands, ["node", "key"]).select("node", "size", "blob")
-    members = materialise(_promising(members.join(small, "node"), num, den), "members")
+    members = materialise(_promising(tiles.join(small, "node"), num, den), "members")
     release(spark)
     stands = stands.join(members.select("node").distinct(), "node")
     blobs = only_slots(documents, "key", stands).mapInArrow(tokens, "key long, node long, blob binary")
@@ -497,9 +497,13 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: s
     per_node = materialise(heads.join(lowest, "class").select("node", "component_id", "copies"), "classes")
     result = tagged.join(per_node, "node", "left")
     empty = F.col("size") == 0
-    return result.select(
+    result = materialise(result.select(
         F.col("key").alias(key),
         F.col("size").cast("long").alias("n_shingles"),
         F.when(empty, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).cast("long").alias("n_links"),
-    )
+    ), "components")
+    for done in (sketch, placed, block, tiles, members, stands, edges, labels, heads, per_node):
+        discard(done)
+    release(spark)
+    return result
