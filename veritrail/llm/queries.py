@@ -56,4 +56,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_language, op3_quality, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE, "op8_jaccard": near.ORACLE}
