@@ -5,7 +5,7 @@ class.  Frequent are tokens whose count, lossy-counted per block of documents, r
 their list has at most ``FREQUENT_MOST`` entries; only efficiency depends on that list, never the result.
 
 A set x that links to y must share at least ``tau = ceil(threshold * |x|)`` tokens.  Its prefix is extended until
-``rare + sum over classes of max(0, tokens in class - 1) >= |x| - tau + 1 + e`` with e half of ``|x| - tau + 1``; then of two
+``rare + sum over classes of max(0, tokens in class - 1) >= |x| - tau + 1 + e`` with e two fifths of ``|x| - tau + 1``; then of two
 linking sets, the one whose prefix ends first shares with the other's prefix e + 1 rare tokens, or two frequent tokens of
 one class.  So rare tokens are indexed alone and frequent tokens as pairs within a class (classes: the token's hash modulo a
 power of two that grows with the set), and a set whose prefix is all rare is a candidate only if e + 1 of its
@@ -77,7 +77,7 @@ def _needed(n: int, num: int, den: int) -> int:
 
 def _extra(n: int, num: int, den: int) -> int:
     """By how many tokens a prefix is extended."""
-    return _needed(n, num, den) // 2
+    return _needed(n, num, den) * 2 // 5
 
 
 def _least(n: int, num: int, den: int) -> int:
@@ -151,7 +151,7 @@ def _sketch(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
             blobs = []
             for i, n in enumerate(sizes.tolist()):
                 mine = values[begin[i] : begin[i + 1]]
-                blobs.append(_pack(mine[: 2 * _needed(n, num, den) + 8]) if n > 1 else b"")
+                blobs.append(_pack(mine[: 7 * _needed(n, num, den) // 4 + 8]) if n > 1 else b"")
                 if n and node[i] not in seen:
                     seen.add(node[i])
                     held.append(mine)
