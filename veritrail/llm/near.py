@@ -117,14 +117,13 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> tupl
     return mix(rare[:need] ^ _SINGLE), np.unique(np.concatenate(pairs))
 
 
-def _slot(column) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS))
-
-
 def only_slots(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key is in ``wanted`` and some others: a broadcast filter of at most SLOTS numbers."""
-    slots = wanted.select(_slot(F.col(key)).alias("slot")).distinct()
-    return rows.join(F.broadcast(slots), _slot(F.col(key)) == F.col("slot"), "left_semi")
+    """The rows whose key is in ``wanted`` and few others: two broadcast filters of at most SLOTS numbers each, by independent hashes."""
+    for seed in (1, 2):
+        slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(SLOTS))
+        slots = wanted.select(slot.alias("slot")).distinct()
+        rows = rows.join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+    return rows
 
 
 def _sketch(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
