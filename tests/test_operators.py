@@ -126,3 +126,9 @@ def test_queries_import_without_extras():
     from veritrail.plans import catalog
 
     assert len(catalog.QUERIES) > 90 and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_guided_schema_and_pins():
+    schema = {"type": "object", "title": "x", "properties": {"a": {"type": "string", "minLength": 2}, "b": {"type": "array", "minItems": 1, "items": {"type": "string", "minLength": 1}}}}
+    assert guards.guided_schema(schema) == {"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": "array", "items": {"type": "string"}}}}
+    assert guards.version_mismatches({"no-such-package": "1"}) == [("no-such-package", "1", "")]

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import strict_json
+
 # Fixed sets: chrome elements, block elements, elements that an article must not hold.
 CHROME = frozenset("nav header footer aside script style form noscript button iframe template".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
@@ -277,7 +279,7 @@ def response_failure(status: Column, body: Column, tag: Column, language: str) -
         F.when(status.isNull(), "transport_error")
         .when(body.isNull(), "missing_response")
         .when(~status.between(200, 299), F.concat(F.lit("http_"), status.cast("string")))
-        .when(F.try_parse_json(body).isNull(), "invalid_json")
+        .when(strict_json(body) != "ok", "invalid_json")
         .when(F.coalesce(g("$.status_code").cast("int"), F.lit(-1)) != 20000, "provider_error")
         .when(F.coalesce(g("$.tasks_count").cast("int"), F.lit(-1)) != 1, "task_count")
         .when(F.coalesce(g("$.tasks[0].data.tag"), F.lit("")) != tag, "tag_mismatch")

@@ -117,3 +117,30 @@ def record_violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> Da
     """(key, code) for every rule, a condition that must hold, that a row breaks; an unknown condition counts as broken."""
     codes = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items()]))
     return rows.select(key, F.explode(codes).alias("code"))
+
+
+#: Keywords that structured decoders enforce while they generate; the others are checked afterwards.
+GUIDED = ("type", "enum", "required", "properties", "additionalProperties", "items")
+
+
+def guided_schema(schema: dict) -> dict:
+    """The part of a JSON Schema a structured decoder can enforce; the full schema still judges the answer."""
+    out = {k: v for k, v in schema.items() if k in GUIDED}
+    if "properties" in out:
+        out["properties"] = {k: guided_schema(v) for k, v in out["properties"].items()}
+    if "items" in out:
+        out["items"] = guided_schema(out["items"])
+    return out
+
+
+def version_mismatches(pins: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(package, pinned, found) of every package that is missing or of another version; a driver-side preflight."""
+    from importlib import metadata
+
+    found = {}
+    for name in pins:
+        try:
+            found[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            found[name] = ""
+    return [(name, version, found[name]) for name, version in pins.items() if found[name] != version]

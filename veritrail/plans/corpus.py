@@ -126,9 +126,9 @@ def _responses(t):
     return c.select("conv_id", "turn", k.alias("k"), F.when(k == 0, F.lit(None)).when(k == 1, 503).otherwise(200).alias("status"), F.when(k == 2, F.concat(body, F.lit("}{"))).otherwise(body).alias("body"))
 
 
-@plans.add("SELECT conv_id, turn, CASE (conv_id * 5 + turn) % 9 WHEN 0 THEN 'transport_error' WHEN 1 THEN 'http_503' WHEN 3 THEN 'provider_error' WHEN 4 THEN 'task_count' WHEN 5 THEN 'tag_mismatch' WHEN 6 THEN 'language_mismatch' WHEN 7 THEN 'blank_answer' ELSE 'succeeded' END AS outcome FROM conversations WHERE role = 'assistant' AND (conv_id * 5 + turn) % 9 <> 2")
+@plans.add("SELECT conv_id, turn, CASE (conv_id * 5 + turn) % 9 WHEN 0 THEN 'transport_error' WHEN 1 THEN 'http_503' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'provider_error' WHEN 4 THEN 'task_count' WHEN 5 THEN 'tag_mismatch' WHEN 6 THEN 'language_mismatch' WHEN 7 THEN 'blank_answer' ELSE 'succeeded' END AS outcome FROM conversations WHERE role = 'assistant'")
 def response_failure(t):
-    return _responses(t).where("k <> 2").select("conv_id", "turn", K.response_failure(F.col("status"), F.col("body"), F.col("conv_id").cast("string"), "de").alias("outcome"))
+    return _responses(t).select("conv_id", "turn", K.response_failure(F.col("status"), F.col("body"), F.col("conv_id").cast("string"), "de").alias("outcome"))
 
 
 @plans.add("SELECT conv_id * 1000 + turn AS answer, '/tasks/0/result/0/items/0/references/0' AS location, 'references' AS type, 'https://a.example/' || conv_id AS url, 't' AS title FROM conversations WHERE role = 'assistant' AND (conv_id * 5 + turn) % 9 <> 2")

@@ -178,3 +178,23 @@ def index_validation(t):
 def sparse_state_check(t):
     broken = F.when((F.col("term") == "the") & (F.col("doc_id") % 100 == 0), -F.col("tf")).otherwise(F.col("tf"))  # an injected fault
     return R.postings(t("documents"), "doc_id", "text").select("doc_id", "term", broken.alias("tf")).where("tf <= 0 or tf is null or term is null")
+
+
+@plans.add(
+    f"""WITH {_BM25}, hits AS (SELECT item_id, doc_id FROM ({_TOP.format(q='item_id', k='doc_id', t='lexical')}) WHERE rank <= 5)
+SELECT item_id, doc_id, concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = d.doc_id - 20) THEN d.doc_id - 20 END, d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = d.doc_id + 20) THEN d.doc_id + 20 END) AS context
+FROM hits JOIN documents d USING (doc_id)"""
+)
+def expand_context(t):
+    hits = R.top_k(_lexical(t), "item_id", "doc_id", 5).select("item_id", "doc_id")
+    near = R.neighbours(t("documents").select("doc_id", "source", F.lit("").alias("h")), "source", "doc_id", "doc_id", "h")  # a source's documents follow each other by 20
+    return hits.join(near, "doc_id").select("item_id", "doc_id", F.array_join(F.transform("context", lambda c: c.cast("string")), ",").alias("context"))
+
+
+@plans.add(f"WITH {_BM25}, top AS ({_TOP.format(q='item_id', k='doc_id', t='lexical')}) SELECT item_id, doc_id, 'second' AS side FROM top WHERE rank = 50 UNION ALL SELECT item_id, doc_id, 'first' FROM top WHERE rank = 1")
+def rescore_replay(t):
+    from ..operators.corpus import replay_differences
+
+    best = R.top_k(_lexical(t), "item_id", "doc_id")  # saved: ranks 1 to 49; rescored: ranks 2 to 50
+    keys = lambda low, high: best.where(F.col("rank").between(low, high)).select("item_id", "doc_id")
+    return replay_differences(keys(1, 49), keys(2, 50))

@@ -221,3 +221,22 @@ def generation_envelope(t):
     good = F.to_json(F.struct(F.col("text").alias("claim"), F.array(F.lit(0), F.length("text")).alias("spans")))
     answer = F.when(kind == 1, F.lit('{"claim": ""}')).when(kind == 2, F.lit('{"claim": "x", "y": 1}')).when(kind == 3, F.lit('{"claim": NaN}')).otherwise(good)
     return t("benchmark").select("item_id", G.generation_status(answer, schema).alias("status"))
+
+
+@plans.add()
+def store_fingerprint(t):
+    rows = t("region")
+    return raw.fingerprint(rows.sparkSession, rows.inputFiles()[0])
+
+
+# Append-only histories: the decisions of a run are its events; those of even seconds come again, with the same bytes.
+@plans.add("SELECT CASE WHEN event_id % 2 = 0 THEN 'idempotent' ELSE 'appended' END AS outcome, count(*) AS n FROM events GROUP BY 1")
+def append_history(t):
+    records = _records(t).select("id", "sha256", "seq")
+    even = F.substring_index("id", "-", -1).cast("long") % 2 == 0
+    return S.upsert_plan(records, records.where(even)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@plans.add("SELECT event_type AS kind, count(*) AS records, count(DISTINCT user_id) AS runs FROM events GROUP BY 1")
+def record_counts(t):
+    return _records(t).groupBy("kind").agg(F.count("*").alias("records"), F.countDistinct("analysis_run_id").alias("runs"))
