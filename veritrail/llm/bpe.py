@@ -30,8 +30,8 @@ from .batches import slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = np.iinfo(np.int64).max
 SHORT = 32  # bytes up to which failing words are merged together, in numpy
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 200_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 100_000
 CACHE_CHARS = 64  # longer words are encoded but not remembered, so the memory is bounded
 
 
@@ -287,7 +287,7 @@ def bpe_columns(documents: DataFrame, path: str, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             encoded = tool.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             arrays = [
                 batch.column(0),
