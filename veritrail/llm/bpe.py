@@ -30,7 +30,7 @@ from .batches import slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = np.iinfo(np.int64).max
 SHORT = 32  # bytes up to which failing words are merged together, in numpy
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 CACHE_PAIRS = 100_000
 CACHE_CHARS = 64  # longer words are encoded but not remembered, so the memory is bounded
 
@@ -243,7 +243,7 @@ class Codec:
         fresh = self.learn(new) if new else {}
         if len(self._seen) + len(fresh) > CACHE_WORDS:
             table = {w: self._seen[w] for w in distinct if w in self._seen} | fresh | special
-            self._seen = {w: v for w, v in fresh.items() if len(w) <= CACHE_CHARS} if len(fresh) <= CACHE_WORDS else {}
+            self._seen = {w: v for w, v in table.items() if len(w) <= CACHE_CHARS and w not in special} if len(table) <= CACHE_WORDS else {}  # start again with this batch's words
         else:
             self._seen.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_CHARS)
             long = {w: v for w, v in fresh.items() if len(w) > CACHE_CHARS}
