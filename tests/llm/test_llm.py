@@ -110,6 +110,42 @@ def test_kneser_ney_sums_to_one(spark):
     assert set(model) == {"unknown", "ends", "words", "pairs"}
 
 
+def kneser_ney(trained, texts):
+    """Perplexities counted in plain Python."""
+    pairs = lambda t: list(zip(["<"] + t.split(), t.split() + [">"], strict=True)) if t and t.split() else []
+    n, total, before, kinds = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(list)
+    for t in trained:
+        for u, w in pairs(t):
+            n[u, w] += 1
+    for (u, w), c in n.items():
+        total[u] += c
+        before[w] += 1
+        kinds[u].append(c)
+    count = lambda values: {i: sum(v == i for v in values) for i in (1, 2, 3, 4)}
+    d, e = quality._discounts(count(n.values())), quality._discounts(count(before.values()))
+    uniform = sum(e[min(b, 3) - 1] for b in before.values()) / sum(before.values()) / (len(before) + 1)
+    g = {u: sum(d[min(c, 3) - 1] for c in cs) / total[u] for u, cs in kinds.items()}
+    q = lambda w: (before[w] - e[min(before[w], 3) - 1]) / len(n) + uniform if w in before else uniform
+    p = lambda u, w: ((n[u, w] - d[min(n[u, w], 3) - 1]) / total[u] if (u, w) in n else 0.0) + g.get(u, 1.0) * q(w)
+    return [math.exp(-sum(math.log(p(*x)) for x in pairs(t)) / len(pairs(t))) if pairs(t) else None for t in texts]
+
+
+def test_quality_counts_all_trusted_text(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FREQUENT", 64)  # most values come from the joined tables
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.4, 4) % 5000), "en") for i in range(16_400)]
+    rows += [(20_000, None, "en"), (20_001, " ", None), rows[0], rows[0], (None, rows[1][1], "de"), (None, "w1 never w2", "de"), (1, "w1 w2 another w1 w2", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, chosen = quality.train(docs, docs.where("doc_id < 16400").select("doc_id").distinct())
+    ids = {x.doc_id for x in chosen.collect()}
+    assert 12_000 < len(ids) < 12_600  # three quarters of all
+    found = [(x.doc_id, x.n_words, x.perplexity) for x in quality.score_columns(docs, model).collect()]
+    wanted = [(i, len((t or "").split()), x) for (i, t, _), x in zip(rows, kneser_ney([t for i, t, _ in rows if i in ids], [t for _, t, _ in rows]), strict=True)]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0)
+    for a, b in zip(sorted(found, key=order), sorted(wanted, key=order), strict=True):
+        assert a[:2] == b[:2] and (a[2] is b[2] is None or math.isclose(a[2], b[2], rel_tol=1e-6))
+
+
 def test_urls(spark):
     rows = [(1, "https://www.Example.com/en/x"), (2, "http://a.example.com/en/"), (3, "http://x.net/fr/1?q#f"), (4, "http://notcom"), (5, None), (6, "no scheme"), (7, "http://x.org"), (8, "https://x.com"), (9, "https://x.com/?a")]
     rows += [(100 + i, f"http://casino-{i % 3}.example.org/p/{i}") for i in range(60)] + [(300 + i, f"http://good.example.org/p/{i}") for i in range(60)]

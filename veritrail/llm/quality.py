@@ -1,13 +1,14 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Training text: documents labelled of good quality and not toxic, at most about ``TRAIN_DOCS`` of them, chosen by hash (a documented bound for
-fitting; scoring and thresholds cover all documents).  Bigram counts, context totals, continuation counts and discounts are
-grouped and joined by hashed words, so every shard of the count tables meets only its own keys.
+Training text: all documents labelled of good quality and not toxic, but for a quarter, chosen by hash, that is held out for the thresholds.
+Bigram counts, context totals, continuation counts and discounts are grouped and joined by hashed words, so every shard of the
+count tables meets only its own keys.
 
 For a seen bigram ``p(w|u) = (c(uw) - D) / c(u) + g(u) * q(w)``, for an unseen one ``g(u) * q(w)``, where q is the continuation distribution,
 itself discounted and interpolated with the uniform one.  A document's log probability is thus a sum of ``log q(w) + log g(w)`` over
-its words plus a correction for each seen bigram.  Both tables are bounded by the training bound, so the scoring join runs on the map side:
-the tables are split in ``SHARDS`` sorted shards and each batch's keys, dealt to the same shards, are merged with them one shard at a time.
+its words plus a correction for each seen bigram.  The values of the most frequent words and bigrams (at most ``FREQUENT`` of each) are looked up on the
+map side, those of all others by a join on the sharded tables, in ``PASSES`` parts of the key space one after the other, so that only one part's
+shuffle is on disk at a time.  Values are whole multiples of 2**-24, so that sums do not depend on the order in which shards add up.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` of the trusted documents of its language that the model was not trained on (of all
 languages where a language has fewer than ``LEAST`` of them).
@@ -19,23 +20,26 @@ document with words is kept.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import discard, materialise, release
 from .batches import slices
 from .words import Words, mix
 
-TRAIN_DOCS = 12_000
-SHARDS = 16
+FREQUENT = 1 << 20
+PASSES = 4
+UNIT = float(1 << 24)
 QUANTILE = 0.99
 LEAST = 20
 START, END = 1, 2
 _PAIR = np.uint64(0xD1342543DE82EF95)
+_WORD = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,12 +68,39 @@ def _discounts(counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", most: int = TRAIN_DOCS) -> tuple[dict, DataFrame]:
-    """(model, keys it was trained on): the model has sorted arrays of word and bigram keys with their values."""
-    total = trusted.count()
-    share = min(1.0, most / total) if total else 0.0
+def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u * _PAIR + w)
+
+
+def _word_keys(w: np.ndarray) -> np.ndarray:
+    return mix(w ^ _WORD)
+
+
+def _part(column: str, i: int) -> Column:
+    """Whether a key is in the i-th of PASSES parts of the key space."""
+    return F.pmod(F.col(column), F.lit(PASSES)) == i
+
+
+def _least(rows: DataFrame, n: str, most: int) -> int:
+    """The least count c, of powers of 2 ** (1 / 8), such that at most ``most`` rows have n >= c."""
+    bucket = F.floor(F.log2(F.col(n)) * 8)
+    total, least = 0, None
+    for r in sorted(rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("k"), F.min(n).alias("low")).collect(), key=lambda r: -r["b"]):
+        total += r["k"]
+        if total > most:
+            break
+        least = r["low"]
+    return least if least is not None else 1 << 62
+
+
+def train(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", most: int | None = None) -> tuple[dict, DataFrame]:
+    """(model, keys it was trained on): the model has the words' and bigrams' values, each as sorted arrays of the frequent keys and a table of the others.
+
+    ``most`` is for callers that want a smaller model; without it all trusted text counts.
+    """
+    share = 1.0 if most is None else min(1.0, most / max(1, trusted.count()))
     chosen = materialise(trusted.where(F.pmod(F.xxhash64(F.col(key), F.lit("trusted")), F.lit(1 << 20)) < int(share * 0.75 * (1 << 20))), "chosen")  # a quarter stays out for the thresholds
-    picked = documents.select(key, text).join(F.broadcast(chosen), key, "left_semi").select(text)  # at most about TRAIN_DOCS keys
+    picked = documents.select(key, text).join(chosen, key, "left_semi").select(text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -80,87 +111,135 @@ def train(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str
             n = np.diff(np.append(edge, len(u)))
             yield pa.RecordBatch.from_arrays([pa.array(u[edge].view(np.int64)), pa.array(w[edge].view(np.int64)), pa.array(n.astype(np.int64))], names=["u", "w", "n"])
 
+    spark = documents.sparkSession
     types = materialise(picked.mapInArrow(count, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "bigrams")
+    release(spark)
     d = _discounts({r["n"]: r["k"] for r in types.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()})
     contexts = types.groupBy("u").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") >= 3).alias("n3"))
     contexts = materialise(contexts.select("u", "total", ((F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("total")).alias("g")), "contexts")
-    follow = materialise(types.groupBy("w").agg(F.count("*").alias("before")), "continuations")
+    follow = materialise(types.groupBy("w").agg(F.count("*").alias("before"), F.sum("n").alias("times")), "continuations")
     e = _discounts({r["before"]: r["k"] for r in follow.where("before <= 4").groupBy("before").agg(F.count("*").alias("k")).collect()})
     row = follow.agg(F.sum("before").alias("all"), F.count("*").alias("v"), *[F.count_if(F.col("before") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("before") >= 3).alias("n3")).first()
     if not row["v"]:
         return {}, chosen
     uniform = (row["n1"] * e[0] + row["n2"] * e[1] + row["n3"] * e[2]) / row["all"] / (row["v"] + 1)
     cut = F.when(F.col("before") == 1, e[0]).when(F.col("before") == 2, e[1]).otherwise(e[2])
-    words = follow.select("w", ((F.col("before") - cut) / float(row["all"]) + uniform).alias("q"))
-    alone = words.join(contexts.select(F.col("u").alias("w"), "g"), "w", "full_outer").select("w", F.coalesce("q", F.lit(uniform)).alias("q"), F.coalesce("g", F.lit(1.0)).alias("g"))
-    table = alone.toArrow()
+    words = follow.select("w", "times", ((F.col("before") - cut) / float(row["all"]) + uniform).alias("q"))
+    # START is never predicted and END never a context, so their values enter on their own.
+    start, end = contexts.where(F.col("u") == START).first(), words.where(F.col("w") == END).first()
+    unknown = math.log(uniform)
+    alone = words.join(contexts.select(F.col("u").alias("w"), "g"), "w").where(F.col("w") != END)
+    values = materialise(alone.select("w", "times", _units(F.log("q") + F.log(F.greatest("g", F.lit(1e-12))) - unknown).alias("more")), "words")
     less = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     low = F.col("g") * F.col("q")
-    seen = types.join(contexts, "u").join(words, "w").select("u", "w", F.log(((F.col("n") - less) / F.col("total") + low) / low).cast("float").alias("more")).toArrow()
-    w, q, g = (table[c].to_numpy() for c in ("w", "q", "g"))
-    order = np.argsort(w.view(np.uint64))
-    w, q, g = w.view(np.uint64)[order], q[order], g[order]
-    at = {x: int(np.searchsorted(w, np.uint64(x))) for x in (START, END)}
-    keys = mix(seen["u"].to_numpy().view(np.uint64) * _PAIR + seen["w"].to_numpy().view(np.uint64))
-    place = np.argsort(keys)
-    keys, more = keys[place], seen["more"].to_numpy()[place]
-    # START is never predicted and END never a context, so their values enter on their own.
-    model = {
-        "unknown": math.log(uniform),
-        "ends": float(np.log(g[at[START]]) + np.log(q[at[END]])),
-        "words": _shards(w, (np.log(q) + np.log(np.maximum(g, 1e-12))).astype(np.float32)),
-        "pairs": _shards(keys, more),
-    }
+    more = F.greatest(F.log(((F.col("n") - less) / F.col("total") + low) / low), F.lit(0.0))
+    often, seen = _least(types, "n", FREQUENT), []
+    for i in range(PASSES):
+        joined = types.where(_part("u", i)).join(contexts.where(_part("u", i)), "u").join(words, "w")
+        seen.append(materialise(joined.select("u", "w", "n", _units(more).alias("more")), "pairs"))
+        del joined  # a reference would keep its shuffle files
+        release(spark)
+    pairs = reduce(DataFrame.unionByName, seen)
+    model = {"unknown": unknown, "ends": math.log(start["g"]) + math.log(end["q"])}
+    usual = _least(values, "times", FREQUENT)
+    model["words"] = _split(values, "times", usual, lambda t: _word_keys(t["w"].to_numpy().view(np.uint64)))
+    model["pairs"] = _split(pairs, "n", often, lambda t: _pair_keys(t["u"].to_numpy().view(np.uint64), t["w"].to_numpy().view(np.uint64)))
+    for done in (types, contexts, follow, values, *seen):
+        discard(done)
     return model, chosen
 
 
-def _shards(keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    cuts = np.searchsorted(keys, np.arange(1, SHARDS, dtype=np.uint64) << np.uint64(60))
-    return list(zip(np.split(keys, cuts), np.split(values, cuts), strict=True))
+def _units(value: Column) -> Column:
+    return F.round(value * UNIT).cast("int")
 
 
-def _merge(asked: np.ndarray, shards: list[tuple[np.ndarray, np.ndarray]], missing: float) -> np.ndarray:
-    """The value of each key, shard by shard in key order."""
+def _split(rows: DataFrame, n: str, least: int, keys: Callable[[pa.Table], np.ndarray]) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(sorted keys of the rows with n >= least, their values, the table (k, more) of the others)."""
+    found = rows.where(F.col(n) >= least).drop(n).toArrow()
+    k = keys(found)
+    order = np.argsort(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys(batch).view(np.int64)), batch.column(batch.num_columns - 1)], names=["k", "more"])
+
+    others = rows.where(F.col(n) < least).drop(n).mapInArrow(run, "k long, more int")
+    return k[order], found["more"].to_numpy().astype(np.int64)[order], materialise(others, "others")
+
+
+def _find(asked: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key in a sorted table and whether it is there."""
+    if not len(table):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
     order = np.argsort(asked)
-    keys = asked[order]
-    cuts = np.concatenate([[0], np.searchsorted(keys, np.arange(1, SHARDS, dtype=np.uint64) << np.uint64(60)), [len(keys)]])
-    found = np.full(len(keys), missing)
-    for (table, values), a, b in zip(shards, cuts, cuts[1:], strict=False):
-        if len(table) and b > a:
-            at = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)
-            hit = table[at] == keys[a:b]
-            found[a:b][hit] = values[at[hit]]
-    out = np.empty(len(keys))
-    out[order] = found
-    return out
-
-
-def perplexities(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(words, perplexity) of each text; NaN without words or model."""
+    at = np.empty(len(asked), np.int64)
+    at[order] = np.minimum(np.searchsorted(table, asked[order]), len(table) - 1)
+    return at, table[at] == asked
+
+
+def _requests(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word keys, their texts, bigram keys, their texts)."""
     u, w, owner = _sequences(column)
-    n = np.bincount(owner, minlength=len(column))
-    if not model or not len(u):
-        return np.maximum(n - 1, 0), np.full(len(column), np.nan)
     alone = w != np.uint64(END)
-    value = np.where(alone, 0.0, model["ends"])
-    value[alone] = _merge(w[alone], model["words"], model["unknown"])
-    value += _merge(mix(u * _PAIR + w), model["pairs"], 0.0)
-    total = np.bincount(owner, value, len(column))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.maximum(n - 1, 0), np.where(n > 0, np.exp(-total / n), np.nan)
+    return _word_keys(w[alone]), owner[alone], _pair_keys(u, w), owner
 
 
 def score_columns(documents: DataFrame, model: dict, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """(key, lang, n_words, perplexity) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast({name: model[name][:2] for name in ("words", "pairs")} if model else {})
+    ends, unknown = (round(model[name] * UNIT) if model else 0 for name in ("ends", "unknown"))
+    known = documents.select(key, lang, F.xxhash64(key, text).alias("h"), text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
         for batch in slices(batches):
-            n, value = perplexities(batch.column(2), known)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(value, pa.float64(), mask=np.isnan(value))], names=[key, lang, "n_words", "perplexity"])
+            ask = _requests(batch.column(3))
+            n = np.bincount(ask[1], minlength=batch.num_rows).astype(np.int64)
+            total = n * unknown + (n > 0) * ends
+            for name, asked, owner in (("words", *ask[:2]), ("pairs", *ask[2:])):
+                if tables:
+                    at, hit = _find(asked, tables[name][0])
+                    total += np.bincount(owner[hit], tables[name][1][at[hit]], batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(total)], names=[key, lang, "h", "n_words", "total"])
+
+    base = known.mapInArrow(local, f"`{key}` {documents.schema[key].dataType.simpleString()}, `{lang}` string, h long, n_words long, total long")
+    if not model:
+        return base.select(key, lang, "n_words", F.lit(None).cast("double").alias("perplexity"))
+    base, sums = materialise(base, "base"), []
+
+    def others(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = shared.value
+            for batch in slices(batches):
+                ask, ids = _requests(batch.column(1)), batch.column(0).to_numpy()
+                ks, owners = [], []
+                for name, asked, owner in (("words", *ask[:2]), ("pairs", *ask[2:])):
+                    mine = np.flatnonzero(asked & np.uint64(PASSES - 1) == part)
+                    rest = mine[~_find(asked[mine], tables[name][0])[1]]
+                    ks.append(asked[rest])
+                    owners.append(owner[rest])
+                k, owner = np.concatenate(ks), np.concatenate(owners)
+                order = np.lexsort((k, owner))
+                k, owner = k[order], owner[order]
+                edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (owner[1:] != owner[:-1])])) if len(k) else np.zeros(0, np.int64)
+                n = np.diff(np.append(edge, len(k))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[edge]]), pa.array(k[edge].view(np.int64)), pa.array(n)], names=["h", "k", "n"])
+
+        return run
 
-    return documents.select(key, lang, text).mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, `{lang}` string, n_words long, perplexity double")
+    table = model["words"][2].unionByName(model["pairs"][2])
+    for i in range(PASSES):
+        asked = known.select("h", text).mapInArrow(others(i), "h long, k long, n int")
+        joined = asked.join(table.where(_part("k", i)), "k").groupBy("h").agg(F.sum(F.col("more").cast("long") * F.col("n")).alias("sum"))
+        sums.append(materialise(joined, "sums"))
+        del asked, joined  # a reference would keep their shuffle files
+        release(spark)
+    # Rows with equal key and text have asked together: each has an equal share.
+    whole = reduce(DataFrame.unionByName, sums).groupBy("h").agg(F.sum("sum").alias("sum")).join(base.groupBy("h").agg(F.count("*").alias("copies")), "h")
+    total = F.col("total") + F.coalesce(F.expr("sum div copies"), F.lit(0))
+    value = F.when(F.col("n_words") > 0, F.exp(-total / UNIT / (F.col("n_words") + 1)))
+    return base.join(whole, "h", "left").select(key, lang, "n_words", value.alias("perplexity"))
 
 
 def judge(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
@@ -168,6 +247,9 @@ def judge(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     trusted = materialise(trusted_ids(labels, key), "trusted")
     model, chosen = train(documents, trusted, text, key)
     scored = materialise(score_columns(documents, model, text, key, lang), "scores")
+    for name in ("words", "pairs") if model else ():
+        discard(model[name][2])
+    release(documents.sparkSession)
     outside = scored.join(trusted.join(chosen, key, "left_anti"), key, "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     by = outside.groupBy(lang).agg(cut.alias("own"), F.count("*").alias("n"))
