@@ -66,6 +66,27 @@ def test_extraction():
     assert extraction.extract([plain, None, ""], model) == ["A & B\n\nFirst bold text goes on here for a while, and it has marks.\n\nSecond <one> is here as well, with more words in it.", "", ""]
 
 
+def test_sibling_features_of_many_children():
+    page = "<div>" + "".join(f"<p>{'x' * (i + 1)}</p>" for i in range(60)) + "<h2>last</h2></div>"
+    nodes, x = extraction.features(extraction.parse(page))
+    rows = {n.text or n.children[0].text: f for n, f in zip(nodes, x, strict=True) if n.tag in ("p", "h2")}
+    assert [round(float(rows["x" * (i + 1)][14]) * 61) for i in range(60)] == list(range(60)) and math.isclose(rows["last"][14], 60 / 61, rel_tol=1e-6)
+    for i in range(1, 59):
+        f = rows["x" * (i + 1)]
+        assert math.isclose(f[21], math.log1p(i), rel_tol=1e-6) and math.isclose(f[23], math.log1p(i + 2), rel_tol=1e-6) and math.isclose(f[16], 60 / 61, rel_tol=1e-6)
+    assert rows["x"][21] == -1 and rows["last"][23] == -1 and math.isclose(rows["last"][16], 1 / 61, rel_tol=1e-6)
+
+
+def test_extraction_of_long_flat_pages():
+    model, make = pickle.loads(extraction.train(300)), extraction.Generator(9)
+    pages = [make.page(long=True) for _ in range(20)]
+    good = extra = lost = 0
+    for (_, main), text in zip(pages, extraction.extract([p for p, _ in pages], model), strict=True):
+        a, b = set(main), set(text.split("\n\n")) - {""}
+        good, extra, lost = good + len(a & b), extra + len(b - a), lost + len(a - b)
+    assert good / (good + extra) > 0.9 and good / (good + lost) > 0.9
+
+
 def test_extraction_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x"), (1, "u", None)], "page_id long, url string, html string")
     assert extraction.text_columns(pages, model=extraction.train(60)).count() == 3

@@ -17,6 +17,7 @@ import math
 import pickle
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .boost import Boost
 from .dom import Node, parse
 
 TRAIN_PAGES = 800
+LONG_NODES = 60  # about so many nodes of a long page train
+LONG_EVERY = 20  # for so many generated pages there is a long flat one
 SEED = 20240501
 CUT = 1.5  # the cost of dropping a part of what is kept
 OPEN = 0.7  # the cost of leaving a node open
@@ -90,6 +93,13 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
                 s = [a + b for a, b in zip(s, c, strict=True)]
                 s[5] = longest
         stats[id(node)] = s
+    # Each parent's children are counted once: their places and how many there are of each element.
+    spot: dict[int, int] = {}
+    kin: dict[int, Counter[str]] = {}
+    for node in order:
+        kin[id(node)] = Counter(child.tag for child in node.children)
+        for i, child in enumerate(node.children):
+            spot[id(child)] = i
     rows, nodes = [], []
     above: dict[int, tuple[list[int], int]] = {}  # meanings of the ancestors and their element kinds
     log = math.log1p
@@ -110,14 +120,14 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             continue
         length = s[0]
         siblings = parent.children if parent is not None else [node]
-        i = siblings.index(node) if len(siblings) < 50 else 0
+        i = spot[id(node)] if parent is not None else 0
         before = stats[id(siblings[i - 1])] if i else None
         after = stats[id(siblings[i + 1])] if i + 1 < len(siblings) else None
         ps = stats[id(parent)] if parent is not None else s
-        same = sum(1 for x in siblings[:50] if x.tag == node.tag)
+        same = kin[id(parent)][node.tag] if parent is not None else 1
         base = [
             log(length), s[1] / length, s[2] / length * 20, log(s[3]), length / s[3], log(length / s[4]), log(s[5]), log(s[6]), log(s[7]), log(s[8]), s[8] / s[3], log(s[9]), log(s[10]),
-            node.depth, i / max(1, len(siblings)), log(len(siblings)), same / len(siblings[:50]), start[id(node)] / total, (start[id(node)] + length) / total, length / total, length / ps[0] if ps[0] else 1.0,
+            node.depth, i / max(1, len(siblings)), log(len(siblings)), same / len(siblings), start[id(node)] / total, (start[id(node)] + length) / total, length / total, length / ps[0] if ps[0] else 1.0,
             log(before[0]) if before else -1, before[1] / before[0] if before and before[0] else -1, log(after[0]) if after else -1, after[1] / after[0] if after and after[0] else -1, ps[1] / ps[0] if ps[0] else 0, log(ps[0] / max(1, ps[4])), kind, _KIND.get(parent.tag, 3) if parent is not None else -1,
         ]
         own = [0.0] * _N
@@ -220,8 +230,8 @@ class Generator:
         title = f"<h{r.choice('234')}>{self.words(1, 3, 0)}</h3>" if r.random() < 0.6 else ""
         return f"<{(t := r.choice(('section', 'div', 'div')))}{self.names('comment') or ' id=comments'}>{title}{said}</{t}>"
 
-    def page(self) -> tuple[str, list[str]]:
-        """A page and its main blocks."""
+    def page(self, long: bool = False) -> tuple[str, list[str]]:
+        """A page and its main blocks; a long one has all of many blocks, and pieces of boilerplate between and after them, under one parent."""
         r = self.r
         main: list[str] = []
 
@@ -239,8 +249,8 @@ class Generator:
                 shown = " ".join(words)
             return block("p", text, shown, r.random() > 0.15)
 
-        inner = [block("h1", self.words(3, 12, 0.03))] if r.random() < 0.9 else []
-        for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
+        inner = [block("h1", self.words(1 if long else 3, 5 if long else 12, 0.03))] if r.random() < 0.9 else []
+        for _ in range(r.randint(50, 160) if long else r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
             x = r.random()
             if x < 0.78:
                 inner.append(paragraph())
@@ -255,7 +265,10 @@ class Generator:
             if r.random() < 0.1:
                 inner.append(self.junk(r.choice(("advert", "share", "side", "notice", "form"))))
         body = "".join(inner)
-        if r.random() < 0.15:
+        if long and r.random() < 0.5:  # comments as siblings of the main blocks
+            comment = r.choice(("<li class='comment'>{}</li>", "<div class='comment'>{}</div>", "<article class='comment'>{}</article>", "<div class='reply'>{}</div>"))
+            body += "".join(comment.format(self.words(4, 60)) for _ in range(r.randint(5, 80)))
+        elif r.random() < 0.15:
             body += self.junk("comment")
         x = r.random()
         if x < 0.55:
@@ -276,10 +289,10 @@ class Generator:
 
 
 def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> bytes:
-    """A pickled model trained on generated pages; the same for the same arguments."""
-    make, xs, ys = Generator(seed), [], []
-    for _ in range(pages):
-        page, main = make.page()
+    """A pickled model trained on generated pages and, for every ``LONG_EVERY`` of them, a long flat one more; the same for the same arguments."""
+    make, flat, xs, ys = Generator(seed), Generator(seed + 1), [], []
+    for i in range(pages + pages // LONG_EVERY):
+        page, main = make.page() if i < pages else flat.page(long=True)
         nodes, x = features(parse(page))
         known = set(main)
         share: dict[int, list[float]] = {}
@@ -289,8 +302,9 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> bytes:
                 while up is not None:
                     s = share.setdefault(id(up), [0.0, 0.0])
                     s[0], s[1], up = s[0] + good, s[1] + len(node.text), up.parent
-        xs.append(x)
-        ys.append([float(share[id(n)][0] > 0.5 * share[id(n)][1]) for n in nodes])
+        step = max(1, len(nodes) // LONG_NODES) if i >= pages else 1  # many nodes of few pages: a long page weighs like another
+        xs.append(x[::step])
+        ys.append([float(share[id(n)][0] > 0.5 * share[id(n)][1]) for n in nodes[::step]])
     return pickle.dumps(Boost().fit(np.concatenate(xs), np.concatenate(ys)))
 
 
