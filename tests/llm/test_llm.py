@@ -66,6 +66,19 @@ def test_extraction():
     assert extraction.extract([plain, None, ""], model) == ["A & B\n\nFirst bold text goes on here for a while, and it has marks.\n\nSecond <one> is here as well, with more words in it.", "", ""]
 
 
+def test_head_without_end():
+    from veritrail.llm.dom import parse
+
+    def texts(page):
+        nodes, _ = extraction.features(parse(page))
+        return [n.text for n in nodes if n.tag == "#"]
+
+    assert texts("<html><head><title>x</title><body><p>One</p><p>Two</p></body></html>") == ["One", "Two"]
+    assert texts("<head><title>x</title><meta name=a content=b><p>One") == ["One"]
+    assert texts("<html><head><script>for (i = 0; i<n; i++) {} // don't</script><title>a <b 'c</title></head><body><p>It's one</p></body></html>") == ["It's one"]
+    assert texts("<head><style>p{}</style><link rel=x href=y></head><p>One<svg><style>a<b '</style><title/><text>no</text></svg> end</p>") == ["One end"]
+
+
 def test_sibling_features_of_many_children():
     page = "<div>" + "".join(f"<p>{'x' * (i + 1)}</p>" for i in range(60)) + "<h2>last</h2></div>"
     nodes, x = extraction.features(extraction.parse(page))

@@ -1,6 +1,7 @@
 """A small tolerant HTML parser: a tree of block elements whose leaves are runs of inline text.
 
-Unclosed and wrongly nested tags are closed the way browsers mostly do; scripts, styles, comments and the head hold no text.
+Unclosed and wrongly nested tags are closed the way browsers mostly do; scripts, styles, titles and comments hold no text.
+A head needs no state of its own: what may stand in it has no text, and anything else ends it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import re
 
 # Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video title head textarea select option datalist".split())
+SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video title textarea select option datalist".split())
 RAW = frozenset("script style title textarea noscript iframe template".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -114,9 +115,11 @@ def parse(page: str) -> Node:
             if tag in BLOCKS:
                 flush()
             continue
-        if not opening or skip:
+        if not opening:
             continue
         tag, attributes = opening.lower(), m[3] or ""
+        if skip and (tag not in ("script", "style", "title") or attributes.rstrip().endswith("/")):
+            continue
         if tag in SKIPPED:
             if tag in ("select", "textarea"):
                 node.controls += 1
@@ -131,7 +134,7 @@ def parse(page: str) -> Node:
             elif not attributes.rstrip().endswith("/"):
                 skip = tag
             continue
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             continue
         if tag in VOID:
             if tag == "br" or tag == "hr":
