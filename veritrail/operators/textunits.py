@@ -171,17 +171,19 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def units(texts: DataFrame, key: str, text: str, limit_chars: int = 100_000) -> DataFrame:
+def units(texts: DataFrame, key: str, text: str, limit_chars: int | None = None) -> DataFrame:
     """(key, ord, kind, start, end, level, opaque, parent, heading, digest): blocks and their sentences in document order.
 
     Order: start, longer first, then heading, paragraph, bullet, sentence.  ``heading`` is the order of the last heading before the unit, ``parent`` that of the
-    block a sentence lies in; -1 where there is none.  Opaque blocks have no sentences; longer texts than the limit have no units.
+    block a sentence lies in; -1 where there is none.  Opaque blocks have no sentences.  A text longer than the limit, where one is given, has one row of kind ``index_limit_exceeded``.
     """
     columns = [key, "ord", "kind", "start", "end", "level", "opaque", "parent", "heading", "digest"]
 
     def one(value: object, body: str) -> list[tuple]:
         import hashlib
 
+        if limit_chars is not None and len(body) > limit_chars:
+            return [(value, 0, "index_limit_exceeded", 0, len(body), 0, False, -1, -1, hashlib.sha256(f"{value}:index_limit_exceeded:0:{len(body)}".encode()).hexdigest()[:16])]
         found: list[tuple[int, int, int, int, bool, int]] = []
         for kind, a, b, level, opaque, content in scan(body):
             found.append((a, -b, KINDS.index(kind), level or 0, opaque, -1))
@@ -199,7 +201,7 @@ def units(texts: DataFrame, key: str, text: str, limit_chars: int = 100_000) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [u for value, body in zip(frame[key], frame[text], strict=True) if body and len(body) <= limit_chars for u in one(value, body)]
+            rows = [u for value, body in zip(frame[key], frame[text], strict=True) if body for u in one(value, body)]
             yield pd.DataFrame(rows, columns=columns)
 
     kind = texts.schema[key].dataType.simpleString()
