@@ -341,6 +341,16 @@ def naive_spans(t):
     return sorted(out)
 
 
+def test_token_headers_with_white_space():
+    import base64
+
+    b64 = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    for header in ('{ "alg": "HS256"}', '{\n "alg": "HS256"}', '{\t"alg":"HS256"}', '{\r\n"alg":"HS256"}'):
+        token = f"{b64(header)}.{b64('{}')}.abc"
+        assert secrets.added_spans(f"x {token} y") == [(2, secrets.KINDS.index("jwt"), 2 + len(token))]
+    assert secrets.added_spans("they.were.here ewig.und.drei") == []
+
+
 def test_secrets(spark, messy, empty):
     import base64
     import json

@@ -34,7 +34,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,-]*?)-----END \1-----")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{47,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]{40,})={0,2}")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
@@ -147,7 +147,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def added_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans whose decoded structure confirms a token or key."""
     out = []
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:  # a brace and what may follow it
         for m in _JWT.finditer(text):
             head = _object(m[1])
             if head is not None and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
