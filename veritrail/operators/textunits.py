@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -228,15 +229,25 @@ def unit_violations(found: DataFrame, key: str) -> DataFrame:
 
 
 def context_window(found: DataFrame, targets: DataFrame, key: str, before: int = 1, after: int = 1, clip: bool = True) -> DataFrame:
-    """(key, ord): the target sentences, up to ``before`` and ``after`` neighbouring sentences, and the headings of all of them.
+    """(key, ord): what the targets stand for, up to ``before`` and ``after`` neighbouring sentences, and the headings of all of them.
 
+    A sentence stands for itself, a heading for itself and its first sentence, an opaque block for itself alone, another block for the sentences in it.
     With clipping the neighbours end at the first of another heading; since sentences of one heading are contiguous that is a filter.
     """
     said = found.where("kind = 'sentence'").withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("ord")))
-    anchors = said.join(targets, [key, "ord"], "left_semi").select(key, F.col("place").alias("at"), F.col("heading").alias("under"))
+    opaque = F.coalesce("opaque", F.lit(False)) if "opaque" in found.columns else F.lit(False)
+    asked = found.join(targets, [key, "ord"], "left_semi").select(key, "ord", "kind", "heading", opaque.alias("closed"))
+    own = [asked.where("kind = 'sentence'").select(key, "ord")]
+    first = said.groupBy(key, "heading").agg(F.min("ord").alias("first"))
+    own.append(asked.where("kind = 'heading'").select(key, F.col("ord").alias("heading")).join(first, [key, "heading"]).select(key, F.col("first").alias("ord")))
+    if "parent" in found.columns:
+        blocks = asked.where("kind not in ('heading', 'sentence') and not closed").select(key, F.col("ord").alias("parent"))
+        own.append(said.join(blocks, [key, "parent"], "left_semi").select(key, "ord"))
+    anchors = said.join(reduce(DataFrame.unionByName, own), [key, "ord"], "left_semi").select(key, F.col("place").alias("at"), F.col("heading").alias("under"))
     near = said.join(anchors, key).where(F.col("place").between(F.col("at") - before, F.col("at") + after))
     near = near.where(F.col("heading") == F.col("under")) if clip else near
-    chosen = near.select(key, "ord", "heading").distinct()
+    themselves = asked.where("kind = 'heading' or closed").select(key, "ord", F.when(F.col("kind") == "heading", -1).otherwise(F.col("heading")).alias("heading"))  # a heading has none itself
+    chosen = near.select(key, "ord", "heading").unionByName(themselves).distinct()
     heads = chosen.where("heading >= 0").select(key, F.col("heading").alias("ord"))
     return chosen.select(key, "ord").unionByName(heads).distinct()
 
