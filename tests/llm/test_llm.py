@@ -281,7 +281,7 @@ def brute_components(rows, k, percent):
     return {i: (len(s), low[v] if s else i, n) for (i, s), v, n in zip(sets, label, links, strict=True)}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 55)])
 def test_near(spark, monkeypatch, k, percent):
     r = np.random.default_rng(11)
     rows, vocabulary = [], [f"v{i}" for i in range(300)]
@@ -298,7 +298,24 @@ def test_near(spark, monkeypatch, k, percent):
     monkeypatch.setattr(near, "FREQUENT_LEAST", 8)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in near.near_components(docs, k, percent).collect()}
-    assert found == brute_components(rows, k, percent)
+    brute = brute_components(rows, k, percent)
+    assert found == brute
+    monkeypatch.setattr(near, "LARGE", 5)
+    monkeypatch.setattr(near, "BUCKET_ROWS", 50)
+    classes = near.near_components(docs, k, percent, links=False)
+    assert classes.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in classes.collect()} == {i: x[:2] for i, x in brute.items()}
+
+
+def test_near_large_group(spark):
+    """5,000 different near copies, each with one word of 200 changed, link with each other and with nothing else."""
+    base = words(200, 77).split()
+    rows = [(i, " ".join([*base[: i % 190], f"x{i}", *base[i % 190 + 1 :]])) for i in range(5000)] + [(5000 + i, words(60, 1000 + i)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for links in (True, False):
+        found = near.near_components(docs, 3, 90, links=links).collect()
+        assert len(found) == len(rows) and all(r.component_id == (0 if r.doc_id < 5000 else r.doc_id) for r in found)
+        assert not links or all(r.n_links == (4999 if r.doc_id < 5000 else 0) for r in found)
 
 
 def test_near_messy(spark, messy, empty):

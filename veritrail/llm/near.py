@@ -2,21 +2,27 @@
 
 Tokens are hashed k-word shingles.  A global order puts rare tokens first (by hash), then frequent tokens by frequency
 class.  Frequent are tokens whose count, lossy-counted per block of documents, reaches a threshold chosen so that
-their list has at most ``FREQUENT_MOST`` entries; only efficiency depends on that list, never the result.
+their list has at most ``FREQUENT_MOST`` entries; only efficiency depends on that list, never the result.  (A token in a share f of the documents
+is seen twice in a block of b documents with odds of about (f b)^2, so what goes uncounted has buckets of the order of the square root of the corpus.)
 
 A set x that links to y must share at least ``tau = ceil(threshold * |x|)`` tokens.  Its prefix is extended until
-``rare + sum over classes of max(0, tokens in class - 1) >= |x| - tau + 1 + e`` with e half of ``|x| - tau + 1``; then of two
-linking sets, the one whose prefix ends first shares with the other's prefix e + 1 rare tokens, or two frequent tokens of
-one class.  So rare tokens are indexed alone and frequent tokens as pairs within a class (classes: the token's hash modulo a
-power of two that grows with the set), and a set whose prefix is all rare is a candidate only if e + 1 of its
-tokens (the least e of any set it can link to) are indexed by other sets too.
+``rare + sum over classes of max(0, tokens in class - 1) >= |x| - tau + 1 + e`` with e half of ``|x| - tau + 1``.  Rare tokens are indexed alone and
+frequent ones as pairs within a class (classes: the token's hash modulo a power of two that grows with the set, so that pairs
+grow with the prefix and not with its square).  Of two linking sets, let x be the one whose prefix ends first: with r rare tokens and s_c tokens
+of class c shared in it, ``r + sum s_c >= 1 + e + classes``, and a class with s_c shared tokens shares at least s_c - 1 pairs, so the two
+share at least e + 1 signatures.  Where the set ends before its prefix is full, ``r + sum s_c >= tau`` says the same, as the classes number at most tau - e - 1.
 
-Sets with a signature in common are not paired row by row: nodes (distinct sets) are laid into blocks of
-``BLOCK`` neighbours, and a tile (two blocks with a common signature) is verified exactly in one go by counting shared
-tokens; before that, sketches (each set's smallest tokens by hash) rule out the nodes of which every partner in the tile provably lacks too many tokens.  A tile returns each node's number of links and one edge to its tile's component; labels then spread until nothing changes.
+Buckets (the sets that have a signature) with the same members are one bucket, whose weight is their number.  Sets fall into 64 cells by hash, and a set
+goes unless for some cell its buckets with another member there weigh e + 1 or more (the least e of any set it can link to); that is done twice.  Sets in a bucket are not paired row by row: nodes (distinct sets) are laid into blocks of
+``BLOCK`` neighbours, and a tile (two blocks with a common bucket) is verified exactly in one go by counting shared tokens.
+
+Components take three rounds: each block against itself; then a few members of every large component against those of others that share a
+bucket with it; last, pairs of blocks, with only those members of which the other block has some in a different component.  So a large group
+of different near copies costs a tile per block, not one per pair of blocks.  Counting each document's links as well (``links=True``) needs all pairs of a group
+compared: its tiles are all pairs of blocks with a common bucket, m * m / 2048 rows for m different sets.
 
 Copies (equal sets) are one node from the start.  Every cut is a written table in the shared folder; what is broadcast has a fixed
-bound (the frequent tokens, and filters of 2**20 slots that let too much through but never too little).
+bound (the frequent tokens, and filters of 2**26 bits that let too much through but never too little).
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; a text of fewer than k words has one
 shingle, its whole word sequence; component ids are the smallest key reachable; nodes are told apart by 64-bit hashes of their sets.
@@ -29,8 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import discard, materialise, release
@@ -40,7 +45,7 @@ from .words import Words, distinct, mix, shingles
 FREQUENT_LEAST = 64
 FREQUENT_MOST = 1 << 20
 BLOCK = 1024
-SLOTS = 1 << 20
+SLOTS = 1 << 26
 _MASK = np.uint64((1 << 48) - 1)
 _SINGLE, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -80,15 +85,33 @@ def _extra(n: int, num: int, den: int) -> int:
     return _needed(n, num, den) // 2
 
 
-def _least(n: int, num: int, den: int) -> int:
-    """How many tokens of an all-rare prefix a linking set must have, whichever of the two prefixes ends first."""
-    return min(_extra(n, num, den), _extra(-(-num * n // den), num, den)) + 1
+def _least_of(n: int, num: int, den: int) -> int:
+    """How many signatures a set of n shares with any set it links to, whichever of the two prefixes ends first."""
+    low = -(-num * n // den)
+    return min(_extra(n, num, den), _extra(low, num, den), low - 2) + 1
+
+
+def _least(n: str, num: int, den: int) -> Column:
+    """``_least_of`` as a column."""
+
+    def extra(size: str) -> str:
+        return f"(({size} - ({num} * {size} + {den - 1}) div {den} + 1) div 2)"
+
+    low = f"(({num} * {n} + {den - 1}) div {den})"
+    return F.expr(f"least({extra(n)}, {extra(low)}, {low} - 2) + 1")
+
+
+def _class_count(n: int, num: int, den: int) -> int:
+    """How many classes the frequent tokens of a set of n fall into."""
+    most = min((_needed(n, num, den) + _extra(n, num, den)) // 2, ((3 * num - den) * n // den - 3) // 2)  # the second is at most tau - e - 1; both grow with n
+    return 1 << max(0, most.bit_length() - 1)
 
 
 def _classes(n: int, num: int, den: int) -> set[int]:
     """The class counts used by sets that a set of n tokens can link to."""
     low, high = -(-num * n // den), den * n // num
-    return {1 << max(0, (size // 256).bit_length() - 1) for size in (low, n, high)}
+    a, b = _class_count(low, num, den), _class_count(high, num, den)
+    return {1 << i for i in range(min(a, b).bit_length() - 1, max(a, b).bit_length())}
 
 
 def signatures(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,27 +130,40 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> tupl
             _, first = np.unique(kind, return_index=True)
             gain = np.ones(len(often), np.int64)
             gain[first] = 0
-            reach = np.cumsum(gain)
-            stop = int(np.searchsorted(reach, need - len(rare))) + 1
+            stop = int(np.searchsorted(np.cumsum(gain), need - len(rare))) + 1
             part, kind = often[:stop], kind[:stop]
-            for c in np.unique(kind):
-                mine = np.sort(part[kind == c])
-                a, b = np.triu_indices(len(mine), 1)
-                pairs.append(mix(mine[a] * _PAIR + mine[b]))
+            order = np.lexsort((part, kind))
+            part, kind = part[order], kind[order]
+            for gap in range(1, len(part)):  # pairs of tokens that stand ``gap`` apart in one class
+                same = kind[gap:] == kind[:-gap]
+                if not same.any():
+                    break
+                pairs.append(mix(part[:-gap][same] * _PAIR + part[gap:][same]))
     return mix(rare[:need] ^ _SINGLE), np.unique(np.concatenate(pairs))
 
 
-def only_slots(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key is in ``wanted`` and few others: two broadcast filters of at most SLOTS numbers each, by independent hashes."""
+def in_slots(rows: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows with a column ``in_slots``: true for those whose key is in ``wanted`` and for few others.
+
+    Two broadcast bitmaps of SLOTS bits, by independent hashes, say so; they are aggregated on executors and never larger, whatever ``wanted`` holds.
+    """
+    hit = F.lit(True)
     for seed in (1, 2):
-        slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(SLOTS))
-        slots = wanted.select(slot.alias("slot")).distinct()
-        rows = rows.join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
-    return rows
+        slot = F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), F.lit(SLOTS))
+        place, bit, map_, of = (f"__{x}{seed}" for x in ("place", "bit", "map", "of"))
+        maps = wanted.select(F.shiftright(slot, 15).alias(of), F.pmod(slot, F.lit(1 << 15)).alias("at")).groupBy(of).agg(F.bitmap_construct_agg("at").alias(map_))
+        rows = rows.withColumns({place: F.shiftright(slot, 15), bit: F.pmod(slot, F.lit(1 << 15))}).join(F.broadcast(maps), F.col(place) == F.col(of), "left")
+        hit = hit & F.coalesce(F.expr(f"shiftright(cast(conv(hex(substring(`{map_}`, cast(`{bit}` div 8 + 1 as int), 1)), 16, 10) as int), cast(`{bit}` % 8 as int)) & 1") == 1, F.lit(False))
+    return rows.withColumn("in_slots", hit).drop(*[f"__{x}{seed}" for x in ("place", "bit", "map", "of") for seed in (1, 2)])
+
+
+def only_slots(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in ``wanted`` and few others; see ``in_slots``."""
+    return in_slots(rows, [key], wanted).where("in_slots").drop("in_slots")
 
 
 def _sketch(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per document its node, set size and the smallest tokens by hash; per batch a row of tokens counted twice or more."""
+    """Per document (key, text, mark) its node, set size and the smallest tokens by hash; per batch a row of tokens counted twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -141,7 +177,7 @@ def _sketch(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
             blob = tokens[edge[keep]].astype("<u8").tobytes() + np.minimum(count[keep], 0x7FFFFFFF).astype("<i4").tobytes()
             held.clear()
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], names=["key", "node", "size", "blob"])
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64())], names=["key", "node", "size", "blob", "mark"])
 
         total = 0
         for batch in slices(batches):
@@ -155,14 +191,14 @@ def _sketch(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     seen.add(node[i])
                     held.append(mine)
                     total += n
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(sizes.astype(np.int32)), pa.array(blobs, pa.binary())], names=["key", "node", "size", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(sizes.astype(np.int32)), pa.array(blobs, pa.binary()), batch.column(2)], names=["key", "node", "size", "blob", "mark"])
             if total > 2_000_000:
                 yield counted()
                 total = 0
         if held:
             yield counted()
 
-    return documents.mapInArrow(run, "key long, node long, size int, blob binary")
+    return documents.mapInArrow(run, "key long, node long, size int, blob binary, mark long")
 
 
 def frequent_tokens(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -197,22 +233,26 @@ def _rank(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndar
     return np.where(frequent[at] == tokens, rank[at], 0)
 
 
-def _signature_rows(parts: list[tuple[np.ndarray, np.ndarray]], nodes: list[int], leasts: list[int]) -> pa.RecordBatch:
-    """Rows (sig, node, least): least is 0 for a pair of frequent tokens."""
-    flat = [x for part in parts for x in part]
-    sizes = [len(x) for x in flat]
-    sig = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-    least = np.array([x for n in leasts for x in (n, 0)], np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.repeat(np.array(nodes, np.int64), 2), sizes)), pa.array(np.repeat(least, sizes))], names=["sig", "node", "least"])
+def _signature_rows(parts: list[np.ndarray], nodes: list[int], pair: list[bool] | None = None) -> pa.RecordBatch:
+    """Rows (sig, node) of the signatures of each node, with ``pair`` a third column."""
+    sig = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    sizes = [len(x) for x in parts]
+    columns = {"sig": sig.view(np.int64), "node": np.repeat(np.array(nodes, np.int64), sizes)}
+    if pair is not None:
+        columns["pair"] = np.repeat(np.array(pair, bool), sizes)
+    return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in columns.items()})
+
 
+def all_signatures(documents: DataFrame, sketch: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, node) of every set, single tokens and pairs apart: from the sketch where its rare tokens fill the prefix, else from the text again.
 
-def all_signatures(documents: DataFrame, sketch: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sig, node, least) of every set: from the sketch where its rare tokens fill the prefix, else from the text again."""
+    Equal sets of one task are taken once.
+    """
     tokens, ranks = frequent_tokens(sketch)
     shared = documents.sparkSession.sparkContext.broadcast((tokens, ranks))
 
-    def filled(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray | None]]:
-        """(key, node, size, the prefix or None if the sketch doesn't hold it)."""
+    def filled(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[int, int, np.ndarray | None]]:
+        """(key, node, the prefix or None if the sketch doesn't hold it)."""
         frequent, rank = shared.value
         columns = [c.to_pylist() for c in batch.columns]
         blob = b"".join(columns[3])
@@ -221,20 +261,25 @@ def all_signatures(documents: DataFrame, sketch: DataFrame, k: int, num: int, de
         at = 0
         for key, node, size, data in zip(*columns, strict=True):
             stop = at + len(data) // 6
-            mine = every[at:stop][rare[at:stop]]
-            need = _needed(size, num, den) + _extra(size, num, den)
-            yield key, node, size, mine[:need] if len(mine) >= need else None
+            if node not in seen:
+                mine = every[at:stop][rare[at:stop]]
+                need = _needed(size, num, den) + _extra(size, num, den)
+                yield key, node, mine[:need] if len(mine) >= need else None
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(node)
             at = stop
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches):
-            found = [(node, size, prefix) for _, node, size, prefix in filled(batch) if prefix is not None]
-            none = np.zeros(0, np.uint64)
-            yield _signature_rows([(mix(p ^ _SINGLE), none) for _, _, p in found], [x[0] for x in found], [_least(x[1], num, den) for x in found])
+            found = [(node, prefix) for _, node, prefix in filled(batch, seen) if prefix is not None]
+            yield _signature_rows([mix(p ^ _SINGLE) for _, p in found], [x for x, _ in found])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches):
-            found = [(key, node) for key, node, _, prefix in filled(batch) if prefix is None]
+            found = [(key, node) for key, node, prefix in filled(batch, seen) if prefix is None]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["key", "node"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,56 +287,157 @@ def all_signatures(documents: DataFrame, sketch: DataFrame, k: int, num: int, de
         for batch in slices(batches):
             values, begin, node = token_sets(batch.column(1), k)
             which = _rank(values, frequent, rank)
-            parts, leasts = [], []
-            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                parts.append(signatures(values[a:b], which[a:b], num, den))
-                full = (which[a:b] == 0).sum() >= _needed(b - a, num, den) + _extra(b - a, num, den)
-                leasts.append(_least(b - a, num, den) if full else 1)
-            yield _signature_rows(parts, node.tolist(), leasts)
-
-    sets = sketch.where("size > 1")
+            parts = [x for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True) for x in signatures(values[a:b], which[a:b], num, den)]
+            yield _signature_rows(parts, np.repeat(node, 2).tolist(), [False, True] * len(node))
+
+    sets = sketch.where("size > 1").drop("mark")
     # One document stands for all equal sets; several rows of one key and set would only repeat themselves.
     again = materialise(sets.mapInArrow(short, "key long, node long").groupBy("node").agg(F.min("key").alias("key")).select("key"), "again")
-    heavy = only_slots(documents, "key", again).mapInArrow(whole, "sig long, node long, least int")
-    return sets.mapInArrow(light, "sig long, node long, least int").unionByName(heavy)
-
-
-def shared_signatures(rows: DataFrame) -> DataFrame:
-    """The distinct (sig, node, least) whose sig two nodes or more have.
-
-    Single rare tokens, the bulk, have small buckets: they are dealt out by sig and told apart in sorted order, in a stream.  Pairs of frequent
-    tokens can have huge buckets: they are counted by partial aggregation and joined, so a large bucket can be split.
+    heavy = materialise(only_slots(documents, "key", again).select("key", "text").mapInArrow(whole, "sig long, node long, pair boolean"), "heavy")
+    discard(again)
+    singles = sets.mapInArrow(light, "sig long, node long").unionByName(heavy.where("not pair").drop("pair"))
+    return singles, heavy.where("pair").drop("pair")
+
+
+BUCKET_ROWS = 400_000
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns of sorted rows in portions of about ``rows`` that end where a run of equal values of ``column`` ends; true if the portion
+    is a part of one run that is longer than that."""
+    held: list[list[np.ndarray]] = []
+    count, going = 0, None
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        count += batch.num_rows
+        if count < rows:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        by = whole[column]
+        last = int(np.searchsorted(by, by[-1]))
+        if last:
+            if going is not None and by[0] == going:
+                stop = int(np.searchsorted(by, going, side="right"))
+                yield [c[:stop] for c in whole], True
+                whole, last = [c[stop:] for c in whole], last - stop
+            if last > 0:
+                yield [c[:last] for c in whole], False
+            held, count, going = [[c[max(last, 0) :] for c in whole]], count, None
+            count = len(held[0][0])
+        else:
+            going = by[0]
+            yield whole, True
+            held, count = [], 0
+    if held and count:
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        if going is not None and whole[column][0] == going:
+            stop = int(np.searchsorted(whole[column], going, side="right"))
+            yield [c[:stop] for c in whole], True
+            whole = [c[stop:] for c in whole]
+        if len(whole[0]):
+            yield whole, False
+    give_back()
+
+
+def shared(rows: DataFrame, seed: int) -> DataFrame:
+    """(sig, node, weight, others) of rows (sig, node, weight): the buckets of two nodes or more, those with equal members merged.
+
+    Buckets are dealt out by sig and told apart in sorted order, in a stream; a task packs each bucket's
+    nodes into one value and merges equal ones before anything is shuffled again.  A bucket of more than ``BUCKET_ROWS`` rows goes on in parts under its own sig.
+    ``others`` says in which of 64 cells, by the node's hash with ``seed``, the bucket has another node.
     """
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            held = part if held is None else pa.concat_tables([held, part])
-            sig = held["sig"].to_numpy()
-            if sig[0] == sig[-1] and len(sig) < 1_000_000:
-                continue
-            last = int(np.searchsorted(sig, sig[-1])) if sig[0] != sig[-1] else len(sig) - 1
-            yield from some(held.slice(0, last + (sig[0] == sig[-1])), sig[0] == sig[-1])
-            held = held.slice(last)
-        if held is not None:
-            yield from some(held, False)
-
-    def some(rows: pa.Table, whole: bool) -> list[pa.RecordBatch]:
-        """Rows of buckets with several nodes; ``whole``: one bucket, of which more follows."""
-        sig, node = rows["sig"].to_numpy(), rows["node"].to_numpy()
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (sig, node, weight), part in _groups(batches, 0, BUCKET_ROWS):
+            yield packed(sig, node, weight, part)
+
+    def packed(sig: np.ndarray, node: np.ndarray, weight: np.ndarray, part: bool) -> pa.RecordBatch:
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node, weight = sig[new], node[new], weight[new]
         edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.add.reduceat(new.astype(np.int64), edge)
         size = np.diff(np.append(edge, len(sig)))
-        keep = new & np.repeat((count > 1) | whole, size)
-        return rows.filter(pa.array(keep)).combine_chunks().to_batches()
+        keep = (size > 1) | part
+        one, two = (np.add.reduceat(mix(node.view(np.uint64) ^ x), edge) for x in (_SINGLE, _PAIR))
+        edge, size, one, two = edge[keep], size[keep], one[keep], two[keep]
+        order = np.lexsort((size, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([np.diff(x[order].view(np.int64)) != 0 for x in (one, two, size)], axis=0)
+        starts = np.flatnonzero(new)
+        pick = order[starts]
+        weights = np.add.reduceat(weight[edge][order], starts) if len(starts) else np.zeros(0, np.int64)
+        data = [node[a : a + n].tobytes() for a, n in zip(edge[pick].tolist(), size[pick].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(sig[edge[pick]], mask=np.full(len(pick), not part)), pa.array(data, pa.binary()), pa.array(weights.astype(np.int64))], names=["sig", "nodes", "weight"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes = batch.column(1).to_pylist()
+            sizes = np.array([len(x) // 8 for x in nodes])
+            node, bucket = np.frombuffer(b"".join(nodes), np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            cell = mix(node.view(np.uint64) ^ np.uint64(seed)) & np.uint64(63)
+            place = bucket.astype(np.uint64) * np.uint64(64) + cell
+            found, at, count = np.unique(place, return_inverse=True, return_counts=True)
+            bits = np.uint64(1) << (found & np.uint64(63))
+            every = np.bitwise_or.reduceat(bits, np.searchsorted(found >> np.uint64(6), np.arange(len(sizes)).astype(np.uint64)))
+            others = every[bucket] ^ np.where(count[at] > 1, np.uint64(0), np.uint64(1) << cell)
+            others[batch.column(3).to_numpy(zero_copy_only=False)[bucket]] = ~np.uint64(0)  # a part of a bucket: the rest is unknown
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(node), pa.array(np.repeat(batch.column(2).to_numpy(), sizes)), pa.array(others.view(np.int64))], names=["sig", "node", "weight", "others"])
+
+    buckets = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(packs, "sig long, nodes binary, weight long")
+    merged = buckets.groupBy("sig", "nodes").agg(F.sum("weight").alias("weight"))
+    # Two buckets that fell on one number would only be searched together.
+    merged = merged.select(F.coalesce("sig", F.xxhash64("nodes")).alias("sig"), "nodes", "weight", F.col("sig").isNotNull().alias("part"))
+    return merged.mapInArrow(spread, "sig long, node long, weight long, others long")
+
+
+def linkable(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, node, weight) of the nodes whose buckets weigh enough for a link with nodes of one cell: what a node has in common with many others, a little with each, is spread over the cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (sig, node, weight, others, first), part in _groups(batches, 1, BUCKET_ROWS // 4):
+            if part:  # more signatures than a portion has rows: it stays
+                yield rows_of(sig[~first], node[~first], weight[~first])
+                continue
+            edge = np.flatnonzero(first)  # a node's first row has its size
+            need = np.array([_least_of(n, num, den) for n in sig[edge].tolist()])
+            bits = np.unpackbits(others.view(np.uint8).reshape(-1, 8), axis=1)
+            held = np.add.reduceat(bits * np.minimum(weight, 1 << 20).astype(np.int32)[:, None], edge, axis=0, dtype=np.int64).max(1) if len(edge) else np.zeros(0)
+            keep = np.repeat(held >= need, np.diff(np.append(edge, len(sig)))) & ~first
+            yield rows_of(sig[keep], node[keep], weight[keep])
 
-    singles = rows.where("least > 0").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(several, "sig long, node long, least int")
-    pairs = materialise(rows.where("least = 0").select("sig", "node").distinct(), "pairs")
-    live = pairs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig")
-    return singles.unionByName(pairs.join(live, "sig").withColumn("least", F.lit(0)))
+    def rows_of(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "node", "weight"])
+
+    sizes = nodes.select(F.col("size").cast("long").alias("sig"), "node", F.lit(0).cast("long").alias("weight"), F.lit(0).cast("long").alias("others"), F.lit(True).alias("first"))
+    both = rows.withColumn("first", F.lit(False)).unionByName(sizes)
+    return both.repartition("node").sortWithinPartitions("node", F.desc("first")).mapInArrow(run, "sig long, node long, weight long")
+
+
+def shared_pairs(rows: DataFrame) -> DataFrame:
+    """(sig, node, weight, others): the buckets of two nodes or more of pairs of frequent tokens, those with equal members merged.
+
+    They can be huge, so they are counted by partial aggregation and joined: a large bucket can be split.
+    """
+    pairs = materialise(rows.distinct(), "pairs")
+    by_sig = pairs.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    kept = materialise(by_sig.groupBy("n", "x", "y", "a", "b").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight"), "kept")
+    return pairs.join(kept, "sig").withColumn("others", F.lit(-1).cast("long"))
+
+
+def candidates(documents: DataFrame, sketch: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sig, node, weight) of the nodes whose buckets weigh enough for a link, and of the buckets that two such nodes or more have."""
+    spark = documents.sparkSession
+    singles, pairs = all_signatures(documents, sketch, k, num, den)
+    found = materialise(shared(singles.withColumn("weight", F.lit(1).cast("long")), 0).unionByName(shared_pairs(pairs)), "found")
+    del singles, pairs
+    release(spark)
+    for seed in (1, 2):  # with fewer nodes the buckets weigh less, and other cells tell others apart
+        left = materialise(linkable(found, nodes, num, den), "left")
+        discard(found)
+        found = materialise(shared(left, seed), "found")
+        discard(left)
+        release(spark)
+    return found.drop("others")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -358,19 +504,6 @@ def links(sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> np
     return out
 
 
-def possible(sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which pairs may link, from the smallest tokens of each set: a token below the end of the other's sketch that is not in it is not in the set."""
-    shared = shared_counts(sketches)
-    whole = np.iinfo(np.uint64).max
-    end = np.array([s[-1] if len(s) < n else whole for s, n in zip(sketches, sizes.tolist(), strict=True)], np.uint64)
-    missing = np.stack([np.searchsorted(s, end, side="right") for s in sketches]) - shared
-    both = sizes[:, None] + sizes[None, :]
-    spare = sizes[:, None] - -(-num * both // (num + den))
-    out = (missing <= spare) & (missing.T <= spare.T)
-    np.fill_diagonal(out, False)
-    return out
-
-
 def components(adjacent: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each."""
     label = np.arange(len(adjacent))
@@ -382,26 +515,8 @@ def components(adjacent: np.ndarray) -> np.ndarray:
         label = best
 
 
-def _promising(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """(one, two, node, block) of the nodes that may link to another in their tile."""
-
-    def run(group: pa.Table) -> pa.Table:
-        one, two = group["one"][0].as_py(), group["two"][0].as_py()
-        node, where = np.unique(group["node"].to_numpy(), return_index=True)
-        block, sizes = group["block"].to_numpy()[where], group["size"].to_numpy()[where].astype(np.int64)
-        may = possible(sizes, [_unpack(group["blob"][int(i)].as_py()) for i in where], num, den)
-        if one != two:
-            may &= block[:, None] != block[None, :]
-        found = may.any(1)
-        del may
-        give_back()
-        return pa.table({"one": pa.array([one] * int(found.sum()), pa.int64()), "two": pa.array([two] * int(found.sum()), pa.int64()), "node": node[found], "block": block[found]})
-
-    return tiles.groupBy("one", "two").applyInArrow(run, "one long, two long, node long, block long")
-
-
-def _verify(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root, degree) per tile: root is the smallest node of the node's component in the tile, degree its links counted in copies."""
+def _verify(tiles: DataFrame, sizes: DataFrame, blobs: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root, degree) per tile of rows (one, two, node, block): root is the smallest node of the node's component in the tile, degree its links counted in copies."""
 
     def run(group: pa.Table) -> pa.Table:
         one, two = group["one"][0].as_py(), group["two"][0].as_py()
@@ -416,7 +531,8 @@ def _verify(tiles: DataFrame, num: int, den: int) -> DataFrame:
         root, degree = node[components(adjacent)], adjacent @ copies
         return pa.table({"node": node[found], "root": root[found], "degree": degree[found]})
 
-    return tiles.groupBy("one", "two").applyInArrow(run, "node long, root long, degree long")
+    wanted = only_slots(blobs, "node", tiles)
+    return tiles.join(sizes.select("node", "copies"), "node").join(wanted, "node").groupBy("one", "two").applyInArrow(run, "node long, root long, degree long")
 
 
 def spread_labels(edges: DataFrame) -> DataFrame:
@@ -437,72 +553,125 @@ def spread_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: the key, ``n_shingles``, ``component_id`` and ``n_links`` (documents linked to it, copies counted).
+LARGE = 256
+
+
+def _laid(found: DataFrame) -> DataFrame:
+    """(sig, node, weight, block): the candidates in blocks of neighbours.
+
+    Each node follows the smallest node of the bucket that counts most (weight times members), and that one's, three times over.
+    """
+    bucket = found.groupBy("sig").agg(F.min("node").alias("group"), F.count("*").alias("n"))
+    best = F.max(F.struct((F.col("weight") * F.col("n")).alias("much"), "group"))
+    lead = materialise(found.join(bucket, "sig").groupBy("node").agg(best.alias("best")).select("node", F.col("best.group").alias("group")), "lead")
+    next_ = lead.select(F.col("node").alias("group"), F.col("group").alias("far"))
+    group = lead
+    for _ in range(3):
+        group = group.join(next_, "group").select("node", F.col("far").alias("group"))
+    block = materialise(_blocks(group), "blocks")
+    out = materialise(found.join(block, "node"), "laid")
+    for done in (lead, block):
+        discard(done)
+    return out
+
 
-    Two documents link when 100 * shared >= percent * union over their distinct k-word shingles.
+def _own(laid: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The tiles of blocks with themselves: the nodes whose buckets in common with others of their block weigh enough for a link."""
+    several = laid.groupBy("sig", "block").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("sig", "block")
+    held = laid.join(several, ["sig", "block"]).groupBy("node", "block").agg(F.sum("weight").alias("held")).join(sizes.select("node", "size"), "node")
+    return held.where(F.col("held") >= _least("size", num, den)).select(F.col("block").alias("one"), F.col("block").alias("two"), "node", "block")
+
+
+def _between(laid: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The tiles of two blocks with a common bucket: the nodes whose buckets in common with the other block, as far as that has members of a ``class`` other
+    than the node's, weigh enough for a link."""
+    spans = laid.groupBy("sig").agg(F.min("block").alias("a"), F.max("block").alias("b"), F.min("class").alias("c"), F.max("class").alias("d")).where("a <> b and c <> d").select("sig")
+    wide = laid.join(spans, "sig")
+    enough = wide.groupBy("node").agg(F.sum("weight").alias("held")).join(sizes.select("node", "size"), "node").withColumn("least", _least("size", num, den)).where("held >= least").select("node", "least")
+    wide = materialise(wide.join(enough, "node"), "wide")
+    there = wide.groupBy("sig", "block").agg(F.min("class").alias("low"), F.max("class").alias("high")).select("sig", F.col("block").alias("other"), "low", "high")
+    met = wide.join(there, "sig").where("block <> other and (low <> class or high <> class)")
+    members = met.groupBy("node", "block", "other").agg(F.sum("weight").alias("held"), F.max("least").alias("least")).where("held >= least")
+    return members.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block")
+
+
+def _heads(laid: DataFrame) -> DataFrame:
+    """Tiles of the first and last members of large components in the buckets that several of them have, up to ``BLOCK`` at a time."""
+    large = laid.select("node", "class").distinct().groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("class")
+    ends = laid.join(large, "class").groupBy("sig", "class").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    by_sig = ends.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("n > 1")
+    kept = by_sig.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
+    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") * 2 / BLOCK))
+    nodes = ends.join(kept, "sig").select("sig", part.alias("part"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.select(F.col("sig").alias("one"), F.col("part").alias("two"), "node", F.col("node").alias("block"))
+
+
+def _classed(laid: DataFrame, labels: DataFrame) -> DataFrame:
+    """``laid`` with each node's ``class``: its label, or the node itself."""
+    return laid.join(labels.withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
+def _edges(laid: DataFrame, blobs: DataFrame, sizes: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """(node, root, degree): edges that connect each component, and each node's links if ``every`` pair is compared."""
+    found = materialise(_verify(materialise(_own(laid, sizes, num, den), "tiles"), sizes, blobs, num, den), "edges")
+    release(laid.sparkSession)
+    rounds = [found]
+    if not every:
+        for tiles in (_heads, lambda rows: _between(rows, sizes, num, den)):
+            labels = spread_labels(found.where("node <> root"))
+            classed = materialise(_classed(laid, labels), "classed")
+            rounds.append(materialise(_verify(materialise(tiles(classed), "tiles"), sizes, blobs, num, den), "edges"))
+            for done in (labels, classed):
+                discard(done)
+            release(laid.sparkSession)
+            found = found.unionByName(rounds[-1])
+        return found
+    tiles = materialise(_between(laid.withColumn("class", F.col("node")), sizes, num, den), "tiles")
+    return found.unionByName(materialise(_verify(tiles, sizes, blobs, num, den), "edges"))
+
+
+def near_components(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", links: bool = True, mark: Column | None = None) -> DataFrame:
+    """Per document: the key, ``n_shingles``, ``component_id`` and, with ``links``, ``n_links`` (documents linked to it, copies counted).
+
+    Two documents link when 100 * shared >= percent * union over their distinct k-word shingles.  With ``mark``, a long, the rows have it as
+    ``mark`` and the component's own number as ``class`` (null without words): for tables in which a key may occur twice.
     """
     if not 51 <= percent <= 100:
         raise ValueError("percent must be from 51 to 100")
     num, den, spark = percent, 100, documents.sparkSession
-    documents = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    documents = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
     sketch = materialise(_sketch(documents, k, num, den), "sketch")
-    sets = sketch.where("size >= 0").select("key", "node", "size")
-    found = materialise(shared_signatures(all_signatures(documents, sketch, k, num, den)), "candidates")
-    release(spark)
-    candidates = found
-    mine = W.partitionBy("node")  # a node has as many rows as signatures
-    found = found.withColumns({"n": F.count_if(F.col("least") > 0).over(mine), "need": F.max("least").over(mine), "pairs": F.count_if(F.col("least") == 0).over(mine)}).where("n >= need or pairs > 0")
-    chosen = materialise(found.select("sig", "node", "least"), "chosen")
-    discard(candidates)
+    sets = sketch.where("size >= 0").select("key", "node", "size", "mark")
+    nodes = materialise(sets.where("size > 0").groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("size").alias("size")), "nodes")
+    laid = _laid(candidates(documents, sketch, nodes, k, num, den))
     release(spark)
-    # Signatures of the same nodes say the same: one of them stays, with their number as its weight.
-    by_sig = chosen.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("group"), F.max("node").alias("last"), (F.max("least") > 0).alias("rare")).where("group <> last")
-    kept = by_sig.groupBy("n", "x", "y", "group", "rare").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "group", "rare", "weight")
-    placed = materialise(chosen.join(kept, "sig"), "kept")
-    block = materialise(_blocks(placed.groupBy("node").agg(F.min("group").alias("group"))), "blocks")
-    placed = materialise(placed.select("sig", "node", "least", "rare", "weight").join(block, "node"), "placed")
-    discard(chosen)
-    release(spark)
-    places = placed.groupBy("sig", "block").agg(F.count("*").alias("n"))
-    other = places.select("sig", F.col("block").alias("two"))
-    borders = places.select("sig", F.col("block").alias("one"), "n").join(other, "sig").where("one < two or one = two and n > 1").select("sig", "one", "two")
-    inside = borders.join(placed, "sig").where((F.col("block") == F.col("one")) | (F.col("block") == F.col("two")))
-    # A node links to another in a tile only if the tile's two blocks share enough of its signatures.
-    weighed = inside.groupBy("one", "two", "node", "block").agg(F.sum(F.when(F.col("rare"), F.col("weight")).otherwise(0)).alias("held"), F.max("least").alias("least"), F.bool_or(~F.col("rare")).alias("pair"))
-    tiles = materialise(weighed.where("held >= least or pair").select("one", "two", "node", "block"), "tiles")
-    stands = block.select("node").join(sets.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "node")
-    stands = materialise(stands, "stands")
+    stands = materialise(nodes.join(laid.select("node").distinct(), "node"), "stands")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values, begin, node = token_sets(batch.column(1), k)
+            values, begin, node = token_sets(batch.column(0), k)
             blobs = [_pack(values[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(blobs, pa.binary())], names=["key", "node", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(blobs, pa.binary())], names=["node", "blob"])
 
-    small = only_slots(sketch.where("size > 1"), "key", stands).join(stands, ["node", "key"]).select("node", "size", "blob")
-    members = materialise(_promising(tiles.join(small, "node"), num, den), "members")
-    release(spark)
-    stands = stands.join(members.select("node").distinct(), "node")
-    blobs = only_slots(documents, "key", stands).mapInArrow(tokens, "key long, node long, blob binary")
-    blobs = blobs.join(stands, ["node", "key"]).select("node", "copies", "blob")
-    edges = materialise(_verify(members.join(blobs, "node"), num, den), "edges")
+    # A text too many, or twice, does no harm: tiles name the nodes they want.
+    blobs = materialise(only_slots(documents, "key", stands).select("text").mapInArrow(tokens, "node long, blob binary"), "blobs")
+    edges = _edges(laid, blobs, stands.select("node", "size", "copies"), num, den, links)
+    discard(blobs)
     labels = spread_labels(edges.where("node <> root"))
     degrees = edges.groupBy("node").agg(F.sum("degree").alias("degree"))
-    tagged = sets.join(labels, "node", "left").join(degrees, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    heads = tagged.where("size > 0").groupBy("class", "node").agg(F.min("key").alias("head"), F.count("*").alias("copies"))
-    heads = materialise(heads, "heads")
-    lowest = heads.groupBy("class").agg(F.min("head").alias("component_id"))
-    per_node = materialise(heads.join(lowest, "class").select("node", "component_id", "copies"), "classes")
-    result = tagged.join(per_node, "node", "left")
-    empty = F.col("size") == 0
-    result = materialise(result.select(
+    tagged = materialise(_classed(nodes, labels).join(degrees, "node", "left"), "tagged")
+    lowest = materialise(tagged.groupBy("class").agg(F.min("key").alias("component_id")), "lowest")  # a table of its own: a join with it can split a large class
+    n_links = (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")
+    per_node = materialise(tagged.join(lowest, "class").select("node", "class", "component_id", n_links), "classes")
+    result = sets.join(per_node, "node", "left").select(
         F.col("key").alias(key),
         F.col("size").cast("long").alias("n_shingles"),
-        F.when(empty, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(empty, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).cast("long").alias("n_links"),
-    ), "components")
-    for done in (sketch, placed, block, tiles, members, stands, edges, labels, heads, per_node):
+        F.when(F.col("size") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
+        *[F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] * links,
+        *["mark", "class"] * (mark is not None),
+    )
+    result = materialise(result, "components")
+    for done in (sketch, nodes, laid, stands, labels, tagged, lowest, per_node):
         discard(done)
     release(spark)
     return result
