@@ -19,6 +19,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .batches import slices
 from .boost import Boost
 from .dom import Node, parse
 
-TRAIN_PAGES = 800
+TRAIN_PAGES = 1200
 LONG_NODES = 60  # about so many nodes of a long page train
 LONG_EVERY = 20  # for so many generated pages there is a long flat one
 SEED = 20240501
@@ -130,6 +131,13 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             node.depth, i / max(1, len(siblings)), log(len(siblings)), same / len(siblings), start[id(node)] / total, (start[id(node)] + length) / total, length / total, length / ps[0] if ps[0] else 1.0,
             log(before[0]) if before else -1, before[1] / before[0] if before and before[0] else -1, log(after[0]) if after else -1, after[1] / after[0] if after and after[0] else -1, ps[1] / ps[0] if ps[0] else 0, log(ps[0] / max(1, ps[4])), kind, _KIND.get(parent.tag, 3) if parent is not None else -1,
         ]
+        upper = parent.parent if parent is not None else None
+        if upper is None:
+            base += [-1.0] * 7
+        else:  # where the parent stands among its own siblings
+            gs, among, j = stats[id(upper)], upper.children, spot[id(parent)]
+            last, next_ = stats[id(among[j - 1])] if j else None, stats[id(among[j + 1])] if j + 1 < len(among) else None
+            base += [log(gs[0]), gs[1] / gs[0], log(len(among)), kin[id(upper)][parent.tag] / len(among), j / len(among), log(last[0]) if last else -1, log(next_[0]) if next_ else -1]
         own = [0.0] * _N
         for m in mine:
             own[m] = 1.0
@@ -195,6 +203,14 @@ class Generator:
         token += self.r.choice(("", "", "", "-1", "-wrap", "-box", " " + neutral))
         return f' {self.r.choice(("class", "class", "class", "id"))}="{token}"'
 
+    def neutral(self) -> str:
+        """No name at all, or one that says nothing."""
+        r = self.r
+        if r.random() < 0.35:
+            return ""
+        name = r.choice(("box", "row", "col-8", "wrap", "container", "block", "module", "c", "grid", "inner", "section-", "x", "s", "css-", "layer", "pane", "d", "el-", "g"))
+        return f' {r.choice(("class", "class", "id"))}="{name}{r.choice(("", r.randint(1, 99)))}"'
+
     def element(self, semantic: str, body: str, *meaning: str) -> str:
         """The semantic element, or a div that must be told by its name."""
         if self.r.random() < 0.5:
@@ -249,20 +265,21 @@ class Generator:
                 shown = " ".join(words)
             return block("p", text, shown, r.random() > 0.15)
 
-        inner = [block("h1", self.words(1 if long else 3, 5 if long else 12, 0.03))] if r.random() < 0.9 else []
-        for _ in range(r.randint(50, 160) if long else r.choice((1, 1, 2, 3, 4, 6, 9, 14))):
-            x = r.random()
+        inner = [block("h1", self.words(1 if long else 3, 5 if long else 12, r.choice((0, 0, 0.03))))] if r.random() < 0.9 else []
+        plain = r.choice((0.78, 1, 1))  # some pages are nothing but paragraphs
+        for _ in range(r.randint(50, 200) if long else r.choice((1, 1, 2, 3, 4, 6, 9, 14, 25))):
+            x = r.random() * plain
             if x < 0.78:
                 inner.append(paragraph())
             elif x < 0.86:
-                inner.append(block(r.choice(("h2", "h3")), self.words(2, 8, 0.02)))
+                inner.append(block(r.choice(("h2", "h3")), self.words(2, 8, r.choice((0, 0, 0.02)))))
             elif x < 0.92:
                 inner.append("<ul>" + "".join(block("li", self.words(2, 20), None, r.random() > 0.3) for _ in range(r.randint(2, 6))) + "</ul>")
             elif x < 0.95:
                 inner.append("<blockquote>" + paragraph() + "</blockquote>")
             else:
                 inner.append("<table><tr>" + "".join(block("td", self.words(1, 4, 0)) for _ in range(r.randint(2, 4))) + "</tr></table>")
-            if r.random() < 0.1:
+            if r.random() < 0.1 and plain == 1:
                 inner.append(self.junk(r.choice(("advert", "share", "side", "notice", "form"))))
         body = "".join(inner)
         if long and r.random() < 0.5:  # comments as siblings of the main blocks
@@ -271,7 +288,10 @@ class Generator:
         elif r.random() < 0.15:
             body += self.junk("comment")
         x = r.random()
-        if x < 0.55:
+        if r.random() < 0.45:  # nothing but its content tells the container
+            for _ in range(r.choice((1, 1, 2, 3))):
+                body = f"<{(t := r.choice(('div', 'div', 'div', 'section', 'main')))}{self.neutral()}>{body}</{t}>"
+        elif x < 0.55:
             body = f"<article{self.names('content') if r.random() < 0.4 else ''}>{body}</article>"
         elif x < 0.7:
             body = f"<main><div{self.names('content')}>{body}</div></main>"
@@ -288,8 +308,9 @@ class Generator:
         return page, main
 
 
+@cache
 def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> bytes:
-    """A pickled model trained on generated pages and, for every ``LONG_EVERY`` of them, a long flat one more; the same for the same arguments."""
+    """Once per session, a pickled model trained on generated pages and, for every ``LONG_EVERY`` of them, a long flat one more; the same for the same arguments."""
     make, flat, xs, ys = Generator(seed), Generator(seed + 1), [], []
     for i in range(pages + pages // LONG_EVERY):
         page, main = make.page() if i < pages else flat.page(long=True)
