@@ -1,13 +1,14 @@
 """I-Match fingerprints over several randomised lexicon subsets.
 
-The lexicon holds the terms (words cut at white space and ASCII punctuation, A-Z lower-cased) whose document frequency lies in a band:
-at most ``MOST_SHARE`` of all documents (an inverse document frequency of at least ln 5), and at least the smallest power of two, 2 or more,
-for which no more than ``LEXICON_MOST`` terms remain.  Frequencies count every document; the list that is broadcast is bounded by that rule.
+The lexicon holds the terms (words cut at white space and ASCII punctuation, A-Z lower-cased) whose document frequency lies in a band given by
+parameters: at least ``LEAST_DOCUMENTS`` documents, and at most ``MOST_SHARE`` of all (an inverse document frequency of at least ln 5).  Frequencies count
+every document.  What is broadcast is a Bloom filter of ``filters.BITS`` bits over the lexicon, the same size whatever the corpus: a term of the band always
+passes, one outside with odds of (1 - exp(-2 n / BITS))**2 for a lexicon of n terms (under one in a thousand up to 4 million).
 
-A document keeps its distinct lexicon terms in sorted order.  The randomised subsets are cells: level by level a hash keeps one term in
-``LEVELS[i]`` and deals the kept ones to ``CELLS`` cells, so each cell is a random subset of the lexicon.  A cell's signature is the hash of the
-document's terms in it, folded to one byte, 0 where there are none.  Levels with few terms per cell suit long texts, the others short ones.
-The likeness of two fingerprints is the largest share of equal signatures of any level, over its cells that either fills; equal fingerprints: 1.
+A document keeps its distinct lexicon terms in sorted order.  Of the lexicon, ``HALVES`` random subsets hold half of the terms each, and for each number in ``PARTS`` the
+lexicon is dealt at random to so many subsets more.  A signature is the hash of a document's sorted distinct terms of one subset, 0 where it has none.  Large subsets
+tell whether texts are all but equal; small ones survive larger edits.  The likeness of two fingerprints is the largest share of equal signatures of any size of
+subsets, over the subsets that either fills; equal fingerprints: 1.
 
 Defined results: null and empty texts have an all-zero fingerprint; equal texts have equal fingerprints; a text
 without any lexicon term uses all its terms instead.
@@ -24,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import discard, materialise
 from .batches import slices
+from .filters import bloom, hit
 from .words import Words, distinct, mix
 
 MOST_SHARE = 0.2
-LEXICON_MOST = 1 << 21
-LEVELS = (1, 2, 4, 8, 16)
-CELLS = 64
-SHARDS = 64
+LEAST_DOCUMENTS = 2
+HALVES = 8
+PARTS = (16, 64, 256)
 _ROOT = 0x9E3779B97F4A7C15
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,10 +44,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): in how many documents each hashed term occurs.
-
-    Each task sums before anything moves, and sends one sorted, compressed list per shard of the term space.
-    """
+    """(term, n): in how many documents each hashed term occurs; each task sums what it has read before anything moves."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, counts, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
@@ -59,13 +58,8 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
             waiting.clear()
             return every[edge], np.add.reduceat(weight, edge) if len(edge) else weight
 
-        def send() -> pa.RecordBatch:
-            cuts = np.searchsorted(terms, (np.arange(1, SHARDS, dtype=np.uint64)) << np.uint64(58))
-            blobs = []
-            for t, n in zip(np.split(terms, cuts), np.split(counts, cuts), strict=True):
-                planes = np.ascontiguousarray(np.diff(t, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes() + n.astype("<u4").tobytes()
-                blobs.append(zlib.compress(planes, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(SHARDS), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "n"])
 
         for batch in slices(batches):
             waiting.append(_terms(batch.column(0))[0])
@@ -73,68 +67,67 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
             if size > 4_000_000:
                 (terms, counts), size = settle(), 0
                 if len(terms) > 4_000_000:  # bounded memory whatever the partition's size
-                    yield send()
+                    yield rows()
                     terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         terms, counts = settle()
-        yield send()
-
-    def merge(group: pa.Table) -> pa.Table:
-        terms, counts = [], []
-        for blob in group["blob"]:
-            raw = zlib.decompress(blob.as_py())
-            n = len(raw) // 12
-            terms.append(np.cumsum(np.ascontiguousarray(np.frombuffer(raw[: 8 * n], np.uint8).reshape(8, n).T).reshape(-1).view("<u8"), dtype=np.uint64))
-            counts.append(np.frombuffer(raw[8 * n :], "<u4").astype(np.int64))
-        every, back = np.unique(np.concatenate(terms), return_inverse=True)
-        total = np.bincount(back, np.concatenate(counts), len(every)).astype(np.int64)
-        keep = total > 1
-        return pa.table({"term": every[keep].view(np.int64), "n": total[keep]})
-
-    blobs = documents.select(F.col(text).alias("t")).mapInArrow(count, "shard int, blob binary")
-    return blobs.groupBy("shard").applyInArrow(merge, "term long, n long")
-
-
-def lexicon(documents: DataFrame, text: str = "text", share: float = MOST_SHARE, most: int = LEXICON_MOST) -> np.ndarray:
-    """The sorted hashed terms of the band."""
-    counts = materialise(document_frequencies(documents, text), "terms")
-    limit = max(2.0, share * documents.count())
-    inside = counts.where(F.col("n") <= limit)
-    by = {r["p"]: r["n"] for r in inside.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
-    least, total = 63, 0
-    for power in sorted(by, reverse=True):
-        total += by[power]
-        if total > most:
-            break
-        least = power
-    found = inside.where(F.col("n") >= F.lit(2**least if least < 63 else 2**62)).select("term").toArrow()["term"].to_numpy()
-    return np.sort(found.view(np.uint64) if found.dtype == np.int64 else found.astype(np.uint64))
+        yield rows()
+
+    return documents.select(F.col(text).alias("t")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def lexicon(documents: DataFrame, text: str = "text", least: int = LEAST_DOCUMENTS, share: float = MOST_SHARE) -> np.ndarray:
+    """The filter of the band's terms, as bytes: at least ``least`` documents and at most ``share`` of all."""
+    counts = materialise(document_frequencies(documents, text).where(F.col("n") >= least), "terms")
+    inside = counts.where(F.col("n") <= max(2.0, share * documents.count()))
+    found = bloom(inside, "term")
+    discard(counts)
+    return found
+
+
+def _hashed(terms: np.ndarray, subset: np.ndarray, number: int) -> np.ndarray:
+    """The hash of the terms of each subset, in their order; ``subset`` doesn't fall, and subsets without terms have 0."""
+    out = np.zeros(number, np.uint64)
+    if len(terms):
+        edge = np.flatnonzero(np.concatenate([[True], subset[1:] != subset[:-1]]))
+        place = np.arange(len(terms)) - np.repeat(edge, np.diff(np.append(edge, len(terms))))
+        power = np.full(int(place.max()) + 1, _STEP)
+        power[0] = 1
+        out[subset[edge]] = mix(np.add.reduceat(mix(terms) * np.multiply.accumulate(power)[place], edge)) | np.uint64(1)
+    return out
 
 
 def fingerprints(column: pa.Array, band: np.ndarray) -> np.ndarray:
-    """One byte per text, level and cell."""
+    """Two bytes per text and subset: the halves, then the parts of each number."""
     terms, begin = _terms(column)
     n = len(begin) - 1
     owner = np.repeat(np.arange(n), np.diff(begin))
-    if len(band):
-        kept = band[np.minimum(np.searchsorted(band, terms), len(band) - 1)] == terms
-        kept |= (np.bincount(owner[kept], minlength=n) == 0)[owner]
-        terms, owner = terms[kept], owner[kept]
-    out = np.zeros(n * len(LEVELS) * CELLS, np.uint64)
-    for level, rate in enumerate(LEVELS):
-        h = mix(terms ^ np.uint64((level + 1) * _ROOT & 0xFFFFFFFFFFFFFFFF))
-        ok = (h >> np.uint64(40)) % np.uint64(rate) == 0
-        np.add.at(out, (owner[ok] * len(LEVELS) + level) * CELLS + (h[ok] & np.uint64(CELLS - 1)).astype(np.int64), mix(h[ok]) | np.uint64(1))
-    folded = (mix(out) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    folded[out == 0] = 0
-    return folded.reshape(n, len(LEVELS), CELLS)
+    kept = hit(terms, band)
+    kept |= (np.bincount(owner[kept], minlength=n) == 0)[owner]
+    terms, owner = terms[kept], owner[kept]
+    halves, signs = mix(terms ^ np.uint64(_ROOT)), []
+    for i in range(HALVES):
+        ok = (halves >> np.uint64(i) & np.uint64(1)).astype(bool)
+        signs.append(_hashed(terms[ok], owner[ok], n).reshape(n, 1))
+    for level, parts in enumerate(PARTS):
+        part = (mix(terms ^ np.uint64((level + 2) * _ROOT & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(20)) % np.uint64(parts)
+        subset = owner * parts + part.astype(np.int64)
+        order = np.argsort(subset, kind="stable")
+        signs.append(_hashed(terms[order], subset[order], n * parts).reshape(n, parts))
+    every = np.concatenate(signs, axis=1)
+    folded = (mix(every) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+    folded[every == 0] = 0
+    return folded
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """From 0 to 1 per row of two stacks of fingerprints; levels with under four filled cells count as four."""
-    filled = ((a > 0) | (b > 0)).sum(2)
-    equal = ((a == b) & (a > 0)).sum(2)
-    out = (equal / np.maximum(4, filled)).max(1)
-    out[(a == b).all((1, 2))] = 1.0
+    """From 0 to 1 per row of two stacks of fingerprints; sizes with under four filled subsets count as four."""
+    out, at = np.zeros(len(a)), 0
+    for size in (HALVES, *PARTS):
+        x, y = a[:, at : at + size], b[:, at : at + size]
+        filled = ((x > 0) | (y > 0)).sum(1)
+        out = np.maximum(out, ((x == y) & (x > 0)).sum(1) / np.maximum(4, filled))
+        at += size
+    out[(a == b).all(1)] = 1.0
     return out
 
 
@@ -187,13 +180,13 @@ def in_order(documents: DataFrame, text: str, key: str) -> tuple[DataFrame, int]
             )
 
     packed = rows.mapInArrow(pack, "place int, key long, none boolean, halo boolean, blob binary")
-    return packed.repartition(2 * parts, "place").sortWithinPartitions("place", "halo", "key", "blob"), len(order)
+    return packed.repartition(2 * parts, "place").sortWithinPartitions("place", "halo", "key", F.desc("none"), "blob"), len(order)
 
 
 def edit_columns(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document its fingerprint, that of its edited text, and the likeness to the edited text and to the next document.
 
-    The next document is the next by key, then by text; the last is followed by the first.
+    The next document is the next by key (null first), rows of one key in an order fixed by their text's compressed bytes; the last is followed by the first.
     """
     shared = documents.sparkSession.sparkContext.broadcast(lexicon(documents, text))
     rows, _ = in_order(documents, text, key)
