@@ -2,10 +2,11 @@
 
 Base kinds are plain patterns (assign, access, hex).  The method adds spans only where decoding proves a structure:
 
-* ``jwt``: three base64url parts whose first two decode to JSON objects, the first with a string ``alg``;
-* ``key``: base64 or hex that decodes to a private key: PKCS#1, PKCS#8 or SEC1 in DER with every nested length exact, or the
-  OpenSSH container with its magic and every length field consistent;
-* ``pem``: an armoured private key whose body decodes as above.
+* ``jwt``: three base64url parts, the first a JSON object with a string ``alg``, and either the second a JSON object or, as payloads
+  may be any bytes, the third a signature of the length that ``alg`` gives;
+* ``key``: base64 or hex that decodes to a private key: PKCS#1, PKCS#8 (with the key inside its octet string, by its algorithm) or SEC1 in DER with
+  every nested length exact, or the OpenSSH container with its magic and every length field consistent;
+* ``pem``: an armoured private key, from the last begin line before its end line, whose body decodes as above.
 
 Offsets are code points with an exclusive end.  Defined results: null or empty text has no spans; texts are scanned whole, each on its own.
 """
@@ -17,6 +18,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +37,13 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,-]*?)-----END \1-----")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s\\:,-]*")
+# Signature bytes by algorithm: fixed values; RSA's are those of a key of 1024 bits or more.
+_SIGNED = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES256K": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
+# Object identifiers of key algorithms in DER: fixed values.
+_RSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+_CURVES = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{47,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]{40,})={0,2}")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 
@@ -114,11 +122,57 @@ def private_key(data: bytes | None) -> bool:
     if tags[:1] != [0x02] or parts[0][1] not in (b"\0", b"\1"):
         encrypted = tags == [0x30, 0x04] and parts[0][1][:1] and parts[0][1][0][0] == 0x06
         return bool(encrypted)  # an encrypted PKCS#8 key
-    if tags[1:] and all(t == 0x02 for t in tags[1:]) and len(tags) in (6, 9):
-        return True  # PKCS#1, or DSA's older form
-    if tags[1:3] == [0x30, 0x04]:
-        return bool(parts[1][1]) and parts[1][1][0][0] == 0x06  # PKCS#8
-    return tags[1:2] == [0x04] and len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC1
+    if _pkcs1(parts):
+        return True
+    if tags[1:3] == [0x30, 0x04] and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]):
+        return bool(parts[1][1]) and parts[1][1][0][0] == 0x06 and _inner(parts[1][1][0][1], parts[2][1])
+    return _sec1(parts)
+
+
+def _pkcs1(parts: list[tuple[int, object]]) -> bool:
+    """An RSA key's nine integers, or the six of DSA's older form."""
+    return len(parts) in (6, 9) and all(t == 0x02 and v for t, v in parts) and parts[0][1] in (b"\0", b"\1")
+
+
+def _sec1(parts: list[tuple[int, object]]) -> bool:
+    """Version 1, the key's octets, and the curve and public key if any."""
+    return len(parts) >= 2 and parts[0] == (0x02, b"\1") and parts[1][0] == 0x04 and len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t, _ in parts[2:])
+
+
+def _inner(algorithm: bytes, octets: bytes) -> bool:
+    """Whether PKCS#8's octet string holds one key of the algorithm it names."""
+    found = der(octets)
+    if not found or len(found) != 1:
+        return False
+    tag, content = found[0]
+    if algorithm == _RSA:
+        return tag == 0x30 and _pkcs1(content)
+    if algorithm == _EC:
+        return tag == 0x30 and _sec1(content)
+    if algorithm in _CURVES:
+        return tag == 0x04 and len(content) == _CURVES[algorithm]
+    return tag in (0x02, 0x04, 0x30) and bool(content)  # others hold one integer, string or sequence
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of each end line with the begin line right before it, in one pass."""
+    begun = None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "END" and begun is not None and begun[2] == m[2]:
+            body = text[begun.end() : m.start()]
+            if _BODY.fullmatch(body):
+                yield begun.start(), m.end(), body
+        begun = m if m[1] == "BEGIN" else None
+
+
+def _signed(head: dict, payload: str, signature: str) -> bool:
+    """Whether the parts after a token's header fit it."""
+    if _object(payload) is not None:
+        return True
+    alg, sign = head["alg"], unbase64(signature)
+    if unbase64(payload) is None or sign is None:
+        return False
+    return len(sign) == _SIGNED[alg] if alg in _SIGNED else alg[:2] in ("RS", "PS") and len(sign) >= 128
 
 
 def _object(part: str) -> dict | None:
@@ -150,16 +204,18 @@ def added_spans(text: str) -> list[tuple[int, int, int]]:
     if "ey" in text or "ew" in text:  # a brace and what may follow it
         for m in _JWT.finditer(text):
             head = _object(m[1])
-            if head is not None and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
+            if head is not None and isinstance(head.get("alg"), str) and _signed(head, m[2], m[3]):
                 out.append((m.start(), 3, m.end()))
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            lines = re.split(r"[\s\\n]*\n|\\n", m[2])
+        for start, end, body in _armoured(text):
+            lines = body.replace("\\n", "\n").split("\n")
             if private_key(unbase64("".join(re.sub(r"\s", "", x) for x in lines if ":" not in x))):
-                out.append((m.start(), 5, m.end()))
-    armoured = [(a, b) for a, kind, b in out if kind == 5]
+                out.append((start, 5, end))
+    armoured = deque((a, b) for a, kind, b in out if kind == 5)
     for m in _BASE64.finditer(text):
-        if private_key(unbase64(m[0])) and not any(a <= m.start() < b for a, b in armoured):
+        while armoured and armoured[0][1] <= m.start():
+            armoured.popleft()
+        if not (armoured and armoured[0][0] <= m.start()) and private_key(unbase64(m[0])):
             out.append((m.start(), 4, m.end()))
     for m in _HEXKEY.finditer(text):
         if len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0])):
