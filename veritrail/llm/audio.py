@@ -6,8 +6,8 @@ zero, so a decoder plays silence and skips the bytes as ancillary data.  An ID3v
 table (frame count, byte count and a 100-entry seek table) come first.
 
 ``parse`` reads any byte string that holds MPEG audio: it skips ID3v2, APE and ID3v1 tags, finds the first
-header that is confirmed by a second one, resynchronises after damage, verifies each frame's CRC-16,
-reads Xing, Info and VBRI tables, and gives exact durations and the byte offset of every frame.
+header that is confirmed by a second one, resynchronises after damage, verifies the CRC-16 of every protected frame of all three layers,
+reads Xing, Info and VBRI tables with their seek entries, the encoder's delay and padding, and gives exact durations and the byte offset of every frame.
 
 Defined results: null is stored as an empty payload; bytes without any confirmed frame give no frames, a duration
 of 0 and the status ``empty``; a stream in which bytes had to be skipped has the status ``resynced``.
@@ -68,6 +68,14 @@ def crc16(data: bytes, start: int = 0xFFFF) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int, start: int = 0xFFFF) -> int:
+    """The same over the first ``bits`` bits."""
+    c = crc16(data[: bits // 8], start)
+    for i in range(bits % 8):
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (data[bits // 8] >> (7 - i) & 1) else 0)
+    return c
+
+
 _PLAIN_CRC = crc16(_HEADER[2:] + bytes(_SIDE))
 
 
@@ -84,6 +92,7 @@ class Header:
     channels: int
     samples: int
     length: int
+    bound: int  # from this subband on, both channels share one allocation
 
 
 def header(word: bytes) -> Header | None:
@@ -97,7 +106,7 @@ def header(word: bytes) -> Header | None:
     bitrate, hz, padding = _RATES[version == 3, layer][rate] * 1000, _HZ[version][hz], (word[2] >> 1) & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     length = (12 * bitrate // hz + padding) * 4 if layer == 1 else samples // 8 * bitrate // hz + padding
-    return Header(version, layer, not word[1] & 1, bitrate, hz, padding, 1 if word[3] >> 6 == 3 else 2, samples, length)
+    return Header(version, layer, not word[1] & 1, bitrate, hz, padding, 1 if word[3] >> 6 == 3 else 2, samples, length, ((word[3] >> 4 & 3) + 1) * 4 if word[3] >> 6 == 1 else 32)
 
 
 def _side(h: Header) -> int:
@@ -107,6 +116,33 @@ def _side(h: Header) -> int:
     return (17 if h.channels == 1 else 32) if h.version == 3 else (9 if h.channels == 1 else 17)
 
 
+def _allocation(h: Header) -> tuple[int, ...]:
+    """The width of each subband's bit allocation field in Layer I or II: fixed values of the format, by rate and frequency."""
+    if h.layer == 1:
+        return (4,) * 32
+    if h.version != 3:
+        return (4,) * 4 + (3,) * 7 + (2,) * 19
+    each = h.bitrate // 1000 // h.channels
+    if each <= 48:
+        return (4,) * 2 + (3,) * (10 if h.hz == 32000 else 6)
+    return (4,) * 11 + (3,) * 12 + (2,) * (4 if h.hz == 48000 or each <= 80 else 7)
+
+
+def covered_bits(h: Header, body: bytes) -> int:
+    """How many bits of ``body``, what follows the checksum, it covers besides the header's last two bytes."""
+    if h.layer == 3:
+        return 8 * _side(h)
+    widths, at, used = _allocation(h), 0, 0
+    whole, size = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 512
+    for band, width in enumerate(widths):
+        fields = h.channels if band < h.bound else 1
+        for _ in range(fields):
+            value = whole >> (size - at - width) & ((1 << width) - 1)
+            used += bool(value) * (h.channels if fields < h.channels else 1)
+            at += width
+    return at + 2 * used * (h.layer == 2)  # Layer II: two bits of scale factor selection for each channel of a used subband
+
+
 def _synchsafe(n: int) -> bytes:
     return bytes(((n >> 21) & 127, (n >> 14) & 127, (n >> 7) & 127, n & 127))
 
@@ -147,10 +183,13 @@ class Stream:
 
     @property
     def duration_us(self) -> int:
-        """Exact by whole frames: the sum of samples over rate, in microseconds, rounded down."""
+        """Exact: the sum of samples over rate, less the encoder's delay and padding where the table has them, in microseconds, rounded down."""
         by: dict[int, int] = {}
         for h in self.heads:
             by[h.hz] = by.get(h.hz, 0) + h.samples
+        if self.heads:
+            first = self.heads[0].hz
+            by[first] = max(0, by[first] - self.table.get("delay", 0) - self.table.get("padding", 0))
         return sum(n * 1_000_000 // hz for hz, n in by.items())
 
     @property
@@ -188,9 +227,19 @@ def _table(data: bytes, at: int, h: Header) -> dict[str, object]:
                     p += 4
             if flags & 4:
                 out["toc"] = data[p : p + 100]
+                p += 100
+            p += 4 * bool(flags & 8)
+            if data[p : p + 4] in (b"LAME", b"Lavf", b"Lavc") and p + 24 <= at + h.length:
+                gap = int.from_bytes(data[p + 21 : p + 24], "big")
+                out |= {"delay": gap >> 12, "padding": gap & 0xFFF}
             return out
     if data[at + 36 : at + 40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big")}
+        number = lambda a, n: int.from_bytes(data[at + a : at + a + n], "big")
+        entries, scale, width, per = (number(a, 2) for a in (54, 56, 58, 60))
+        out = {"kind": "VBRI", "bytes": number(46, 4), "frames": number(50, 4), "frames_per_entry": per}
+        if width in (1, 2, 4) and 62 + entries * width <= h.length:
+            out["seek"] = np.cumsum([number(62 + i * width, width) * scale for i in range(entries)]).tolist()
+        return out
     return {}
 
 
@@ -220,11 +269,14 @@ def parse(data: bytes) -> Stream:
             at += step
             synced = False
             continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            side = data[at + 6 : at + 6 + _side(h)]
             stored = int.from_bytes(data[at + 4 : at + 6], "big")
-            expected = _PLAIN_CRC if word == _HEADER and not any(side) else crc16(word[2:] + side)
+            if word == _HEADER and not any(data[at + 6 : at + 6 + _SIDE]):
+                expected = _PLAIN_CRC
+            else:
+                body = data[at + 6 : min(end, at + h.length)]
+                expected = crc16_bits(word[2:] + body, 16 + min(8 * len(body), covered_bits(h, body)))
             out.bad += stored != expected
         synced = True
         if first:

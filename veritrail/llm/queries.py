@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import audio, bpe, extraction, imatch, language, mixing, near, quality, secrets, urls
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_columns(table(spark, sf_dir, "documents"), seek=False).drop("seek_offsets")
+    return audio.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
