@@ -109,7 +109,8 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple
     order = F.struct("confidence", "support", F.size("needs").alias("length"), F.col("verdict"))
     found = open_sets.withColumn("token", F.explode("tokens")).join(hung, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
     best = found.groupBy("tokens").agg(F.max(order).alias("best"))
-    best = best.select("tokens", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence"))
+    # A table of its own: the join with it can split a token set that very many pages share.
+    best = materialise(best.select("tokens", F.col("best.verdict").alias("mined"), F.col("best.confidence").alias("confidence")), "verdicts")
     rows = rows.withColumn("tokens", F.when(F.col("given").isNull(), tokens))
     joined = rows.join(best, "tokens", "left")
     return joined.select(key, "host", "path", "rule", F.coalesce("given", "mined", F.lit("allow")).alias("verdict"), "confidence")
