@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 1 << 27
+TASKS = 16  # each task sends a filter of its own, so few tasks build it: what they send doesn't grow with the rows
 
 
 def bloom(rows: DataFrame, key: str) -> np.ndarray:
     """The filter over a column of well mixed longs, BITS / 8 bytes whatever it holds: two bits for each key, from its low and its high half."""
     mask = F.lit(BITS - 1)
-    bits = rows.select(F.explode(F.array(F.col(key).bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask))).alias("bit"))
+    bits = rows.coalesce(TASKS).select(F.explode(F.array(F.col(key).bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask))).alias("bit"))
     maps = bits.groupBy(F.shiftright("bit", 15).alias("of")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(1 << 15))).alias("map")).toArrow()
     out = np.zeros(BITS // 8, np.uint8).reshape(-1, 4096)
     for of, found in zip(maps["of"].to_pylist(), maps["map"], strict=True):

@@ -8,7 +8,7 @@ For a seen bigram ``p(w|u) = (c(uw) - D) / c(u) + g(u) * q(w)``, for an unseen o
 itself discounted and interpolated with the uniform one.  A document's log probability is thus a sum of ``log q(w) + log g(w)`` over
 its words plus a correction for each seen bigram.  The values of the most frequent words and bigrams (at most ``FREQUENT`` of each) are looked up on the
 map side, those of all others by a join on the sharded tables, in ``PASSES`` parts of the key space one after the other, so that only one part's
-shuffle is on disk at a time.  Values are whole multiples of 2**-24, so that sums do not depend on the order in which shards add up.
+shuffle is on disk at a time; a Bloom filter of fixed size keeps bigrams that the model has never seen, of which the value is 0, out of it.  Values are whole multiples of 2**-24, so that sums do not depend on the order in which shards add up.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` of the trusted documents of its language that the model was not trained on (of all
 languages where a language has fewer than ``LEAST`` of them).
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import discard, materialise, release
 from .batches import slices
+from .filters import bloom, hit
 from .words import Words, mix
 
 FREQUENT = 1 << 20
@@ -78,7 +79,7 @@ def _word_keys(w: np.ndarray) -> np.ndarray:
 
 def _part(column: str, i: int) -> Column:
     """Whether a key is in the i-th of PASSES parts of the key space."""
-    return F.pmod(F.col(column), F.lit(PASSES)) == i
+    return F.shiftright(F.shiftrightunsigned(column, 32) * PASSES, 32) == i
 
 
 def _least(rows: DataFrame, n: str, most: int) -> int:
@@ -134,18 +135,20 @@ def train(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str
     low = F.col("g") * F.col("q")
     more = F.greatest(F.log(((F.col("n") - less) / F.col("total") + low) / low), F.lit(0.0))
     often, seen = _least(types, "n", FREQUENT), []
+    release(spark)
     for i in range(PASSES):
-        joined = types.where(_part("u", i)).join(contexts.where(_part("u", i)), "u").join(words, "w")
-        seen.append(materialise(joined.select("u", "w", "n", _units(more).alias("more")), "pairs"))
-        del joined  # a reference would keep its shuffle files
+        joined = types.where(_part("u", i)).join(contexts.where(_part("u", i)).hint("shuffle_hash"), "u").join(words.hint("shuffle_hash"), "w")
+        keyed = joined.select("u", "w", "n", _units(more).alias("more")).mapInArrow(_keyed(_pair_keys, 2), "k long, n long, more int")
+        seen.append(materialise(keyed, "pairs"))
+        del joined, keyed  # a reference would keep their shuffle files
         release(spark)
-    pairs = reduce(DataFrame.unionByName, seen)
-    model = {"unknown": unknown, "ends": math.log(start["g"]) + math.log(end["q"])}
     usual = _least(values, "times", FREQUENT)
-    model["words"] = _split(values, "times", usual, lambda t: _word_keys(t["w"].to_numpy().view(np.uint64)))
-    model["pairs"] = _split(pairs, "n", often, lambda t: _pair_keys(t["u"].to_numpy().view(np.uint64), t["w"].to_numpy().view(np.uint64)))
-    for done in (types, contexts, follow, values, *seen):
+    single = materialise(values.select("w", "times", "more").mapInArrow(_keyed(_word_keys, 1), "k long, n long, more int"), "words")
+    for done in (types, contexts, follow, values):
         discard(done)
+    release(spark)
+    model = {"unknown": unknown, "ends": math.log(start["g"]) + math.log(end["q"]), "tables": [single, *seen]}
+    model["words"], model["pairs"] = _split(single, usual), _split(reduce(DataFrame.unionByName, seen), often)
     return model, chosen
 
 
@@ -153,18 +156,23 @@ def _units(value: Column) -> Column:
     return F.round(value * UNIT).cast("int")
 
 
-def _split(rows: DataFrame, n: str, least: int, keys: Callable[[pa.Table], np.ndarray]) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """(sorted keys of the rows with n >= least, their values, the table (k, more) of the others)."""
-    found = rows.where(F.col(n) >= least).drop(n).toArrow()
-    k = keys(found)
-    order = np.argsort(k)
+def _keyed(keys: Callable[..., np.ndarray], number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (k, n, more) of rows whose first ``number`` columns make the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(keys(batch).view(np.int64)), batch.column(batch.num_columns - 1)], names=["k", "more"])
+            k = keys(*(batch.column(i).to_numpy().view(np.uint64) for i in range(number)))
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *batch.columns[number:]], names=["k", "n", "more"])
 
-    others = rows.where(F.col(n) < least).drop(n).mapInArrow(run, "k long, more int")
-    return k[order], found["more"].to_numpy().astype(np.int64)[order], materialise(others, "others")
+    return run
+
+
+def _split(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(sorted keys of the rows with n >= least, their values, the rows (k, more) of the others)."""
+    found = rows.where(F.col("n") >= least).select("k", "more").toArrow()
+    k = found["k"].to_numpy().view(np.uint64)
+    order = np.argsort(k)
+    return k[order], found["more"].to_numpy()[order], rows.where(F.col("n") < least).select("k", "more")
 
 
 def _find(asked: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +215,8 @@ def score_columns(documents: DataFrame, model: dict, text: str = "text", key: st
     if not model:
         return base.select(key, lang, "n_words", F.lit(None).cast("double").alias("perplexity"))
     base, sums = materialise(base, "base"), []
+    table = model["words"][2].unionByName(model["pairs"][2])
+    rare = spark.sparkContext.broadcast(bloom(table, "k"))
 
     def others(part: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +225,8 @@ def score_columns(documents: DataFrame, model: dict, text: str = "text", key: st
                 ask, ids = _requests(batch.column(1)), batch.column(0).to_numpy()
                 ks, owners = [], []
                 for name, asked, owner in (("words", *ask[:2]), ("pairs", *ask[2:])):
-                    mine = np.flatnonzero(asked & np.uint64(PASSES - 1) == part)
+                    mine = np.flatnonzero((asked >> np.uint64(32)) * np.uint64(PASSES) >> np.uint64(32) == part)
+                    mine = mine[hit(asked[mine], rare.value)]
                     rest = mine[~_find(asked[mine], tables[name][0])[1]]
                     ks.append(asked[rest])
                     owners.append(owner[rest])
@@ -228,10 +239,9 @@ def score_columns(documents: DataFrame, model: dict, text: str = "text", key: st
 
         return run
 
-    table = model["words"][2].unionByName(model["pairs"][2])
     for i in range(PASSES):
         asked = known.select("h", text).mapInArrow(others(i), "h long, k long, n int")
-        joined = asked.join(table.where(_part("k", i)), "k").groupBy("h").agg(F.sum(F.col("more").cast("long") * F.col("n")).alias("sum"))
+        joined = asked.join(table.where(_part("k", i)).hint("shuffle_hash"), "k").groupBy("h").agg(F.sum(F.col("more").cast("long") * F.col("n")).alias("sum"))
         sums.append(materialise(joined, "sums"))
         del asked, joined  # a reference would keep their shuffle files
         release(spark)
@@ -247,8 +257,8 @@ def judge(documents: DataFrame, labels: DataFrame, text: str = "text", key: str
     trusted = materialise(trusted_ids(labels, key), "trusted")
     model, chosen = train(documents, trusted, text, key)
     scored = materialise(score_columns(documents, model, text, key, lang), "scores")
-    for name in ("words", "pairs") if model else ():
-        discard(model[name][2])
+    for done in model.get("tables", ()):
+        discard(done)
     release(documents.sparkSession)
     outside = scored.join(trusted.join(chosen, key, "left_anti"), key, "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
