@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import discard, materialise, release
 from .batches import give_back, slices
+from .filters import TASKS
 from .words import Words, distinct, mix, shingles
 
 FREQUENT_LEAST = 64
@@ -145,13 +146,13 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> tupl
 def in_slots(rows: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame:
     """The rows with a column ``in_slots``: true for those whose key is in ``wanted`` and for few others.
 
-    Two broadcast bitmaps of SLOTS bits, by independent hashes, say so; they are aggregated on executors and never larger, whatever ``wanted`` holds.
+    Two broadcast bitmaps of SLOTS bits, by independent hashes, say so; they are aggregated on executors and never larger, whatever ``wanted``, a written table, holds.
     """
     hit = F.lit(True)
     for seed in (1, 2):
         slot = F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), F.lit(SLOTS))
         place, bit, map_, of = (f"__{x}{seed}" for x in ("place", "bit", "map", "of"))
-        maps = wanted.select(F.shiftright(slot, 15).alias(of), F.pmod(slot, F.lit(1 << 15)).alias("at")).groupBy(of).agg(F.bitmap_construct_agg("at").alias(map_))
+        maps = wanted.coalesce(TASKS).select(F.shiftright(slot, 15).alias(of), F.pmod(slot, F.lit(1 << 15)).alias("at")).groupBy(of).agg(F.bitmap_construct_agg("at").alias(map_))
         rows = rows.withColumns({place: F.shiftright(slot, 15), bit: F.pmod(slot, F.lit(1 << 15))}).join(F.broadcast(maps), F.col(place) == F.col(of), "left")
         hit = hit & F.coalesce(F.expr(f"shiftright(cast(conv(hex(substring(`{map_}`, cast(`{bit}` div 8 + 1 as int), 1)), 16, 10) as int), cast(`{bit}` % 8 as int)) & 1") == 1, F.lit(False))
     return rows.withColumn("in_slots", hit).drop(*[f"__{x}{seed}" for x in ("place", "bit", "map", "of") for seed in (1, 2)])
