@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,11 +19,33 @@ ABBREVIATIONS = "z. B.|d. h.|u. a.|o. ä.|i. d. R.|z.B.|d.h.|u.a.|bzw.|ca.|vgl.|
 CUES = "dies|diese|dieser|dieses|er|sie|es|ihre|ihr|sein|seine|dabei|dadurch|damit|daher|deshalb|hierbei|jener|jene|solche"
 KINDS = ("heading", "paragraph", "bullet", "sentence")
 
-_ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
-_ITEM = re.compile(r"([ \t]*)([-+*]|\d{1,9}[.)])[ \t]+(?=\S)")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-_BREAK = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-_HTML = re.compile(r" {0,3}<([A-Za-z][A-Za-z0-9-]*)[\s/>]|( {0,3}<!--)")
+# What a line is, as one letter, the first that fits; lower case where the line starts with white space.
+_LINE = re.compile(
+    r"(?P<E>\s*$)"  # empty
+    r"|(?P<H> {0,3}<(?:(?P<tag>[A-Za-z][A-Za-z0-9-]*)[\s/>]|!--))"  # raw HTML or a comment
+    r"|(?P<F> {0,3}(?P<fence>`{3,}|~{3,}))"
+    r"|(?P<A> {0,3}(?P<level>#{1,6})(?=[ \t]|$))"
+    r"|(?P<R> {0,3}(?P<rule>[-*_])(?:[ \t]*(?P=rule)){2,}[ \t]*$)"  # a thematic break
+    r"|(?P<I>(?P<indent>[ \t]*)(?:[-+*]|\d{1,9}[.)])[ \t]+(?=\S))"  # a list item
+    r"|(?P<O>(?: {4}| {0,3}[<>\t])|.*\|)"  # indented code, quotes, tables
+    r"|(?P<T>)"  # plain text
+)
+# Blocks as patterns over the letters of all lines: S is plain text with a Setext line below it, B a thematic break that is an item as well.
+_BLOCK = re.compile(r"(?P<empty>E+)|(?P<html>H|h)|(?P<fence>F|f)|(?P<atx>A|a)|(?P<setext>[Ss].)|(?P<list>[Ii][IBihfrsotb]*)|(?P<text>[Tt]+)|(?P<solid>[^E]+)")
+
+
+@dataclass(frozen=True)
+class Line:
+    """A line's place, text, and what it is."""
+
+    start: int
+    end: int
+    text: str
+    what: re.Match
+
+    @property
+    def kind(self) -> str:
+        return self.what.lastgroup if len(self.what.lastgroup) == 1 else next(k for k in "EHFARIOT" if self.what[k] is not None)
 
 
 def split_lines(text: str) -> list[tuple[int, int, int]]:
@@ -34,142 +59,145 @@ def split_lines(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _opaque(line: str) -> bool:
-    return bool(_FENCE.match(line) or _BREAK.match(line) or "|" in line or re.match(r" {0,3}[<>]", line) or re.match(r"(?: {4}| {0,3}\t)", line))
+def _letters(lines: list[Line]) -> str:
+    """One letter per line; see ``_LINE`` and ``_BLOCK``."""
+    out = []
+    for k, line in enumerate(lines):
+        letter = line.kind
+        if letter == "R" and _MARKER.match(line.text):
+            letter = "B"
+        elif letter == "T" and k + 1 < len(lines) and _level(lines[k + 1].text):
+            letter = "S"
+        out.append(letter.lower() if line.text[:1] in (" ", "\t") and letter != "E" else letter)
+    return "".join(out)
+
+
+_MARKER = re.compile(r"([ \t]*)([-+*]|\d{1,9}[.)])[ \t]+(?=\S)")
+
+
+def _level(line: str) -> int:
+    """The heading level that a Setext line gives, 0 if it is none."""
+    mark = line.strip()
+    return {"=": 1, "-": 2}.get(mark[:1], 0) if mark and mark.strip(mark[0]) == "" else 0
+
+
+def _closing(lines: list[Line], first: int) -> int:
+    """The last line of the raw HTML or fence that starts at ``first``: its closing line, or the last line of all."""
+    what = lines[first].what
+    if what["F"] is not None:
+        end, after = re.compile(rf" {{0,3}}{re.escape(what['fence'][0])}{{{len(what['fence'])},}}\s*$").match, first + 1
+    else:
+        end, after = re.compile(rf"</{re.escape(what['tag'])}\s*>" if what["tag"] else "-->", re.IGNORECASE).search, first
+    return next((k for k in range(after, len(lines)) if end(lines[k].text)), len(lines) - 1)
+
+
+def _items(group: list[Line]) -> list[tuple[Line, re.Match, Line]] | None:
+    """(first line, marker, last line) of each item of a list; None where it is nested or ambiguous."""
+    marked = [(k, m) for k, line in enumerate(group) if (m := _MARKER.match(line.text))]
+    tabs = any("\t" in line.text[: len(line.text) - len(line.text.lstrip())] for line in group)
+    deeper = any(len(m[1]) > len(marked[0][1][1]) for _, m in marked)
+    solid = any(_LINE.match(group[k].text, m.end()) and _solid(group[k].text[m.end() :]) for k, m in marked)
+    if tabs or deeper or solid:
+        return None
+    ends = [k - 1 for k, _ in marked[1:]] + [len(group) - 1]
+    return [(group[k], m, group[last]) for (k, m), last in zip(marked, ends, strict=True)]
+
+
+def _solid(line: str) -> bool:
+    """Whether a line by itself is markup whose inside is not read as text."""
+    kind = Line(0, 0, line, _LINE.match(line)).kind
+    return kind in "HFRO" or kind in "AI" and ("|" in line or bool(re.match(r" {4}| {0,3}\t", line)))
 
 
 def scan(text: str) -> list[tuple[str, int, int, int | None, bool, int]]:
     """Markdown blocks: (kind, start, end, level, opaque, content start).
 
-    Precedence: blank, raw HTML or comment, fence, ATX heading, Setext heading, list group, paragraph.  Nested or ambiguous lists are one
+    Each line becomes a letter, and blocks are matched over the letters.  Nested or ambiguous lists are one
     opaque paragraph; unclosed HTML and fences run to the end.
     """
-    spans = split_lines(text)
-    lines = [text[a:b] for a, b, _ in spans]
-    out: list[tuple[str, int, int, int | None, bool, int]] = []
-    i, n = 0, len(lines)
-
-    def add(kind: str, first: int, last: int, level: int | None = None, opaque: bool = False, content: int | None = None) -> int:
-        start = spans[first][0] if content is None else spans[first][0] + len(lines[first]) - len(lines[first].lstrip())
-        out.append((kind, start, spans[last][1], level, opaque, start if content is None else content))
-        return last + 1
-
-    def setext(k: int) -> int | None:
-        if k + 1 < n and lines[k].strip() and not _ITEM.match(lines[k]) and not _opaque(lines[k]):
-            under = lines[k + 1].strip()
-            return 1 if under and not under.strip("=") else 2 if under and not under.strip("-") else None
-        return None
-
-    while i < n:
-        line = lines[i]
-        if not line.strip():
-            i += 1
-            continue
-        if m := _HTML.match(line):
-            close = re.compile(r"-->" if m[2] else rf"</{re.escape(m[1])}\s*>", re.IGNORECASE)
-            j = next((k for k in range(i, n) if close.search(lines[k])), n - 1)
-            i = add("paragraph", i, j, opaque=True)
-        elif m := _FENCE.match(line):
-            mark = m[1]
-            j = next((k for k in range(i + 1, n) if re.match(rf" {{0,3}}{re.escape(mark[0])}{{{len(mark)},}}\s*$", lines[k])), n - 1)
-            i = add("paragraph", i, j, opaque=True)
-        elif m := _ATX.match(line):
-            i = add("heading", i, i, len(m[1]))
-        elif level := setext(i):
-            i = add("heading", i, i + 1, level)
-        elif _ITEM.match(line) and not _BREAK.match(line):
-            j = i + 1
-            while j < n and lines[j].strip() and not _ATX.match(lines[j]) and (_ITEM.match(lines[j]) or lines[j][:1] in " \t"):
-                j += 1
-            group = lines[i:j]
-            marks = [(k, m) for k, x in enumerate(group) if (m := _ITEM.match(x))]
-            base = len(marks[0][1][1])
-            ambiguous = any(len(m[1]) > base for _, m in marks[1:]) or any("\t" in x[: len(x) - len(x.lstrip())] for x in group) or any(_opaque(x[m.end() :]) for x, m in ((group[k], m) for k, m in marks))
-            if ambiguous:
-                i = add("paragraph", i, j - 1, opaque=True)
-            else:
-                for (k, m), following in zip(marks, [*[x for x, _ in marks[1:]], len(group)], strict=True):
-                    add("bullet", i + k, i + following - 1, content=spans[i + k][0] + m.end())
-                i = j
+    lines = [Line(a, b, text[a:b], _LINE.match(text[a:b])) for a, b, _ in split_lines(text)]
+    letters, out, at = _letters(lines), [], 0
+    while at < len(lines):
+        m = _BLOCK.match(letters, at)
+        first, last, shape = lines[at], lines[m.end() - 1], m.lastgroup
+        if shape in ("html", "fence"):
+            stop = _closing(lines, at)
+            last, at = lines[stop], stop
         else:
-            opaque = _opaque(line)
-            j = i + 1
-            while j < n and lines[j].strip():
-                if not opaque and (_ATX.match(lines[j]) or _ITEM.match(lines[j]) or _opaque(lines[j]) or setext(j)):
-                    break
-                j += 1
-            i = add("paragraph", i, j - 1, opaque=opaque)
+            at = m.end() - 1
+        at += 1
+        if shape in ("atx", "setext"):
+            out.append(("heading", first.start, last.end, len(first.what["level"]) if shape == "atx" else _level(last.text), False, first.start))
+        elif shape == "list" and (items := _items(lines[m.start() : m.end()])) is not None:
+            out += [("bullet", one.start + len(mark[1]), end.end, None, False, one.start + mark.end()) for one, mark, end in items]
+        elif shape != "empty":
+            out.append(("paragraph", first.start, last.end, None, shape != "text", first.start))
     return out
 
 
-def regions(text: str) -> tuple[list[tuple[int, int]], bool]:
-    """Protected markup (escapes, code spans, balanced links with their targets) and whether all brackets balance."""
-    out, i, n, whole = [], 0, len(text), True
-    while i < n:
-        c = text[i]
-        if c == "\\":
-            out.append((i, min(n, i + 2)))
-            i += 2
-        elif c == "`":
-            run = len(text) - i - len(text[i:].lstrip("`"))
-            end = text.find("`" * run, i + run)
-            if end < 0:
-                return out, False
-            out.append((i, end + run))
-            i = end + run
-        elif c in "[(" and (c == "[" or out and out[-1][1] == i and text[i - 1] == "]"):
-            close, depth, j = {"[": "]", "(": ")"}[c], 0, i
-            while j < n:
-                depth += (text[j] == c) - (text[j] == close)
-                if not depth:
-                    break
-                j += 1
-            if depth:
-                return out, False
-            out.append((i, j + 1))
-            i = j + 1
-        else:
-            whole &= c != "]"
-            i += 1
+_INLINE = re.compile(r"\\[\s\S]?|`+|[\[\](]")
+
+
+def _partners(text: str) -> dict[int, int]:
+    """Where the bracket or parenthesis opened at each place is closed."""
+    open_, out = {"]": [], ")": []}, {}
+    for m in re.finditer(r"[\[\]()]", text):
+        if m[0] in "[(":
+            open_["]" if m[0] == "[" else ")"].append(m.start())
+        elif open_[m[0]]:
+            out[open_[m[0]].pop()] = m.end()
+    return out
+
+
+def regions(text: str) -> tuple[dict[int, int], bool]:
+    """Protected markup (escapes, code spans, balanced links with their targets) as ends by start, and whether all brackets balance."""
+    partners, out, at, whole, last = _partners(text), {}, 0, True, -1
+    while m := _INLINE.search(text, at):
+        start, at, sign = m.start(), m.end(), m[0][0]
+        if sign == "]":
+            whole = False
+            continue
+        if sign == "(" and not (last == start and text[start - 1] == "]"):
+            continue  # only a link's target is markup
+        if sign == "`":
+            close = text.find(m[0], at)
+            at = close + len(m[0]) if close >= 0 else None
+        elif sign != "\\":
+            at = partners.get(start)
+        if at is None:
+            return out, False
+        out[start] = last = at
     return out, whole
 
 
 _PROTECT = re.compile("|".join(rf"(?<!\w){re.escape(a)}" for a in ABBREVIATIONS.split("|")) + r"|\d+(?:[.,]\d+)+|\d{1,2}\.(?=\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)\b)|https?://\S+?(?=[.!?…]*(?:\s|$))|\b(?:usw|etc)\.(?=\s+[a-zäöüß])")
-_END = re.compile(r"[.!?…]+")
+_STOP = re.compile(r"([.!?…]++)[*_\"'”“»)\]’]*+(?=\s|\[|\Z)")
+_MORE = re.compile(r"(?:[.!?…]+)?[*_\"'”“»)\]’]*")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Sentence spans without surrounding white space; one span where markup is unbalanced."""
     marks, whole = regions(text)
-    cuts = []
+    cuts = {len(text)}
     if whole:
-        safe = marks + [m.span() for m in _PROTECT.finditer(text)]
-        bold = re.compile(r"[*_\"'”“»)\]’]*")
-        for m in _END.finditer(text):
-            if any(a <= m.start() < b and m.end() - 1 < b for a, b in safe):
-                continue
-            at = bold.match(text, m.end()).end()
-            if at < len(text) and not text[at].isspace() and text[at] != "[":
-                continue
-            while True:  # link markup that follows belongs to the sentence it follows
-                skip = len(text) - len(text[at:].lstrip())
-                link = next(((a, b) for a, b in marks if a == skip and text[a] == "["), None)
-                if link is None:
-                    break
-                at = link[1]
-                target = next((b for a, b in marks if a == at and text[a] == "("), None)
-                at = target if target is not None else at
-                at = _END.match(text, at).end() if _END.match(text, at) else at
-                at = bold.match(text, at).end()
-            cuts.append(at)
-    out, start = [], 0
-    for cut in [*sorted(set(cuts)), len(text)]:
-        piece = text[start:cut]
-        a, b = start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())
-        if a < b:
-            out.append((a, b))
-        start = max(start, cut)
-    return out
+        safe = sorted([*marks.items(), *(m.span() for m in _PROTECT.finditer(text))])
+        starts, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
+        for m in _STOP.finditer(text):
+            known = bisect_right(starts, m.start())
+            if not known or reach[known - 1] < m.end(1):
+                cuts.add(_tail(text, m.end(), marks))
+    edges = sorted(cuts)
+    pieces = [(a, text[a:b]) for a, b in zip([0, *edges], edges, strict=False)]
+    return [(a + len(x) - len(x.lstrip()), a + len(x.rstrip())) for a, x in pieces if x.strip()]
+
+
+def _tail(text: str, at: int, marks: dict[int, int]) -> int:
+    """Where a sentence ends that stops at ``at``: link markup that follows belongs to it."""
+    while (link := re.compile(r"\s*").match(text, at).end()) in marks and text[link] == "[":
+        at = marks[link]
+        at = marks[at] if at in marks and text[at] == "(" else at
+        at = _MORE.match(text, at).end()
+    return at
 
 
 def units(texts: DataFrame, key: str, text: str, limit_chars: int | None = None) -> DataFrame:
@@ -211,10 +239,11 @@ def units(texts: DataFrame, key: str, text: str, limit_chars: int | None = None)
 
 def lf_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, ord, start, end) of the lines of texts that use LF only, in built-in functions."""
-    lines = F.split(F.col(text), "\n")
-    ends = F.aggregate(lines, F.array(F.lit(0)), lambda acc, line: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(line) + 1)))
-    rows = texts.select(key, F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(ends, F.lit(1), F.size(lines)).alias("start"))).alias("ord", "x"))
-    return rows.select(key, F.col("ord").cast("long").alias("ord"), F.col("x.start").cast("long").alias("start"), (F.col("x.start") + F.length("x.line")).cast("long").alias("end"))
+    lines = texts.select(key, F.monotonically_increasing_id().alias("__row"), F.posexplode(F.split(F.col(text), "\n")).alias("ord", "line"))
+    before = W.partitionBy("__row").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
+    rows = lines.select(key, F.col("ord").cast("long").alias("ord"), start.cast("long").alias("start"), F.length("line").alias("n"))
+    return rows.select(key, "ord", "start", (F.col("start") + F.col("n")).cast("long").alias("end"))
 
 
 def unit_violations(found: DataFrame, key: str) -> DataFrame:
