@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .batches import slices
+from .batches import give_back, slices
 
 # The pattern that splits text before the merges of byte-level vocabularies: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -251,6 +251,11 @@ class Codec:
         look = table.__getitem__
         return [b"".join(map(look, p)) for p in pieces]
 
+    def forget(self) -> None:
+        """Drop the words held so far: workers outlive tasks and stages, and their memory is the executor's."""
+        self._seen = {}
+        give_back()
+
     def decode_bytes(self, ids: bytes) -> bytes:
         """The bytes that ids stand for, read from the flat table of all tokens."""
         which = np.frombuffer(ids, "<u4")
@@ -298,5 +303,6 @@ def bpe_columns(documents: DataFrame, path: str, text: str = "text", key: str =
             if ids:
                 arrays.append(pa.array([np.frombuffer(e, "<i4") for e in encoded], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+        tool.forget()
 
     return documents.select(key, text).mapInArrow(run, schema)
