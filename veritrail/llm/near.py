@@ -22,7 +22,7 @@ of different near copies costs a tile per block, not one per pair of blocks.  Co
 compared: its tiles are all pairs of blocks with a common bucket, m * m / 2048 rows for m different sets.
 
 Copies (equal sets) are one node from the start.  Every cut is a written table in the shared folder; what is broadcast has a fixed
-bound (the frequent tokens, and filters of 2**26 bits that let too much through but never too little).
+bound (the frequent tokens, and filters of 2**24 bits that let too much through but never too little).
 
 Defined results: null, empty or blank texts have an empty set and are linked with nothing; a text of fewer than k words has one
 shingle, its whole word sequence; component ids are the smallest key reachable; nodes are told apart by 64-bit hashes of their sets.
@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import discard, materialise, release
@@ -46,7 +47,7 @@ from .words import Words, distinct, mix, shingles
 FREQUENT_LEAST = 64
 FREQUENT_MOST = 1 << 20
 BLOCK = 1024
-SLOTS = 1 << 26
+SLOTS = 1 << 24
 _MASK = np.uint64((1 << 48) - 1)
 _SINGLE, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -300,7 +301,8 @@ def all_signatures(documents: DataFrame, sketch: DataFrame, k: int, num: int, de
     return singles, heavy.where("pair").drop("pair")
 
 
-BUCKET_ROWS = 400_000
+BUCKET_ROWS = 100_000
+CELL_ROWS = 16_384  # 64 cells a row
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -337,7 +339,6 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> Iterat
             whole = [c[stop:] for c in whole]
         if len(whole[0]):
             yield whole, False
-    give_back()
 
 
 def shared(rows: DataFrame, seed: int) -> DataFrame:
@@ -351,6 +352,8 @@ def shared(rows: DataFrame, seed: int) -> DataFrame:
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (sig, node, weight), part in _groups(batches, 0, BUCKET_ROWS):
             yield packed(sig, node, weight, part)
+            del sig, node, weight
+        give_back()
 
     def packed(sig: np.ndarray, node: np.ndarray, weight: np.ndarray, part: bool) -> pa.RecordBatch:
         new = np.ones(len(sig), bool)
@@ -395,7 +398,7 @@ def linkable(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     """(sig, node, weight) of the nodes whose buckets weigh enough for a link with nodes of one cell: what a node has in common with many others, a little with each, is spread over the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (sig, node, weight, others, first), part in _groups(batches, 1, BUCKET_ROWS // 4):
+        for (sig, node, weight, others, first), part in _groups(batches, 1, CELL_ROWS):
             if part:  # more signatures than a portion has rows: it stays
                 yield rows_of(sig[~first], node[~first], weight[~first])
                 continue
@@ -405,6 +408,8 @@ def linkable(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
             held = np.add.reduceat(bits * np.minimum(weight, 1 << 20).astype(np.int32)[:, None], edge, axis=0, dtype=np.int64).max(1) if len(edge) else np.zeros(0)
             keep = np.repeat(held >= need, np.diff(np.append(edge, len(sig)))) & ~first
             yield rows_of(sig[keep], node[keep], weight[keep])
+            del sig, node, weight, others, first, bits, held, keep
+        give_back()
 
     def rows_of(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "node", "weight"])
@@ -586,20 +591,24 @@ def _own(laid: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
 def _between(laid: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """The tiles of two blocks with a common bucket: the nodes whose buckets in common with the other block, as far as that has members of a ``class`` other
     than the node's, weigh enough for a link."""
-    spans = laid.groupBy("sig").agg(F.min("block").alias("a"), F.max("block").alias("b"), F.min("class").alias("c"), F.max("class").alias("d")).where("a <> b and c <> d").select("sig")
+    spans = laid.groupBy("sig").agg(F.min("block").alias("a"), F.max("block").alias("b"), F.min("class").alias("c"), F.max("class").alias("d"), F.count("*").alias("n")).where("a <> b and c <> d").select("sig", "n")
     wide = laid.join(spans, "sig")
     enough = wide.groupBy("node").agg(F.sum("weight").alias("held")).join(sizes.select("node", "size"), "node").withColumn("least", _least("size", num, den)).where("held >= least").select("node", "least")
     wide = materialise(wide.join(enough, "node"), "wide")
     there = wide.groupBy("sig", "block").agg(F.min("class").alias("low"), F.max("class").alias("high")).select("sig", F.col("block").alias("other"), "low", "high")
-    met = wide.join(there, "sig").where("block <> other and (low <> class or high <> class)")
-    members = met.groupBy("node", "block", "other").agg(F.sum("weight").alias("held"), F.max("least").alias("least")).where("held >= least")
+    # Of a node's buckets the largest, up to half of the weight that a link needs, are left out and taken off the need.
+    order = W.partitionBy("node").orderBy(F.desc("n"), "sig")
+    led = wide.withColumn("sum", F.sum("weight").over(order)).withColumn("out", F.col("sum") * 2 < F.col("least"))
+    led = led.withColumn("need", F.col("least") - F.coalesce(F.max(F.when(F.col("out"), F.col("sum"))).over(W.partitionBy("node")), F.lit(0))).where("not out")
+    met = led.join(there, "sig").where("block <> other and (low <> class or high <> class)")
+    members = met.groupBy("node", "block", "other").agg(F.sum("weight").alias("held"), F.max("need").alias("need")).where("held >= need")
     return members.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "block")
 
 
 def _heads(laid: DataFrame) -> DataFrame:
     """Tiles of the first and last members of large components in the buckets that several of them have, up to ``BLOCK`` at a time."""
     large = laid.select("node", "class").distinct().groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("class")
-    ends = laid.join(large, "class").groupBy("sig", "class").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    ends = laid.groupBy("sig", "class").agg(F.min("node").alias("a"), F.max("node").alias("b")).join(large, "class")
     by_sig = ends.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("n > 1")
     kept = by_sig.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
     part = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") * 2 / BLOCK))
