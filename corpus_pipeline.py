@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all bu
 
 1. language_id labels each document; ``lang`` becomes the predicted language.  Rejected are documents without a letter and those of which
    the score is under ``LEAST_SCORE`` (letters of scripts that no learned language uses).
-2. near_duplicates keeps of each group of documents, linked at a Jaccard similarity of 0.8 or more on 5-word shingles, the one of smallest id; of
-   rows with one id the first by text stays, and rows without an id are linked with nothing.
+2. near_duplicates keeps of each group of documents, linked at a Jaccard similarity of 0.8 or more on 5-word shingles, the one of smallest id; equal
+   rows count once, texts of one id are documents of their own, and rows without an id all stay.
 3. secrets masks every secret in the text and counts ``n_chars`` anew; no document goes.
 4. mixing repeats or leaves out documents until every source comes near its target.
 5. bpe encodes each document; its rows carry the ids.
@@ -13,6 +13,7 @@ Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; all bu
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from veritrail.llm import bpe, language, mixing, near, secrets
 from veritrail.runtime import materialise, prepare, table
 
 LEAST_SCORE = 0.2
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +35,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2; see the module's text."""
+    """Stage 2; see the module's text.  Texts are shuffled only of rows that may have to go: bounded bitmaps tell the others."""
     names = docs.columns
-    groups = near.near_components(docs, k=5, percent=80)
-    first = materialise(groups.where("doc_id = component_id").select("doc_id").distinct(), "first")
-    kept = docs.join(first, "doc_id", "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    kept = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*names)
-    return kept.unionByName(docs.where("doc_id is null").select(*names))
+    version = F.xxhash64("text").alias("mark")
+    groups = near.near_components(docs, k=5, percent=80, links=False, mark=version).where("doc_id is not null")
+    first = materialise(groups.where("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("mark").alias("mark")).select("doc_id", "mark").distinct(), "first")
+    kept = first.withColumn("stays", F.lit(1))
+    unsure = groups.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).join(kept, ["doc_id", "mark"], "left").where("n > 1 or stays is null")
+    unsure = materialise(unsure.select("doc_id", "mark"), "unsure")
+    rows = near.in_slots(docs.withColumn("mark", version), ["doc_id", "mark"], unsure)
+    order = W.partitionBy("doc_id", "mark").orderBy("mark")
+    some = rows.where("in_slots and doc_id is not null").join(first, ["doc_id", "mark"], "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return rows.where("not in_slots or doc_id is null").select(*names).unionByName(some.select(*names))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
