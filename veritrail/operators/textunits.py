@@ -239,7 +239,8 @@ def units(texts: DataFrame, key: str, text: str, limit_chars: int | None = None)
 
 def lf_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, ord, start, end) of the lines of texts that use LF only, in built-in functions."""
-    lines = texts.select(key, F.monotonically_increasing_id().alias("__row"), F.posexplode(F.split(F.col(text), "\n")).alias("ord", "line"))
+    numbered = texts.select(key, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
+    lines = numbered.select(key, "__row", F.posexplode(F.split("__text", "\n")).alias("ord", "line"))
     before = W.partitionBy("__row").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
     rows = lines.select(key, F.col("ord").cast("long").alias("ord"), start.cast("long").alias("start"), F.length("line").alias("n"))
