@@ -117,11 +117,26 @@ def test_page():
     page = "<html lang=de><title>T</title><body><nav>x</nav><article><h1>Kopf</h1><p>Eins <b>zw</b>ei:</p><ol start=3><li>a<li value=7>b<ul><li>c</li></ul></li></ol></article>"
     got = K.parse_page(page, "https://a.example/")
     assert got["reason"] == ""
-    assert got["text"] == "Kopf\n\nEins zwei:\n\n3. a\n\n7. b\n\n  - c"
+    assert got["text"] == "Kopf\n\nEins zwei:\n\n3. a\n7. b\n  - c"
     assert K.parse_page(page.replace("lang=de", "lang=en"), "")["reason"] == "wrong_language"
     assert K.parse_page("<p>x", "")["reason"] == "root_missing"
 
 
+def test_page_chrome_lists_and_sections():
+    body = """<h1>Blatt</h1><div class="consent x">Zustimmen</div><header>Vorspann</header>
+<ul><li>eins<br>zwei<ul><li>innen</li></ul>nach</li><li><p>drei</p><p>vier <a href="/q">Q</a></p></li></ul><ul class="related-pages"><li>mehr</li></ul>
+<ol><li>neu</li></ol><div>frei</div><div>weiter</div><div class="faq-question">Wann?</div><div hidden><p>Jetzt.</p></div>
+<aside class="advice"><p>Achtung.</p></aside><footer class="references"><h2>Belege</h2><p>Von <a href="#e">E</a>.</p></footer><div class="share-tools">Teilen</div>"""
+    got = K.parse_page(f"<html lang=de><title>T</title><body><article>{body}</article><footer>Fuss</footer>", "https://a.example/")
+    assert got["reason"] == ""
+    assert got["text"] == "Blatt\n\nVorspann\n\n- eins\nzwei\n  - innen nach\n- drei vier Q\n\n1. neu\n\nfrei\n\nweiter\n\nWann?\n\nJetzt.\n\nAchtung.\n\nBelege\n\nVon E."
+    assert [(b["level"], b["headings"]) for b in got["blocks"] if b["kind"] == "heading"] == [(1, []), (2, [0]), (2, [0])]
+    assert [x.rsplit("/", 1)[1] for x in got["excluded"]] == ["div[1]", "ul[2]", "div[6]"]
+    spans = [got["blocks"][x["block"]]["start"] + x["start"] for x in got["links"]]
+    assert [got["text"][a : a + 1] for a in spans] == ["Q", "E"] and [x["navigable"] for x in got["links"]] == [True, True]
+    assert K.parse_page("<article><h1>A</h1><nav><p class=sources>x</p></nav></article>", "")["reason"] == "chrome_contains_article_reference"
+
+
 def test_queries_import_without_extras():
     from veritrail.plans import catalog
 

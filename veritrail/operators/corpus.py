@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from .store import strict_json
 
-# Fixed sets: chrome elements, block elements, elements that an article must not hold.
-CHROME = frozenset("nav header footer aside script style form noscript button iframe template".split())
+# Fixed sets: chrome by element and by class, classes that chrome must not hold, elements that part blocks, block elements, elements that an article must not hold.
+CHROME = frozenset("nav script style form noscript button iframe template".split())
+CHROME_CLASSES = frozenset("consent cookie-banner breadcrumbs share-tools related-pages local-toc".split())
+PROTECTED_CLASSES = frozenset("references sources footnotes article-meta advice".split())
+FAQ_CLASS, FAQ_LEVEL = "faq-question", 2
+CONTAINERS = frozenset("div section article main header footer aside figure dl ul ol".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 UNSUPPORTED = frozenset("table math svg object embed".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +35,8 @@ class _Page(HTMLParser):
     def __init__(self, root: str, url: str, most_depth: int = 200):
         super().__init__(convert_charrefs=True)
         self.root, self.url, self.most_depth = root, url, most_depth
-        self.stack: list[tuple[str, dict[str, str], int]] = []
+        self.stack: list[tuple[str, bool, int]] = []  # (tag, is it chrome, its place among its like siblings)
+        self.children: list[dict[str, int]] = [{}]  # tags so far under the document and each open element
         self.lang, self.reason, self.roots = "", "", 0
         self.blocks: list[dict] = []
         self.links: list[dict] = []
@@ -39,6 +44,7 @@ class _Page(HTMLParser):
         self.inside = self.chrome = 0
         self.current: dict | None = None
         self.lists: list[list] = []
+        self.outer = 0  # outermost lists so far
         self.path: list[tuple[int, int]] = []  # (level, block) of the open headings
         self.h1 = 0
 
@@ -56,34 +62,69 @@ class _Page(HTMLParser):
             if tag == "br" and self.current is not None:
                 self.current["text"] = self.current["text"].rstrip(" ") + "\n"
             return
-        if tag in BLOCKS:
-            self._close_block()
-            if tag in ("p", "li") and any(t == tag for t, _, _ in self.stack[-1:]):
-                self.stack.pop()  # an implied end
-        nth = 1 + sum(1 for b in self.stack if b[0] == tag)
-        self.stack.append((tag, given, nth))
+        classes = set(given.get("class", "").split())
+        opens = not self.chrome and (tag in BLOCKS and not self._in_item(tag) or FAQ_CLASS in classes)
+        if not self.chrome:
+            if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
+                self._pop()  # an implied end
+            self._part(tag)
+            if opens:
+                self._close_block()
+        here = self.children[-1]
+        here[tag] = here.get(tag, 0) + 1
+        hidden = tag in CHROME or bool(classes & CHROME_CLASSES)
+        self.stack.append((tag, hidden, here[tag]))
+        self.children.append({})
         if len(self.stack) > self.most_depth:
             self.fail("depth_limit")
-        if tag == self.root and not self.chrome:
+        if tag == self.root and not self.chrome and not hidden:
             self.roots += 1
             self.inside += 1
-        elif self.inside and tag in CHROME:
-            self.chrome += 1
+        if hidden and self.inside and not self.chrome:
             self.excluded.append(self.locator())
+        self.chrome += hidden
+        if self.inside and self.chrome and classes & PROTECTED_CLASSES:
+            self.fail("chrome_contains_article_reference")
         if not self.inside or self.chrome:
-            self.chrome += tag in CHROME and not self.inside
             return
         if tag in UNSUPPORTED:
             self.fail("unsupported_structure")
         if tag in ("ul", "ol"):
             if "reversed" in given or given.get("type"):
                 self.fail("unsupported_list")
+            self.outer += not self.lists
             self.lists.append([tag, int(given["start"]) if given.get("start", "").lstrip("-").isdigit() else 1])
-        if tag in BLOCKS:
-            self._open_block(tag, given)
+        if opens:
+            self._open_block(f"h{FAQ_LEVEL}" if FAQ_CLASS in classes else tag, given)
         if tag == "a" and given.get("href") and self.current is not None:
             target = urljoin(self.url, given["href"])
-            self.links.append({"block": len(self.blocks), "start": len(self.current["text"].lstrip()), "href": given["href"], "target": target, "navigable": urlsplit(target).scheme in ("http", "https")})
+            self.links.append({"block": len(self.blocks), "start": len(self.current["text"]), "href": given["href"], "target": target, "navigable": urlsplit(target).scheme in ("http", "https")})
+
+    def _in_item(self, tag: str) -> bool:
+        """A paragraph or container within a list item is part of the item's text."""
+        return bool(self.lists) and tag not in ("li", "ul", "ol")
+
+    def _part(self, tag: str) -> None:
+        """A container's start or end ends the block at hand; within a list item it is a space."""
+        if self._in_item(tag):
+            if tag in CONTAINERS | BLOCKS and self.current is not None and self.current["text"][-1:] not in ("", " ", "\n"):
+                self.current["text"] += " "
+        elif tag in CONTAINERS:
+            self._close_block()
+
+    def _pop(self) -> str:
+        name, hidden, _ = self.stack.pop()
+        self.children.pop()
+        self.chrome -= hidden
+        return name
+
+    def _resume(self) -> None:
+        """Text without a block of its own: the rest of a list item after a list in it, or a paragraph."""
+        if self.lists and self.blocks and self.blocks[-1]["list"] == self.outer:
+            last = self.blocks.pop()
+            self.current = last | {"text": last["text"] + " ", "mark": 0, "pre": False}
+        else:
+            self._open_block("p", {})
 
     def _open_block(self, tag: str, given: dict[str, str]) -> None:
         kind = "heading" if tag[0] == "h" and tag[1:].isdigit() else "list_item" if tag == "li" else "paragraph"
@@ -95,7 +136,7 @@ class _Page(HTMLParser):
             text = "  " * (len(self.lists) - 1) + (f"{now[1]}. " if now[0] == "ol" else "- ")
             now[1] += 1
         self.h1 += tag == "h1"
-        self.current = {"kind": kind, "level": int(tag[1]) if kind == "heading" else 0, "text": text, "mark": len(text), "locator": self.locator(), "pre": tag == "pre"}
+        self.current = {"kind": kind, "level": int(tag[1]) if kind == "heading" else 0, "text": text, "mark": len(text), "locator": self.locator(), "pre": tag == "pre", "list": self.outer if kind == "list_item" and self.lists else 0}
 
     def _close_block(self) -> None:
         block, self.current = self.current, None
@@ -108,22 +149,23 @@ class _Page(HTMLParser):
             return
         if block["kind"] == "heading":
             self.path = [x for x in self.path if x[0] < block["level"]]
-        self.blocks.append({"kind": block["kind"], "level": block["level"], "text": text, "locator": block["locator"], "headings": [i for _, i in self.path]})
+        self.blocks.append({"kind": block["kind"], "level": block["level"], "text": text, "locator": block["locator"], "list": block["list"], "headings": [i for _, i in self.path]})
         if block["kind"] == "heading":
             self.path.append((block["level"], len(self.blocks) - 1))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID or not any(t == tag for t, _, _ in self.stack):
             return
-        if tag in BLOCKS:
-            self._close_block()
+        if not self.chrome:
+            self._part(tag)
+            if tag in BLOCKS and not self._in_item(tag):
+                self._close_block()
         while self.stack:
-            name, _, _ = self.stack.pop()
-            if name in CHROME and self.chrome:
-                self.chrome -= 1
-            if name in ("ul", "ol") and self.lists and self.inside and not self.chrome:
+            covered = self.chrome > 0
+            name = self._pop()
+            if name in ("ul", "ol") and self.lists and self.inside and not covered:
                 self.lists.pop()
-            if name == self.root and self.inside and not self.chrome:
+            if name == self.root and self.inside and not covered:
                 self._close_block()
                 self.inside -= 1
             if name == tag:
@@ -132,7 +174,7 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.inside and not self.chrome and data.strip():
             if self.current is None:
-                self._open_block("p", {})
+                self._resume()
             if self.current["pre"]:
                 self.current["text"] += data
                 return
@@ -158,13 +200,16 @@ def parse_page(page: str, url: str, language: str | None = "de", root: str = "ar
         reader.fail("h1_not_unique")
     if re.search(r"(?i)\b(404|not found|fehler)\b", name):
         reader.fail("error_page")
-    text = "\n\n".join(b["text"] for b in reader.blocks)
+    pieces, at, before = [], 0, 0
+    for i, block in enumerate(reader.blocks):
+        gap = "" if not i else "\n" if block["list"] and block["list"] == before else "\n\n"  # the items of one list are lines
+        pieces += [gap, block["text"]]
+        block["start"] = at + len(gap)
+        block["end"] = at = block["start"] + len(block["text"])
+        before = block["list"]
+    text = "".join(pieces)
     if len(text) > most_chars:
         reader.fail("char_limit")
-    at = 0
-    for block in reader.blocks:
-        block["start"], block["end"] = at, at + len(block["text"])
-        at = block["end"] + 2
     return {"reason": reader.reason, "title": name, "text": text, "blocks": reader.blocks, "links": reader.links, "excluded": reader.excluded}
 
 
