@@ -79,16 +79,22 @@ def review_state(findings: DataFrame, reviews: DataFrame, finding: str) -> DataF
     return findings.select(finding).join(last, finding, "left").select(finding, F.coalesce("state", F.lit("unreviewed")).alias("state"))
 
 
-def closure(roots: DataFrame, edges: DataFrame, limit: int = 100_000) -> DataFrame:
-    """All ids reachable from the roots over (src, dst), level by level; more than ``limit`` ids is an error."""
+def closure(roots: DataFrame, edges: DataFrame, limit: int | None = 100_000) -> DataFrame:
+    """All ids reachable from the roots over (src, dst), level by level; more than ``limit`` ids is an error, None sets no limit."""
     known = materialise(roots.select("id").distinct(), "closure")
     fresh = known
     while True:
         step = materialise(fresh.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti"), "frontier")
         if not step.limit(1).count():
+            discard(step)
+            if fresh is not known:
+                discard(fresh)
             return known
         grown = materialise(known.unionByName(step), "closure")
-        if grown.count() > limit:
+        discard(known)
+        if fresh is not known:
+            discard(fresh)
+        if limit is not None and grown.count() > limit:
             raise ValueError("record_closure_limit")
         known, fresh = grown, step
 

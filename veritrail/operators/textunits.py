@@ -274,8 +274,10 @@ def context_window(found: DataFrame, targets: DataFrame, key: str, before: int =
         blocks = asked.where("kind not in ('heading', 'sentence') and not closed").select(key, F.col("ord").alias("parent"))
         own.append(said.join(blocks, [key, "parent"], "left_semi").select(key, "ord"))
     anchors = said.join(reduce(DataFrame.unionByName, own), [key, "ord"], "left_semi").select(key, F.col("place").alias("at"), F.col("heading").alias("under"))
-    near = said.join(anchors, key).where(F.col("place").between(F.col("at") - before, F.col("at") + after))
-    near = near.where(F.col("heading") == F.col("under")) if clip else near
+    # Each anchor names the places around it, so that the join is by equality however many anchors a text has.
+    around = anchors.select(key, "under", F.explode(F.sequence(F.col("at") - before, F.col("at") + after)).alias("place"))
+    wanted = around.select(key, "place", F.col("under").alias("heading")) if clip else around.select(key, "place")
+    near = said.join(wanted.distinct(), wanted.columns, "left_semi")
     themselves = asked.where("kind = 'heading' or closed").select(key, "ord", F.when(F.col("kind") == "heading", -1).otherwise(F.col("heading")).alias("heading"))  # a heading has none itself
     chosen = near.select(key, "ord", "heading").unionByName(themselves).distinct()
     heads = chosen.where("heading >= 0").select(key, F.col("heading").alias("ord"))

@@ -48,9 +48,12 @@ def heading_attach(t):
     return _units(t).select("doc_id", "ord", "heading")
 
 
-@plans.add("SELECT doc_id, 2::BIGINT AS start, 2 + length(text) AS \"end\" FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$')")
+@plans.add(
+    r"""WITH p AS (SELECT doc_id, chr(32) || chr(10) || text || chr(9) || chr(32) AS padded FROM documents), s AS (SELECT *, length(regexp_replace(padded, '^[\x09-\x0D ]+', '')) AS rest, length(regexp_replace(padded, '[\x09-\x0D ]+$', '')) AS fin FROM p)
+SELECT doc_id, length(padded) - rest AS start, greatest(length(padded) - rest, fin) AS "end" FROM s"""
+)
 def trimmed_spans(t):
-    d = t("documents").where(~F.col("text").rlike(r"^\s|\s$"))
+    d = t("documents")
     start, end = T.trimmed_span(F.concat(F.lit(" \n"), "text", F.lit("\t ")))
     return d.select("doc_id", start.cast("long").alias("start"), end.cast("long").alias("end"))
 
@@ -66,12 +69,12 @@ def unit_validation(t):
 
 @plans.add(
     f"""WITH {_LINES}, said AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place FROM units WHERE kind = 'sentence'),
-near AS (SELECT DISTINCT s.doc_id, s.ord, s.heading FROM said s JOIN said a ON a.doc_id = s.doc_id AND a.ord % 5 = 2 AND s.place BETWEEN a.place - 1 AND a.place + 1 AND s.heading = a.heading)
-SELECT doc_id, ord FROM near UNION SELECT doc_id, heading FROM near WHERE heading >= 0"""
+near AS (SELECT DISTINCT s.doc_id, s.ord, s.heading FROM said s JOIN said a ON a.doc_id = s.doc_id AND s.place BETWEEN a.place - 1 AND a.place + 1 AND s.heading = a.heading)
+SELECT doc_id, ord FROM near UNION SELECT doc_id, heading FROM near WHERE heading >= 0 UNION SELECT doc_id, ord FROM units WHERE kind = 'heading'"""
 )
 def context_window(t):
     u = _units(t)
-    return U.context_window(u, u.where("kind = 'sentence' and ord % 5 = 2").select("doc_id", "ord"), "doc_id")
+    return U.context_window(u, u.select("doc_id", "ord"), "doc_id")
 
 
 @plans.add(
@@ -96,10 +99,10 @@ def reference_cues(t):
 @plans.add(
     """WITH q AS (SELECT doc_id, text, substr(text, 11, 12) AS quote FROM documents)
 SELECT doc_id, CASE WHEN instr(text, quote) = 0 THEN 'quote_missing' WHEN instr(substr(text, instr(text, quote) + 1), quote) > 0 THEN 'location_ambiguous' ELSE 'located' END AS status,
-  CASE WHEN instr(text, quote) > 0 AND instr(substr(text, instr(text, quote) + 1), quote) = 0 THEN instr(text, quote) - 1 ELSE -1 END AS start FROM q WHERE length(text) > 30"""
+  CASE WHEN instr(text, quote) > 0 AND instr(substr(text, instr(text, quote) + 1), quote) = 0 THEN instr(text, quote) - 1 ELSE -1 END AS start FROM q"""
 )
 def quote_location(t):
-    d = t("documents").where(F.length("text") > 30).select("doc_id", U.locate_quote(F.col("text"), F.substring("text", 11, 12)).alias("q"))
+    d = t("documents").select("doc_id", U.locate_quote(F.col("text"), F.substring("text", 11, 12)).alias("q"))
     return d.select("doc_id", "q.status", "q.start")
 
 
@@ -124,7 +127,7 @@ def json_pointers(t):
     return items.select("conv_id", "turn", F.concat(F.lit("/tasks/0/result/0/items/"), "i").alias("location"))
 
 
-@plans.add("SELECT item_id, replace(replace(substr(text, 1, 700), '%', '%25'), '+', '%2B') AS keyword, 'tag-' || substr(sha256(text), 1, 16) AS tag, length(text) > 700 AS too_long FROM benchmark")
+@plans.add("SELECT item_id, CASE WHEN length(text) <= 700 THEN replace(replace(text, '%', '%25'), '+', '%2B') END AS keyword, 'tag-' || substr(sha256(text), 1, 16) AS tag, length(text) > 700 AS too_long FROM benchmark")
 def request_encoding(t):
-    keyword = F.replace(F.replace(F.substring("text", 1, 700), F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
+    keyword = F.when(F.length("text") <= 700, F.replace(F.replace("text", F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B")))  # a longer one is rejected, never cut
     return t("benchmark").select("item_id", keyword.alias("keyword"), F.concat(F.lit("tag-"), F.substring(F.sha2("text", 256), 1, 16)).alias("tag"), (F.length("text") > 700).alias("too_long"))
