@@ -26,14 +26,18 @@ def bm25_scores(queries: DataFrame, passages: DataFrame, query: str, claim: str,
     """(query, key, score) of every passage that shares a term with a query.
 
     The Lucene variant without the (k1 + 1) factor; a term counts as often as the query repeats it.  Passage terms outside all queries
-    are dropped before anything is shuffled.
+    are dropped before anything is shuffled.  Texts are cut into tokens once: an empty term stands for each passage as a whole, so that
+    counts, document frequencies and lengths all come from one shuffled table.
     """
     asked = queries.select(query, F.explode(tokens(F.col(claim))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    cut = passages.select(key, tokens(F.col(text)).alias("t"))
-    corpus = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    found = cut.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    whole = F.lit("")  # no token is empty
+    wanted = asked.select("term").unionByName(passages.sparkSession.range(1).select(whole.alias("term"))).distinct()
+    cut = passages.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode(F.array_append("t", whole)).alias("term"))
+    tf = cut.join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    # No use filters the table and each reads all its columns, so that the plans are equal and the shuffle is reused; queries have no empty term.
+    counted, is_whole = F.col("tf") * F.col("dl") >= 0, F.col("term") == whole
+    corpus = tf.agg(F.count_if(counted & is_whole).alias("n"), F.avg(F.when(is_whole, F.col("dl"))).alias("avgdl"))
+    df = tf.groupBy("term").agg(F.count_if(counted).alias("df"))
     weight = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # corpus is one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
     return tf.join(asked.join(weight, "term"), "term").groupBy(query, key).agg(F.round(F.sum(part), 9).alias("score"))
@@ -61,7 +65,7 @@ def path_trace(scores: DataFrame, query: str, key: str, scored: Column, k: int =
     """Per query: scored, eligible and omitted passages and whether the k-th and the next score are equal."""
     best = top_k(scores, query, key, k + 1)
     border = best.groupBy(query).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == k + 1, F.col("score"))).alias("b"))
-    counted = scores.groupBy(query).agg(F.count("*").alias("eligible"))
+    counted = scores.groupBy(query).agg(F.count("score").alias("eligible"))  # reads the score, so that the scores' shuffle is reused
     return counted.join(border, query).select(query, scored.alias("scored"), "eligible", F.greatest(F.col("eligible") - k, F.lit(0)).alias("omitted"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("tied_at_boundary"))
 
 
