@@ -100,9 +100,13 @@ def strict_json(t):
     return t("events").select("event_id", S.strict_json(F.when(kind == 0, doubled).when(kind == 4, F.concat("props", F.lit("}"))).otherwise(F.col("props"))).alias("status"))
 
 
-@plans.add("SELECT page_id, 'content-type,etag' AS kept FROM pages")
+# Headers by what the page is: an entity tag under two spellings, a date for long pages, a cookie always.
+@plans.add(
+    """WITH h AS (SELECT page_id, ['Content-Type', 'Set-Cookie', CASE WHEN length(html) % 2 = 0 THEN 'ETag' ELSE 'X-ETag' END, CASE WHEN length(html) > 1500 THEN 'LAST-MODIFIED' ELSE 'Date' END] AS names FROM pages)
+SELECT page_id, array_to_string(list_sort(list_filter(list_transform(names, lambda x: lower(x)), lambda x: x IN ('content-type', 'etag', 'last-modified'))), ',') AS kept FROM h"""
+)
 def header_filter(t):
-    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Set-Cookie"), F.lit("a=b"), F.lit("ETag"), F.md5("html"))
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Set-Cookie"), F.lit("a=b"), F.when(F.length("html") % 2 == 0, "ETag").otherwise("X-ETag"), F.md5("html"), F.when(F.length("html") > 1500, "LAST-MODIFIED").otherwise("Date"), F.lit("x"))
     kept = S.allowed_headers(headers, ("content-type", "etag", "last-modified"))
     return t("pages").select("page_id", F.array_join(F.array_sort(F.transform(F.map_keys(kept), F.lower)), ",").alias("kept"))
 
