@@ -89,6 +89,19 @@ def membership_violations(hits: DataFrame, query: str, key: str) -> DataFrame:
     return by.select(query, F.explode(code).alias("code"))
 
 
+def rescore_violations(saved: DataFrame, fresh: DataFrame, query: str, key: str, tolerance: float = 1e-6) -> DataFrame:
+    """(query, key, code) where saved hits (score, rank) differ from hits scored again: hit_missing, hit_unexpected, score_mismatch or rank_mismatch, the first that fits."""
+    a = saved.select(query, key, F.col("score").alias("old_score"), F.col("rank").alias("old_rank"))
+    b = fresh.select(query, key, F.col("score").alias("new_score"), F.col("rank").alias("new_rank"))
+    code = (
+        F.when(F.col("old_rank").isNull(), "hit_missing")
+        .when(F.col("new_rank").isNull(), "hit_unexpected")
+        .when(F.abs(F.col("old_score") - F.col("new_score")) > tolerance, "score_mismatch")
+        .when(F.col("old_rank") != F.col("new_rank"), "rank_mismatch")
+    )
+    return a.join(b, [query, key], "full_outer").select(query, key, code.alias("code")).where("code is not null")
+
+
 def neighbours(passages: DataFrame, article: str, order: str, key: str, headings: str) -> DataFrame:
     """(key, context): the passage with its direct predecessor and successor of the same section, in order."""
     w = W.partitionBy(article).orderBy(order)
