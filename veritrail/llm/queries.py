@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import audio, bpe, extraction, imatch, language, mixing, near, quality, secrets, urls
+from . import audio, bpe, decontam, extraction, imatch, language, merge, mixing, near, quality, secrets, urls, whiten
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,5 +56,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_language, op3_quality, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE, "op8_jaccard": near.ORACLE}
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.merge_branches(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_extract, op2_language, op3_quality, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets, op11_winnowing, op12_whitening, op13_merge)
+}
+ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE, "op8_jaccard": near.ORACLE, "op11_winnowing": decontam.ORACLE, "op13_merge": merge.ORACLE}
