@@ -698,8 +698,7 @@ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b
 links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, both_ways.y FROM reach JOIN both_ways ON reach.r = both_ways.x),
-component AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1),
-degree AS (SELECT x AS doc_id, count(*) AS n_links FROM both_ways GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(g.n_links, 0) AS n_links
-FROM documents d JOIN component c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN degree g ON g.doc_id = d.doc_id
+component AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d JOIN component c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """

@@ -45,7 +45,7 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return near.near_components(table(spark, sf_dir, "documents"), k=3, percent=90, links=False)
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
