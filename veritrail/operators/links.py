@@ -280,22 +280,31 @@ def _broken(rule: Column) -> Column:
     return ~F.coalesce(rule, F.lit(False))
 
 
-def violations(records: dict[str, DataFrame]) -> DataFrame:
-    """(id, kind, code) of everything that is wrong with the links of a set of records, given as one table per kind with that kind's schema."""
-    spans = all_spans(records)
-    card = materialise(cards(records), "cards")
-    links = edges(records)
+def _met(records: dict[str, DataFrame], spans: DataFrame | None, only_spans: bool) -> DataFrame:
+    """Every edge with its owner's card ``o`` and its target's kind and card ``t``."""
+    parts = [] if only_spans else [edges(records).withColumn("span", F.lit(None).cast(_span_type()))]
     if spans is not None:
         ends = [F.struct(F.lit(role).alias("role"), F.col(f"span.{field}").alias("target"), F.lit(expected).alias("expected"), F.col("span").alias("span")) for role, field, expected in (("span_text", "text_id", "text"), ("span_unit", "source_unit_id", "text_unit"))]
-        placed = spans.select("id", "kind", F.explode(F.array(*ends)).alias("e"))
-        links = links.unionByName(placed.select("id", "kind", "e.*").where("target is not null"), allowMissingColumns=True)
-    else:
-        links = links.withColumn("span", F.lit(None).cast(_span_type()))
-    # An owner's card meets its edges by the owner's id, the target's by the target's.
-    links = links.join(card.select("id", F.col("card").alias("o")), "id", "left")
-    met = materialise(links.join(card.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("card").alias("t")), "target", "left"), "links")
-    right_kind = (F.col("expected") == ANY) | (F.col("target_kind") == F.col("expected"))
+        parts.append(spans.select("id", "kind", F.explode(F.array(*ends)).alias("e")).select("id", "kind", "e.*").where("target is not null"))
+    card = materialise(cards(records), "cards")
+    owned = reduce(DataFrame.unionByName, parts).join(card.select("id", F.col("card").alias("o")), "id", "left")
+    return materialise(owned.join(card.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("card").alias("t")), "target", "left"), "links")
+
+
+def _within_spans(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spans outside their text or with another quote than the text has there."""
+    both = spans.select("id", "kind", "span.*").join(texts.groupBy(F.col("id").alias("text_id")).agg(F.min("text").alias("text")), "text_id")
+    outside = (F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("text"))
+    return _codes(both, [("span_out_of_bounds", outside), ("quote_mismatch", ~outside & ~code_point_slice(F.col("text"), F.col("start"), F.col("end")).eqNullSafe(F.col("exact_text")))])
+
+
+def violations(records: dict[str, DataFrame], codes: Iterable[str] | None = None) -> DataFrame:
+    """(id, kind, code) of everything that is wrong with the links of a set of records, given as one table per kind with that kind's schema; with ``codes`` of those alone."""
+    wanted = None if codes is None else set(codes)
+    asked = lambda *some: wanted is None or bool(wanted & set(some))
+    spans = all_spans(records)
     at = lambda kind, role: (F.col("role") == role) & (F.lit(True) if kind is None else F.col("kind") == kind)
+    right_kind = (F.col("expected") == ANY) | (F.col("target_kind") == F.col("expected"))
     run_roles = [at(kind, role) for kind, found in EDGES.items() for role, _, _ in found if _same_run(kind, role)]
     unit = (_t("text") == F.col("span.text_id")) & (_t("start") <= F.col("span.start")) & (F.col("span.start") < F.col("span.end")) & (F.col("span.end") <= _t("end"))
     rules = [
@@ -303,35 +312,41 @@ def violations(records: dict[str, DataFrame]) -> DataFrame:
         ("wrong_record_kind", F.col("target_kind").isNotNull() & ~right_kind),
         ("run_mismatch", right_kind & F.col("target_kind").isin(*DERIVED) & reduce(Column.__or__, run_roles) & ~_alike("run")),
         ("source_unit_mismatch", right_kind & (F.col("role") == "span_unit") & _broken(unit)),
-        *[(code, right_kind & at(kind, role) & _broken(rule)) for code, kind, role, rule in edge_rules()],
+        *[(code, right_kind & at(kind, role) & _broken(rule)) for code, kind, role, rule in edge_rules() if kind in records],
     ]
-    found = [_codes(met, rules)]
-    found += [_codes(records[kind].withColumn("kind", F.lit(kind)), [(code, _broken(F.expr(rule)))]) for code, kind, rule in OWN if kind in records]
-    for code, kind, role, listed, entry in LISTED:
-        if kind in records:
-            own = records[kind].select("id", F.transform(F.coalesce(listed, F.array().cast(records[kind].schema[listed].dataType)), lambda s: s["text_id"]).alias("texts"))
-            both = met.where(at(kind, role) & right_kind).join(own, "id")
-            found.append(_codes(both, [(code, _broken(_all_are(F.col("texts"), _t(entry))))]))
-    found += [_members(met, right_kind, at), _twice(met, right_kind), _histories(records)]
-    if spans is not None and "text" in records:
-        texts = records["text"].groupBy(F.col("id").alias("text_id")).agg(F.min("text").alias("text"))
-        both = spans.select("id", "kind", "span.*").join(texts, "text_id")
-        outside = (F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("text"))
-        found.append(_codes(both, [("span_out_of_bounds", outside), ("quote_mismatch", ~outside & ~code_point_slice(F.col("text"), F.col("start"), F.col("end")).eqNullSafe(F.col("exact_text")))]))
-    ids = reduce(DataFrame.unionByName, [t.select("id", F.lit(kind).alias("kind")) for kind, t in records.items()])
-    found.append(ids.groupBy("id").agg(F.min("kind").alias("kind"), F.count("*").alias("n")).where("n > 1").select("id", "kind", F.lit("duplicate_id").alias("code")))
-    return reduce(DataFrame.unionByName, [f for f in found if f is not None]).distinct()
+    rules = [(code, broken) for code, broken in rules if asked(code)]
+    found: list[DataFrame | None] = []
+    members = [m for m in MEMBERS if asked(m[0])]
+    listed = [x for x in LISTED if x[1] in records and asked(x[0])]
+    if rules or members or listed or asked("duplicate_candidate_passage"):
+        met = _met(records, spans, only_spans={code for code, _ in rules} == {"source_unit_mismatch"} and not members and not listed and not asked("duplicate_candidate_passage"))
+        found.append(_codes(met, rules) if rules else None)
+        for code, kind, role, column, entry in listed:
+            own = records[kind].select("id", F.transform(F.coalesce(column, F.array().cast(records[kind].schema[column].dataType)), lambda s: s["text_id"]).alias("texts"))
+            found.append(_codes(met.where(at(kind, role) & right_kind).join(own, "id"), [(code, _broken(_all_are(F.col("texts"), _t(entry))))]))
+        found.append(_members(met, right_kind, at, members) if members else None)
+        found.append(_twice(met, right_kind) if asked("duplicate_candidate_passage") else None)
+    found += [_codes(records[kind].withColumn("kind", F.lit(kind)), [(code, _broken(F.expr(rule)))]) for code, kind, rule in OWN if kind in records and asked(code)]
+    if asked("branched_history", "history_cycle", "multiple_selected_findings"):
+        found.append(_histories(records))
+    if spans is not None and "text" in records and asked("span_out_of_bounds", "quote_mismatch"):
+        found.append(_within_spans(spans, records["text"]))
+    if asked("duplicate_id"):
+        ids = reduce(DataFrame.unionByName, [t.select("id", F.lit(kind).alias("kind")) for kind, t in records.items()])
+        found.append(ids.groupBy("id").agg(F.min("kind").alias("kind"), F.count("*").alias("n")).where("n > 1").select("id", "kind", F.lit("duplicate_id").alias("code")))
+    out = reduce(DataFrame.unionByName, [f for f in found if f is not None]).distinct()
+    return out if wanted is None else out.where(F.col("code").isin(*wanted))
 
 
 def _all_are(values: Column, one: Column) -> Column:
     return F.forall(values, lambda x: x.eqNullSafe(one))
 
 
-def _members(met: DataFrame, right_kind: Column, at: Callable[[str | None, str], Column]) -> DataFrame:
+def _members(met: DataFrame, right_kind: Column, at: Callable[[str | None, str], Column], members: list) -> DataFrame:
     """Violations of membership: asked for as rows, answered by the edges."""
     asked = F.array_compact(F.array(*[
         F.when(right_kind & at(kind, role) & F.coalesce(where(), F.lit(False)), F.struct(owner().alias("list_of"), F.lit(listed).alias("list"), member().alias("member"), F.lit(code).alias("code")))
-        for code, kind, role, owner, listed, where, member in MEMBERS
+        for code, kind, role, owner, listed, where, member in members
     ]))
     rows = met.select("id", "kind", F.explode(asked).alias("q")).select("id", "kind", "q.*")
     held = met.select(F.col("id").alias("list_of"), F.col("role").alias("list"), F.col("target").alias("member"))

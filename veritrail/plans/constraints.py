@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import constraints as G
+from ..operators import links
+from . import bundle
 from .base import Plans
 
 plans = Plans()
@@ -19,39 +21,6 @@ def duplicate_ids(t):
     return G.duplicate_ids(t("documents").select(F.md5("text").alias("id")))
 
 
-@plans.add("SELECT l.doc_id AS src, l.doc_id + CASE WHEN l.doc_id % 9 = 0 THEN 10000000 ELSE 0 END AS dst, CASE WHEN l.doc_id % 9 = 0 THEN 'missing_id' ELSE 'wrong_record_kind' END AS code FROM labels l WHERE l.doc_id % 9 = 0 OR l.doc_id % 10 = 3")
-def dangling_refs(t):
-    records = t("documents").select(F.col("doc_id").alias("id"), F.when(_m("doc_id", 10) == 3, "text").otherwise("artifact").alias("kind"))
-    edges = t("labels").select(F.col("doc_id").alias("src"), (F.col("doc_id") + F.when(_m("doc_id", 9) == 0, 10000000).otherwise(0)).alias("dst"), F.lit("artifact").alias("expected"))
-    return G.dangling(edges, records)
-
-
-@plans.add(
-    """WITH s AS (SELECT doc_id, text, length(text) // 4 + CASE WHEN doc_id % 8 = 1 THEN -100000 ELSE 0 END AS start, length(text) // 2 + 1 + CASE WHEN doc_id % 8 = 2 THEN 100000 ELSE 0 END AS "end" FROM documents)
-SELECT doc_id AS owner, CASE WHEN doc_id % 8 IN (1, 2) THEN 'span_out_of_bounds' ELSE 'quote_mismatch' END AS code FROM s WHERE doc_id % 8 IN (1, 2, 3)"""
-)
-def span_violations(t):
-    d = t("documents").select(F.col("doc_id").alias("text_id"), "text", F.floor(F.length("text") / 4).alias("a"), (F.floor(F.length("text") / 2) + 1).alias("b"))
-    quote = F.substring("text", F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int"))
-    kind = _m("text_id", 8)
-    spans = d.select(F.col("text_id").alias("owner"), "text_id", (F.col("a") + F.when(kind == 1, -100000).otherwise(0)).alias("start"), (F.col("b") + F.when(kind == 2, 100000).otherwise(0)).alias("end"), F.when(kind == 3, F.concat(quote, F.lit("x"))).otherwise(quote).alias("exact_text"))
-    return G.span_violations(spans, d)
-
-
-@plans.add("SELECT conv_id, turn, 'run_mismatch' AS code FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 17 = 0")
-def run_mismatch(t):
-    c = t("conversations").where("role = 'assistant'").withColumn("run", F.when((F.col("conv_id") + F.col("turn")) % 17 == 0, -1).otherwise(F.col("conv_id"))).withColumn("id", F.struct("conv_id", "turn"))
-    runs = t("conversations").select("conv_id", F.col("conv_id").alias("run_of_conversation")).distinct()
-    return G.linked_violations(c, runs, ["conv_id"], "id", {"run_mismatch": F.col("run") == F.col("run_of_conversation")}).select("id.conv_id", "id.turn", "code")
-
-
-@plans.add("SELECT doc_id, 'observation_mismatch' AS code FROM labels WHERE doc_id % 6 = 5")
-def observation_mismatch(t):
-    claims = t("documents").select("doc_id", F.col("source").alias("observation"))
-    linked = t("labels").join(claims.select("doc_id", F.col("observation").alias("o")), "doc_id").withColumn("o", F.when(_m("doc_id", 6) == 5, "other").otherwise(F.col("o")))
-    return G.linked_violations(linked.select("doc_id", "o"), claims, ["doc_id"], "doc_id", {"observation_mismatch": F.col("o") == F.col("observation")})
-
-
 # Lineage: document n was made from n // 2, 0 is the root; ids 7 and 14 to 15 of each thousand form cycles.
 _PARENT = "CASE WHEN doc_id = 0 THEN NULL WHEN doc_id % 1000 = 7 THEN doc_id + 7 ELSE doc_id // 2 END"
 
@@ -66,118 +35,11 @@ def lineage_root(t):
     return G.lineage_roots(t("documents").select("doc_id", parent.alias("parent")), "doc_id", "parent").select("doc_id", F.coalesce("root", F.lit(-1)).cast("long").alias("root"), F.col("depth").cast("long").alias("depth"))
 
 
-@plans.add(
-    """SELECT conv_id, turn, code FROM (SELECT conv_id, turn, text, unnest(['successful_answer_empty', 'capture_request_mismatch']) AS code, (conv_id * 3 + turn) % 19 AS k FROM conversations WHERE role = 'assistant')
-WHERE (code = 'successful_answer_empty' AND k = 0) OR (code = 'capture_request_mismatch' AND k = 1)"""
-)
-def observation_violations(t):
-    k = (F.col("conv_id") * 3 + F.col("turn")) % 19
-    a = t("conversations").where("role = 'assistant'").select("conv_id", "turn", F.struct("conv_id", "turn").alias("id"), F.when(k == 0, "").otherwise(F.col("text")).alias("answer"), F.when(k == 1, -1).otherwise(F.col("conv_id")).alias("query"))
-    asked = t("conversations").select("conv_id", F.col("conv_id").alias("asked")).distinct()
-    return G.linked_violations(a, asked, ["conv_id"], "id", {"successful_answer_empty": F.length("answer") > 0, "capture_request_mismatch": F.col("query") == F.col("asked")}).select("id.conv_id", "id.turn", "code")
-
-
-@plans.add("SELECT page_id, CASE WHEN page_id % 12 = 0 THEN 'source_metadata_artifact_mismatch' ELSE 'citation_text_mismatch' END AS code FROM pages WHERE page_id % 12 IN (0, 5)")
-def source_reference_violations(t):
-    p = t("pages").select("page_id", F.when(_m("page_id", 12) == 0, "x").otherwise(F.md5("html")).alias("artifact"), F.when(_m("page_id", 12) == 5, "x").otherwise(F.md5("url")).alias("cited"))
-    o = t("pages").select("page_id", F.md5("html").alias("raw"), F.md5("url").alias("answer"))
-    return G.linked_violations(p, o, ["page_id"], "page_id", {"source_metadata_artifact_mismatch": F.col("artifact") == F.col("raw"), "citation_text_mismatch": F.col("cited") == F.col("answer")})
-
-
-@plans.add("SELECT doc_id, CASE WHEN doc_id % 15 = 2 THEN 'unit_outside_parent' WHEN doc_id % 15 = 3 THEN 'not_a_heading' ELSE 'unit_text_mismatch' END AS code FROM documents WHERE doc_id % 15 IN (2, 3, 4)")
-def unit_violations(t):
-    k = _m("doc_id", 15)
-    units = t("documents").select("doc_id", F.lit(1).alias("start"), (F.length("text") + F.when(k == 2, 5).otherwise(0)).alias("end"), F.when(k == 3, "sentence").otherwise("heading").alias("heading_kind"), F.when(k == 4, "other").otherwise(F.md5("text")).alias("t"))
-    parents = t("documents").select("doc_id", F.lit(0).alias("a"), F.length("text").alias("b"), F.md5("text").alias("pt"))
-    return G.linked_violations(units, parents, ["doc_id"], "doc_id", {"unit_outside_parent": (F.col("a") <= F.col("start")) & (F.col("end") <= F.col("b")), "not_a_heading": F.col("heading_kind") == "heading", "unit_text_mismatch": F.col("t") == F.col("pt")})
-
-
-@plans.add("SELECT doc_id, CASE WHEN doc_id % 20 = 1 THEN 'claim_text_mismatch' WHEN doc_id % 20 = 2 THEN 'source_unit_not_in_context' ELSE 'context_observation_mismatch' END AS code FROM documents WHERE doc_id % 20 IN (1, 2, 3)")
-def claim_violations(t):
-    k = _m("doc_id", 20)
-    claims = t("documents").select("doc_id", F.when(k == 1, "x").otherwise(F.md5("text")).alias("t"), F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("context"), F.when(k == 2, -1).otherwise(F.col("doc_id")).alias("unit"), F.when(k == 3, "x").otherwise(F.col("source")).alias("o"))
-    texts = t("documents").select("doc_id", F.md5("text").alias("answer"), "source")
-    return G.linked_violations(claims, texts, ["doc_id"], "doc_id", {"claim_text_mismatch": F.col("t") == F.col("answer"), "source_unit_not_in_context": F.array_contains("context", F.col("unit")), "context_observation_mismatch": F.col("o") == F.col("source")})
-
-
-@plans.add("SELECT page_id, CASE WHEN page_id % 9 = 1 THEN 'citation_no_requires_complete_capture' ELSE 'citation_not_captured' END AS code FROM pages WHERE page_id % 9 IN (1, 2)")
-def citation_violations(t):
-    k = _m("page_id", 9)
-    c = t("pages").select("page_id", F.when(k == 1, "no").otherwise("yes").alias("status"), F.when(k == 2, -1).otherwise(F.col("page_id")).alias("reference"))
-    o = t("pages").select("page_id", F.lit("incomplete").alias("availability"), F.array("page_id").alias("captured"))
-    return G.linked_violations(c, o, ["page_id"], "page_id", {"citation_no_requires_complete_capture": (F.col("status") != "no") | (F.col("availability") == "available"), "citation_not_captured": F.array_contains("captured", F.col("reference"))})
-
-
-@plans.add("SELECT doc_id, CASE WHEN doc_id % 14 = 1 THEN 'article_raw_provenance_mismatch' WHEN doc_id % 14 = 2 THEN 'article_cleaned_lineage_mismatch' ELSE 'article_version_mismatch' END AS code FROM documents WHERE doc_id % 14 IN (1, 2, 3)")
-def article_violations(t):
-    k = _m("doc_id", 14)
-    a = t("documents").select("doc_id", F.when(k == 1, "x").otherwise(F.md5("text")).alias("raw"), F.when(k == 2, -1).otherwise(F.col("doc_id")).alias("root"), F.when(k == 3, "x").otherwise(F.col("source")).alias("url"))
-    o = t("documents").select("doc_id", F.md5("text").alias("digest"), F.col("source").alias("previous_url"))
-    return G.linked_violations(a, o, ["doc_id"], "doc_id", {"article_raw_provenance_mismatch": F.col("raw") == F.col("digest"), "article_cleaned_lineage_mismatch": F.col("root") == F.col("doc_id"), "article_version_mismatch": F.col("url") == F.col("previous_url")})
-
-
-@plans.add("SELECT doc_id, CASE WHEN doc_id % 16 = 1 THEN 'passage_article_mismatch' ELSE 'passage_parent_mismatch' END AS code FROM documents WHERE doc_id % 16 IN (1, 2)")
-def passage_violations(t):
-    k = _m("doc_id", 16)
-    p = t("documents").select("doc_id", F.when(k == 1, "x").otherwise(F.md5("text")).alias("t"), F.when(k == 2, -1).otherwise(F.col("doc_id")).alias("parent"))
-    o = t("documents").select("doc_id", F.md5("text").alias("cleaned"))
-    return G.linked_violations(p, o, ["doc_id"], "doc_id", {"passage_article_mismatch": F.col("t") == F.col("cleaned"), "passage_parent_mismatch": F.col("parent") == F.col("doc_id")})
-
-
 @plans.add("SELECT source, count(*) FILTER (doc_id % 25 <> 4) AS usable, count(*) AS articles, CASE WHEN count(*) FILTER (doc_id % 25 = 4) = 0 THEN 'ready' WHEN count(*) FILTER (doc_id % 25 <> 4) > 0 THEN 'incomplete' ELSE 'failed' END AS status FROM documents GROUP BY 1")
 def manifest_readiness(t):
     return G.manifest_state(t("documents"), "source", _m("doc_id", 25) != 4)
 
 
-@plans.add("SELECT doc_id AS passage_id, CASE WHEN doc_id % 25 = 4 THEN 'corpus_contains_unusable_article' ELSE 'corpus_passage_mismatch' END AS code FROM documents WHERE doc_id % 25 IN (4, 5)")
-def manifest_violations(t):
-    k = _m("passage_id", 25)
-    p = t("documents").select(F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("article"))
-    p = p.withColumn("listed", F.when(k == 5, -1).otherwise(F.col("article")))
-    a = t("documents").select(F.col("doc_id").alias("article"), F.when(_m("doc_id", 25) == 4, "failed").otherwise("usable").alias("status"))
-    return G.linked_violations(p, a, ["article"], "passage_id", {"corpus_contains_unusable_article": F.col("status") == "usable", "corpus_passage_mismatch": F.col("listed") == F.col("article")})
-
-
-@plans.add(
-    """WITH pairs AS (SELECT event_id, user_id AS batch, event_id % 97 AS passage FROM events)
-SELECT batch, passage, CASE WHEN passage > 90 THEN 'pair_passage_outside_corpus' ELSE 'duplicate_candidate_passage' END AS code FROM pairs GROUP BY 1, 2 HAVING count(*) > 1 OR passage > 90"""
-)
-def batch_violations(t):
-    pairs = t("events").select(F.col("user_id").alias("batch"), (F.col("event_id") % 97).alias("passage"))
-    by = pairs.groupBy("batch", "passage").agg(F.count("*").alias("n"))
-    corpus = t("documents").where("doc_id <= 90").select(F.col("doc_id").alias("passage"), F.lit(True).alias("inside"))
-    both = by.join(corpus, "passage", "left")
-    return both.select("batch", "passage", F.when(F.col("inside").isNull(), "pair_passage_outside_corpus").when(F.col("n") > 1, "duplicate_candidate_passage").alias("code")).where("code is not null")
-
-
-@plans.add("SELECT page_id, CASE WHEN page_id % 8 = 1 THEN 'alternative_observation_mismatch' WHEN page_id % 8 = 2 THEN 'duplicate_group_mismatch' ELSE 'alternative_excerpt_mismatch' END AS code FROM pages WHERE page_id % 8 IN (1, 2, 3)")
-def alternative_violations(t):
-    k = _m("page_id", 8)
-    a = t("pages").select("page_id", F.when(k == 1, -1).otherwise(F.col("page_id")).alias("o"), F.when(k == 2, "g").alias("grp"), F.when(k == 3, "x").otherwise(F.md5("html")).alias("e"))
-    r = t("pages").select("page_id", F.col("page_id").alias("ro"), F.lit(None).cast("string").alias("rg"), F.md5("html").alias("re"))
-    return G.linked_violations(a, r, ["page_id"], "page_id", {"alternative_observation_mismatch": F.col("o") == F.col("ro"), "duplicate_group_mismatch": F.col("grp").eqNullSafe(F.col("rg")), "alternative_excerpt_mismatch": F.col("e") == F.col("re")})
-
-
-@plans.add("SELECT event_id AS src, event_id + 9990 AS dst, 'missing_id' AS code FROM events WHERE event_id + 9990 NOT IN (SELECT event_id FROM events) UNION ALL SELECT event_id, event_id + 9990, 'wrong_record_kind' FROM events e WHERE EXISTS (SELECT 1 FROM events f WHERE f.event_id = e.event_id + 9990 AND f.event_type <> 'click')")
-def decision_lineage(t):
-    records = t("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
-    return G.dangling(t("events").select(F.col("event_id").alias("src"), (F.col("event_id") + 9990).alias("dst"), F.lit("click").alias("expected")), records)
-
-
-@plans.add("SELECT user_id AS run, count(*) AS outputs, count(*) FILTER (event_id % 3 = 0) AS foreign_outputs FROM events GROUP BY 1")
-def run_manifest_check(t):
-    outputs = t("events").select(F.col("user_id").alias("run"), F.when(_m("event_id", 3) == 0, -1).otherwise(F.col("user_id")).alias("owner"))
-    return outputs.groupBy("run").agg(F.count("*").alias("outputs"), F.count_if(F.col("owner") != F.col("run")).alias("foreign_outputs"))
-
-
-@plans.add("SELECT page_id, CASE WHEN page_id % 10 = 1 THEN 'category_one_requires_citation' WHEN page_id % 10 = 2 THEN 'uncited_finding_requires_no_citation' ELSE 'unclear_finding_requires_unclear_citation' END AS code FROM pages WHERE page_id % 10 IN (1, 2, 3)")
-def finding_violations(t):
-    k = _m("page_id", 10)
-    f = t("pages").select("page_id", F.when(k == 1, 1).when(k == 2, 2).otherwise(0).alias("category"), F.when(k == 3, "citation_unclear").otherwise("categorized").alias("status"))
-    c = t("pages").select("page_id", F.when(k == 2, "yes").otherwise("no").alias("citation"))
-    return G.linked_violations(f, c, ["page_id"], "page_id", {"category_one_requires_citation": (F.col("category") != 1) | (F.col("citation") == "yes"), "uncited_finding_requires_no_citation": (F.col("category") < 2) | (F.col("citation") == "no"), "unclear_finding_requires_unclear_citation": (F.col("status") != "citation_unclear") | (F.col("citation") == "unclear")})
-
-
 # Findings: an event supersedes the one ten before it; every 50th branches off an older one, ids 30 and 40 form a loop.
 _PREV = "CASE WHEN event_id = 30 THEN 40 WHEN event_id >= 10 AND event_id % 50 <> 0 THEN event_id - 10 WHEN event_id >= 50 THEN event_id - 20 END"
 
@@ -254,3 +116,160 @@ def corpus_status(t):
 def failure_ledger(t):
     bad = t("events").where("event_type = 'error' or value > 50")
     return bad.groupBy(F.col("event_type").alias("operation"), (F.col("user_id") % 5).alias("code")).agg(F.count("*").alias("failures"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"))
+
+
+# Links of the record graph in bundle.py: the operator finds all violations of the given kinds, the twins state each rule over the records' columns.
+
+
+def _links(name: str, kinds: str, owners: str, codes: str, rules: str):
+    """Register the query of some codes of some owners; ``rules`` selects (id, code), rows may repeat."""
+    owner_list, code_list, kind_list = owners.split(), codes.split(), kinds.split()
+
+    def query(t):
+        found = links.violations(bundle.records(t("documents"), kind_list), code_list)
+        return found.where(F.col("kind").isin(owner_list)).select("id", "code")
+
+    query.__name__ = name
+    plans.add(f"WITH RECURSIVE {bundle.ctes(*kind_list)}{_LINEAGE if 'text' in kind_list and 'root' in rules else ''}\nSELECT DISTINCT id, code FROM ({rules}) WHERE code IS NOT NULL")(query)
+
+
+#: Each text's root: null on a cycle, or where the lineage ends at a text that isn't there.
+_LINEAGE = """,
+up(id, pos, depth) AS (SELECT id, id, 0 FROM text_ UNION ALL SELECT u.id, x.source_text_id, u.depth + 1 FROM up u JOIN text_ x ON x.id = u.pos WHERE x.source_text_id IS NOT NULL AND u.depth < 60),
+root_ AS (SELECT u.id, x.id AS root, x.artifact_id AS root_artifact FROM up u JOIN text_ x ON x.id = u.pos WHERE x.source_text_id IS NULL),
+cycle_ AS (SELECT id FROM text_ WHERE id NOT IN (SELECT id FROM root_))"""
+
+_links(
+    "observation_violations", "capture_request observation text source_reference", "observation",
+    "capture_request_mismatch answer_artifact_provenance_mismatch successful_answer_empty reference_observation_mismatch not_a_citation_reference text_lineage_cycle",
+    """SELECT o.id, 'capture_request_mismatch' AS code FROM observation_ o JOIN capture_request_ q ON q.id = o.request_id WHERE (o.query_id, o.product, o.provider) <> (q.query_id, q.product, q.provider)
+UNION ALL SELECT o.id, 'answer_artifact_provenance_mismatch' FROM observation_ o JOIN root_ r ON r.id = o.answer_text_id WHERE r.root_artifact <> o.raw_artifact_id
+UNION ALL SELECT o.id, 'successful_answer_empty' FROM observation_ o JOIN text_ x ON x.id = o.answer_text_id WHERE o.status = 'succeeded' AND trim(x.text) = ''
+UNION ALL SELECT o.id, 'text_lineage_cycle' FROM observation_ o JOIN cycle_ c ON c.id = o.answer_text_id
+UNION ALL SELECT o.id, 'reference_observation_mismatch' FROM (SELECT id, unnest(list_concat(source_reference_ids__data, citation_reference_ids__data)) AS ref FROM observation_) o JOIN source_reference_ r ON r.id = o.ref WHERE r.observation_id <> o.id
+UNION ALL SELECT o.id, 'not_a_citation_reference' FROM (SELECT id, unnest(citation_reference_ids__data) AS ref FROM observation_) o JOIN source_reference_ r ON r.id = o.ref WHERE r.reference_kind <> 'citation'""",
+)
+_links(
+    "source_reference_violations", "source_reference observation", "source_reference", "source_metadata_artifact_mismatch citation_text_mismatch",
+    """SELECT r.id, unnest([CASE WHEN r.metadata_artifact_id <> o.raw_artifact_id THEN 'source_metadata_artifact_mismatch' END, CASE WHEN r.citation_span__text_id <> o.answer_text_id THEN 'citation_text_mismatch' END]) AS code
+FROM source_reference_ r JOIN observation_ o ON o.id = r.observation_id""",
+)
+_links(
+    "unit_violations", "text_unit observation", "text_unit", "unit_text_mismatch unit_relationship_mismatch unit_outside_parent not_a_heading",
+    """SELECT u.id, 'unit_text_mismatch' AS code FROM text_unit_ u JOIN observation_ o ON o.id = u.observation_id WHERE u.span__text_id <> o.answer_text_id
+UNION ALL SELECT u.id, 'unit_relationship_mismatch' FROM text_unit_ u JOIN text_unit_ x ON x.id IN (u.parent_unit_id, u.heading_unit_id) WHERE x.observation_id <> u.observation_id OR x.id = u.id
+UNION ALL SELECT u.id, 'unit_outside_parent' FROM text_unit_ u JOIN text_unit_ x ON x.id = u.parent_unit_id WHERE u.span__start < x.span__start OR u.span__end > x.span__end
+UNION ALL SELECT u.id, 'not_a_heading' FROM text_unit_ u JOIN text_unit_ x ON x.id = u.heading_unit_id WHERE x.unit_kind <> 'heading'""",
+)
+_links(
+    "claim_violations", "claim extraction_issue observation text_unit", "claim extraction_issue", "claim_text_mismatch source_unit_not_in_context context_observation_mismatch",
+    """SELECT c.id, 'claim_text_mismatch' AS code FROM claim_ c JOIN observation_ o ON o.id = c.observation_id WHERE c.original_span__text_id <> o.answer_text_id
+UNION ALL SELECT id, 'source_unit_not_in_context' FROM claim_ WHERE NOT list_contains(context_unit_ids, original_span__source_unit_id)
+UNION ALL SELECT c.id, 'context_observation_mismatch' FROM (SELECT id, observation_id, unnest(context_unit_ids) AS unit FROM claim_ UNION ALL SELECT id, observation_id, unnest(context_unit_ids) FROM extraction_issue_) c
+ JOIN text_unit_ u ON u.id = c.unit WHERE u.observation_id <> c.observation_id""",
+)
+_links(
+    "citation_violations", "citation_association observation source_reference", "citation_association", "citation_no_requires_complete_capture citation_not_captured not_a_citation_reference reference_observation_mismatch citation_text_mismatch",
+    """SELECT x.id, 'citation_no_requires_complete_capture' AS code FROM citation_association_ x JOIN observation_ o ON o.id = x.observation_id WHERE x.status = 'no' AND o.citation_reference_ids__availability <> 'available'
+UNION ALL SELECT x.id, 'citation_text_mismatch' FROM citation_association_ x JOIN observation_ o ON o.id = x.observation_id WHERE x.evidence_spans__text_id <> o.answer_text_id
+UNION ALL SELECT id, unnest([CASE WHEN other THEN 'reference_observation_mismatch' END, CASE WHEN status = 'yes' AND reference_kind <> 'citation' THEN 'not_a_citation_reference' END, CASE WHEN reference_kind = 'citation' AND NOT held THEN 'citation_not_captured' END])
+ FROM (SELECT x.id, x.status, r.reference_kind, r.observation_id <> x.observation_id AS other, list_contains(o.citation_reference_ids__data, r.id) AS held
+  FROM (SELECT id, status, observation_id, unnest(reference_ids) AS ref FROM citation_association_) x JOIN source_reference_ r ON r.id = x.ref JOIN observation_ o ON o.id = x.observation_id)""",
+)
+_links(
+    "article_violations", "article_version text", "article_version", "article_raw_provenance_mismatch article_cleaned_lineage_mismatch article_heading_text_mismatch article_version_mismatch text_lineage_cycle",
+    """SELECT w.id, 'article_raw_provenance_mismatch' AS code FROM article_version_ w JOIN text_ x ON x.id = w.raw_text_id WHERE x.artifact_id <> w.raw_artifact_id OR x.source_text_id IS NOT NULL
+UNION ALL SELECT w.id, 'article_cleaned_lineage_mismatch' FROM article_version_ w JOIN root_ r ON r.id = w.cleaned_text_id WHERE r.root <> w.raw_text_id
+UNION ALL SELECT w.id, 'text_lineage_cycle' FROM article_version_ w JOIN cycle_ c ON c.id = w.cleaned_text_id
+UNION ALL SELECT id, 'article_heading_text_mismatch' FROM article_version_ WHERE heading_spans__text_id <> cleaned_text_id
+UNION ALL SELECT w.id, 'article_version_mismatch' FROM article_version_ w JOIN article_version_ b ON b.id = w.previous_version_id WHERE b.url <> w.url OR b.id = w.id""",
+)
+_links(
+    "passage_violations", "passage article_version", "passage", "passage_article_mismatch passage_heading_text_mismatch passage_parent_mismatch",
+    """SELECT p.id, 'passage_article_mismatch' AS code FROM passage_ p JOIN article_version_ w ON w.id = p.article_version_id WHERE w.status <> 'usable' OR p.span__text_id <> w.cleaned_text_id
+UNION ALL SELECT p.id, 'passage_heading_text_mismatch' FROM passage_ p JOIN article_version_ w ON w.id = p.article_version_id WHERE p.heading_spans__text_id <> w.cleaned_text_id
+UNION ALL SELECT p.id, 'passage_parent_mismatch' FROM passage_ p JOIN passage_ x ON x.id = p.parent_passage_id WHERE x.article_version_id <> p.article_version_id OR x.id = p.id""",
+)
+_links(
+    "manifest_violations", "corpus_manifest article_version passage", "corpus_manifest", "corpus_contains_unusable_article corpus_passage_mismatch",
+    """SELECT m.id, 'corpus_contains_unusable_article' AS code FROM (SELECT id, unnest(article_version_ids) AS one FROM corpus_manifest_) m JOIN article_version_ w ON w.id = m.one WHERE w.status <> 'usable'
+UNION ALL SELECT m.id, 'corpus_passage_mismatch' FROM (SELECT id, article_version_ids, unnest(passage_ids) AS one FROM corpus_manifest_) m JOIN passage_ p ON p.id = m.one WHERE NOT list_contains(m.article_version_ids, p.article_version_id)""",
+)
+_links(
+    "batch_violations", "retrieval_batch candidate_pair corpus_manifest passage", "retrieval_batch candidate_pair", "pair_batch_mismatch duplicate_candidate_passage pair_passage_outside_corpus",
+    """SELECT z.id, 'pair_batch_mismatch' AS code FROM candidate_pair_ z JOIN retrieval_batch_ b ON b.id = z.retrieval_batch_id
+ WHERE (z.claim_id, z.corpus_manifest_id, z.index_id) <> (b.claim_id, b.corpus_manifest_id, b.index_id) OR NOT list_contains(b.candidate_pair_ids, z.id)
+UNION ALL SELECT b.id, 'pair_batch_mismatch' FROM (SELECT id, unnest(candidate_pair_ids) AS pair FROM retrieval_batch_) b JOIN candidate_pair_ z ON z.id = b.pair WHERE z.retrieval_batch_id <> b.id
+UNION ALL SELECT b.id, 'duplicate_candidate_passage' FROM (SELECT id, unnest(candidate_pair_ids) AS pair FROM retrieval_batch_) b JOIN candidate_pair_ z ON z.id = b.pair GROUP BY b.id, z.passage_id HAVING count(*) > 1
+UNION ALL SELECT z.id, 'pair_passage_outside_corpus' FROM (SELECT id, corpus_manifest_id, unnest(list_append(context_passage_ids, passage_id)) AS one FROM candidate_pair_) z JOIN passage_ p ON p.id = z.one
+ JOIN corpus_manifest_ m ON m.id = z.corpus_manifest_id WHERE NOT list_contains(m.passage_ids, z.one)""",
+)
+_links(
+    "alternative_violations", "alternative_inspection source_reference", "alternative_inspection", "alternative_observation_mismatch duplicate_group_mismatch alternative_excerpt_mismatch",
+    """SELECT y.id, unnest([CASE WHEN r.observation_id <> y.observation_id THEN 'alternative_observation_mismatch' END, CASE WHEN r.duplicate_group IS DISTINCT FROM y.duplicate_group THEN 'duplicate_group_mismatch' END,
+ CASE WHEN r.excerpt__data__text_id <> y.excerpt_text_id THEN 'alternative_excerpt_mismatch' END]) AS code FROM alternative_inspection_ y JOIN source_reference_ r ON r.id = y.source_reference_id""",
+)
+_links(
+    "decision_lineage", "decision_record extraction_issue claim finding artifact text run_manifest observation text_unit", "decision_record extraction_issue claim finding", "missing_id wrong_record_kind run_mismatch",
+    """WITH cited AS (SELECT id, analysis_run_id AS run, unnest(decision_ids) AS one FROM claim_ UNION ALL SELECT id, analysis_run_id, unnest(decision_ids) FROM extraction_issue_ UNION ALL SELECT id, analysis_run_id, unnest(decision_ids) FROM finding_),
+ units AS (SELECT id, analysis_run_id AS run, unnest(context_unit_ids) AS one FROM claim_ UNION ALL SELECT id, analysis_run_id, unnest(context_unit_ids) FROM extraction_issue_),
+ used AS (SELECT id, unnest(list_append(input_artifact_ids, generation__output_artifact_id)) AS one FROM decision_record_)
+SELECT id, CASE WHEN k.run IS NULL THEN 'missing_id' WHEN k.run <> c.run THEN 'run_mismatch' END AS code FROM cited c LEFT JOIN (SELECT id AS one, analysis_run_id AS run FROM decision_record_) k USING (one)
+UNION ALL SELECT id, CASE WHEN u.run IS NULL THEN 'missing_id' WHEN u.run <> c.run THEN 'run_mismatch' END FROM units c LEFT JOIN (SELECT id AS one, analysis_run_id AS run FROM text_unit_) u USING (one)
+UNION ALL SELECT id, CASE WHEN one IN (SELECT id FROM text_) THEN 'wrong_record_kind' ELSE 'missing_id' END FROM used WHERE one NOT IN (SELECT id FROM artifact_)
+UNION ALL SELECT f.id, CASE WHEN c.id IS NULL THEN 'missing_id' WHEN c.analysis_run_id <> f.analysis_run_id THEN 'run_mismatch' END FROM finding_ f LEFT JOIN claim_ c ON c.id = f.claim_id
+UNION ALL SELECT f.id, CASE WHEN o.id IS NULL THEN 'missing_id' WHEN o.analysis_run_id <> f.analysis_run_id THEN 'run_mismatch' END FROM finding_ f LEFT JOIN finding_ o ON o.id = f.supersedes_finding_id WHERE f.supersedes_finding_id IS NOT NULL
+UNION ALL SELECT id, 'missing_id' FROM finding_""",
+)
+_links(
+    "run_manifest_check", "run_manifest step_attempt review finding observation artifact corpus_manifest", "step_attempt review run_manifest", "missing_id run_mismatch review_history_finding_mismatch history_time_reversed",
+    """SELECT s.id, CASE WHEN f.id IS NULL AND s.one NOT IN (SELECT id FROM artifact_) THEN 'missing_id' WHEN f.analysis_run_id <> s.run THEN 'run_mismatch' END AS code
+ FROM (SELECT id, analysis_run_id AS run, unnest(output_ids) AS one FROM step_attempt_) s LEFT JOIN finding_ f ON f.id = s.one
+UNION ALL SELECT g.id, CASE WHEN f.id IS NULL THEN 'missing_id' WHEN f.analysis_run_id <> g.analysis_run_id THEN 'run_mismatch' END FROM review_ g LEFT JOIN finding_ f ON f.id = g.finding_id
+UNION ALL SELECT g.id, unnest([CASE WHEN o.analysis_run_id <> g.analysis_run_id THEN 'run_mismatch' END, CASE WHEN o.finding_id <> g.finding_id THEN 'review_history_finding_mismatch' END, CASE WHEN o.created_at > g.created_at THEN 'history_time_reversed' END])
+ FROM review_ g JOIN review_ o ON o.id = g.supersedes_review_id
+UNION ALL SELECT id, 'missing_id' FROM (SELECT id, unnest(observation_ids) AS one FROM run_manifest_) WHERE one NOT IN (SELECT id FROM observation_)""",
+)
+_links(
+    "finding_violations", "finding citation_association candidate_pair alternative_inspection", "finding",
+    "category_one_requires_citation uncited_finding_requires_no_citation unclear_finding_requires_unclear_citation finding_pair_claim_mismatch finding_alternative_mismatch finding_citation_mismatch finding_history_claim_mismatch history_time_reversed branched_history history_cycle multiple_selected_findings",
+    """SELECT f.id, unnest([CASE WHEN x.claim_id <> f.claim_id THEN 'finding_citation_mismatch' END, CASE WHEN f.category = 1 AND x.status <> 'yes' THEN 'category_one_requires_citation' END,
+  CASE WHEN (f.category IN (2, 3, 4) OR f.status = 'no_match_found') AND x.status <> 'no' THEN 'uncited_finding_requires_no_citation' END, CASE WHEN f.status = 'citation_unclear' AND x.status <> 'unclear' THEN 'unclear_finding_requires_unclear_citation' END]) AS code
+ FROM finding_ f JOIN citation_association_ x ON x.id = f.citation_association_id
+UNION ALL SELECT f.id, 'finding_pair_claim_mismatch' FROM (SELECT id, claim_id, unnest(candidate_pair_ids) AS one FROM finding_) f JOIN candidate_pair_ z ON z.id = f.one WHERE z.claim_id <> f.claim_id
+UNION ALL SELECT f.id, 'finding_alternative_mismatch' FROM (SELECT id, claim_id, unnest(alternative_inspection_ids__data) AS one FROM finding_) f JOIN alternative_inspection_ y ON y.id = f.one WHERE y.claim_id <> f.claim_id
+UNION ALL SELECT f.id, unnest([CASE WHEN o.claim_id <> f.claim_id THEN 'finding_history_claim_mismatch' END, CASE WHEN o.created_at > f.created_at THEN 'history_time_reversed' END]) FROM finding_ f JOIN finding_ o ON o.id = f.supersedes_finding_id
+UNION ALL SELECT id, 'branched_history' FROM finding_ WHERE supersedes_finding_id IN (SELECT supersedes_finding_id FROM finding_ GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT min(id), 'multiple_selected_findings' FROM finding_ GROUP BY analysis_run_id, claim_id HAVING count(*) FILTER (id NOT IN (SELECT supersedes_finding_id FROM finding_ WHERE supersedes_finding_id IS NOT NULL)) <> 1""",
+)
+_links(
+    "span_violations", "text text_unit claim source_reference citation_association article_version passage", "text_unit claim source_reference citation_association article_version passage", "span_out_of_bounds quote_mismatch source_unit_mismatch",
+    """WITH s(id, t, a, b, q, u) AS (
+  SELECT id, span__text_id, span__start, span__end, span__exact_text, NULL FROM text_unit_ UNION ALL SELECT id, original_span__text_id, original_span__start, original_span__end, original_span__exact_text, original_span__source_unit_id FROM claim_
+  UNION ALL SELECT id, excerpt__data__text_id, excerpt__data__start, excerpt__data__end, excerpt__data__exact_text, NULL FROM source_reference_ UNION ALL SELECT id, citation_span__text_id, citation_span__start, citation_span__end, citation_span__exact_text, NULL FROM source_reference_
+  UNION ALL SELECT id, evidence_spans__text_id, evidence_spans__start, evidence_spans__end, evidence_spans__exact_text, NULL FROM citation_association_ UNION ALL SELECT id, heading_spans__text_id, heading_spans__start, heading_spans__end, heading_spans__exact_text, NULL FROM article_version_
+  UNION ALL SELECT id, span__text_id, span__start, span__end, span__exact_text, NULL FROM passage_ UNION ALL SELECT id, heading_spans__text_id, heading_spans__start, heading_spans__end, heading_spans__exact_text, NULL FROM passage_)
+SELECT s.id, CASE WHEN a < 0 OR b <= a OR b > length(x.text) THEN 'span_out_of_bounds' WHEN substring(x.text, a + 1, b - a) <> q THEN 'quote_mismatch' END AS code FROM s JOIN text_ x ON x.id = s.t
+UNION ALL SELECT s.id, 'source_unit_mismatch' FROM s JOIN text_unit_ v ON v.id = s.u WHERE v.span__text_id <> s.t OR v.span__start > s.a OR s.a >= s.b OR s.b > v.span__end""",
+)
+_links(
+    "run_mismatch", "text_unit claim extraction_issue decision_record run_manifest observation", "text_unit claim extraction_issue", "run_mismatch observation_run_mismatch",
+    """WITH own AS (SELECT id, analysis_run_id AS run, observation_id FROM text_unit_ UNION ALL SELECT id, analysis_run_id, observation_id FROM claim_ UNION ALL SELECT id, analysis_run_id, observation_id FROM extraction_issue_),
+ refs AS (SELECT id, analysis_run_id AS run, unnest([parent_unit_id, heading_unit_id]) AS one FROM text_unit_ UNION ALL SELECT id, analysis_run_id, unnest(list_concat(context_unit_ids, decision_ids)) FROM claim_ UNION ALL SELECT id, analysis_run_id, unnest(list_concat(context_unit_ids, decision_ids)) FROM extraction_issue_),
+ all_ AS (SELECT id AS one, analysis_run_id AS run FROM text_unit_ UNION ALL SELECT id, analysis_run_id FROM decision_record_)
+SELECT o.id, 'observation_run_mismatch' AS code FROM own o JOIN run_manifest_ r ON r.id = o.run WHERE NOT list_contains(r.observation_ids, o.observation_id)
+UNION ALL SELECT r.id, 'run_mismatch' FROM refs r JOIN all_ a USING (one) WHERE a.run <> r.run""",
+)
+_links(
+    "observation_mismatch", "citation_association alternative_inspection finding claim", "citation_association alternative_inspection finding", "observation_mismatch",
+    """WITH own AS (SELECT id, observation_id, claim_id FROM citation_association_ UNION ALL SELECT id, observation_id, claim_id FROM alternative_inspection_ UNION ALL SELECT id, observation_id, claim_id FROM finding_)
+SELECT o.id, 'observation_mismatch' AS code FROM own o JOIN claim_ c ON c.id = o.claim_id WHERE c.observation_id <> o.observation_id""",
+)
+_links(
+    "dangling_refs", "decision_record artifact text run_manifest observation corpus_manifest article_version passage", "decision_record text article_version corpus_manifest", "missing_id wrong_record_kind",
+    """WITH known AS (SELECT id AS one, 'artifact' AS kind FROM artifact_ UNION ALL SELECT id, 'text' FROM text_ UNION ALL SELECT id, 'run_manifest' FROM run_manifest_ UNION ALL SELECT id, 'observation' FROM observation_ UNION ALL SELECT id, 'article_version' FROM article_version_ UNION ALL SELECT id, 'passage' FROM passage_),
+ refs AS (SELECT id, unnest(list_append(input_artifact_ids, generation__output_artifact_id)) AS one, 'artifact' AS want FROM decision_record_ UNION ALL SELECT id, artifact_id, 'artifact' FROM text_ UNION ALL SELECT id, source_text_id, 'text' FROM text_
+  UNION ALL SELECT id, raw_artifact_id, 'artifact' FROM article_version_ UNION ALL SELECT id, raw_text_id, 'text' FROM article_version_ UNION ALL SELECT id, previous_version_id, 'article_version' FROM article_version_
+  UNION ALL SELECT id, unnest(article_version_ids), 'article_version' FROM corpus_manifest_ UNION ALL SELECT id, unnest(passage_ids), 'passage' FROM corpus_manifest_ UNION ALL SELECT id, analysis_run_id, 'run_manifest' FROM decision_record_)
+SELECT r.id, CASE WHEN k.kind IS NULL THEN 'missing_id' WHEN k.kind <> r.want THEN 'wrong_record_kind' END AS code FROM refs r LEFT JOIN known k USING (one) WHERE r.one IS NOT NULL""",
+)
