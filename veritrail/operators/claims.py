@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,6 +53,44 @@ def budget_admission(calls: DataFrame, run: str, order: list[str], most_calls: i
     return calls.withColumn("__fits", fits).withColumn("admitted", F.min("__fits").over(upto)).drop("__fits")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a run may spend: model calls in all, of them generations and decisions, and reserved cost."""
+
+    calls: int
+    generations: int
+    decisions: int
+    cost: float
+
+
+def stage_budgets(calls: DataFrame, run: str, order: list[str], limits: Limits) -> DataFrame:
+    """The calls with ``admitted`` and ``stopped_by``: an ordered gate per run that one refusal closes for good.
+
+    Calls have ``generation`` (else a decision), ``reservation``, and ``halts``: whether the call's outcome, once it is sent, stops the run.  The first call past a limit, or
+    after a call that halts, is refused with its reason (calls, cost, generations, decisions, halted), every later one with ``stopped``.
+
+    Up to its first refusal a run has admitted every call, so running counts over all calls are the gate's state there.  And a refusal comes at call ``limits.calls + 1``
+    at the latest: only so many calls of a run enter the window (a group limit that Spark applies before it shuffles), and a run of any length costs one comparison per call.
+    """
+    at = F.struct(*order)
+    w = W.partitionBy(run).orderBy("__at")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    first = calls.select(run, at.alias("__at"), "generation", "reservation", "halts").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limits.calls + 1)
+    made = lambda which: F.coalesce(F.sum(F.when(which, 1).otherwise(0)).over(before), F.lit(0))
+    spent = F.coalesce(F.sum("reservation").over(before), F.lit(0.0)) + F.col("reservation")
+    reason = (
+        F.when(F.coalesce(F.max("halts").over(before), F.lit(False)), "halted")
+        .when(F.col("__n") > limits.calls, "calls")
+        .when(spent > limits.cost + 1e-12, "cost")
+        .when(F.col("generation") & (made(F.col("generation")) >= limits.generations), "generations")
+        .when(~F.col("generation") & (made(~F.col("generation")) >= limits.decisions), "decisions")
+    )
+    stops = first.withColumn("__reason", reason).where("__reason is not null").groupBy(run).agg(F.min(F.struct("__at", "__reason")).alias("__stop"))
+    both = calls.withColumn("__at", at).join(stops, run, "left")
+    stopped = F.when(F.col("__at") == F.col("__stop.__at"), F.col("__stop.__reason")).when(F.col("__at") > F.col("__stop.__at"), "stopped")
+    return both.withColumn("stopped_by", stopped).withColumn("admitted", F.col("stopped_by").isNull()).drop("__at", "__stop")
+
+
 def cost_slots(calls: DataFrame, run: str, operation: str, order: str, most: float) -> DataFrame:
     """(run, operation, slot, reserved, granted): one slot per operation, reused when it is asked for again; granted while the run's sum stays within the limit."""
     first = calls.groupBy(run, operation).agg(F.min(order).alias(order), F.min_by("reservation", order).alias("reservation"))

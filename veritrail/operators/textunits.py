@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import code_point_slice
+
 # German abbreviations that do not end a sentence, and cue pronouns: fixed values.
 ABBREVIATIONS = "z. B.|d. h.|u. a.|o. ä.|i. d. R.|z.B.|d.h.|u.a.|bzw.|ca.|vgl.|Dr.|Prof.|Nr.|Abb.|Tab.|St.|Mio.|Mrd.|ggf.|inkl.|max.|min.|sog.|evtl."
 CUES = "dies|diese|dieser|dieses|er|sie|es|ihre|ihr|sein|seine|dabei|dadurch|damit|daher|deshalb|hierbei|jener|jene|solche"
@@ -237,14 +239,34 @@ def units(texts: DataFrame, key: str, text: str, limit_chars: int | None = None)
     return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, ord long, kind string, start long, end long, level long, opaque boolean, parent long, heading long, digest string")
 
 
-def lf_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ord, start, end) of the lines of texts that use LF only, in built-in functions."""
+def lf_lines(texts: DataFrame, key: str, text: str, keep: bool = False) -> DataFrame:
+    """(key, ord, start, end) of the lines of texts that use LF only, in built-in functions; with ``keep`` each ``line`` too.  Texts that share a key stay apart."""
     numbered = texts.select(key, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
     lines = numbered.select(key, "__row", F.posexplode(F.split("__text", "\n")).alias("ord", "line"))
     before = W.partitionBy("__row").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    rows = lines.select(key, F.col("ord").cast("long").alias("ord"), start.cast("long").alias("start"), F.length("line").alias("n"))
-    return rows.select(key, "ord", "start", (F.col("start") + F.col("n")).cast("long").alias("end"))
+    rows = lines.select(key, F.col("ord").cast("long").alias("ord"), start.cast("long").alias("start"), F.length("line").alias("n"), *["line"] * keep)
+    return rows.select(key, "ord", "start", (F.col("start") + F.col("n")).cast("long").alias("end"), *["line"] * keep)
+
+
+def heading_stack(found: DataFrame, key: str, deepest: int = 6) -> DataFrame:
+    """Units with ``active`` (the last heading before a unit, null for headings), ``above`` (a heading's parent) and ``path`` (all headings a unit is under, outermost first).
+
+    Units have ord, kind and, for headings, level 1 to ``deepest``.  A new heading takes all of its own level or deeper off the stack, so the heading on top is the last one of a
+    lower level.  The stack is thus known from the last heading of each level: of level l it is on the stack where no later heading has a lower level, nor the same one.
+    """
+    before = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    heading = F.col("kind") == "heading"
+    last = [F.last(F.when(heading & (F.col("level") == n), F.col("ord")), ignorenulls=True).over(before).alias(f"__{n}") for n in range(1, deepest + 1)]
+    seen = found.select("*", *last)
+    places = [F.col(f"__{n}") for n in range(1, deepest + 1)]
+    lower = [F.when(F.lit(n) < F.col("level"), place) for n, place in enumerate(places, 1)]
+    parent = F.array_max(F.array(*lower))
+    on_stack = [F.when(~F.coalesce(place < F.array_max(F.array(*places[: n - 1])), F.lit(False)) if n > 1 else F.lit(True), place) for n, place in enumerate(places, 1)]
+    path = F.array_compact(F.array(*on_stack))
+    path = F.when(heading, F.filter(path, lambda p: p <= F.coalesce(parent, F.lit(-1)))).otherwise(path)
+    active = F.when(~heading, F.array_max(F.array(*places)))
+    return seen.select(*found.columns, active.alias("active"), F.when(heading, parent).alias("above"), path.alias("path"))
 
 
 def unit_violations(found: DataFrame, key: str) -> DataFrame:
@@ -291,6 +313,42 @@ def locate_quote(text: Column, quote: Column) -> Column:
     return F.struct(F.when(first == 0, "quote_missing").when(second > 0, "location_ambiguous").otherwise("located").alias("status"), F.when((first > 0) & (second == 0), first - 1).otherwise(-1).cast("long").alias("start"))
 
 
+def locate_in_units(anchors: DataFrame, found: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(key, anchor, status, start, end, unit): each quote's place within the units that it names.
+
+    Anchors have anchor (their id), quote and ``named``, the ords of units in order.  Only the hull of the named units is searched, overlapping occurrences counted.  Codes:
+    ``invalid_source_units`` (none, a repeated or an unknown one, or one that the quote doesn't touch), ``invalid_source_order``, ``quote_missing``, ``location_ambiguous``,
+    ``incomplete_source_units`` (no named unit holds the quote, and it crosses a sentence that isn't named), else ``located`` with the smallest named unit that holds it, or none.
+    """
+    own = anchors.withColumn("__n", F.size("named"))
+    touched = own.select(key, "anchor", F.explode("named").alias("ord")).join(found.select(key, "ord", "start", "end"), [key, "ord"])
+    hull = touched.groupBy(key, "anchor").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.count("*").alias("known"), F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("units"))
+    rows = own.join(hull, [key, "anchor"], "left").join(texts.select(key, F.col("text").alias("__text")), key)
+    window = code_point_slice(F.col("__text"), F.col("low"), F.col("high"))
+    first = F.instr(window, F.col("quote"))
+    again = F.instr(F.substring(window, first + 1, F.length(window)), F.col("quote"))
+    rows = rows.select(key, "anchor", "named", "__n", "known", "units", first.alias("__first"), again.alias("__again"), "low", F.length("quote").alias("__len"))
+    rows = rows.withColumn("start", F.col("low") + F.col("__first") - 1).withColumn("end", F.col("start") + F.col("__len")).drop("low", "__len")
+    sentences_ = found.where("kind = 'sentence'").select(key, F.col("ord").alias("s_ord"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    crossed = rows.where("__first > 0 and __again = 0").select(key, "anchor", "named", "start", "end").join(sentences_, key).where("s_start < end and start < s_end")
+    unnamed = crossed.where(~F.array_contains("named", F.col("s_ord"))).select(key, "anchor").distinct().withColumn("__unnamed", F.lit(True))
+    rows = rows.join(unnamed, [key, "anchor"], "left")
+    holding = F.filter("units", lambda u: (u["start"] <= F.col("start")) & (F.col("end") <= u["end"]))
+    smallest = F.array_min(F.transform(holding, lambda u: F.struct((u["end"] - u["start"]).alias("n"), u["ord"].alias("ord"))))["ord"]
+    status = (
+        F.when((F.col("__n") == 0) | (F.size(F.array_distinct("named")) < F.col("__n")) | (F.coalesce("known", F.lit(0)) < F.col("__n")), "invalid_source_units")
+        .when(F.col("named") != F.sort_array("named"), "invalid_source_order")
+        .when(F.col("__first") == 0, "quote_missing")
+        .when(F.col("__again") > 0, "location_ambiguous")
+        .when(F.exists("units", lambda u: (u["start"] >= F.col("end")) | (F.col("start") >= u["end"])), "invalid_source_units")
+        .when((F.size(holding) == 0) & F.coalesce("__unnamed", F.lit(False)), "incomplete_source_units")
+        .otherwise("located")
+    )
+    placed = rows.withColumn("status", status)
+    good = F.col("status") == "located"
+    return placed.select(key, "anchor", "status", F.when(good, F.col("start")).alias("start"), F.when(good, F.col("end")).alias("end"), F.when(good, smallest).alias("unit"))
+
+
 def support_envelope(anchors: DataFrame, keys: list[str]) -> DataFrame:
     """The smallest span that covers all anchors (start, end) of a key."""
     return anchors.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -304,12 +362,33 @@ def smallest_unit(spans: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key, "start", "end").agg(F.coalesce(best, F.lit(-1)).alias("unit"))
 
 
+#: Fixed value: a numbered marker with its url.
+MARKER = r"\[\[[0-9]+\]\]\((https?://[^\s()]+)\)"
+
+
 def citation_markers(answers: DataFrame, references: DataFrame, key: str, text: str, url: str) -> DataFrame:
-    """(key, number, url) of markers ``[[n]](url)`` whose url was captured; answers with unsafe markup have none."""
-    safe = answers.where(~F.col(text).rlike(r"[`<>\\]|(?m)^(?: {4}|\t)"))
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"(?<![!\[])\[\[(\d+)\]\]\(([^()\s]+)\)"), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(r"(?<![!\[])\[\[(\d+)\]\]\(([^()\s]+)\)"), F.lit(2)).alias("u"))
-    marks = safe.select(key, F.explode(pairs).alias("m")).select(key, F.col("m.n").cast("long").alias("number"), F.col("m.u").alias(url))
-    return marks.join(references.select(key, url).distinct(), [key, url], "left_semi").select(key, "number", url)
+    """(key, number, url, start, end) of markers ``[[n]](url)`` that cite a captured url; answers with unsafe markup (code, HTML, escapes) have none.
+
+    A marker counts if no ``!`` or ``[`` stands right before it and every bracket opened before it is closed there.  The text is cut at its markers; a fold over the pieces carries
+    the place reached and the depth of brackets, so that each marker knows both without looking at the text again.
+    """
+    safe = answers.where(~F.col(text).rlike(r"[`<>\\]|(?:^|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])(?: {4}|\t)"))
+    cut = safe.select(key, F.split(text, MARKER).alias("pieces"), F.regexp_extract_all(text, F.lit(MARKER), F.lit(0)).alias("marks")).where(F.size("marks") > 0)
+    depth = lambda s: F.length(F.regexp_replace(s, r"[^\[]", "")) - F.length(F.regexp_replace(s, r"[^\]]", ""))
+    none = F.array().cast("array<struct<start:int,depth:int,before:string,mark:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start, level = acc["at"] + F.length(x["piece"]), acc["depth"] + depth(x["piece"])
+        before = F.when(F.length(x["piece"]) > 0, F.right(x["piece"], F.lit(1))).otherwise(acc["last"])
+        met = F.struct(start.alias("start"), level.alias("depth"), before.alias("before"), x["mark"].alias("mark"))
+        return F.struct((start + F.length(x["mark"])).alias("at"), level.alias("depth"), F.lit(")").alias("last"), F.array_append(acc["out"], met).alias("out"))
+
+    pairs = F.transform(F.arrays_zip(F.slice("pieces", 1, F.size("marks")).alias("piece"), F.col("marks").alias("mark")), lambda p: F.struct(p["piece"].alias("piece"), p["mark"].alias("mark")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit("").alias("last"), none.alias("out"))
+    met = cut.select(key, F.explode(F.aggregate(pairs, start, step)["out"]).alias("m")).where((F.col("m.depth") == 0) & ~F.col("m.before").isin("!", "["))
+    number, target = F.regexp_extract("m.mark", r"^\[\[([0-9]+)", 1), F.regexp_extract("m.mark", MARKER, 1)
+    marks = met.select(key, number.cast("long").alias("number"), target.alias(url), F.col("m.start").cast("long").alias("start"), (F.col("m.start") + F.length("m.mark")).cast("long").alias("end"))
+    return marks.join(references.select(key, url).distinct(), [key, url], "left_semi").select(key, "number", url, "start", "end")
 
 
 def reference_cue(text: Column) -> Column:

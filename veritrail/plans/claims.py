@@ -71,6 +71,25 @@ def budget_admission(t):
     return C.budget_admission(t("events").withColumn("reservation", F.col("value")), "user_id", ["event_id"], 40, 500.0).select("user_id", "event_id", "admitted")
 
 
+# Calls of a run (a user's events in order): clicks are generations, errors of a high value halt the run.  The twin walks call by call.
+@plans.add(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'click' AS gen, value AS cost, event_type = 'error' AND value > 40 AS halts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+run(user_id, event_id, n, calls, gens, decs, spent, stopped, why) AS (
+  SELECT user_id, NULL::BIGINT, 0, 0, 0, 0, 0.0::DOUBLE, false, NULL::VARCHAR FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+  SELECT user_id, event_id, n, calls + ok, gens + ok * gen::INT, decs + ok * (1 - gen::INT), spent + ok * cost, why IS NOT NULL OR halts OR was, CASE WHEN was AND closed THEN 'stopped' WHEN was THEN 'halted' ELSE why END
+  FROM (SELECT *, CASE WHEN why IS NULL AND NOT was THEN 1 ELSE 0 END AS ok FROM (
+    SELECT e.user_id, e.event_id, e.n, e.gen, e.cost, e.halts, r.calls, r.gens, r.decs, r.spent, r.stopped AS was, r.why IS NOT NULL AS closed,
+      CASE WHEN r.calls >= 60 THEN 'calls' WHEN r.spent + e.cost > 1500 + 1e-12 THEN 'cost' WHEN e.gen AND r.gens >= 14 THEN 'generations' WHEN NOT e.gen AND r.decs >= 50 THEN 'decisions' END AS why
+    FROM run r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT user_id, event_id, why IS NULL AS admitted, coalesce(why, '') AS stopped_by FROM run WHERE n > 0"""
+)
+def stage_budgets(t):
+    halts = (F.col("event_type") == "error") & (F.col("value") > 40)
+    calls = t("events").select("user_id", "event_id", "ts", (F.col("event_type") == "click").alias("generation"), F.col("value").alias("reservation"), halts.alias("halts"))
+    gated = C.stage_budgets(calls, "user_id", ["ts", "event_id"], C.Limits(calls=60, generations=14, decisions=50, cost=1500.0))
+    return gated.select("user_id", "event_id", "admitted", F.coalesce("stopped_by", F.lit("")).alias("stopped_by"))
+
+
 @plans.add(
     """WITH f AS (SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS reservation FROM events GROUP BY 1, 2),
 s AS (SELECT user_id, event_type, row_number() OVER w AS slot, round(sum(reservation) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS reserved FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id))

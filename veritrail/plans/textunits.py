@@ -19,9 +19,7 @@ units AS (
 
 
 def _units(t):
-    d = t("documents")
-    lines = U.lf_lines(d, "doc_id", "text").join(d.select("doc_id", "text"), "doc_id")
-    lines = lines.withColumn("line", T.code_point_slice(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+    lines = U.lf_lines(t("documents"), "doc_id", "text", keep=True)
     kind = F.when(F.length("line") < 40, "heading").otherwise("sentence")
     before = F.last(F.when(F.length("line") < 40, F.col("ord")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
     return lines.withColumn("kind", kind).withColumn("heading", F.coalesce(before, F.lit(-1)))
@@ -48,6 +46,46 @@ def heading_attach(t):
     return _units(t).select("doc_id", "ord", "heading")
 
 
+# Levels of headings follow from their length; the twin looks for each one's parent among all headings before it.
+@plans.add(
+    f"""WITH {_LINES}, h AS (SELECT doc_id, ord, kind, CASE WHEN kind = 'heading' THEN length(line) % 4 + 1 END AS level FROM units),
+up AS (SELECT u.doc_id, u.ord, u.kind, max(h.ord) FILTER (u.kind <> 'heading') AS active, max(h.ord) FILTER (u.kind = 'heading' AND h.level < u.level) AS above
+  FROM h u LEFT JOIN h ON h.doc_id = u.doc_id AND h.kind = 'heading' AND h.ord < u.ord GROUP BY ALL),
+on_stack AS (SELECT u.doc_id, u.ord, a.ord AS open FROM h u JOIN h a ON a.doc_id = u.doc_id AND a.kind = 'heading' AND a.ord < u.ord AND (u.level IS NULL OR a.level < u.level)
+  WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = a.doc_id AND b.kind = 'heading' AND b.ord > a.ord AND b.ord < u.ord AND b.level <= a.level))
+SELECT u.doc_id, u.ord, coalesce(u.active, -1) AS active, coalesce(u.above, -1) AS above, coalesce(p.path, '') AS path
+FROM up u LEFT JOIN (SELECT doc_id, ord, string_agg(open, '/' ORDER BY open) AS path FROM on_stack GROUP BY 1, 2) p USING (doc_id, ord)"""
+)
+def heading_stack(t):
+    u = _units(t).withColumn("level", F.when(F.col("kind") == "heading", F.length("line") % 4 + 1))
+    stacked = U.heading_stack(u, "doc_id")
+    return stacked.select("doc_id", "ord", F.coalesce("active", F.lit(-1)).alias("active"), F.coalesce("above", F.lit(-1)).alias("above"), F.array_join("path", "/").alias("path"))
+
+
+# Quotes of each document: twelve characters from the end of a line to the next; units named: that line, both, or the next two.
+@plans.add(
+    f"""WITH {_LINES}, q AS (SELECT u.doc_id, u.ord AS anchor, substr(d.text, greatest(u."end" - 7, 0) + 1, CASE WHEN u.ord % 3 = 2 THEN 3 ELSE 12 END) AS quote,
+  CASE u.ord % 4 WHEN 0 THEN [u.ord] WHEN 1 THEN [u.ord, u.ord + 1] WHEN 2 THEN [u.ord + 1, u.ord] ELSE [u.ord, u.ord + 1, u.ord + 2] END AS named, d.text FROM units u JOIN documents d USING (doc_id)),
+named AS (SELECT q.doc_id, q.anchor, q.quote, q.named, q.text, n.ord, n.start, n."end" FROM (SELECT *, unnest(named) AS one FROM q) q LEFT JOIN units n ON n.doc_id = q.doc_id AND n.ord = q.one),
+hull AS (SELECT doc_id, anchor, quote, named, text, count(*) FILTER (ord IS NULL) AS unknown, min(start) AS low, max("end") AS high FROM named GROUP BY ALL),
+hits AS (SELECT h.doc_id, h.anchor, list(p) AS places FROM (SELECT *, unnest(range(low, high)) AS p FROM hull WHERE unknown = 0) h WHERE substr(text, p + 1, length(quote)) = quote AND p + length(quote) <= high GROUP BY 1, 2),
+one AS (SELECT h.*, coalesce(len(x.places), 0) AS n, x.places[1] AS a, x.places[1] + length(h.quote) AS b FROM hull h LEFT JOIN hits x USING (doc_id, anchor)),
+facts AS (SELECT o.*, (SELECT bool_or(NOT (m.start < o.b AND o.a < m."end")) FROM named m WHERE m.doc_id = o.doc_id AND m.anchor = o.anchor) AS apart,
+  (SELECT arg_min(m.ord, (m."end" - m.start, m.ord)) FROM named m WHERE m.doc_id = o.doc_id AND m.anchor = o.anchor AND m.start <= o.a AND o.b <= m."end") AS unit,
+  (SELECT count(*) FROM units s WHERE s.doc_id = o.doc_id AND s.kind = 'sentence' AND s.start < o.b AND o.a < s."end" AND NOT list_contains(o.named, s.ord)) AS unnamed FROM one o),
+told AS (SELECT *, CASE WHEN unknown > 0 THEN 'invalid_source_units' WHEN named <> list_sort(named) THEN 'invalid_source_order' WHEN n = 0 THEN 'quote_missing' WHEN n > 1 THEN 'location_ambiguous'
+  WHEN apart THEN 'invalid_source_units' WHEN unit IS NULL AND unnamed > 0 THEN 'incomplete_source_units' ELSE 'located' END AS status FROM facts)
+SELECT doc_id, anchor, status, CASE WHEN status = 'located' THEN a ELSE -1 END AS start, CASE WHEN status = 'located' THEN coalesce(unit, -1) ELSE -1 END AS unit FROM told"""
+)
+def anchor_location(t):
+    u, o = _units(t), F.col("ord")
+    quote = T.code_point_slice(F.col("text"), F.greatest(F.col("end") - 7, F.lit(0)), F.greatest(F.col("end") - 7, F.lit(0)) + F.when(o % 3 == 2, 3).otherwise(12))
+    named = F.when(o % 4 == 0, F.array(o)).when(o % 4 == 1, F.array(o, o + 1)).when(o % 4 == 2, F.array(o + 1, o)).otherwise(F.array(o, o + 1, o + 2))
+    anchors = u.join(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", o.alias("anchor"), quote.alias("quote"), named.alias("named"))
+    found = U.locate_in_units(anchors, u, t("documents").select("doc_id", "text"), "doc_id")
+    return found.select("doc_id", "anchor", "status", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("unit", F.lit(-1)).alias("unit"))
+
+
 @plans.add(
     r"""WITH p AS (SELECT doc_id, chr(32) || chr(10) || text || chr(9) || chr(32) AS padded FROM documents), s AS (SELECT *, length(regexp_replace(padded, '^[\x09-\x0D ]+', '')) AS rest, length(regexp_replace(padded, '[\x09-\x0D ]+$', '')) AS fin FROM p)
 SELECT doc_id, length(padded) - rest AS start, greatest(length(padded) - rest, fin) AS "end" FROM s"""
@@ -77,15 +115,24 @@ def context_window(t):
     return U.context_window(u, u.select("doc_id", "ord"), "doc_id")
 
 
+# Answers: each document's lines, and after a line a marker: plain, after "!", inside an open bracket, or of a url that was not captured.
+_MARKED = "CASE ord % 5 WHEN 0 THEN ' ' WHEN 1 THEN '!' WHEN 2 THEN ' [see ' WHEN 3 THEN ' (see [x]) ' ELSE ' [' END"
+
+
 @plans.add(
-    """WITH m AS (SELECT item_id, '[[1]](https://a.example/' || item_id || ') ' || text || CASE WHEN item_id % 4 = 0 THEN ' `x`' ELSE '' END || ' [[2]](https://b.example/x)' AS text FROM benchmark)
-SELECT item_id, 1::BIGINT AS number, 'https://a.example/' || item_id AS url FROM m WHERE item_id % 4 <> 0"""
+    f"""WITH {_LINES}, l2 AS (SELECT doc_id, ord, line || {_MARKED} AS before, '[[' || (ord + 1) || ']](https://' || CASE WHEN ord % 7 = 6 THEN 'other' ELSE 'a' END || '.example/' || doc_id || ')' AS mark, CASE WHEN ord % 5 IN (2, 4) THEN ']' ELSE '' END AS after FROM lines),
+placed AS (SELECT *, coalesce(sum(length(before || mark || after) + 1) OVER w, 0) + length(before) AS start, coalesce(string_agg(before || mark || after, chr(10)) OVER w, '') || before AS upto,
+  bool_or(regexp_matches(before, '[`<>\\\\]|^(    |\\t)')) OVER (PARTITION BY doc_id) AS unsafe FROM l2 WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, ord + 1 AS number, 'https://a.example/' || doc_id AS url, start::BIGINT AS start, (start + length(mark))::BIGINT AS "end" FROM placed
+WHERE NOT unsafe AND ord % 7 <> 6 AND right(upto, 1) NOT IN ('!', '[') AND length(replace(upto, '[', '')) = length(replace(upto, ']', ''))"""
 )
 def citation_markers(t):
-    url = F.concat(F.lit("https://a.example/"), "item_id")
-    text = F.concat(F.lit("[[1]]("), url, F.lit(") "), "text", F.when(F.col("item_id") % 4 == 0, " `x`").otherwise(""), F.lit(" [[2]](https://b.example/x)"))
-    answers = t("benchmark").select("item_id", text.alias("text"))
-    return U.citation_markers(answers, t("benchmark").select("item_id", url.alias("url")), "item_id", "text", "url")
+    lines = U.lf_lines(t("documents"), "doc_id", "text", keep=True)
+    mark = F.concat(F.lit("[["), F.col("ord") + 1, F.lit("]](https://"), F.when(F.col("ord") % 7 == 6, "other").otherwise("a"), F.lit(".example/"), "doc_id", F.lit(")"))
+    said = F.concat("line", F.expr(_MARKED), mark, F.when((F.col("ord") % 5).isin(2, 4), "]").otherwise(""))
+    answers = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", said.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
+    captured = t("documents").select("doc_id", F.concat(F.lit("https://a.example/"), "doc_id").alias("url"))
+    return U.citation_markers(answers, captured, "doc_id", "text", "url")
 
 
 @plans.add(
