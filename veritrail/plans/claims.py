@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import claims as C
+from ..operators import dispatch as X
 from ..operators.textunits import lf_lines
+from ..runtime import materialise, mounted_dir
 from .base import Plans
 
 plans = Plans()
@@ -150,13 +152,50 @@ def request_keys(t):
     return C.pending_requests(prepared, prepared.where("user_id % 3 = 0")).select("work_key")
 
 
+# Answers: a label by event type, its probability by the event's value; some calls fail, some answer with no JSON, a foreign label, or probabilities that don't add up.
+_BODY = """CASE WHEN event_id % 31 = 4 THEN 'no json' WHEN event_id % 29 = 5 THEN concat('{"label":"', event_type, '"}')
+  ELSE concat('{"label":"', event_type, '","probabilities":{"', event_type, '":', CASE WHEN value < 30 THEN '0.75' WHEN value < 60 THEN '0.5' ELSE '0.25' END, ',"click":', CASE WHEN event_id % 37 = 6 THEN '0.5' WHEN value < 30 THEN '0.25' WHEN value < 60 THEN '0.5' ELSE '0.75' END, '}}') END"""
+_LABELS = ("click", "view", "purchase", "uncertain")
+
+
 @plans.add(
-    """SELECT event_id, CASE WHEN event_id % 10 = 7 THEN 'transport_error' WHEN event_id % 10 = 8 THEN 'rate_limited' WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) > 80 THEN 'label_not_allowed' ELSE 'succeeded' END AS status FROM events"""
+    """WITH e AS (SELECT event_id, event_type, event_id % 31 = 4 AS broken, event_id % 29 = 5 AS bare, event_id % 37 = 6 AS off, CASE WHEN value < 30 THEN 0.75 WHEN value < 60 THEN 0.5 ELSE 0.25 END AS p, event_id % 23 = 3 AS failed, event_id % 23 = 7 AS unsure FROM events WHERE event_type <> 'click'),
+f AS (SELECT *, CASE WHEN off THEN 0.5 ELSE 1 - p END AS q FROM e),
+g AS (SELECT *, CASE WHEN unsure THEN 'outcome_uncertain' WHEN failed THEN 'rate_limited' WHEN broken THEN 'invalid_response' WHEN event_type NOT IN ('view', 'purchase') THEN 'label_not_allowed' WHEN bare THEN 'missing_probabilities'
+  WHEN p + q <> 1 THEN 'invalid_probabilities' WHEN p < q THEN 'label_not_most_probable' END AS error FROM f)
+SELECT event_id, CASE WHEN error IS NULL THEN 'succeeded' ELSE 'failed' END AS status, coalesce(error, '') AS error, CASE WHEN error IS NOT NULL THEN '' WHEN p = q THEN 'uncertain' ELSE event_type END AS label, coalesce(error = 'rate_limited', false) AS retryable FROM g"""
 )
 def response_records(t):
-    k = F.get_json_object("props", "$.k").cast("long")
-    kind = F.col("event_id") % 10
-    return t("events").select("event_id", F.when(kind == 7, "transport_error").when(kind == 8, "rate_limited").when(k > 80, "label_not_allowed").otherwise("succeeded").alias("status"))
+    e, n = t("events").where("event_type <> 'click'"), F.col("event_id")
+    outcome = F.when(n % 23 == 3, "failed").when(n % 23 == 7, "outcome_uncertain").otherwise("answered")
+    responses = e.select(n.cast("string").alias("work_key"), outcome.alias("outcome"), F.expr(_BODY).alias("body"), F.when(n % 23 == 3, "rate_limited").alias("error"))
+    made = X.decision_records(responses, list(_LABELS))
+    return made.select(F.col("work_key").cast("long").alias("event_id"), "status", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("label", F.lit("")).alias("label"), "retryable")
+
+
+def _answer(request: str) -> str:
+    """The injected sender of the query below: it answers by the user's number, or fails."""
+    import json
+
+    user = json.loads(request)["user"]
+    if user % 10 == 7:
+        raise TimeoutError(request)
+    return json.dumps({"label": "odd" if user % 2 else "even", "probabilities": {"odd": float(user % 2), "even": float(1 - user % 2)}})
+
+
+@plans.add(
+    """SELECT event_type, user_id, CASE WHEN user_id % 10 = 7 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN user_id % 10 = 7 THEN 'TimeoutError' WHEN user_id % 2 = 1 THEN 'odd' ELSE 'even' END AS answer, count(*) AS requests, true AS replayed
+FROM events GROUP BY 1, 2"""
+)
+def request_replay(t):
+    """All requests are sent in a first run and replayed from their receipts in a second."""
+    prepared = X.prepared_requests(t("events").select("user_id", "event_type"), "m1", user="user_id", task="event_type")
+    ledger = X.FolderLedger(mounted_dir(prepared.sparkSession, "ledger"))
+    materialise(X.dispatched(prepared, _answer, ledger), "responses")
+    again = X.dispatched(prepared, _answer, ledger)
+    records = X.decision_records(again, ["odd", "even"]).join(again.select("work_key", "replayed"), "work_key")
+    asked = prepared.groupBy("work_key", "event_type", "user_id").agg(F.count("*").alias("requests"))
+    return asked.join(records, "work_key").select("event_type", "user_id", "status", F.coalesce("label", "error").alias("answer"), "requests", "replayed")
 
 
 @plans.add("SELECT event_id AS id, event_id + 100 AS input_id FROM events WHERE event_id + 100 NOT IN (SELECT event_id FROM events)")

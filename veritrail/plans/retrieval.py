@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import lineage as L
 from ..operators import retrieval as R
 from .base import Plans
 
@@ -205,3 +206,38 @@ def rescore_replay(t):
     hits = R.top_k(_lexical(t), "item_id", "doc_id", 51).where("rank <> 50").join(off, "doc_id")
     saved = hits.select("item_id", "doc_id", (F.col("score") + F.col("off")).alias("score"), rank.alias("rank"))
     return R.rescore_violations(saved, R.top_k(_lexical(t), "item_id", "doc_id"), "item_id", "doc_id")
+
+
+# Sources of an index: artifact, text, article, passage, corpus of 25 documents; then one document in 40 is captured anew.
+def _sources(t, changed: bool):
+    d, n = t("documents"), F.col("doc_id")
+    body = F.when(n % 40 == 17, F.concat("text", F.lit(" "))).otherwise(F.col("text")) if changed else F.col("text")
+    corpus = F.concat(F.lit("m"), F.floor(n / 25).cast("long"))
+    made = [("a", F.sha2(body, 256)), ("t", F.sha2(F.lit("text"), 256)), ("w", F.sha2("source", 256)), ("p", F.sha2(F.col("lang"), 256))]
+    records = d.select(F.explode(F.array(*[F.struct(F.concat(F.lit(k), n).alias("id"), h.alias("digest")) for k, h in made])).alias("r")).select("r.*")
+    records = records.unionByName(d.select(corpus.alias("id")).distinct().withColumn("digest", F.sha2("id", 256)))
+    links = [("t", "a"), ("w", "t"), ("p", "w")]
+    edges = d.select(F.explode(F.array(*[F.struct(F.concat(F.lit(a), n).alias("src"), F.concat(F.lit(b), n).alias("dst")) for a, b in links], F.struct(corpus.alias("src"), F.concat(F.lit("p"), n).alias("dst")))).alias("e"))
+    # A translation rests on the text of the document with half its number as well.
+    more = d.where("lang = 'de' and doc_id > 0").select(F.struct(F.concat(F.lit("t"), n).alias("src"), F.concat(F.lit("t"), F.floor(n / 2).cast("long")).alias("dst")).alias("e"))
+    return records, edges.unionByName(more).select("e.*"), records.where("id like 'm%'")
+
+
+@plans.add(
+    """WITH RECURSIVE e AS (SELECT 'm' || doc_id // 25 AS src, doc_id AS dst FROM documents), t AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE lang = 'de' AND doc_id > 0),
+up(id, pos) AS (SELECT src, dst FROM e UNION SELECT u.id, t.dst FROM up u JOIN t ON t.src = u.pos)
+SELECT id, 'index_corpus_mismatch' AS code FROM up WHERE pos % 40 = 17 AND pos IN (SELECT doc_id FROM documents) GROUP BY 1"""
+)
+def stale_indexes(t):
+    prepared, now = (L.prepared_indexes(L.closure_hashes(records, edges), manifests, "injected", 64) for records, edges, manifests in (_sources(t, False), _sources(t, True)))
+    return L.stale(prepared, now)
+
+
+@plans.add(
+    """WITH RECURSIVE t AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE lang = 'de' AND doc_id > 0), up(doc_id, pos, depth) AS (SELECT doc_id, doc_id, 1 FROM documents UNION ALL SELECT u.doc_id, t.dst, u.depth + 1 FROM up u JOIN t ON t.src = u.pos),
+d AS (SELECT doc_id, max(depth) AS n FROM up GROUP BY 1), level AS (SELECT n AS level FROM d UNION ALL SELECT 0 FROM d UNION ALL SELECT n + 1 FROM d UNION ALL SELECT n + 2 FROM d UNION ALL SELECT max(n) + 3 FROM d GROUP BY doc_id // 25)
+SELECT level, count(*) AS records FROM level GROUP BY 1"""
+)
+def closure_levels(t):
+    records, edges, _ = _sources(t, False)
+    return L.closure_hashes(records, edges).groupBy("level").agg(F.count("*").alias("records"))

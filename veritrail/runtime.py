@@ -61,6 +61,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def mounted_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for files that tasks open themselves; the shared folder must be mounted on all machines under its path."""
+    found = shared_dir(spark)
+    if "://" in found and not found.startswith("file://") or ":" in found.split("/")[0] and not found.startswith("file:"):
+        raise ValueError("spark.checkpoint.dir isn't a mounted folder: give a ledger of your own")
+    return f"{found.removeprefix('file://').removeprefix('file:').rstrip('/')}/veritrail-{uuid.uuid4().hex[:12]}/{name}"
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so only when the driver's references to them are collected."""
     gc.collect()
