@@ -3,9 +3,11 @@
 import hashlib
 import math
 import pickle
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -264,16 +266,54 @@ def test_quality_counts_all_trusted_text(spark, monkeypatch):
         assert a[:2] == b[:2] and (a[2] is b[2] is None or math.isclose(a[2], b[2], rel_tol=1e-6))
 
 
+def plain_url_rules(rows, support, confidence, least):
+    """Rules over all subsets of the labelled urls' tokens: {tokens: (verdict, confidence, support)}."""
+    floor = max(support * len(rows), least)
+    sets = Counter()
+    for tokens, verdict in rows:
+        for n in range(len(tokens) + 1):
+            for some in combinations(tokens, n):
+                sets[some, None] += 1
+                sets[some, verdict] += 1
+    out = {}
+    for (some, verdict), n in sets.items():
+        if some and verdict and n >= floor - 1e-9 and n / sets[some, None] >= confidence:
+            out[some, verdict] = (n / sets[some, None], n / len(rows))
+    keep = {}
+    for (some, verdict), (sure, share) in out.items():
+        smaller = [out.get((tuple(t for t in some if t != gone), verdict), (0, 0))[0] for gone in some]
+        if not any(had >= sure for had in smaller if had):
+            keep[some, verdict] = (sure, share)
+    return keep
+
+
 def test_urls(spark):
     rows = [(1, "https://www.Example.com/en/x"), (2, "http://a.example.com/en/"), (3, "http://x.net/fr/1?q#f"), (4, "http://notcom"), (5, None), (6, "no scheme"), (7, "http://x.org"), (8, "https://x.com"), (9, "https://x.com/?a")]
-    rows += [(100 + i, f"http://casino-{i % 3}.example.org/p/{i}") for i in range(60)] + [(300 + i, f"http://good.example.org/p/{i}") for i in range(60)]
+    r = random.Random(1)
+    for i in range(400):
+        sub, name, top, lang = r.choice(["", "m.", "blog.", "www."]), r.choice(["ab", "cd", "ef", "example"]), r.choice(["com", "net", "org"]), r.choice(["en", "fr", "es", "de"])
+        rows.append((100 + i, f"http{r.choice(['', 's'])}://{sub}{name}.{top}/{lang}/{r.choice(['', 'p/', 'q/r/'])}{i % 50}{r.choice(['', '.html', '?b=1&a=2', '#x'])}"))
+    rows += [(900, "http://" + "a." * 100 + "com/" + "en/" * 200 + "?" + "&".join(f"k{i}=1" for i in range(200))), (901, "http://long.org/" + "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)))]
     found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), support=0.01).collect()}
     assert (found[1].host, found[1].path, found[1].rule, found[1].verdict) == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
     assert (found[2].rule, found[2].verdict) == ("example.com/en/", "block")
     assert (found[3].path, found[3].rule, found[3].verdict) == ("/fr/1", "net/fr/", "block")
     assert found[4].rule is None and found[5].host == found[5].path == found[6].host == "" and found[7].path == "" and found[8].rule is None and found[9].rule == "com/"
-    assert all(found[100 + i].verdict == "block" for i in range(60)) and all(found[300 + i].verdict == "allow" for i in range(60))
+    host, path = urls.host_and_path(F.col("url"))
+    split = spark.createDataFrame(rows, "page_id long, url string").select("page_id", "url", host.alias("host"), path.alias("path"))
+    tokens = {r.page_id: tuple(r.t) for r in split.select("page_id", urls.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("t")).collect()}
+    assert max(map(len, tokens.values())) <= urls.TOKENS and tokens[5] == tokens[6] == ()
+    mined = plain_url_rules([(tokens[i], found[i].verdict) for i in found if found[i].rule], 0.01, urls.MIN_CONFIDENCE, urls.LEAST_PAGES)
+    decided = 0
+    for i, x in found.items():
+        if x.rule is None:
+            fits = [(sure, share, len(some), verdict) for (some, verdict), (sure, share) in mined.items() if set(some) <= set(tokens[i])]
+            best = max(fits, default=(None, None, None, "allow"), key=lambda f: (round(f[0], 12), round(f[1], 12), *f[2:]))
+            assert x.verdict == best[3] and (x.confidence is None) == (best[0] is None) and (best[0] is None or math.isclose(x.confidence, best[0]))
+            decided += best[0] is not None
+    assert decided > 20  # pages beyond the labelled ones
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert urls.judge(spark.createDataFrame([(1, "http://x.org/a"), (1, "http://x.org/a"), (None, None)], "page_id long, url string")).count() == 3
 
 
 def test_bpe(spark, messy, empty):
@@ -458,11 +498,14 @@ def test_imatch(spark, messy, empty):
     # The band, and a signature as the hash of the sorted distinct terms of its subset, against plain Python.
     band = imatch.lexicon(docs, least=3, share=0.5)
     names = {imatch._terms(pa.array([w]))[0][0]: w for w in brute}
-    assert {w for t, w in names.items() if imatch.hit(np.array([t]), band)[0]} == {w for w, n in brute.items() if 3 <= n <= 0.5 * len(texts)}
+    assert {w for t, w in names.items() if imatch.member(np.array([t]), band)[0]} == {w for w, n in brute.items() if 3 <= n <= 0.5 * len(texts)}
+    small = imatch.lexicon(docs, least=3, share=0.5, bits=1 << 15)  # a first filter that lets very much through
+    assert {w for t, w in names.items() if imatch.member(np.array([t]), small)[0]} == {w for w, n in brute.items() if 3 <= n <= 0.5 * len(texts)}
+    assert (imatch.fingerprints(pa.array(texts), small) == imatch.fingerprints(pa.array(texts), band)).all()
     prints = imatch.fingerprints(pa.array(texts), band)
     for t, row in zip(texts, prints, strict=True):
         terms = sorted(x for x, w in names.items() if w in set(WORD.findall(t)))
-        kept = [x for x in terms if imatch.hit(np.array([x]), band)[0]] or terms
+        kept = [x for x in terms if imatch.member(np.array([x]), band)[0]] or terms
         subsets = [[x for x in kept if int(imatch.mix(np.array([x ^ np.uint64(imatch._ROOT)]))[0]) >> i & 1] for i in range(imatch.HALVES)]
         for level, parts in enumerate(imatch.PARTS):
             of = [int(imatch.mix(np.array([x ^ np.uint64((level + 2) * imatch._ROOT % 2**64)]))[0] >> np.uint64(20)) % parts for x in kept]

@@ -1,9 +1,11 @@
 """I-Match fingerprints over several randomised lexicon subsets.
 
 The lexicon holds the terms (words cut at white space and ASCII punctuation, A-Z lower-cased) whose document frequency lies in a band given by
-parameters: at least ``LEAST_DOCUMENTS`` documents, and at most ``MOST_SHARE`` of all (an inverse document frequency of at least ln 5).  Frequencies count
-every document.  What is broadcast is a Bloom filter of ``filters.BITS`` bits over the lexicon, the same size whatever the corpus: a term of the band always
-passes, one outside with odds of (1 - exp(-2 n / BITS))**2 for a lexicon of n terms (under one in a thousand up to 4 million).
+parameters: a share of at least ``LEAST_SHARE`` and at most ``MOST_SHARE`` of all documents (an inverse document frequency between ln 5 and ln 100,000), and at least
+``LEAST_DOCUMENTS``.  Frequencies count every document.  The band goes by shares, so it doesn't change with the corpus's size, and holds at most
+(distinct terms per document) / LEAST_SHARE terms, a bound that doesn't grow.  What is broadcast is a cascade of Bloom filters that tells the band's terms from all others of
+the corpus without error, 64 bits or more for each term of the band (2**32 bits at most, an error beyond; the bound of the band keeps below for up to 670 distinct terms per document on average).
+Terms that only an edited text has, at the cut, are no terms of the corpus; of those less than one in a thousand passes.
 
 A document keeps its distinct lexicon terms in sorted order.  Of the lexicon, ``HALVES`` random subsets hold half of the terms each, and for each number in ``PARTS`` the
 lexicon is dealt at random to so many subsets more.  A signature is the hash of a document's sorted distinct terms of one subset, 0 where it has none.  Large subsets
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import discard, materialise
+from ..runtime import materialise
 from .batches import slices
-from .filters import bloom, hit
+from .filters import cascade, member
 from .words import Words, distinct, mix
 
 MOST_SHARE = 0.2
+LEAST_SHARE = 1e-5
 LEAST_DOCUMENTS = 2
 HALVES = 8
 PARTS = (16, 64, 256)
@@ -75,13 +78,12 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.col(text).alias("t")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(documents: DataFrame, text: str = "text", least: int = LEAST_DOCUMENTS, share: float = MOST_SHARE) -> np.ndarray:
-    """The filter of the band's terms, as bytes: at least ``least`` documents and at most ``share`` of all."""
-    counts = materialise(document_frequencies(documents, text).where(F.col("n") >= least), "terms")
-    inside = counts.where(F.col("n") <= max(2.0, share * documents.count()))
-    found = bloom(inside, "term")
-    discard(counts)
-    return found
+def lexicon(documents: DataFrame, text: str = "text", least: int = LEAST_DOCUMENTS, share: float = MOST_SHARE, least_share: float = LEAST_SHARE, bits: int | None = None) -> list[np.ndarray]:
+    """The band's terms as a cascade of filters; ``bits`` sets the size of the first."""
+    counts = materialise(document_frequencies(documents, text), "terms")
+    total = documents.count()
+    inside = F.col("n").between(max(least, least_share * total), max(2.0, share * total))
+    return cascade(counts.where(inside), counts.where(~inside), "term", bits)
 
 
 def _hashed(terms: np.ndarray, subset: np.ndarray, number: int) -> np.ndarray:
@@ -96,12 +98,12 @@ def _hashed(terms: np.ndarray, subset: np.ndarray, number: int) -> np.ndarray:
     return out
 
 
-def fingerprints(column: pa.Array, band: np.ndarray) -> np.ndarray:
+def fingerprints(column: pa.Array, band: list[np.ndarray]) -> np.ndarray:
     """Two bytes per text and subset: the halves, then the parts of each number."""
     terms, begin = _terms(column)
     n = len(begin) - 1
     owner = np.repeat(np.arange(n), np.diff(begin))
-    kept = hit(terms, band)
+    kept = member(terms, band)
     kept |= (np.bincount(owner[kept], minlength=n) == 0)[owner]
     terms, owner = terms[kept], owner[kept]
     halves, signs = mix(terms ^ np.uint64(_ROOT)), []

@@ -68,8 +68,13 @@ def op13_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_branches(table(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express: hosts, paths and fixed rules of all pages."""
+    return urls.rule_columns(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_extract, op2_language, op3_quality, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets, op11_winnowing, op12_whitening, op13_merge)
+    for f in (op1_extract, op2_language, op3_quality, op4_urls, op5_bpe, op6_mix, op7_audio, op8_jaccard, op9_imatch, op10_secrets, op11_winnowing, op12_whitening, op13_merge, url_rules)
 }
-ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE, "op8_jaccard": near.ORACLE, "op11_winnowing": decontam.ORACLE, "op13_merge": merge.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_mix": mixing.ORACLE, "op8_jaccard": near.ORACLE, "op11_winnowing": decontam.ORACLE, "op13_merge": merge.ORACLE, "url_rules": urls.ORACLE_RULES}

@@ -1,14 +1,15 @@
 """URL filters: fixed host and path rules, and association rules mined with FP-growth for the urls no fixed rule fits.
 
-The labels: a page that a fixed rule fits has that rule's verdict; else a page with a word of ``SUSPECT`` in its host is
-labelled block; all others are open.  Every url becomes a set of tokens (scheme, host, its labels, path segments with
-numbers generalised, extension, query keys, fragment) plus its label; FP-growth mines frequent sets; rules
-``tokens -> allow or block`` stay if they reach ``MIN_SUPPORT`` and ``MIN_CONFIDENCE`` and no rule with one token less is as confident.
-Open pages count against a rule's confidence, so a token that merely goes along with labelled pages does not decide for the open ones.  Matching uses an inverted index: each rule hangs on its rarest token, distinct token sets look their tokens up, and only rules found that
-way are compared in full.  The most confident match decides (then the one of most support, the longer one, block before allow); without a match a url is allowed.
-
-Defined results: a null url or one without ``://`` has an empty host and path, no rule and no tokens, and is allowed; when there are no pages, no rule
-is mined; equal urls get equal verdicts; key ties and repeated rows are kept as they are.
+The labels are the fixed rules' own: a page that a rule fits has that rule's verdict, and what its url shares with others (path, ending, query, subdomain, domain) carries it
+over to pages that no rule fits.  Every url becomes a set of at most ``TOKENS`` tokens: scheme, subdomain, domain without its top level, host, first path segment, first two, the last
+one (numbers generalised), its ending, the set of query keys, fragment.  So a url of any length costs no more than another: its tokens multiply to at most 2**TOKENS sets.
+
+FP-growth mines frequent sets of the labelled urls (a set must occur in ``MIN_SUPPORT`` of them and in ``LEAST_PAGES`` at least).  Rules ``tokens -> allow or block`` stay if they reach ``MIN_CONFIDENCE``
+and no rule with one token less is as confident.  Matching uses an inverted index: each rule hangs on its rarest token, distinct token sets look their tokens up, and only
+rules found that way are compared in full.  The most confident match decides (then the one of most support, the longer one, block before allow); without a match a url is allowed.
+
+Defined results: a null url or one without ``://`` has an empty host and path, no rule and no tokens, and is allowed; when there are no labelled pages, no rule
+is mined; equal urls get equal verdicts; very long urls have as many tokens as others; key ties and repeated rows are kept as they are.
 """
 
 from __future__ import annotations
@@ -21,11 +22,10 @@ from ..runtime import materialise
 
 # The fixed rules: verdict, host and path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-# Words that mark a host as unwanted: fixed values.
-SUSPECT = ("ad", "ads", "adserver", "adult", "bet", "bets", "betting", "casino", "gambling", "malware", "phishing", "porn", "sex", "spam", "track", "tracker", "tracking", "warez", "xxx")
 MIN_SUPPORT = 0.002
+LEAST_PAGES = 10
 MIN_CONFIDENCE = 0.9
-COMMON = 0.95  # tokens in a larger share of the urls say nothing and only multiply the sets
+TOKENS = 11
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,45 +48,37 @@ def fixed_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ..
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """The distinct tokens of a url in sorted order; an empty array where it has no host."""
+    """The distinct tokens of a url in sorted order, ``TOKENS`` at most; an empty array where it has no host."""
     labels = F.split(host, r"\.")
-    segments = F.transform(F.filter(F.split(F.regexp_replace(path, r"\.[A-Za-z0-9]{1,5}$", ""), "/"), lambda s: s != ""), lambda s: F.concat(F.lit("path:"), F.regexp_replace(s, "[0-9]+", "#")))
-    extension = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("key:"), F.substring_index(s, "=", 1)))
-    every = F.concat(
-        F.array(F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1)), F.concat(F.lit("host:"), host), F.concat(F.lit("tld:"), F.element_at(labels, -1))),
-        F.transform(labels, lambda s: F.concat(F.lit("label:"), s)),
-        segments,
-        keys,
-        F.when(extension != "", F.array(F.concat(F.lit("ext:"), extension))).otherwise(F.array().cast("array<string>")),
-        F.when(F.instr(url, "#") > 0, F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>")),
-    )
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(every)))
-
-
-def label(host: Column, verdict: Column, suspect: tuple[str, ...] = SUSPECT) -> Column:
-    """allow, block or open; see the module's text."""
-    marked = F.arrays_overlap(F.split(host, r"[.-]"), F.array(*map(F.lit, suspect)))
-    return F.coalesce(verdict, F.when(marked, F.lit("block")), F.lit("open"))
-
-
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support, anchor) from rows (tokens, verdict)."""
+    said = lambda kind, value: F.when(value != "", F.concat(F.lit(kind + ":"), value))
+    general = lambda s: F.regexp_replace(s, "[0-9]+", "#")
+    segments = F.filter(F.split(F.regexp_replace(path, r"\.[A-Za-z0-9]{1,5}$", ""), "/"), lambda s: s != "")
+    first = F.coalesce(F.get(segments, F.lit(0)), F.lit(""))
+    second = F.when(F.size(segments) > 1, F.concat(first, F.lit("/"), F.get(segments, F.lit(1)))).otherwise("")
+    last = F.when(F.size(segments) > 0, F.get(segments, F.size(segments) - 1)).otherwise("")
+    keys = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda s: s != ""), lambda s: F.substring_index(s, "=", 1))))
+    every = F.array(
+        said("scheme", F.lower(F.substring_index(url, "://", 1))), said("host", host), said("sub", F.when(F.size(labels) > 2, labels[0]).otherwise("")),
+        said("domain", F.when(F.size(labels) > 1, F.element_at(labels, -2)).otherwise("")), said("top", F.element_at(labels, -1)), said("first", general(first)), said("second", general(second)),
+        said("last", general(last)), said("ending", F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1))), said("keys", F.array_join(keys, "&")), F.when(F.instr(url, "#") > 0, F.lit("fragment")),
+    )
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.array_compact(every))))
+
+
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, least: int = LEAST_PAGES) -> DataFrame:
+    """Rules (tokens, verdict, confidence, support, anchor) from rows (tokens, verdict), the verdict allow or block."""
     spark = labelled.sparkSession
     total = labelled.count()
     schema = "tokens array<string>, verdict string, confidence double, support double, anchor string"
     if not total:
         return spark.createDataFrame([], schema)
-    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= support * total)
-    counts = materialise(counts, "token_counts")  # at most tokens per url / support rows
-    common = [r["token"] for r in counts.where(F.col("n") > COMMON * total).collect()]  # at most tokens per url / COMMON
-    kept = F.array_except("tokens", F.array(*map(F.lit, common))) if common else F.col("tokens")
-    baskets = labelled.select(F.concat(kept, F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
+    share = min(1.0, max(support, least / total))
+    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= share * total)
+    counts = materialise(counts, "token_counts")  # at most TOKENS / share rows
+    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
     is_label = F.startswith(F.col("consequent")[0], F.lit("verdict:"))
     rules = model.associationRules.where(is_label & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("verdict:"))))
-    rules = rules.where(F.col("consequent")[0] != "verdict:open")
     rules = materialise(rules.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence", "support"), "mined")
     smaller = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("had"))
     parts = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode("tokens").alias("gone")).withColumn("part", F.array_remove("tokens", F.col("gone")))
@@ -96,14 +88,14 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     return materialise(rules.join(rarest, ["tokens", "verdict"]), "rules").select("tokens", "verdict", "confidence", "support", "anchor")
 
 
-def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple[tuple[str, str, str], ...] = RULES, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple[tuple[str, str, str], ...] = RULES, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, least: int = LEAST_PAGES) -> DataFrame:
     """Per page: the key, host, path, the fixed rule that fits or null, the verdict, and the confidence of a mined rule where one decided."""
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "given": verdict})
     tokens = url_tokens(F.col("url"), F.col("host"), F.col("path"))
-    mined = mine(rows.select(tokens.alias("tokens"), label(F.col("host"), F.col("given")).alias("verdict")), support, confidence)
+    mined = mine(rows.where("given is not null").select(tokens.alias("tokens"), F.col("given").alias("verdict")), support, confidence, least)
     open_sets = rows.where("given is null").select(tokens.alias("tokens")).distinct()
     hung = mined.select(F.col("anchor").alias("token"), F.col("tokens").alias("needs"), "verdict", "confidence", "support")
     order = F.struct("confidence", "support", F.size("needs").alias("length"), F.col("verdict"))
@@ -114,3 +106,20 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple
     rows = rows.withColumn("tokens", F.when(F.col("given").isNull(), tokens))
     joined = rows.join(best, "tokens", "left")
     return joined.select(key, "host", "path", "rule", F.coalesce("given", "mined", F.lit("allow")).alias("verdict"), "confidence")
+
+
+def rule_columns(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """Per page: the key, host, path, the fixed rule that fits and its verdict, null where none does."""
+    host, path = host_and_path(F.col(url))
+    rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
+    rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
+    return rows.select(key, "host", "path", rule.alias("rule"), verdict.alias("given"))
+
+
+ORACLE_RULES = r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS given FROM h JOIN r ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY 1)
+SELECT page_id, host, path, rule, given FROM h LEFT JOIN fit USING (page_id)
+"""
