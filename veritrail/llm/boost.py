@@ -10,7 +10,7 @@ BINS = 32
 class Boost:
     """Logistic loss, depth-limited trees of equal depth stored as arrays."""
 
-    def __init__(self, rounds: int = 50, depth: int = 4, rate: float = 0.25, least: float = 4.0, ridge: float = 1.0):
+    def __init__(self, rounds: int = 80, depth: int = 5, rate: float = 0.25, least: float = 4.0, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.least, self.ridge = rounds, depth, rate, least, ridge
 
     def _bin(self, x: np.ndarray) -> np.ndarray:

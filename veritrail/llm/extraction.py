@@ -203,6 +203,11 @@ class Generator:
         token += self.r.choice(("", "", "", "-1", "-wrap", "-box", " " + neutral))
         return f' {self.r.choice(("class", "class", "class", "id"))}="{token}"'
 
+    def told(self, meaning: str) -> str:
+        """A class or id with a token of that meaning: of boilerplate that nothing else tells from main text."""
+        token = self.r.choice(TOKENS[meaning]) + self.r.choice(("", "", "", "-1", "-wrap", "-box", " row", " c12"))
+        return f' {self.r.choice(("class", "class", "class", "id"))}="{token}"'
+
     def neutral(self) -> str:
         """No name at all, or one that says nothing."""
         r = self.r
@@ -234,9 +239,9 @@ class Generator:
         if kind == "side":
             return self.element("aside", f"<h3>{self.words(1, 4, 0)}</h3>" + (self.links(3, 8) if r.random() < 0.7 else "".join(f"<p>{self.words(5, 25)}</p>" for _ in range(r.randint(1, 3)))), "side")
         if kind == "advert":
-            return f"<div{self.names('advert') or ' class=ad'}>{r.choice(('', '<p>', '<a href=/x>'))}{self.words(3, 25)}</div>"
+            return f"<div{self.told('advert') if r.random() < 0.6 else ' class="ad"'}>{r.choice(('', '', '<p>', '<a href=/x>'))}{self.words(3, 25)}</div>"
         if kind == "notice":
-            return f"<{r.choice(('div', 'section', 'aside'))}{self.names('notice') or ' class=cookie-notice'}><p>{self.words(5, 30)}</p>{r.choice(('<button>OK</button>', '', '<a href=/p>More</a>'))}</div>"
+            return f"<{r.choice(('div', 'section', 'aside'))}{self.told('notice')}><p>{self.words(5, 30)}</p>{r.choice(('<button>OK</button>', '', '<a href=/p>More</a>'))}</div>"
         if kind == "form":
             return self.element("form", f"<label>{self.words(1, 4, 0)}</label><input type=text name=q>" + r.choice(("<button>Go</button>", "<p>" + self.words(2, 12) + "</p>", "<textarea>x</textarea>")), "form", "notice")
         if kind == "share":
@@ -244,7 +249,7 @@ class Generator:
         one = r.choice(("<li class='comment'>{}</li>", "<div class='comment'>{}</div>", "<article class='comment'>{}</article>", "<div class='reply'>{}</div>", "<p>{}</p>"))
         said = "".join(one.format((f"<b>{self.words(1, 2, 0)}</b> " if r.random() < 0.5 else "") + (f"<p>{self.words(4, 60)}</p>" if r.random() < 0.6 else self.words(4, 60))) for _ in range(r.randint(1, 6)))
         title = f"<h{r.choice('234')}>{self.words(1, 3, 0)}</h3>" if r.random() < 0.6 else ""
-        return f"<{(t := r.choice(('section', 'div', 'div')))}{self.names('comment') or ' id=comments'}>{title}{said}</{t}>"
+        return f"<{(t := r.choice(('section', 'div', 'div')))}{self.told('comment')}>{title}{said}</{t}>"
 
     def page(self, long: bool = False) -> tuple[str, list[str]]:
         """A page and its main blocks; a long one has all of many blocks, and pieces of boilerplate between and after them, under one parent."""
@@ -255,19 +260,30 @@ class Generator:
             main.append(" ".join(text.split()))
             return f"<{tag}>{shown or text}" + (f"</{tag.split()[0]}>" if close else "")
 
-        def paragraph() -> str:
-            text = self.words(*r.choice(((2, 8), (10, 40), (30, 120), (60, 200))))
-            shown = text
-            if r.random() < 0.3:
-                words = text.split(" ")
+        unit = r.choice(("p", "p", "p", "p", "p", "p", "div", "div", "div", "section", "li", "td", "pre"))  # what the page's paragraphs are
+        linked = r.choice((0.0, 0.1, 0.1, 0.5, 1.0))  # the share of paragraphs with links
+
+        def one() -> str:
+            text = self.words(*r.choice(((2, 8), (8, 20), (10, 40), (15, 60), (30, 120), (60, 200))[unit in ("li", "td") :]))
+            words = text.split(" ")
+            if r.random() < 0.2:
                 k = r.randrange(len(words))
-                words[k] = r.choice(("<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>", "<b>{}", "{}<br>")).format(words[k])
-                shown = " ".join(words)
-            return block("p", text, shown, r.random() > 0.15)
+                words[k] = r.choice(("<b>{}</b>", "<em>{}</em>", "<b>{}", "{}<br>")).format(words[k])
+            if len(words) > 8 and r.random() < linked:
+                for k in r.sample(range(len(words)), min(len(words), r.choice((1, 1, 2, 3, 5)))):
+                    words[k] = f"<a href='/{k}'>{words[k]}</a>"
+            return block(unit, text, " ".join(words), unit != "p" or r.random() > 0.15)
+
+        def paragraph() -> str:
+            if unit == "li":
+                return "<ul>" + "".join(one() for _ in range(r.choice((1, 2, 4)))) + "</ul>"
+            if unit == "td":
+                return "<table>" + "".join(f"<tr>{one()}</tr>" for _ in range(r.choice((1, 2, 4)))) + "</table>"
+            return one()
 
-        inner = [block("h1", self.words(1 if long else 3, 5 if long else 12, r.choice((0, 0, 0.03))))] if r.random() < 0.9 else []
+        inner = [block("h1", self.words(1 if long or r.random() < 0.4 else 3, 5 if long else 12, r.choice((0, 0, 0.03))))] if r.random() < 0.9 else []
         plain = r.choice((0.78, 1, 1))  # some pages are nothing but paragraphs
-        for _ in range(r.randint(50, 200) if long else r.choice((1, 1, 2, 3, 4, 6, 9, 14, 25))):
+        for _ in range(r.randint(50, 200) if long else r.choice((1, 1, 2, 2, 3, 3, 4, 5, 6, 9, 14, 25))):
             x = r.random() * plain
             if x < 0.78:
                 inner.append(paragraph())
@@ -288,7 +304,9 @@ class Generator:
         elif r.random() < 0.15:
             body += self.junk("comment")
         x = r.random()
-        if r.random() < 0.45:  # nothing but its content tells the container
+        if r.random() < 0.1:  # no container at all
+            pass
+        elif r.random() < 0.45:  # nothing but its content tells the container
             for _ in range(r.choice((1, 1, 2, 3))):
                 body = f"<{(t := r.choice(('div', 'div', 'div', 'section', 'main')))}{self.neutral()}>{body}</{t}>"
         elif x < 0.55:
@@ -299,8 +317,10 @@ class Generator:
             body = f"<div{self.names('content') or ' id=content'}>{body}</div>"
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             body = f"<div{self.names()}>{body}</div>"
-        lead = [self.junk(k) for k in ("header", "menu", "advert", "notice", "form", "side", "share") if r.random() < (0.8 if k == "menu" else 0.3)]
-        tail = [self.junk(k) for k in ("comment", "side", "advert", "share", "form", "menu", "footer", "notice") if r.random() < (0.8 if k == "footer" else 0.25)]
+        often = {"menu": 0.8, "advert": 0.35}
+        lead = [self.junk(k) for k in ("header", "menu", "advert", "notice", "form", "side", "share") if r.random() < often.get(k, 0.3)]
+        often = {"footer": 0.8, "advert": 0.35}
+        tail = [self.junk(k) for k in ("comment", "side", "advert", "share", "form", "menu", "footer", "notice") if r.random() < often.get(k, 0.25)]
         if r.random() < 0.6:
             r.shuffle(lead)
         title = self.words(2, 8, 0)
