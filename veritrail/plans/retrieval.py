@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import embedding as B
 from ..operators import lineage as L
 from ..operators import retrieval as R
 from .base import Plans
@@ -241,3 +242,21 @@ SELECT level, count(*) AS records FROM level GROUP BY 1"""
 def closure_levels(t):
     records, edges, _ = _sources(t, False)
     return L.closure_hashes(records, edges).groupBy("level").agg(F.count("*").alias("records"))
+
+
+class WordEncoder:
+    """The injected encoder of the query below: words are tokens, and a vector tells a text's length."""
+
+    max_tokens, dimensions = 1 << 20, 3
+
+    def lengths(self, texts):
+        return [len(x.split(" ")) for x in texts]
+
+    def encode(self, texts):
+        return [[1.0, float(len(x) % 7), 0.5] for x in texts]
+
+
+@plans.add("SELECT doc_id, len(string_split(text, ' '))::INT AS tokens, 1.0::DOUBLE AS a, (length(text) % 7)::DOUBLE AS b, 0.5::DOUBLE AS c FROM documents")
+def embedded_texts(t):
+    made = B.embedded(t("documents"), WordEncoder(), "doc_id", "text")
+    return made.select("doc_id", "tokens", *[F.col("vector")[i].alias(c) for i, c in enumerate("abc")])

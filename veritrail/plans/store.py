@@ -197,25 +197,32 @@ def usage_cost(t):
     return rows.groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if(F.col("cost").isNull()).alias("unknown"), F.round(F.sum("cost"), 9).alias("cost"))
 
 
+# Distributions over labels from the events' values: a pair that adds up or not, with or without a third label.
+_P = """e AS (SELECT event_id, event_type AS label, floor(value) / 100 AS p, (100 - floor(value) - user_id % 2) / 100 AS q, event_id % 11 <> 10 AS whole, user_id % 2 / 100.0 AS r FROM events)"""
+
+
+def _distributions(t):
+    e = t("events").select("event_id", F.col("event_type").alias("label"), F.floor("value").alias("v"), (F.col("user_id") % 2).alias("odd"))
+    p, q, r = F.col("v") / 100, (100 - F.col("v") - F.col("odd")) / 100, F.col("odd") / 100
+    return e.withColumns({"p": p.cast("double"), "q": q.cast("double"), "r": r.cast("double")})
+
+
 @plans.add(
-    """WITH d AS (SELECT doc_id, doc_id % 6 AS kind FROM documents)
-SELECT doc_id, CASE kind WHEN 1 THEN 'label_not_allowed' WHEN 2 THEN 'invalid_probability' WHEN 3 THEN 'incomplete_distribution' WHEN 4 THEN 'probabilities_not_normalised' WHEN 5 THEN 'label_not_maximal' ELSE 'ok' END AS code FROM d"""
+    f"""WITH {_P}, m AS (SELECT *, greatest(p, q, r) AS top, CASE label WHEN 'click' THEN p WHEN 'view' THEN q WHEN 'purchase' THEN r END AS own FROM e)
+SELECT event_id, CASE WHEN label NOT IN ('click', 'view', 'purchase') THEN 'label_not_allowed' WHEN p > 1 OR q < 0 THEN 'invalid_probability' WHEN NOT whole THEN 'incomplete_distribution' WHEN own < top THEN 'label_not_maximal' ELSE 'ok' END AS code FROM m"""
 )
 def decision_parse(t):
-    kind = F.col("doc_id") % 6
-    label = F.when(kind == 1, "other").when(kind == 5, "no").otherwise("yes")
-    yes = F.when(kind == 2, 1.5).when(kind == 4, 0.9).otherwise(0.6)
-    probabilities = F.when(kind == 3, F.create_map(F.lit("yes"), yes, F.lit("no"), F.lit(0.4))).otherwise(F.create_map(F.lit("yes"), yes, F.lit("no"), F.lit(0.3), F.lit("uncertain"), F.lit(0.1)))
-    allowed = F.array(F.lit("yes"), F.lit("no"), F.lit("uncertain"))
-    return t("documents").select("doc_id", F.coalesce(G.decision_code(label, allowed, probabilities), F.lit("ok")).alias("code"))
+    d = _distributions(t)
+    most = F.create_map(F.lit("click"), F.col("p"), F.lit("view"), F.col("q"))
+    probabilities = F.when(F.col("event_id") % 11 != 10, F.map_concat(most, F.create_map(F.lit("purchase"), F.col("r")))).otherwise(most)
+    allowed = F.array(F.lit("click"), F.lit("view"), F.lit("purchase"))
+    return d.select("event_id", F.coalesce(G.decision_code(F.col("label"), allowed, probabilities), F.lit("ok")).alias("code"))
 
 
-@plans.add("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'uncertain' WHEN doc_id % 4 = 1 THEN 'yes' ELSE 'no' END AS label FROM documents")
+@plans.add(f"WITH {_P} SELECT event_id, CASE WHEN p = q AND p >= r OR p = r AND p >= q OR q = r AND q >= p THEN 'uncertain' WHEN p > q AND p > r THEN 'click' WHEN q > r THEN 'view' ELSE 'purchase' END AS label FROM e")
 def tie_labels(t):
-    kind = F.col("doc_id") % 4
-    yes = F.when(kind == 0, 0.45).when(kind == 1, 0.5).otherwise(0.2)
-    no = F.when(kind == 0, 0.45).when(kind == 1, 0.3).otherwise(0.7)
-    return t("documents").select("doc_id", G.tie_label(F.create_map(F.lit("yes"), yes, F.lit("no"), no, F.lit("none"), F.lit(0.1))).alias("label"))
+    d = _distributions(t)
+    return d.select("event_id", G.tie_label(F.create_map(F.lit("click"), F.col("p"), F.lit("view"), F.col("q"), F.lit("purchase"), F.col("r"))).alias("label"))
 
 
 @plans.add()
