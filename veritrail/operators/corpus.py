@@ -22,6 +22,7 @@ CHROME = frozenset("nav script style form noscript button iframe template".split
 CHROME_CLASSES = frozenset("consent cookie-banner breadcrumbs share-tools related-pages local-toc".split())
 PROTECTED_CLASSES = frozenset("references sources footnotes article-meta advice".split())
 FAQ_CLASS, FAQ_LEVEL = "faq-question", 2
+SCOPE_CLASSES = frozenset("background-container accordion-item".split())  # boxes that headings inside them don't reach beyond
 CONTAINERS = frozenset("div section article main header footer aside figure dl ul ol".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 UNSUPPORTED = frozenset("table math svg object embed".split())
@@ -32,7 +33,7 @@ _BLANK = re.compile(r"[ \t\r\n\f]+")
 class _Page(HTMLParser):
     """Blocks, headings, list items, links and exclusions of the page's one root element; the first problem is kept as a reason."""
 
-    def __init__(self, root: str, url: str, most_depth: int = 200):
+    def __init__(self, root: str, url: str, most_depth: int = 200, scopes: frozenset[str] = SCOPE_CLASSES):
         super().__init__(convert_charrefs=True)
         self.root, self.url, self.most_depth = root, url, most_depth
         self.stack: list[tuple[str, bool, int]] = []  # (tag, is it chrome, its place among its like siblings)
@@ -45,7 +46,10 @@ class _Page(HTMLParser):
         self.current: dict | None = None
         self.lists: list[list] = []
         self.outer = 0  # outermost lists so far
-        self.path: list[tuple[int, int]] = []  # (level, block) of the open headings
+        self.scopes = scopes
+        self.boxes: list[str] = []  # for each open element its locator if it is a scope, else nothing
+        self.path: list[tuple[int, int, str]] = []  # (level, block, scope) of the open headings
+        self.ends: dict[int, int] = {}  # of headings the block that ends their section
         self.h1 = 0
 
     def fail(self, reason: str) -> None:
@@ -75,6 +79,7 @@ class _Page(HTMLParser):
         hidden = tag in CHROME or bool(classes & CHROME_CLASSES)
         self.stack.append((tag, hidden, here[tag]))
         self.children.append({})
+        self.boxes.append(self.locator() if classes & self.scopes else "")
         if len(self.stack) > self.most_depth:
             self.fail("depth_limit")
         if tag == self.root and not self.chrome and not hidden:
@@ -115,6 +120,7 @@ class _Page(HTMLParser):
     def _pop(self) -> str:
         name, hidden, _ = self.stack.pop()
         self.children.pop()
+        self.boxes.pop()
         self.chrome -= hidden
         return name
 
@@ -137,6 +143,15 @@ class _Page(HTMLParser):
             now[1] += 1
         self.h1 += tag == "h1"
         self.current = {"kind": kind, "level": int(tag[1]) if kind == "heading" else 0, "text": text, "mark": len(text), "locator": self.locator(), "pre": tag == "pre", "list": self.outer if kind == "list_item" and self.lists else 0}
+        self.current["within"] = [x for x in self.boxes if x]
+        self.current["scope"] = next((x for x in reversed(self.boxes[:-1]) if x), "")
+
+    def _end_sections(self, block: dict) -> None:
+        """The headings that the next block is no longer under: those on top whose box it lies outside of; for a heading also those of its level or deeper."""
+        while self.path and self.path[-1][2] and self.path[-1][2] not in block["within"]:
+            self.ends[self.path.pop()[1]] = len(self.blocks)
+        while block["kind"] == "heading" and self.path and self.path[-1][0] >= block["level"]:
+            self.ends[self.path.pop()[1]] = len(self.blocks)
 
     def _close_block(self) -> None:
         block, self.current = self.current, None
@@ -147,11 +162,10 @@ class _Page(HTMLParser):
             if any(link["block"] == len(self.blocks) for link in self.links):
                 self.fail("empty_block_with_link")
             return
+        self._end_sections(block)
+        self.blocks.append({k: block[k] for k in ("kind", "level", "locator", "list", "within", "scope")} | {"text": text, "headings": [i for _, i, _ in self.path]})
         if block["kind"] == "heading":
-            self.path = [x for x in self.path if x[0] < block["level"]]
-        self.blocks.append({"kind": block["kind"], "level": block["level"], "text": text, "locator": block["locator"], "list": block["list"], "headings": [i for _, i in self.path]})
-        if block["kind"] == "heading":
-            self.path.append((block["level"], len(self.blocks) - 1))
+            self.path.append((block["level"], len(self.blocks) - 1, block["scope"]))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID or not any(t == tag for t, _, _ in self.stack):
@@ -184,9 +198,9 @@ class _Page(HTMLParser):
             self.current["text"] = text + (piece.lstrip(" ") if not text or text[-1:] in " \n" else piece)
 
 
-def parse_page(page: str, url: str, language: str | None = "de", root: str = "article", most_chars: int = 1_000_000) -> dict:
+def parse_page(page: str, url: str, language: str | None = "de", root: str = "article", most_chars: int = 1_000_000, scopes: frozenset[str] = SCOPE_CLASSES) -> dict:
     """Cleaned text and structure of a page, or the reason why it is unusable; unsupported structure is never guessed at."""
-    reader = _Page(root, url)
+    reader = _Page(root, url, scopes=scopes)
     reader.feed(page)
     reader.close()
     reader._close_block()
@@ -208,12 +222,15 @@ def parse_page(page: str, url: str, language: str | None = "de", root: str = "ar
         block["end"] = at = block["start"] + len(block["text"])
         before = block["list"]
     text = "".join(pieces)
+    for i, block in enumerate(reader.blocks):
+        ended = reader.blocks[reader.ends[i]]["start"] if i in reader.ends else len(text)
+        block["section_end"] = ended if block["kind"] == "heading" else None
     if len(text) > most_chars:
         reader.fail("char_limit")
     return {"reason": reader.reason, "title": name, "text": text, "blocks": reader.blocks, "links": reader.links, "excluded": reader.excluded}
 
 
-PARSED = "reason string, title string, text string, blocks array<struct<kind:string,level:long,start:long,end:long,headings:array<long>,locator:string>>, links array<struct<block:long,start:long,href:string,target:string,navigable:boolean>>, excluded array<string>"
+PARSED = "reason string, title string, text string, blocks array<struct<kind:string,level:long,start:long,end:long,headings:array<long>,locator:string,section_end:long>>, links array<struct<block:long,start:long,href:string,target:string,navigable:boolean>>, excluded array<string>"
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", language: str | None = "de") -> DataFrame:
@@ -224,7 +241,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             rows = []
             for value, where, page in zip(frame[key], frame[url], frame[html], strict=True):
                 got = parse_page(page, where or "", language) if page else {"reason": "missing_body", "title": "", "text": "", "blocks": [], "links": [], "excluded": []}
-                blocks = [{k: b[k] for k in ("kind", "level", "start", "end", "headings", "locator")} for b in got["blocks"]]
+                blocks = [{k: b[k] for k in ("kind", "level", "start", "end", "headings", "locator", "section_end")} for b in got["blocks"]]
                 rows.append((value, got["reason"], got["title"], got["text"], blocks, got["links"], got["excluded"]))
             yield pd.DataFrame(rows, columns=[key, "reason", "title", "text", "blocks", "links", "excluded"])
 

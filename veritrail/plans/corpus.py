@@ -23,6 +23,15 @@ def page_blocks(t):
     return parsed.select("page_id", F.posexplode("blocks").alias("ord", "b")).select("page_id", "ord", "b.kind", "b.level", "b.start", "b.end", "b.locator")
 
 
+# The article's body put into boxes that its headings don't reach beyond; rows only, as a parser is the point.
+@plans.add()
+def page_sections(t):
+    boxed = F.regexp_replace("html", r"(?s)(<h2[^>]*>.*?</h2>\s*<p[^>]*>.*?)(?=<h2|<p|</article)", "<div class='accordion-item'>$1</div>")
+    parsed = K.parse_pages(t("pages").select("page_id", "url", boxed.alias("html")), language=None)
+    blocks = parsed.select("page_id", F.posexplode("blocks").alias("ord", "b"))
+    return blocks.where("b.kind = 'heading'").select("page_id", "ord", "b.level", "b.start", "b.section_end", F.array_join("b.headings", "/").alias("above"))
+
+
 @plans.add("SELECT page_id, CASE WHEN lower(regexp_extract(html, '<html[^>]*lang=\"([a-zA-Z]+)', 1)) NOT IN ('', 'de') THEN 'non_german_page' WHEN len(regexp_extract_all(html, '<article')) <> 1 THEN 'root_not_unique' ELSE 'eligible' END AS gate FROM pages")
 def page_language_gate(t):
     lang = F.lower(F.regexp_extract("html", r'<html[^>]*lang="([a-zA-Z]+)', 1))
