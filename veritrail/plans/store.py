@@ -6,9 +6,11 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import guards as G
 from ..operators import store as S
 from ..sources import raw
+from . import bundle
 from .base import Plans
 
 plans = Plans()
@@ -142,10 +144,26 @@ def robots_rules(t):
 # Guards.
 
 
-@plans.add("SELECT doc_id, code FROM (SELECT doc_id, unnest(['odd_id', 'empty_text', 'length_mismatch']) AS code, text, n_chars FROM documents) WHERE (code = 'length_mismatch' AND length(text) <> n_chars + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END) OR (code = 'empty_text' AND length(text) = 0)")
+_CHECKED = "text observation source_reference text_unit citation_association article_version finding passage".split()
+
+
+@plans.add(
+    f"""WITH {bundle.ctes(*_CHECKED)},
+spans(id, kind, a, b, q) AS (
+  SELECT id, 'source_reference', excerpt__data__start, excerpt__data__end, excerpt__data__exact_text FROM source_reference_ UNION ALL SELECT id, 'source_reference', citation_span__start, citation_span__end, citation_span__exact_text FROM source_reference_
+  UNION ALL SELECT id, 'text_unit', span__start, span__end, span__exact_text FROM text_unit_ UNION ALL SELECT id, 'citation_association', evidence_spans__start, evidence_spans__end, evidence_spans__exact_text FROM citation_association_
+  UNION ALL SELECT id, 'article_version', heading_spans__start, heading_spans__end, heading_spans__exact_text FROM article_version_ UNION ALL SELECT id, 'passage', span__start, span__end, span__exact_text FROM passage_
+  UNION ALL SELECT id, 'passage', heading_spans__start, heading_spans__end, heading_spans__exact_text FROM passage_)
+SELECT DISTINCT id, kind, code FROM (
+  SELECT id, 'text' AS kind, 'transformation_requires_source_and_version' AS code FROM text_ WHERE source_text_id IS NOT NULL UNION ALL SELECT id, 'text', 'text_cannot_transform_itself' FROM text_ WHERE source_text_id = id
+  UNION ALL SELECT id, 'observation', 'capture_failure_requires_error_only_on_failure' FROM observation_ WHERE status = 'failed' UNION ALL SELECT id, 'observation', 'unavailable_requires_null_data_and_reason' FROM observation_ WHERE citation_reference_ids__availability = 'unavailable'
+  UNION ALL SELECT id, 'citation_association', 'definite_citation_status_requires_assessable_scope' FROM citation_association_ WHERE status IN ('yes', 'no')
+  UNION ALL SELECT id, 'article_version', CASE status WHEN 'usable' THEN 'usable_article_requires_content_and_provenance' ELSE 'unusable_article_requires_reason' END FROM article_version_
+  UNION ALL SELECT id, 'finding', 'category_requires_categorized_status_and_vice_versa' FROM finding_ WHERE (status = 'categorized') <> (category IS NOT NULL) UNION ALL SELECT id, 'finding', 'incomplete_requires_reason' FROM finding_ WHERE alternative_inspection_ids__availability = 'incomplete'
+  UNION ALL SELECT id, kind, 'span_end_must_exceed_start' FROM spans WHERE a < 0 OR b <= a UNION ALL SELECT id, kind, 'span_length_mismatch' FROM spans WHERE length(q) <> b - a)"""
+)
 def record_schema(t):
-    d = t("documents").withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0))
-    return G.record_violations(d, "doc_id", {"odd_id": F.concat(F.lit("text-"), "doc_id").rlike(r"^[A-Za-z0-9][A-Za-z0-9_.:-]*$"), "empty_text": F.length("text") >= 1, "length_mismatch": F.length("text") == F.col("n_chars")})
+    return schemas.all_violations(bundle.records(t("documents"), _CHECKED))
 
 
 @plans.add("SELECT CASE quality WHEN 1 THEN CASE toxic WHEN 1 THEN 'incomplete' ELSE 'available' END ELSE 'unavailable' END AS availability, count(*) AS rows, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END)::BIGINT AS readable FROM labels GROUP BY 1")
