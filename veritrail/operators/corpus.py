@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import json
 import re
@@ -285,53 +284,126 @@ def membership_mismatch(expected: DataFrame, stored: DataFrame, key: str) -> Dat
     return both.select(key, code.alias("code")).where("code is not null")
 
 
-def tree_signatures(pages: DataFrame, key: str, html: str, tags: tuple[str, ...]) -> DataFrame:
-    """(key, tag, signature) of each element of these tags: the hash of its subtree's markup with white space collapsed."""
-    pattern = re.compile(rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>")
+# Fixed sets of an answer's structure: kinds of elements, their fields, kinds of references, and what can't be told apart from a citation marker.
+ELEMENT_KINDS = frozenset("ai_overview ai_overview_element ai_overview_table_element ai_overview_expanded_element ai_overview_expanded_component".split())
+ELEMENT_FIELDS = frozenset("type markdown text title items components references links images table position rank_group rank_absolute page xpath rectangle".split())
+REFERENCE_KINDS = frozenset("ai_overview_reference link_element".split())
+SOURCES = "state string, diagnostics array<string>, sources array<struct<location:string,type:string,url:string,title:string,excerpt:string>>"
+
+
+def pointer(*steps: object) -> str:
+    """A JSON pointer; ``~`` and ``/`` within a step are escaped."""
+    return "".join("/" + str(x).replace("~", "~0").replace("/", "~1") for x in steps)
+
+
+def answer_sources(body: str | None, root: tuple = ("tasks", 0, "result", 0, "items")) -> tuple[str, list[str], list[dict]]:
+    """State, diagnostics and sources of one captured answer, walked without recursion.
+
+    The answer is the first item below ``root``; references and links of it, and of its items and components at any depth, are sources.  The state is ``available`` where all of the structure
+    is known and whole, ``incomplete`` where part of it isn't, ``unknown`` where no list of references was given.  Several items at the root, an unknown kind or field, a fragment that the answer's text
+    lacks, and malformed entries make it incomplete; each has its diagnostic but the first, and a list of references that is missing or null.
+    """
+    try:
+        node = json.loads(body or "")
+        for step in root:
+            node = node[step]
+        first = node[0]
+    except (ValueError, TypeError, LookupError, RecursionError):
+        return "unknown", ["answer_absent"], []
+    if not isinstance(node, list) or not isinstance(first, dict) or not isinstance(first.get("markdown"), str) or not first["markdown"].strip():
+        return "unknown", ["answer_absent"], []
+    found: set[str] = set()
+    out: list[dict] = []
+    whole, assessed, answer = len(node) == 1, False, first["markdown"]
+    left = [(first, (*root, 0))]
+    while left:
+        here, path = left.pop()
+        if here.get("type") not in ELEMENT_KINDS:
+            found.add("unsupported_source_structure")
+        if here.keys() - ELEMENT_FIELDS or here.get("images") not in (None, []):
+            found.add("unsupported_source_fields")
+        if here is not first and isinstance(here.get("markdown"), str) and here["markdown"] not in answer:
+            found.add("fragment_not_in_aggregate_answer")
+        whole &= here.get("references") is not None
+        for name in ("references", "links"):
+            given = here.get(name)
+            if given is not None and not isinstance(given, list):
+                found.add("malformed_reference_collection")
+                continue
+            assessed |= name == "references" and given is not None
+            for i, entry in enumerate(given or []):
+                url = entry.get("url") if isinstance(entry, dict) else None
+                if not isinstance(url, str) or not re.fullmatch(r"(?i)https?://[^\s/?#]\S*", url):
+                    found.add("malformed_reference")
+                    continue
+                if entry.get("type") not in REFERENCE_KINDS:
+                    found.add("unsupported_reference_type")
+                excerpt = entry.get("text") if name == "references" else None
+                if excerpt is not None and not isinstance(excerpt, str):
+                    found.add("malformed_excerpt")
+                    excerpt = None
+                out.append({"location": pointer(*path, name, i), "type": name, "url": url, "title": str(entry.get("title") or ""), "excerpt": excerpt or None})
+        for name in ("components", "items"):
+            inner = here.get(name, [])
+            if not isinstance(inner, list):
+                found.add("unsupported_source_structure")
+                continue
+            if not all(isinstance(x, dict) for x in inner):
+                found.add("malformed_source_element")
+            left += [(x, (*path, name, i)) for i, x in reversed(list(enumerate(inner))) if isinstance(x, dict)]
+    state = "unknown" if not assessed and not out else "available" if whole and not found else "incomplete"
+    if re.search(r"[`<>\\]|(?m:^(?: {4}|\t))", answer):
+        found.add("unsupported_citation_markup")  # says nothing about the sources
+    return state, sorted(found), out
+
+
+def walk_references(answers: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, state, diagnostics, sources) of each captured answer: see ``answer_sources``.  A null or broken body is ``answer_absent``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, m[1].lower(), hashlib.sha256(" ".join(m[0].split()).encode()).hexdigest()) for k, page in zip(frame[key], frame[html], strict=True) if page for m in pattern.finditer(page)]
-            yield pd.DataFrame(rows, columns=[key, "tag", "signature"])
+            yield pd.DataFrame([(k, *answer_sources(text)) for k, text in zip(frame[key], frame[body], strict=True)], columns=[key, "state", "diagnostics", "sources"])
 
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, tag string, signature string")
+    return answers.select(key, body).mapInPandas(run, f"`{key}` {answers.schema[key].dataType.simpleString()}, {SOURCES}")
 
 
-def layout_violations(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, code): in-page links without a target, ids given twice."""
-    ids = F.regexp_extract_all(html, F.lit(r"""(?i)\sid\s*=\s*["']([^"']+)"""), F.lit(1))
-    refs = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']#([^"']+)"""), F.lit(1))
-    codes = F.array_compact(F.array(F.when(F.size(F.array_except(refs, ids)) > 0, F.lit("target_missing")), F.when(F.size(F.array_distinct(ids)) < F.size(ids), F.lit("duplicate_element_id"))))
-    return pages.select(key, F.explode(codes).alias("code"))
+class _Number(str):
+    """A number as it is written."""
 
 
-def walk_references(answers: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, location, type, url, title) of every reference and link at any depth of a captured answer's items and components."""
-
-    def walk(value: object, where: str) -> Iterator[tuple[str, str, str, str]]:
-        if isinstance(value, list):
-            for i, x in enumerate(value):
-                yield from walk(x, f"{where}/{i}")
-        elif isinstance(value, dict):
-            for kind in ("references", "links"):
-                for i, x in enumerate(value.get(kind) or []):
-                    if isinstance(x, dict):
-                        yield f"{where}/{kind}/{i}", kind, str(x.get("url") or ""), str(x.get("title") or "")
-            for name in ("tasks", "result", "items", "components"):
-                if name in value:
-                    yield from walk(value[name], f"{where}/{name}")
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+def json_nodes(text: str) -> Iterator[tuple[str, str, str | None]]:
+    """(pointer, kind, value) of each node in document order; the value of a number is as written, of a string itself, of containers and null none."""
+    try:
+        left = [("", json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_refuse))]
+    except (ValueError, RecursionError):
+        yield "", "invalid", None
+        return
+    while left:
+        at, node = left.pop()
+        if isinstance(node, (dict, list)):
+            inner = list(node.items() if isinstance(node, dict) else enumerate(node))
+            left += [(at + pointer(step), x) for step, x in reversed(inner)]
+            yield at, "object" if isinstance(node, dict) else "array", None
+        elif isinstance(node, bool):
+            yield at, "boolean", str(node).lower()
+        else:
+            yield at, "null" if node is None else "number" if isinstance(node, _Number) else "string", node and str(node)
+
+
+def json_pointers(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, pointer, kind, value) of each node of each text; a broken text is one node of kind ``invalid``, a null text has none, and of a name given twice the last counts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for k, text in zip(frame[key], frame[body], strict=True):
-                try:
-                    rows += [(k, *x) for x in walk(json.loads(text), "")]
-                except (ValueError, TypeError):
-                    continue
-            yield pd.DataFrame(rows, columns=[key, "location", "type", "url", "title"])
+            nodes = [(k, *x) for k, text in zip(frame[key], frame[body], strict=True) if text is not None for x in json_nodes(text)]
+            for at in range(0, len(nodes), 10_000):
+                yield pd.DataFrame(nodes[at : at + 10_000], columns=[key, "pointer", "kind", "value"])
 
-    return answers.select(key, body).mapInPandas(run, f"`{key}` {answers.schema[key].dataType.simpleString()}, location string, type string, url string, title string")
+    return rows.select(key, body).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, pointer string, kind string, value string")
 
 
 def response_failure(status: Column, body: Column, tag: Column, language: str) -> Column:

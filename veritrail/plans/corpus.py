@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import constraints as G
 from ..operators import corpus as K
+from ..operators import layout as L
 from .base import Plans
 
 plans = Plans()
@@ -71,7 +72,7 @@ def _passages(t):
     from ..operators.textunits import lf_lines
 
     d = t("documents")
-    lines = lf_lines(d, "doc_id", "text").join(d.select("doc_id", "text"), "doc_id").withColumn("line", F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    lines = lf_lines(d, "doc_id", "text", keep=True)
     kind = F.when(F.length("line") < 40, "heading").when(F.substring("line", 1, 1).isin("O", "T"), "list_item").otherwise("paragraph")
     heads = F.count(F.when(F.length("line") < 40, 1)).over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
     return K.passages(lines.select("doc_id", "ord", "start", "end", kind.alias("kind"), heads.alias("headings"), F.substring("line", -2, 1).isin("e", "n").alias("colon")), "doc_id", "ord")
@@ -103,17 +104,53 @@ def completion_check(t):
     return K.membership_mismatch(d, stored, "doc_id")
 
 
-@plans.add("SELECT page_id, 'target_missing' AS code FROM pages WHERE page_id % 3 = 0")
-def layout_check(t):
-    body = F.concat(F.lit('<a href="#top">x</a>'), F.when(F.col("page_id") % 3 == 0, "").otherwise('<i id="top">y</i>'), "html")
-    return K.layout_violations(t("pages").select("page_id", body.alias("html")), "page_id", "html")
+# Pages of a documentary kind out of each document's lines: a table of contents that links to the lines' lengths modulo 5, sections with the lengths modulo 7 as ids, and a question a line whose ids fit by its
+# length; what is broken follows from the lines alone.
+_LENGTHS = """d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS l, lang FROM documents), n AS (SELECT r, doc_id, lang, i, length(l[i]) AS n FROM d, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"""
 
 
-@plans.add()
+@plans.add(f"""WITH {_LENGTHS},
+links AS (SELECT DISTINCT r, doc_id, n % 5 AS x FROM n), targets AS (SELECT r, n % 7 AS x, count(*) AS c FROM n GROUP BY 1, 2),
+found AS (
+  SELECT doc_id, 'site_toc_target_mismatch' AS code FROM links LEFT JOIN targets USING (r, x) WHERE coalesce(c, 0) <> 1
+  UNION ALL SELECT doc_id, 'duplicate_element_id' FROM targets JOIN (SELECT r, doc_id FROM d) USING (r) WHERE c > 1
+  UNION ALL SELECT doc_id, 'site_faq_mismatch' FROM n WHERE n % 6 <> n % 12 OR n % 11 = 0
+  UNION ALL SELECT doc_id, 'site_unselected_content' FROM d WHERE lang = 'fr' OR lang IS NULL
+  UNION ALL SELECT doc_id, 'site_faq_group_missing' FROM d WHERE len(l) % 2 = 0)
+SELECT doc_id, code, count(*) AS violations FROM found GROUP BY 1, 2""")
+def layout_check(t):
+    d = t("documents").where("text is not null").select("doc_id", "lang", F.transform(F.split("text", "\n"), F.length).alias("n"))
+    part = lambda f: F.array_join(F.transform("n", f), "")
+    links = F.array_join(F.transform(F.array_distinct(F.transform("n", lambda n: n % 5)), lambda x: F.format_string('<li><a href="#s%d">x</a>', x)), "")
+    sections = part(lambda n: F.format_string('<p id="s%d">x', n % 7))
+    questions = part(
+        lambda n, i: F.concat(
+            F.format_string('<div class="accordion-item"><button class="accordion-headline" id="q%d.%d" aria-controls="a%d"><h2>x</h2></button>', i, n % 6, i),
+            F.format_string('<div class="accordion-content" id="a%d" aria-labelledby="q%d.%d">%s</div></div>', i, i, n % 12, F.when(n % 11 == 0, "x").otherwise("<ul><li>x</ul>")),
+        )
+    )
+    title = F.when(F.size("n") % 2 == 0, "<h2>x</h2>").otherwise("<header><h2>x</h2></header>")
+    stray = F.when((F.col("lang") == "fr") | F.col("lang").isNull(), "<aside>x</aside>").otherwise("")
+    html = F.concat(F.lit('<div class="content"><div class="frame"><nav class="toc"><ul>'), links, F.lit("</ul></nav>"), sections, F.lit("</div>"), stray, F.lit('<div class="frame"><div>'), title, F.lit('</div><div class="accordion">'), questions, F.lit("</div></div></div>"))
+    return L.layout_violations(d.select("doc_id", html.alias("html")), "doc_id", "html").groupBy("doc_id", "code").agg(F.count("*").alias("violations"))
+
+
+# A gallery out of each document's source and language; listed for a source is the one of its first language, with a signature put together from the JSON of its parts.
+@plans.add("""SELECT doc_id, 'gallery' AS kind, sha256('["div",[["class","gallery"]],[{"element":"' || sha256('["figure",[],[{"element":"' || sha256('["img",[["src","' || coalesce(source, '') || '.png"]],[]]') || '"},{"element":"'
+  || sha256('["figcaption",[],["© ' || coalesce(lang, '') || '"]]') || '"}]]') || '"}]]') AS signature
+FROM documents LEFT JOIN (SELECT source, min(coalesce(lang, '')) AS first FROM documents GROUP BY 1) f USING (source) WHERE coalesce(lang, '') IS DISTINCT FROM first""")
 def media_allow_list(t):
-    found = K.tree_signatures(t("pages"), "page_id", "html", ("footer", "nav"))
-    allowed = found.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
-    return found.join(allowed, "signature", "left_anti")
+    d = t("documents").select("doc_id", "source", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("lang"))
+    html = F.format_string('<article><div class=gallery><figure>\n <img src="%s.png"><figcaption> © %s\n</figcaption></figure></div><p>x</article>', "s", "lang")
+    first = d.groupBy("source", "s").agg(F.min("lang").alias("lang"))
+    node = lambda tag, attrs, *inside: F.sha2(F.concat(F.lit(f'["{tag}",['), attrs, F.lit("],["), F.concat_ws(",", *inside), F.lit("]]")), 256)
+    within = lambda signature: F.concat(F.lit('{"element":"'), signature, F.lit('"}'))
+    image = node("img", F.concat(F.lit('["src","'), "s", F.lit('.png"]')))
+    caption = node("figcaption", F.lit(""), F.concat(F.lit('"© '), "lang", F.lit('"')))
+    whole = node("div", F.lit('["class","gallery"]'), within(node("figure", F.lit(""), within(image), within(caption))))
+    allowed = first.select(F.col("source").alias("url"), F.lit("gallery").alias("kind"), whole.alias("signature"))
+    found = L.media_violations(d.select("doc_id", "source", html.alias("html")), allowed, "doc_id", "source", "html", {"gallery": "gallery"})
+    return found.select("doc_id", "kind", "signature")
 
 
 @plans.add("SELECT source AS name, CASE WHEN source = 'src5' THEN 'resource_missing' WHEN source = 'src6' THEN 'resource_hash_mismatch' ELSE 'ok' END AS status, count(*) AS uses FROM documents GROUP BY 1, 2")
@@ -140,9 +177,36 @@ def response_failure(t):
     return _responses(t).select("conv_id", "turn", K.response_failure(F.col("status"), F.col("body"), F.col("conv_id").cast("string"), "de").alias("outcome"))
 
 
-@plans.add("SELECT conv_id * 1000 + turn AS answer, '/tasks/0/result/0/items/0/references/0' AS location, 'references' AS type, 'https://a.example/' || conv_id AS url, 't' AS title FROM conversations WHERE role = 'assistant' AND (conv_id * 5 + turn) % 9 <> 2")
+# Answers as nested structures out of the conversations: the line count of a text decides how many references an element has, and its length what is wrong with them.
+@plans.add("""WITH c AS (SELECT conv_id, turn, len(string_split(text, chr(10))) % 4 AS k, length(text) AS n FROM conversations WHERE role = 'assistant' AND text IS NOT NULL AND trim(text, ' ') <> '')
+SELECT conv_id, turn, CASE WHEN n % 5 = 0 OR (n % 7 = 0 AND k > 0) OR n % 3 = 0 THEN 'incomplete' ELSE 'available' END AS state,
+  array_to_string(list_filter([CASE WHEN n % 7 = 0 AND k > 0 THEN 'malformed_reference' END, CASE WHEN n % 5 = 0 THEN 'unsupported_source_fields' END], lambda x: x IS NOT NULL), ',') AS diagnostics,
+  CASE WHEN n % 7 = 0 AND k > 0 THEN k - 1 ELSE k END AS sources, CASE WHEN k > (n % 7 = 0)::INT THEN '/tasks/0/result/0/items/0/components/0/items/0/references/' || (n % 7 = 0)::INT END AS first
+FROM c""")
 def reference_walk(t):
-    return K.walk_references(_responses(t).select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer"), "body"), "answer", "body")
+    c = t("conversations").where("role = 'assistant' and text is not null and trim(text) <> ''")
+    c = c.select("conv_id", "turn", (F.size(F.split("text", "\n")) % 4).alias("k"), F.length("text").alias("n"))
+    entry = lambda i: F.struct(F.lit("ai_overview_reference").alias("type"), F.when((F.col("n") % 7 == 0) & (i == 0), "no url").otherwise(F.concat(F.lit("https://a.example/"), i.cast("string"))).alias("url"))
+    listed = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < F.col("k")), entry)
+    nothing = F.array().cast(c.select(listed.alias("x")).schema["x"].dataType)
+    inner = F.struct(F.lit("ai_overview_element").alias("type"), listed.alias("references"), F.when(F.col("n") % 5 == 0, "x").alias("colour"))
+    component = F.struct(F.lit("ai_overview_expanded_component").alias("type"), F.when(F.col("n") % 3 != 0, nothing).alias("references"), F.array(inner).alias("items"))
+    item = F.struct(F.lit("ai_overview").alias("type"), F.lit("An answer.").alias("markdown"), nothing.alias("references"), F.array(component).alias("components"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(item).alias("items"))).alias("result"))).alias("tasks")))
+    key = F.struct("conv_id", "turn")
+    walked = K.walk_references(c.select(F.to_json(key).alias("answer"), body.alias("body")), "answer", "body").withColumn("key", F.from_json("answer", "conv_id bigint, turn bigint"))
+    return walked.select("key.conv_id", "key.turn", "state", F.array_join("diagnostics", ",").alias("diagnostics"), F.size("sources").cast("long").alias("sources"), F.get("sources", F.lit(0))["location"].alias("first"))
+
+
+# Every node of the clicks' properties; one name is changed so that it has both signs that pointers escape.
+@plans.add(r"""SELECT click_id, replace(regexp_replace(replace(substr(j.fullkey, 2), '.', '/'), '\[(\d+)\]', '/\1', 'g'), '/device', '/de~1vi~0ce') AS pointer,
+  CASE j.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind,
+  CASE WHEN j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(j.value, '$') END AS value
+FROM (SELECT click_id, props FROM clicks WHERE json_valid(props)) c, json_tree(c.props) j
+UNION ALL SELECT click_id, '', 'invalid', NULL FROM clicks WHERE NOT json_valid(props)""")
+def json_pointers(t):
+    props = F.replace("props", F.lit('"device"'), F.lit('"de/vi~ce"'))
+    return K.json_pointers(t("clicks").select("click_id", props.alias("props")), "click_id", "props")
 
 
 @plans.add("SELECT doc_id, lang, 'first' AS side FROM documents WHERE doc_id % 40 = 3 UNION ALL SELECT doc_id, 'xx', 'second' FROM documents WHERE doc_id % 40 = 3")

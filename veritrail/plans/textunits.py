@@ -167,13 +167,6 @@ def canonical_ids(t):
     return t("documents").select("doc_id", T.identity("text", source=F.col("source"), lang=F.col("lang"), note=F.lit(None).cast("string")).alias("id"))
 
 
-@plans.add("SELECT conv_id, turn, '/tasks/0/result/0/items/' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS location FROM conversations")
-def json_pointers(t):
-    rows = t("conversations").select("conv_id", "turn")
-    items = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("items")).select("conv_id", F.posexplode("items").alias("i", "turn"))
-    return items.select("conv_id", "turn", F.concat(F.lit("/tasks/0/result/0/items/"), "i").alias("location"))
-
-
 @plans.add("SELECT item_id, CASE WHEN length(text) <= 700 THEN replace(replace(text, '%', '%25'), '+', '%2B') END AS keyword, 'tag-' || substr(sha256(text), 1, 16) AS tag, length(text) > 700 AS too_long FROM benchmark")
 def request_encoding(t):
     keyword = F.when(F.length("text") <= 700, F.replace(F.replace("text", F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B")))  # a longer one is rejected, never cut
