@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,22 @@ TOKEN = r"mmol/l|mg/dl|[0-9]*[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*|[0-9]+(?:[.,][0-9]
 QUERY_TEMPLATE = "Instruct: Given a claim, retrieve passages that support or refute the claim\nQuery: "
 
 
+# Every character that composition can change or join to the one before: marks, Hangul letters, and ranges around the characters with a canonical equivalent.
+COMPOSABLE = (
+    r"[\p{M}\u0340-\u0345\u0374\u037E\u0387\u0958-\u0FFF\u1100-\u11FF\u1F00-\u2001\u2126-\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4F"
+    r"\x{11000}-\x{16FFF}\x{1D100}-\x{1D1FF}\x{2F800}-\x{2FA1F}]"
+)
+
+
+def nfc(text: Column) -> Column:
+    """The text in normal form C.  Only texts with a character that composition may change go through Python; of all others a null does."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(F.rlike(text, F.lit(COMPOSABLE)), text)), text)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased lexical tokens in text order; no stemming, no stop words.  A null text has none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))

@@ -50,6 +50,15 @@ def lineage_roots(links: DataFrame, key: str, parent: str) -> DataFrame:
     return state.select(key, F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(-1).alias("depth"))
 
 
+def version_violations(articles: DataFrame, key: str, previous: str, url: str) -> DataFrame:
+    """(key, code) of versions whose predecessor is missing or of another url (told at that step alone), and of all whose chain ends in a cycle."""
+    known = articles.select(F.col(key).alias(previous), F.col(url).alias("__url"), F.lit(True).alias("__known"))
+    steps = articles.select(key, previous, url).join(known, previous, "left").select(key, previous, "__known", (~F.col(url).eqNullSafe(F.col("__url"))).alias("__other"))
+    code = F.when(F.col(previous).isNotNull() & F.col("__known").isNull(), "missing_id").when(F.col("__known") & F.col("__other"), "previous_article_url_mismatch")
+    cyclic = lineage_roots(steps.select(key, F.when(F.col("__known"), F.col(previous)).alias(previous)), key, previous).where("depth = -1")
+    return steps.select(key, code.alias("code")).where("code is not null").unionByName(cyclic.select(key, F.lit("article_history_cycle").alias("code")))
+
+
 def history_violations(rows: DataFrame, key: str, supersedes: str, subject: str, created: str) -> DataFrame:
     """(key, code) of histories that change subject, go back in time, branch, or are cyclic."""
     old = rows.select(F.col(key).alias("__old"), F.col(subject).alias("__s"), F.col(created).alias("__t"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.raw import inflated
+
 
 def lookup(requests: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
     """One row per request with the record's columns and a status; a missing record is ``not_found``, never an empty success."""
@@ -40,16 +42,22 @@ def read_cursor(cursor: str, store: str, kind: str | None, run: str | None) -> t
 
 
 def page(records: DataFrame, limit: int, after: int = 0, through: int | None = None, kind: str | None = None, run: str | None = None) -> DataFrame:
-    """Up to ``limit`` records after a position in sequence order; ``through`` hides what came after the first page."""
+    """Up to ``limit`` records after a position in sequence order; ``through`` hides what came after the first page.
+
+    The position must be a record that fits the filter, else the cursor is ``invalid_cursor``; that is looked up at once, by one sequence number.
+    """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be from 1 to 1000")
-    rows = records.where(F.col("seq") > after)
-    if through is not None:
-        rows = rows.where(F.col("seq") <= through)
+    rows = records
     if kind is not None:
         rows = rows.where(F.col("kind") == kind)
     if run is not None:
         rows = rows.where(F.col("analysis_run_id") == run)
+    if after and not rows.where(F.col("seq") == after).select("seq").head(1):
+        raise ValueError("invalid_cursor")
+    rows = rows.where(F.col("seq") > after)
+    if through is not None:
+        rows = rows.where(F.col("seq") <= through)
     return rows.orderBy("seq").limit(limit)
 
 
@@ -73,9 +81,14 @@ def upsert_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def put_artifacts(payloads: DataFrame) -> DataFrame:
-    """(access, sha256, content): decoded, verified against the stated digest, without duplicates; wrong digests are left out."""
-    decoded = payloads.withColumn("content", F.unbase64("content_base64")).where(F.sha2("content", 256) == F.col("sha256"))
-    return decoded.select("access", "sha256", "content").dropDuplicates(["access", "sha256"])
+    """(access, sha256, content, status), one row per distinct access, digest and status: ``stored`` with the decoded content, or without it ``invalid_base64`` or ``artifact_hash_mismatch``.
+
+    A digest that one payload has and another has not gives both rows; a null payload or digest is an error as well.
+    """
+    content = F.try_to_binary("content_base64", F.lit("base64"))
+    status = F.when(content.isNull(), "invalid_base64").when(F.sha2(content, 256) == F.col("sha256"), "stored").otherwise("artifact_hash_mismatch")
+    rows = payloads.select("access", "sha256", content.alias("content"), status.alias("status"))
+    return rows.withColumn("content", F.when(F.col("status") == "stored", F.col("content"))).dropDuplicates(["access", "sha256", "status"])
 
 
 def artifact_status(refs: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -104,6 +117,31 @@ def allowed_headers(headers: Column, names: tuple[str, ...]) -> Column:
     return F.map_filter(headers, lambda k, v: F.lower(k).isin(*names))
 
 
+def response_receipts(responses: DataFrame, names: tuple[str, ...], limit: int) -> DataFrame:
+    """What is kept of each response (key columns, headers, body, complete, error): headers of the allow list and the names of the others, the body's role, and whether the whole is complete.
+
+    A body that is null, was cut off or is over the limit is never decoded: ``missing_body``, the response's own error or ``response_too_large``, and a ``partial-body``.  Any other is decoded within
+    the limit: ``content`` of role ``raw-html`` or ``response-body``, with ``encoded`` (the body as received) where it was compressed.  A body that can't be decoded leaves its error and what was received.
+    """
+    kept = F.transform_keys(allowed_headers(F.col("headers"), names), lambda k, _: F.lower(k))
+    lower = F.transform(F.map_keys("headers"), F.lower)
+    rows = responses.withColumns({"__kept": kept, "__omitted": F.array_sort(F.array_distinct(F.filter(lower, lambda x: ~x.isin(*names))))})
+    encoding = F.lower(F.trim(F.coalesce(F.col("__kept")["content-encoding"], F.lit(""))))
+    media = F.lower(F.trim(F.split_part(F.coalesce(F.col("__kept")["content-type"], F.lit("")), F.lit(";"), F.lit(1))))
+    cut = F.col("body").isNotNull() & (~F.coalesce("complete", F.lit(False)) | F.col("error").isNotNull() | (F.octet_length("body") > limit))
+    rows = rows.withColumns({"__encoding": encoding, "__cut": cut})
+    rows = rows.withColumn("__got", inflated(F.when(~F.col("__cut"), F.col("body")), F.col("__encoding"), limit))
+    whole = F.col("body").isNotNull() & ~F.col("__cut") & (F.col("__got.status") == "ok")
+    fault = F.when(F.col("body").isNull(), F.coalesce("error", F.lit("missing_body"))).when(F.col("__cut"), F.coalesce("error", F.when(F.octet_length("body") > limit, "response_too_large").otherwise("incomplete_body")))
+    role = F.when(F.col("__cut"), "partial-body").when(~whole, None).when(media == "text/html", "raw-html").otherwise("response-body")
+    keys = [c for c in responses.columns if c not in ("headers", "body", "complete", "error")]
+    return rows.select(
+        *keys, F.col("__kept").alias("headers"), F.col("__omitted").alias("omitted"), role.alias("role"), F.when(whole, F.col("__got.content")).when(F.col("__cut"), F.col("body")).alias("content"),
+        F.when(~F.col("__cut") & ~F.col("__encoding").isin("", "identity"), F.col("body")).alias("encoded"), whole.alias("complete"), F.when(~whole, F.coalesce(fault, F.col("__got.status"))).alias("error"),
+        F.octet_length("body").cast("long").alias("received"), F.when(whole, F.octet_length("__got.content")).cast("long").alias("decoded"),
+    )
+
+
 def registry_status(wanted: DataFrame, registry: DataFrame) -> DataFrame:
     """Per wanted (name, version, sha256): ok, resource_missing or resource_hash_mismatch."""
     held = registry.select("name", "version", F.col("sha256").alias("held"))

@@ -97,6 +97,18 @@ def version_chain(t):
     return G.lineage_roots(links, "doc_id", "previous")
 
 
+# Versions whose predecessor's number follows from the text's length: some are missing, some of another source, some chains run in a circle.
+@plans.add("""WITH RECURSIVE v AS (SELECT doc_id, source, CASE WHEN length(text) % 3 > 0 THEN length(text) END AS previous FROM documents),
+step AS (SELECT v.doc_id, v.previous, v.source, o.doc_id IS NOT NULL AS known, o.source AS other FROM v LEFT JOIN v o ON o.doc_id = v.previous),
+up(doc_id, pos) AS (SELECT doc_id, doc_id FROM step UNION SELECT u.doc_id, s.previous FROM up u JOIN step s ON s.doc_id = u.pos WHERE s.known)
+SELECT doc_id, 'missing_id' AS code FROM step WHERE previous IS NOT NULL AND NOT known
+UNION ALL SELECT doc_id, 'previous_article_url_mismatch' FROM step WHERE known AND source IS DISTINCT FROM other
+UNION ALL SELECT doc_id, 'article_history_cycle' FROM (SELECT doc_id, bool_or(NOT known) AS ends FROM up JOIN (SELECT doc_id AS pos, known FROM step) USING (pos) GROUP BY 1) WHERE NOT ends""")
+def version_violations(t):
+    length = F.length("text").cast("long")
+    return G.version_violations(t("documents").select("doc_id", "source", F.when(length % 3 > 0, length).alias("previous")), "doc_id", "previous", "source")
+
+
 @plans.add("SELECT doc_id, CASE WHEN doc_id % 30 = 1 THEN 'member_missing' ELSE 'member_hash_mismatch' END AS code FROM documents WHERE doc_id % 30 IN (1, 2)")
 def completion_check(t):
     d = t("documents").select("doc_id", F.sha2("text", 256).alias("sha256"))

@@ -39,9 +39,13 @@ def _semantic(t):
     return R.cosine_scores(asked, vectors, "query_id", "vec_id", "embedding")
 
 
+_APART = {"é": "e\u0301", "è": "e\u0300", "ó": "o\u0301", "ñ": "n\u0303", "ü": "u\u0308", "ç": "c\u0327", "ê": "e\u0302"}  # letters taken apart, to be composed again
+
+
 @plans.add(f"SELECT item_id, i AS place, t[i] AS token FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark), LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)")
 def lexical_tokens(t):
-    return t("benchmark").select("item_id", F.posexplode(T.tokens(F.col("text"))).alias("p", "token")).select("item_id", (F.col("p") + 1).cast("long").alias("place"), "token")
+    apart = F.reduce(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(d).alias("d")) for c, d in _APART.items()]), F.col("text"), lambda text, x: F.replace(text, x["c"], x["d"]))
+    return t("benchmark").select("item_id", T.nfc(apart).alias("text")).select("item_id", F.posexplode(T.tokens(F.col("text"))).alias("p", "token")).select("item_id", (F.col("p") + 1).cast("long").alias("place"), "token")
 
 
 @plans.add(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1")

@@ -33,10 +33,11 @@ def record_lookup(t):
     return S.lookup(t("documents").select(asked.alias("id")), _records(t)).select("id", "status", F.coalesce("kind", F.lit("")).alias("kind"))
 
 
-@plans.add(f"WITH {_RECORDS} SELECT seq, id FROM records WHERE kind = 'click' AND seq > 40 AND seq <= 5000 ORDER BY seq LIMIT 100")
+# The second page of the clicks among the first 5,000 records: its cursor is the first page's last position.
+@plans.add(f"WITH {_RECORDS} SELECT seq, id FROM records WHERE kind = 'click' AND seq <= 5000 ORDER BY seq LIMIT 100 OFFSET 40")
 def record_page(t):
-    cursor = S.write_cursor("main", "click", None, 40, 5000)
-    after, through = S.read_cursor(cursor, "main", "click", None)
+    last = S.page(_records(t), 40, 0, 5000, "click").agg(F.max("seq")).first()[0]
+    after, through = S.read_cursor(S.write_cursor("main", "click", None, last or 0, 5000), "main", "click", None)
     return S.page(_records(t), 100, after, through, "click").select("seq", "id")
 
 
@@ -70,12 +71,35 @@ def upsert_outcomes(t):
     return S.upsert_plan(again.unionByName(new), records)
 
 
-@plans.add("SELECT CASE WHEN doc_id % 2 = 0 THEN 'restricted' ELSE 'shareable_fixture' END AS access, sha256(text) AS sha256, any_value(octet_length(encode(text))) AS bytes FROM documents WHERE doc_id % 11 <> 0 GROUP BY 1, 2")
+# The stated digest is that of the text without accents on e, so it is wrong for some; a payload with a line that ends in a comma is cut off within a group of its letters.
+@plans.add("""WITH p AS (SELECT coalesce(lang, 'none') AS access, sha256(replace(text, 'é', 'e')) AS sha256, CASE WHEN contains(text, ',' || chr(10)) THEN 'invalid_base64' WHEN contains(text, 'é') THEN 'artifact_hash_mismatch' ELSE 'stored' END AS status, text FROM documents)
+SELECT access, sha256, status, CASE WHEN status = 'stored' THEN any_value(octet_length(encode(text))) ELSE -1 END AS bytes FROM p GROUP BY 1, 2, 3""")
 def artifact_dedup(t):
-    d = t("documents")
-    stated = F.when(F.col("doc_id") % 11 == 0, F.lit("0" * 64)).otherwise(F.sha2("text", 256))  # injected: wrong digests
-    rows = d.select(F.when(F.col("doc_id") % 2 == 0, "restricted").otherwise("shareable_fixture").alias("access"), stated.alias("sha256"), F.base64(F.encode("text", "UTF-8")).alias("content_base64"))
-    return S.put_artifacts(rows).select("access", "sha256", F.octet_length("content").cast("long").alias("bytes"))
+    packed = F.base64(F.encode("text", "UTF-8"))
+    cut = F.when(F.contains("text", F.lit(",\n")), F.concat(F.regexp_replace(packed, "[=\r\n]", ""), F.lit("="), F.lit("A"))).otherwise(packed)
+    rows = t("documents").select(F.coalesce("lang", F.lit("none")).alias("access"), F.sha2(F.replace("text", F.lit("é"), F.lit("e")), 256).alias("sha256"), cut.alias("content_base64"))
+    return S.put_artifacts(rows).select("access", "sha256", "status", F.coalesce(F.octet_length("content"), F.lit(-1)).cast("long").alias("bytes"))
+
+
+# Responses out of the pages: an url's length says how the body was sent, the page's how it arrived.
+@plans.add("""WITH r AS (SELECT page_id, length(html) AS n, octet_length(encode(html)) AS bytes, length(url) % 5 AS k FROM pages)
+SELECT page_id, CASE WHEN html_cut THEN 'partial-body' WHEN error IS NULL THEN CASE WHEN n % 2 = 0 THEN 'raw-html' ELSE 'response-body' END END AS role, error IS NULL AS complete, error,
+  CASE WHEN error IS NULL THEN bytes ELSE -1 END AS decoded, CASE WHEN k > 0 THEN 'content-encoding,content-type' ELSE 'content-type' END AS kept
+FROM (SELECT *, coalesce(n % 7 = 0 OR (k IN (0, 4) AND bytes > 1048576), false) AS html_cut,
+  CASE WHEN n IS NULL THEN 'missing_body' WHEN n % 7 = 0 THEN 'timeout' WHEN k IN (0, 4) AND bytes > 1048576 THEN 'response_too_large' WHEN k = 4 THEN 'unsupported_encoding' WHEN k > 0 AND bytes > 1048576 THEN 'body_too_large' WHEN k = 3 THEN 'truncated_body' WHEN k = 2 THEN 'trailing_data' END AS error FROM r)""")
+def response_receipts(t):
+    def pack(kind, html):
+        import pandas as pd
+
+        ways = {1: lambda z: z, 2: lambda z: z + b"x", 3: lambda z: z[:-1]}
+        return pd.Series([None if h is None else ways[k](zlib.compress(h.encode())) if k in ways else h.encode() for k, h in zip(kind, html, strict=True)])
+
+    k, n = F.length("url") % 5, F.length("html")
+    encoding = F.when(k == 4, "br").when(k > 0, "Deflate")
+    headers = F.map_filter(F.create_map(F.lit("Content-Type"), F.when(n % 2 == 0, "Text/HTML; charset=utf-8").otherwise("text/plain"), F.lit("Set-Cookie"), F.lit("a=b"), F.lit("Content-Encoding"), encoding), lambda _, v: v.isNotNull())
+    rows = t("pages").select("page_id", headers.alias("headers"), F.pandas_udf(pack, "binary")(k, "html").alias("body"), F.lit(True).alias("complete"), F.when(n % 7 == 0, "timeout").alias("error"))
+    got = S.response_receipts(rows, ("content-type", "content-encoding", "etag", "last-modified"), 1 << 20)
+    return got.select("page_id", "role", "complete", "error", F.coalesce("decoded", F.lit(-1)).alias("decoded"), F.array_join(F.array_sort(F.map_keys("headers")), ",").alias("kept"))
 
 
 @plans.add("SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'artifact_data_missing' WHEN doc_id % 10 = 1 THEN 'storage_corrupt' WHEN doc_id % 10 = 2 THEN 'artifact_hash_mismatch' ELSE 'succeeded' END AS status FROM documents")

@@ -34,6 +34,16 @@ def inflate(data: bytes, encoding: str, limit: int) -> tuple[bytes | None, str]:
     return (None, "trailing_data") if tool.unused_data else (out, "ok")
 
 
+def inflated(data: Column, encoding: Column, limit: int) -> Column:
+    """(content, status) of transported bytes, inflated within the limit."""
+
+    def run(bodies: pd.Series, encodings: pd.Series) -> pd.DataFrame:
+        rows = [inflate(bytes(body), enc or "", limit) if body is not None else (None, "missing_body") for body, enc in zip(bodies, encodings, strict=True)]
+        return pd.DataFrame(rows, columns=["content", "status"])
+
+    return F.pandas_udf(run, T.StructType([T.StructField("content", T.BinaryType()), T.StructField("status", T.StringType())]))(data, encoding)
+
+
 def decode_html(data: bytes, declared: str | None) -> tuple[str | None, str]:
     """Charset by BOM, then HTTP header, then meta element, then UTF-8; conflicts, unknown charsets and bad bytes are errors."""
     bom = next((name for mark, name in _BOMS if data.startswith(mark)), None)
