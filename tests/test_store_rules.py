@@ -9,6 +9,7 @@ import pytest
 
 from veritrail.functions import text as T
 from veritrail.operators import constraints as G
+from veritrail.operators import retrieval as R
 from veritrail.operators import store as S
 
 
@@ -79,3 +80,21 @@ def test_every_character_reaches_normal_form(spark):
     rows = spark.createDataFrame([(x, unicodedata.normalize("NFC", x)) for x in texts] + [(None, None)], "x string, y string")
     wrong = rows.select("x", "y", T.nfc(rows["x"]).alias("z")).where("not (y <=> z)")
     assert len(texts) > 10_000 and wrong.count() == 0
+
+
+def test_index_against_its_passages(spark):
+    passages = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "e"), (6, "f")], "id long, text string")
+    index = spark.createDataFrame([(1, "a", 1), (2, "x", 9), (4, None, 2), (5, "e", 1), (5, "e", 1), (6, "f", 0), (7, "g", None)], "id long, text string, token_count int")
+    got = sorted(tuple(r) for r in R.index_violations(index, passages, "id", 8).collect())
+    assert got == [(2, "index_representation_mismatch"), (2, "invalid_index_lengths"), (3, "passage_not_indexed"), (5, "indexed_twice"), (6, "invalid_index_lengths"), (7, "index_without_passage"), (7, "invalid_index_lengths")]
+    assert R.index_violations(index.limit(0), passages.limit(0), "id", 8).count() == 0
+
+
+def test_sound_postings(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c")], "id long, text string")
+    sound = R.postings(texts, "id", "text")
+    assert R.sparse_violations(sound, texts, "id").count() == 0
+    rows = [(1, "a", 2, 3), (1, "b", 1, 3), (4, "c", 1, 2), (5, "d", 1, 1), (6, "e", 0, 0), (7, "f", 1, 2), (7, "f", 1, 2), (8, None, 1, 1), (9, "g", 1, 2), (9, "h", 1, 3)]
+    known = spark.createDataFrame([(i,) for i in (1, 1, 4, 6, 7, 8, 9)], "id long")
+    got = sorted(tuple(r) for r in R.sparse_violations(spark.createDataFrame(rows, "id long, term string, tf long, dl long"), known, "id").collect())
+    assert got == [(4, "invalid_length"), (5, "unknown_passage"), (6, "invalid_frequency"), (7, "invalid_vocabulary"), (8, "invalid_vocabulary"), (9, "invalid_length")]

@@ -118,6 +118,35 @@ def vector_violations(vectors: DataFrame, key: str, vector: str, size: int) -> D
     return vectors.select(key, code.alias("code")).where("code is not null")
 
 
+def index_violations(index: DataFrame, passages: DataFrame, key: str, most_tokens: int) -> DataFrame:
+    """(key, code) where an index (key, text, token_count) isn't that of the passages (key, text): passage_not_indexed, index_without_passage, indexed_twice, index_representation_mismatch, invalid_index_lengths.
+
+    Both sides are joined by the hashes of their texts, not by the texts; passages have one row each, of an index with several rows for one each is compared, and a null text equals only a null.
+    """
+    held = index.select(key, F.sha2("text", 256).alias("__held"), "token_count")
+    held = held.groupBy(key).agg(F.count("*").alias("__rows"), F.collect_set(F.coalesce("__held", F.lit(""))).alias("__texts"), F.bool_and(F.coalesce(F.col("token_count").between(1, most_tokens), F.lit(False))).alias("__fits"))
+    both = passages.select(key, F.coalesce(F.sha2("text", 256), F.lit("")).alias("__text")).join(held, key, "full_outer")
+    known, there = F.col("__text").isNotNull(), F.col("__rows").isNotNull()
+    codes = F.array(
+        F.when(~there, "passage_not_indexed"), F.when(~known, "index_without_passage"), F.when(F.col("__rows") > 1, "indexed_twice"),
+        F.when(known & there & (F.col("__texts") != F.array("__text")), "index_representation_mismatch"), F.when(there & ~F.col("__fits"), "invalid_index_lengths"),
+    )
+    return both.select(key, F.explode(F.array_compact(codes)).alias("code"))
+
+
+def sparse_violations(index: DataFrame, passages: DataFrame, key: str) -> DataFrame:
+    """(key, code) of passages whose postings (key, term, tf, dl) are no sound state: invalid_frequency (a count below one), invalid_vocabulary (a null or empty term, or one twice), invalid_length (lengths that
+    differ or aren't the sum of the counts), unknown_passage (postings of a passage that isn't there).  Passages without a term have no postings."""
+    terms = index.groupBy(key, "term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"), F.bool_and(F.coalesce(F.col("tf") > 0, F.lit(False))).alias("counted"), F.min("dl").alias("low"), F.max("dl").alias("high"))
+    sound = (F.col("n") == 1) & F.coalesce(F.col("term") != "", F.lit(False))
+    rows = terms.groupBy(key).agg(F.bool_and("counted").alias("counted"), F.bool_and(sound).alias("sound"), F.sum("tf").alias("tf"), F.min("low").alias("low"), F.max("high").alias("high"))
+    known = passages.select(F.col(key).alias("__known")).distinct()
+    rows = rows.join(known, F.col(key) == F.col("__known"), "left")
+    fits = F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("tf")), F.lit(False))
+    codes = F.array(F.when(~F.col("counted"), "invalid_frequency"), F.when(~F.col("sound"), "invalid_vocabulary"), F.when(~fits, "invalid_length"), F.when(F.col("__known").isNull(), "unknown_passage"))
+    return rows.select(key, F.explode(F.array_compact(codes)).alias("code"))
+
+
 def corpus_order_violations(passages: DataFrame, article: str, order: str) -> DataFrame:
     """Articles whose passage orders are not exactly 0..n-1."""
     by = passages.groupBy(article).agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high"), F.countDistinct(order).alias("kinds"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -134,7 +135,6 @@ passages AS (SELECT doc_id, ord, line, count(CASE WHEN length(line) < 40 THEN 1
 
 
 def _passages(t):
-    from pyspark.sql import Window as W
 
     lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     w = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
@@ -173,17 +173,28 @@ def dense_query_text(t):
     return t("benchmark").select("item_id", T.query_text(F.col("text")).alias("query_text"))
 
 
-@plans.add("SELECT coalesce(d.doc_id, e.vec_id) AS id, CASE WHEN e.vec_id IS NULL THEN 'passage_not_indexed' ELSE 'index_without_passage' END AS code FROM documents d FULL OUTER JOIN embeddings e ON d.doc_id = e.vec_id WHERE d.doc_id IS NULL OR e.vec_id IS NULL")
+# The index has the vectors' ids, texts without accents on e and the texts' words as lengths, of which 300 at most are allowed.
+@plans.add("""WITH e AS (SELECT vec_id AS id, count(*) AS n FROM embeddings GROUP BY 1), b AS (SELECT coalesce(d.doc_id, e.id) AS id, d.doc_id IS NOT NULL AS known, e.id IS NOT NULL AS there, n, text FROM documents d FULL OUTER JOIN e ON d.doc_id = e.id)
+SELECT id, unnest(list_filter([CASE WHEN NOT there THEN 'passage_not_indexed' END, CASE WHEN NOT known THEN 'index_without_passage' END, CASE WHEN n > 1 THEN 'indexed_twice' END,
+  CASE WHEN known AND there AND contains(text, 'é') THEN 'index_representation_mismatch' END, CASE WHEN there AND NOT coalesce(len(string_split(text, ' ')) <= 300, false) THEN 'invalid_index_lengths' END], lambda x: x IS NOT NULL)) AS code FROM b""")
 def index_validation(t):
-    d, e = t("documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("d")), t("embeddings").select(F.col("vec_id").alias("id"), F.lit(1).alias("e"))
-    both = d.join(e, "id", "full_outer").where("d is null or e is null")
-    return both.select("id", F.when(F.col("e").isNull(), "passage_not_indexed").otherwise("index_without_passage").alias("code"))
+    passages = t("documents").select(F.col("doc_id").alias("id"), "text")
+    index = t("embeddings").select(F.col("vec_id").alias("id")).join(passages, "id", "left")
+    index = index.select("id", F.replace("text", F.lit("é"), F.lit("e")).alias("text"), F.size(F.split("text", " ")).alias("token_count"))
+    return R.index_violations(index, passages, "id", 300)
 
 
-@plans.add(f"WITH p AS (SELECT doc_id, term, CASE WHEN term = 'the' AND doc_id % 100 = 0 THEN -tf ELSE tf END AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2)) SELECT doc_id, term, tf FROM p WHERE tf <= 0")
+# The index of the texts before their first line end, checked against counts of the whole texts that are one off where the first line's length is odd; passages in French are gone.
+@plans.add(f"""WITH p AS (SELECT doc_id, lang, string_split(text, chr(10))[1] AS text FROM documents), x AS (SELECT doc_id, lang, length(text) % 2 AS odd, {_TOKENS} AS t FROM p)
+SELECT doc_id, unnest(list_filter([CASE WHEN odd = 1 AND len(t) = len(list_distinct(t)) THEN 'invalid_frequency' END, CASE WHEN odd = 1 THEN 'invalid_length' END, CASE WHEN lang = 'fr' THEN 'unknown_passage' END], lambda x: x IS NOT NULL)) AS code
+FROM x WHERE len(t) > 0""")
 def sparse_state_check(t):
-    broken = F.when((F.col("term") == "the") & (F.col("doc_id") % 100 == 0), -F.col("tf")).otherwise(F.col("tf"))  # an injected fault
-    return R.postings(t("documents"), "doc_id", "text").select("doc_id", "term", broken.alias("tf")).where("tf <= 0 or tf is null or term is null")
+    first = t("documents").select("doc_id", F.split("text", "\n")[0].alias("text"))
+    odd = first.select("doc_id", (F.length("text") % 2).alias("odd"))
+    index = R.postings(first, "doc_id", "text").join(odd, "doc_id")
+    most = F.max("tf").over(W.partitionBy("doc_id"))
+    index = index.withColumn("tf", F.when((F.col("odd") == 1) & (F.col("tf") == most), F.col("tf") - 1).otherwise(F.col("tf")))
+    return R.sparse_violations(index, t("documents").where("lang is distinct from 'fr'"), "doc_id")
 
 
 @plans.add(
