@@ -77,6 +77,22 @@ def test_elements_are_nested_intervals():
     assert [r["before"] for r in rows] == [-1, -1, 1, -1, 3, 2, -1, 6, -1, 0, 9, -1, -1, 12, 11, -1] and rows[2]["text"] == "b"
 
 
+def test_reading_of_marks():
+    page = "<P Title=\"a>b\" x=1 y x=2 z='&lt;'>a &amp; b<script>if (a<b) \"<p>\"</SCRIPT ><br/>c <img src=a/b.png> 1 < 2</P><!-- <i> --><title>x <b></title><b <u>t<!-- <i>"
+    rows = L.page_elements(page)
+    assert [(r["tag"], r["text"]) for r in rows] == [("p", "a & b c 1 < 2"), ("script", 'if (a<b) "<p>"'), ("br", ""), ("img", ""), ("title", "x <b>"), ("u", "t")]
+    assert rows[0]["attrs"] == {"title": "a>b", "x": "1", "y": "", "z": "<"} and rows[3]["attrs"] == {"src": "a/b.png"}
+
+
+@pytest.mark.parametrize("part", ["<a <a ", '<a "', "<!-- ", "<p>", "<script>", "<a b=\"'>", "</x>", "<!x", "&", "<"])
+def test_long_broken_pages_take_linear_time(part):
+    import time
+
+    start = time.perf_counter()
+    L.page_elements(part * 100_000)
+    assert time.perf_counter() - start < 20
+
+
 def test_signatures_cover_the_whole_subtree():
     sign = lambda page: L.page_elements(page, signed=True)[0]["signature"]
     base = sign('<div class="g" id="x"><img src="a"><p>t &amp; u</p></div>')

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,20 +20,49 @@ IMPLIED = {"p": BLOCKS | CONTAINERS, "li": frozenset({"li"}), "dt": frozenset({"
 ELEMENT = "struct<ord:int,parent:int,before:int,last:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,text:string,signature:string>"
 
 
-class _Tree(HTMLParser):
+# A tag with quotes kept whole, a comment or declaration (what isn't closed takes the rest); a tag that another one cuts off is text, so that a page is read in linear time.
+_MARK = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|!--(?:.*?-->|.*)|[!?][^>]*+(?:>|$))""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+_RAW = {x: re.compile(rf"(?i)</{x}\b") for x in ("script", "style", "textarea", "title")}  # elements whose content holds no tags
+
+
+class _Tree:
     """The elements of a page in document order; each with its parent, the sibling before it, the last element inside it and its own text."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.held: list[list] = []  # of each element its texts and the places of its children, in order
         self.newest: dict[int, int] = {}  # of each element its newest child
         self.open: list[int] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.tags: dict[str, int] = {}  # how many elements of each tag are open
+
+    def read(self, page: str) -> None:
+        at = 0
+        while mark := _MARK.search(page, at):
+            self._text(page[at : mark.start()])
+            at = mark.end()
+            ends, tag, rest = mark[1], mark[2], mark[3]
+            if not tag:
+                continue
+            tag = tag.lower()
+            if ends:
+                self._end(tag)
+                continue
+            given: dict[str, str] = {}
+            if rest:
+                for name, *values in _ATTRIBUTE.findall(rest):
+                    given.setdefault(name.lower(), unescape("".join(values)))
+            self._start(tag, given)
+            if tag in _RAW:
+                end = _RAW[tag].search(page, at)
+                stop = end.start() if end else len(page)
+                self._text(page[at:stop], raw=tag in ("script", "style"))
+                at = stop
+        self._text(page[at:])
+
+    def _start(self, tag: str, given: dict[str, str]) -> None:
         while self.open and tag in IMPLIED.get(self.rows[self.open[-1]]["tag"], ()):
             self._shut()
-        given = {k: v or "" for k, v in attrs}
         here, parent = len(self.rows), self.open[-1] if self.open else -1
         self.rows.append({"ord": here, "parent": parent, "before": self.newest.get(parent, -1), "last": here, "tag": tag, "id": given.get("id", ""), "classes": given.get("class", "").split(), "attrs": given, "text": ""})
         self.held.append([])
@@ -41,25 +71,22 @@ class _Tree(HTMLParser):
             self.held[parent].append(here)
         if tag not in VOID:
             self.open.append(here)
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self._shut()
+            self.tags[tag] = self.tags.get(tag, 0) + 1
 
     def _shut(self) -> str:
-        here = self.open.pop()
-        self.rows[here]["last"] = len(self.rows) - 1
-        return self.rows[here]["tag"]
+        row = self.rows[self.open.pop()]
+        row["last"] = len(self.rows) - 1
+        self.tags[row["tag"]] -= 1
+        return row["tag"]
 
-    def handle_endtag(self, tag: str) -> None:
-        if any(self.rows[i]["tag"] == tag for i in reversed(self.open)):
+    def _end(self, tag: str) -> None:
+        if self.tags.get(tag):
             while self._shut() != tag:
                 pass
 
-    def handle_data(self, data: str) -> None:
-        if self.open and data.strip():
-            self.held[self.open[-1]].append(data.strip())
+    def _text(self, data: str, raw: bool = False) -> None:
+        if data and self.open and (text := data.strip()):
+            self.held[self.open[-1]].append(text if raw else unescape(text).strip())
 
     def finished(self, signed: bool) -> list[dict]:
         """All rows, with own texts and, if asked for, signatures: the hash of an element's tag, sorted attributes, and its texts and children's signatures in order."""
@@ -78,8 +105,7 @@ class _Tree(HTMLParser):
 def page_elements(page: str | None, signed: bool = False) -> list[dict]:
     """The elements of one page; a null page has none."""
     reader = _Tree()
-    reader.feed(page or "")
-    reader.close()
+    reader.read(page or "")
     return reader.finished(signed)
 
 
