@@ -42,7 +42,7 @@ def lineage_roots(links: DataFrame, key: str, parent: str) -> DataFrame:
     open_rows = state.where("not done").count()
     while open_rows:
         up = state.select(F.col(key).alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"), F.col("done").alias("ends"))
-        new = materialise(state.join(up, "at").select(key, F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")), "lineage")
+        new = materialise(state.join(up.hint("merge"), "at").select(key, F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")), "lineage")
         discard(state)
         state, before, open_rows = new, open_rows, new.where("not done").count()
         if open_rows == before:  # depths are contiguous, so a round without progress leaves only cycles

@@ -2,7 +2,8 @@
 
 1. A *card* per record holds the few values that others look at (its run, observation, span, status ...): short strings and numbers, never texts or lists.
 2. Every reference becomes an *edge* (owner, role, target, expected kind) that carries its owner's card.  One join by target id, skewed targets (a run that a third of all
-   records belong to) left to Spark's splitting of skewed joins, finds the target's card; all rules over two ends are evaluated there.
+   records belong to) left to Spark's splitting of skewed joins, finds the target's card; all rules over two ends are evaluated there.  Only the edges and the entries of cards that
+   the rules asked for read are made.  Cards, lists and texts are joined by merging: written out they look small enough to be broadcast, which the driver would have to hold.
 3. Questions whether a list holds an id ("is the observation in its run's list?") are rows (list's owner, role, id) that an anti join with the edges themselves answers,
    so that no list is copied to its members.
 4. Spans are found by a walk over the schema that builds the expressions for any depth of structs, arrays and maps; they are compared with their texts by a join.
@@ -13,6 +14,7 @@ All functions return violations instead of raising: ``(id, kind, code)``, once f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -230,24 +232,24 @@ def all_spans(records: dict[str, DataFrame]) -> DataFrame | None:
 def text_roots(texts: DataFrame) -> DataFrame:
     """(id, root, cyclic) of each text: the text it was made from in the end; a source that is not there ends the lineage without a root."""
     there = texts.select(F.col("id").alias("source_text_id"), F.lit(True).alias("__there"))
-    links = texts.select("id", "source_text_id").join(there, "source_text_id", "left")
+    links = texts.select("id", "source_text_id").join(there.hint("merge"), "source_text_id", "left")
     gone = F.col("source_text_id").isNotNull() & F.col("__there").isNull()
     found = lineage_roots(links.select("id", F.when(~gone, F.col("source_text_id")).alias("parent")), "id", "parent")
     return found.select("id", F.col("root").alias("__root"), (F.col("depth") == -1).alias("__cyclic"))
 
 
-def cards(records: dict[str, DataFrame]) -> DataFrame:
-    """(id, kind, card) of all records, one row per id: of repeated ids the least kind and card."""
-    parts = []
+def cards(records: dict[str, DataFrame], entries: Iterable[str] = tuple(CARD)) -> DataFrame:
+    """(id, kind, card) of all records with some entries of their cards, one row per id: of repeated ids the least kind and card."""
+    parts, kept = [], {name: of for name, of in CARD.items() if name in set(entries)} or {"run": CARD["run"]}
     for kind, table in records.items():
         made = dict(_CARDS.get(kind, {}))
         if kind in DERIVED:
             made["run"] = "analysis_run_id"
-        if kind == "text":
+        if kind == "text" and kept.keys() & {"root", "root_artifact", "cyclic"}:
             roots = materialise(text_roots(table), "roots")
             of_root = table.select(F.col("id").alias("__root"), F.col("artifact_id").alias("__root_artifact"))
-            table = table.join(roots, "id", "left").join(of_root, "__root", "left")
-        values = [(F.expr(made[name]) if name in made else F.lit(None)).cast(of).alias(name) for name, of in CARD.items()]
+            table = table.join(roots.hint("merge"), "id", "left").join(of_root.hint("merge"), "__root", "left")
+        values = [(F.expr(made[name]) if name in made else F.lit(None)).cast(of).alias(name) for name, of in kept.items()]
         parts.append(table.select("id", F.lit(kind).alias("kind"), F.struct(*values).alias("card")))
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min(F.struct("kind", "card")).alias("one")).select("id", "one.kind", "one.card")
 
@@ -256,19 +258,26 @@ def _references(ids: Column, role: str, expected: str) -> Column:
     return F.transform(ids, lambda x: F.struct(F.lit(role).alias("role"), x.alias("target"), F.lit(expected).alias("expected")))
 
 
-def edges(records: dict[str, DataFrame]) -> DataFrame:
-    """(id, kind, role, target, expected) of every reference of all records; ids in lists come as often as listed."""
+def _entries(end: str, conditions: Iterable[Column]) -> set[str]:
+    """The entries of the card ``o`` or ``t`` that some conditions read."""
+    return {name for c in conditions for name in re.findall(rf"\b{end}\.(\w+)", str(c))} & CARD.keys()
+
+
+def edges(records: dict[str, DataFrame], only: set[tuple[str | None, str]] | None = None) -> DataFrame | None:
+    """(id, kind, role, target, expected) of every reference of all records, or of ``only`` some (kind or None for all, role); ids in lists come as often as listed.  None where no kind has any."""
     parts = []
     for kind, table in records.items():
         made = []
         for role, ids, expected in EDGES.get(kind, []):
+            if only is not None and not only & {(kind, role), (None, role)}:
+                continue
             found = F.expr(ids)
             found = found if isinstance(table.select(found).schema[0].dataType, T.ArrayType) else F.array(found)
             made.append(_references(found, role, expected))
         if made:
             none = F.array().cast("array<struct<role string, target string, expected string>>")
             parts.append(table.select("id", F.lit(kind).alias("kind"), F.explode(F.concat(*[F.coalesce(m, none) for m in made])).alias("e")).select("id", "kind", "e.*"))
-    return reduce(DataFrame.unionByName, parts).where("target is not null")
+    return reduce(DataFrame.unionByName, parts).where("target is not null") if parts else None
 
 
 def _codes(rows: DataFrame, rules: Iterable[tuple[str, Column]]) -> DataFrame:
@@ -280,53 +289,76 @@ def _broken(rule: Column) -> Column:
     return ~F.coalesce(rule, F.lit(False))
 
 
-def _met(records: dict[str, DataFrame], spans: DataFrame | None, only_spans: bool) -> DataFrame:
-    """Every edge with its owner's card ``o`` and its target's kind and card ``t``."""
-    parts = [] if only_spans else [edges(records).withColumn("span", F.lit(None).cast(_span_type()))]
-    if spans is not None:
-        ends = [F.struct(F.lit(role).alias("role"), F.col(f"span.{field}").alias("target"), F.lit(expected).alias("expected"), F.col("span").alias("span")) for role, field, expected in (("span_text", "text_id", "text"), ("span_unit", "source_unit_id", "text_unit"))]
-        parts.append(spans.select("id", "kind", F.explode(F.array(*ends)).alias("e")).select("id", "kind", "e.*").where("target is not null"))
-    card = materialise(cards(records), "cards")
-    owned = reduce(DataFrame.unionByName, parts).join(card.select("id", F.col("card").alias("o")), "id", "left")
-    return materialise(owned.join(card.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("card").alias("t")), "target", "left"), "links")
+def _met(records: dict[str, DataFrame], owners: dict[str, DataFrame], spans: DataFrame | None, only: set[tuple[str | None, str]] | None, of_owner: set[str], of_target: set[str]) -> DataFrame | None:
+    """The edges of ``only`` some roles of the owners, with their owner's card ``o`` and their target's kind and card ``t``, each of the entries named."""
+    none = F.lit(None).cast("struct<start:bigint,end:bigint,text_id:string>")
+    parts = [made.withColumn("span", none) for made in [edges(owners, only)] if made is not None]
+    ends = [(role, field, expected) for role, field, expected in (("span_text", "text_id", "text"), ("span_unit", "source_unit_id", "text_unit")) if only is None or (None, role) in only]
+    if spans is not None and ends:
+        place = F.struct("span.start", "span.end", "span.text_id")
+        made = [F.struct(F.lit(role).alias("role"), F.col(f"span.{field}").alias("target"), F.lit(expected).alias("expected")) for role, field, expected in ends]
+        parts.append(spans.select("id", "kind", F.explode(F.array(*made)).alias("e"), place.alias("span")).select("id", "kind", "e.*", "span").where("target is not null"))
+    if not parts:
+        return None
+    owned, card = reduce(DataFrame.unionByName, parts), cards(records, of_owner | of_target)
+    if of_owner:
+        card = materialise(card, "cards")
+        owned = owned.join(card.select("id", _part("card", of_owner).alias("o")).hint("merge"), "id", "left")
+    of_target = of_target or {"run"} & set(card.schema["card"].dataType.names)
+    target = card.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), *([_part("card", of_target).alias("t")] if of_target else []))
+    return owned.join(target.hint("merge"), "target", "left")
+
+
+def _part(card: str, entries: set[str]) -> Column:
+    return F.struct(*[F.col(f"{card}.{name}").alias(name) for name in CARD if name in entries])
 
 
 def _within_spans(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Spans outside their text or with another quote than the text has there."""
-    both = spans.select("id", "kind", "span.*").join(texts.groupBy(F.col("id").alias("text_id")).agg(F.min("text").alias("text")), "text_id")
+    both = spans.select("id", "kind", "span.*").join(texts.groupBy(F.col("id").alias("text_id")).agg(F.min("text").alias("text")).hint("merge"), "text_id")
     outside = (F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("text"))
     return _codes(both, [("span_out_of_bounds", outside), ("quote_mismatch", ~outside & ~code_point_slice(F.col("text"), F.col("start"), F.col("end")).eqNullSafe(F.col("exact_text")))])
 
 
-def violations(records: dict[str, DataFrame], codes: Iterable[str] | None = None) -> DataFrame:
-    """(id, kind, code) of everything that is wrong with the links of a set of records, given as one table per kind with that kind's schema; with ``codes`` of those alone."""
+def violations(records: dict[str, DataFrame], codes: Iterable[str] | None = None, kinds: Iterable[str] | None = None) -> DataFrame:
+    """(id, kind, code) of everything that is wrong with the links of a set of records, given as one table per kind with that kind's schema; with ``codes`` of those alone, with ``kinds`` of records of those alone."""
     wanted = None if codes is None else set(codes)
     asked = lambda *some: wanted is None or bool(wanted & set(some))
-    spans = all_spans(records)
+    owners = records if kinds is None else {kind: records[kind] for kind in kinds if kind in records}
+    spans = all_spans(owners)
     at = lambda kind, role: (F.col("role") == role) & (F.lit(True) if kind is None else F.col("kind") == kind)
     right_kind = (F.col("expected") == ANY) | (F.col("target_kind") == F.col("expected"))
-    run_roles = [at(kind, role) for kind, found in EDGES.items() for role, _, _ in found if _same_run(kind, role)]
+    run_roles = {(kind, role) for kind, found in EDGES.items() for role, _, _ in found if _same_run(kind, role)}
     unit = (_t("text") == F.col("span.text_id")) & (_t("start") <= F.col("span.start")) & (F.col("span.start") < F.col("span.end")) & (F.col("span.end") <= _t("end"))
-    rules = [
-        ("missing_id", F.col("target_kind").isNull()),
-        ("wrong_record_kind", F.col("target_kind").isNotNull() & ~right_kind),
-        ("run_mismatch", right_kind & F.col("target_kind").isin(*DERIVED) & reduce(Column.__or__, run_roles) & ~_alike("run")),
-        ("source_unit_mismatch", right_kind & (F.col("role") == "span_unit") & _broken(unit)),
-        *[(code, right_kind & at(kind, role) & _broken(rule)) for code, kind, role, rule in edge_rules() if kind in records],
+    same_run = reduce(Column.__or__, [at(kind, role) for kind, role in sorted(run_roles)])
+    # A code, where edges break it, and the (kind, role) of those edges: None for all.
+    rules: list[tuple[str, Column, set[tuple[str | None, str]] | None]] = [
+        ("missing_id", F.col("target_kind").isNull(), None),
+        ("wrong_record_kind", F.col("target_kind").isNotNull() & ~right_kind, None),
+        ("run_mismatch", right_kind & F.col("target_kind").isin(*DERIVED) & same_run & ~_alike("run"), run_roles),
+        ("source_unit_mismatch", right_kind & (F.col("role") == "span_unit") & _broken(unit), {(None, "span_unit")}),
+        *[(code, right_kind & at(kind, role) & _broken(rule), {(kind, role)}) for code, kind, role, rule in edge_rules() if kind in owners],
     ]
-    rules = [(code, broken) for code, broken in rules if asked(code)]
+    rules = [x for x in rules if asked(x[0])]
     found: list[DataFrame | None] = []
-    members = [m for m in MEMBERS if asked(m[0])]
-    listed = [x for x in LISTED if x[1] in records and asked(x[0])]
-    if rules or members or listed or asked("duplicate_candidate_passage"):
-        met = _met(records, spans, only_spans={code for code, _ in rules} == {"source_unit_mismatch"} and not members and not listed and not asked("duplicate_candidate_passage"))
-        found.append(_codes(met, rules) if rules else None)
-        for code, kind, role, column, entry in listed:
-            own = records[kind].select("id", F.transform(F.coalesce(column, F.array().cast(records[kind].schema[column].dataType)), lambda s: s["text_id"]).alias("texts"))
-            found.append(_codes(met.where(at(kind, role) & right_kind).join(own, "id"), [(code, _broken(_all_are(F.col("texts"), _t(entry))))]))
-        found.append(_members(met, right_kind, at, members) if members else None)
-        found.append(_twice(met, right_kind) if asked("duplicate_candidate_passage") else None)
-    found += [_codes(records[kind].withColumn("kind", F.lit(kind)), [(code, _broken(F.expr(rule)))]) for code, kind, rule in OWN if kind in records and asked(code)]
+    members = [m for m in MEMBERS if asked(m[0]) and (m[1] is None or m[1] in owners)]
+    listed = [x for x in LISTED if x[1] in owners and asked(x[0])]
+    twice = asked("duplicate_candidate_passage") and "retrieval_batch" in owners
+    roles = [some for _, _, some in rules] + [{(m[1], m[2])} for m in members] + [{(x[1], x[2])} for x in listed] + ([{("retrieval_batch", "candidate_pair_ids")}] if twice else [])
+    if roles:
+        read = [broken for _, broken, _ in rules] + [make() for m in members for make in (m[3], m[5], m[6])] + [_t(x[4]) for x in listed] + ([_t("passage")] if twice else [])
+        met = _met(records, owners, spans, None if None in roles else set().union(*roles), _entries("o", read), _entries("t", read))
+        uses = bool(rules) + bool(members) + len(listed) + twice
+        met = materialise(met, "links") if met is not None and uses > 1 else met
+        if met is not None:
+            found.append(_codes(met, [(code, broken) for code, broken, _ in rules]) if rules else None)
+            for code, kind, role, column, entry in listed:
+                own = records[kind].select("id", F.transform(F.coalesce(column, F.array().cast(records[kind].schema[column].dataType)), lambda s: s["text_id"]).alias("texts"))
+                found.append(_codes(met.where(at(kind, role) & right_kind).join(own.hint("merge"), "id"), [(code, _broken(_all_are(F.col("texts"), _t(entry))))]))
+            lists = edges(records, {(None, m[4]) for m in members}) if members else None
+            found.append(_members(met, lists, right_kind, at, members) if members else None)
+            found.append(_twice(met, right_kind) if twice else None)
+    found += [_codes(records[kind].withColumn("kind", F.lit(kind)), [(code, _broken(F.expr(rule)))]) for code, kind, rule in OWN if kind in owners and asked(code)]
     if asked("branched_history", "history_cycle", "multiple_selected_findings"):
         found.append(_histories(records))
     if spans is not None and "text" in records and asked("span_out_of_bounds", "quote_mismatch"):
@@ -334,23 +366,26 @@ def violations(records: dict[str, DataFrame], codes: Iterable[str] | None = None
     if asked("duplicate_id"):
         ids = reduce(DataFrame.unionByName, [t.select("id", F.lit(kind).alias("kind")) for kind, t in records.items()])
         found.append(ids.groupBy("id").agg(F.min("kind").alias("kind"), F.count("*").alias("n")).where("n > 1").select("id", "kind", F.lit("duplicate_id").alias("code")))
-    out = reduce(DataFrame.unionByName, [f for f in found if f is not None]).distinct()
-    return out if wanted is None else out.where(F.col("code").isin(*wanted))
+    out = reduce(DataFrame.unionByName, [f for f in found if f is not None])
+    out = out if kinds is None else out.where(F.col("kind").isin(*owners))
+    return (out if wanted is None else out.where(F.col("code").isin(*wanted))).distinct()
 
 
 def _all_are(values: Column, one: Column) -> Column:
     return F.forall(values, lambda x: x.eqNullSafe(one))
 
 
-def _members(met: DataFrame, right_kind: Column, at: Callable[[str | None, str], Column], members: list) -> DataFrame:
-    """Violations of membership: asked for as rows, answered by the edges."""
+def _members(met: DataFrame, lists: DataFrame | None, right_kind: Column, at: Callable[[str | None, str], Column], members: list) -> DataFrame:
+    """Violations of membership: asked for as rows, answered by the edges that are the lists' entries."""
     asked = F.array_compact(F.array(*[
         F.when(right_kind & at(kind, role) & F.coalesce(where(), F.lit(False)), F.struct(owner().alias("list_of"), F.lit(listed).alias("list"), member().alias("member"), F.lit(code).alias("code")))
         for code, kind, role, owner, listed, where, member in members
     ]))
     rows = met.select("id", "kind", F.explode(asked).alias("q")).select("id", "kind", "q.*")
-    held = met.select(F.col("id").alias("list_of"), F.col("role").alias("list"), F.col("target").alias("member"))
-    return rows.join(held, ["list_of", "list", "member"], "left_anti").select("id", "kind", "code")
+    if lists is not None:
+        held = lists.select(F.col("id").alias("list_of"), F.col("role").alias("list"), F.col("target").alias("member"))
+        rows = rows.join(held.hint("merge"), ["list_of", "list", "member"], "left_anti")
+    return rows.select("id", "kind", "code")
 
 
 def _twice(met: DataFrame, right_kind: Column) -> DataFrame:

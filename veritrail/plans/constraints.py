@@ -126,8 +126,7 @@ def _links(name: str, kinds: str, owners: str, codes: str, rules: str):
     owner_list, code_list, kind_list = owners.split(), codes.split(), kinds.split()
 
     def query(t):
-        found = links.violations(bundle.records(t("documents"), kind_list), code_list)
-        return found.where(F.col("kind").isin(owner_list)).select("id", "code")
+        return links.violations(bundle.records(t("documents"), kind_list), code_list, owner_list).select("id", "code")
 
     query.__name__ = name
     plans.add(f"WITH RECURSIVE {bundle.ctes(*kind_list)}{_LINEAGE if 'text' in kind_list and 'root' in rules else ''}\nSELECT DISTINCT id, code FROM ({rules}) WHERE code IS NOT NULL")(query)
