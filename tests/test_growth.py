@@ -42,3 +42,30 @@ def test_lookup_of_missing_records_with_many_events(spark, tmp_path):
     spark.createDataFrame(made, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {tuple(r) for r in catalog.QUERIES["record_lookup"](spark, str(tmp_path)).collect()}
     assert got == {("event-1000000", "not_found", ""), ("event-7", "succeeded", "click"), ("event-14", "not_found", ""), ("event-1000035", "not_found", "")}
+
+
+def test_search_equals_all_pairs_scored(spark, monkeypatch):
+    import random
+
+    from veritrail.operators import retrieval as R
+
+    draw = random.Random(7)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(5)]) for i in range(90)]
+    rows += [(100 + i, [x * 2 for x in rows[3][1]]) for i in range(9)] + [(200, [1.0, None, 0.0, 0.0, 1.0]), (220, [1.0, 2.0]), (240, None), (260, [2.0, 1.0])]
+    rows += [(300 + i, [x + 1e-7 * i for x in rows[5][1]]) for i in range(9)]  # scores that differ by less than they are rounded
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = table.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(R, "ASKED", 2)
+    monkeypatch.setattr(R, "SEARCHED", 30)
+    args = (asked, table, "query_id", "vec_id", "embedding")
+    pairs = R.cosine_scores(*args)
+    for k in (1, 6, 200):
+        got, want = R.nearest(*args, k), R.top_k(pairs, "query_id", "vec_id", k)
+        assert sorted(got.select("query_id", "vec_id", "score", "rank").collect(), key=str) == sorted(want.select("query_id", "vec_id", "score", "rank").collect(), key=str)
+        got, want = R.nearest_trace(*args, k), R.path_trace(pairs, "query_id", "vec_id", F.col("eligible"), k)
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_search_makes_no_row_for_each_pair(spark, capsys):
+    plan = plan_of(catalog.QUERIES["semantic_path_trace"](spark, SMALL), capsys)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

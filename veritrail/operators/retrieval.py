@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B, K, RRF = 1.2, 0.75, 50, 60
+ASKED, SEARCHED, AT_ONCE = 2048, 16384, 256  # queries and passages of a cell of a search, and the queries that are scored at once
 
 
 def postings(passages: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,6 +60,84 @@ def cosine_scores(queries: DataFrame, passages: DataFrame, query: str, key: str,
     return rows.join(asked, F.lit(True)).select(query, key, F.round(dot, 6).alias("score"))
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of length 1; sums go from the first entry to the last, as in cosine_scores."""
+    v = np.stack(vectors.to_list()).astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return v / np.sqrt(np.cumsum(v * v, axis=1)[:, -1:])
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores in millionths, halves up, as Spark rounds them: those next to a half by their decimal digits.  Of NaN, which Spark puts above all numbers, infinity."""
+    x = scores * 1e6
+    out = np.where(np.isnan(x), np.inf, np.floor(x + 0.5))
+    for i in np.flatnonzero(np.abs(x - np.floor(x) - 0.5) < 1e-6):
+        out[i] = float((Decimal(repr(float(scores[i]))) * 1000000).quantize(Decimal(1), rounding=ROUND_HALF_UP))
+    return out
+
+
+def _best_of_cell(asked: pd.DataFrame, rows: pd.DataFrame, query: str, key: str, k: int) -> pd.DataFrame:
+    """The best k rows of a cell for each of its queries: a matrix product finds what can be among them, and those are scored as cosine_scores does it."""
+    if asked.empty or rows.empty:
+        return pd.DataFrame({query: asked[query][:0], key: rows[key][:0], "score": pd.Series([], dtype="float64")})
+    rows = rows.sort_values(key, kind="stable")
+    q, p = _units(asked["__v"]), _units(rows["__v"])
+    odd = not (np.isfinite(q).all() and np.isfinite(p).all())
+    found = []
+    for start in range(0, len(q), AT_ONCE):
+        near = q[start : start + AT_ONCE] @ p.T
+        if odd:
+            near[np.isnan(near)] = np.inf
+        last = np.partition(near, len(p) - k, axis=1)[:, len(p) - k, None] if len(p) > k else np.full((len(near), 1), -np.inf)
+        a, b = np.nonzero(near >= last - 2e-6)  # a millionth apart, scores may still be equal when rounded
+        score = np.concatenate([np.cumsum(q[start + a[i : i + 65536]] * p[b[i : i + 65536]], axis=1)[:, -1] for i in range(0, len(a), 65536)])
+        order = np.lexsort((b, -_rounded(score), a))
+        a, b, score = a[order], b[order], score[order]
+        kept = np.arange(len(a)) - np.searchsorted(a, a) < k
+        found.append((start + a[kept], b[kept], score[kept]))
+    a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({query: asked[query].to_numpy()[a], key: rows[key].to_numpy()[b], "score": score})
+
+
+def _search(queries: DataFrame, passages: DataFrame, query: str, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query, key, score) of all pairs that can be among the best k of cosine_scores, and (query, eligible) with the number of scores of each query.
+
+    Queries and passages are dealt by their ids into cells of a few thousand each; every pair of cells is one group, in which all its pairs are scored, and gives k rows a query.
+    Vectors with a null, or of another size than most, are scored pair by pair.
+    """
+    v = F.col(vector)
+    whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    sizes = passages.where(whole).groupBy(F.size(v).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    size, n = (sizes["size"], sizes["n"]) if sizes else (0, 0)
+    fits = F.coalesce(whole & (F.size(v) == size) & (F.size(v) > 0), F.lit(False))
+    n_asked, all_asked, all_rows = *queries.agg(F.count_if(fits), F.count("*")).first(), passages.count()
+    groups = {"__g": max(1, -(-n_asked // ASKED)), "__h": max(1, -(-n // SEARCHED))}
+    dealt = lambda column, of: F.pmod(F.xxhash64(column), F.lit(groups[of]))
+    copies = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups[of] - 1).cast("long"))).alias(of)
+    asked = queries.where(fits).select(query, v.alias("__v"), dealt(query, "__g").alias("__g")).select("*", copies("__h"))
+    rows = passages.where(fits).select(key, v.alias("__v"), dealt(key, "__h").alias("__h")).select("*", copies("__g"))
+    schema = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {passages.schema[key].dataType.simpleString()}, score double"
+    cells = asked.groupBy("__g", "__h").cogroup(rows.groupBy("__g", "__h"))
+    best = cells.applyInPandas(lambda a, b: _best_of_cell(a, b, query, key, k), schema).withColumn("score", F.round("score", 6))
+    eligible = queries.where(fits).select(query, F.lit(n).cast("long").alias("eligible"))
+    if n_asked < all_asked or n < all_rows:
+        others = cosine_scores(queries.where(~fits), passages, query, key, vector).unionByName(cosine_scores(queries.where(fits), passages.where(~fits), query, key, vector))
+        best = best.unionByName(others)
+        eligible = eligible.unionByName(others.groupBy(query).agg(F.count("score").alias("eligible")))
+    return best, eligible.groupBy(query).agg(F.sum("eligible").alias("eligible"))
+
+
+def nearest(queries: DataFrame, passages: DataFrame, query: str, key: str, vector: str, k: int = K) -> DataFrame:
+    """top_k of cosine_scores, without a row for every pair."""
+    return top_k(_search(queries, passages, query, key, vector, k)[0], query, key, k)
+
+
+def nearest_trace(queries: DataFrame, passages: DataFrame, query: str, key: str, vector: str, k: int = K) -> DataFrame:
+    """path_trace of cosine_scores, of which all are counted as scored."""
+    best, eligible = _search(queries, passages, query, key, vector, k + 1)
+    return _trace(top_k(best, query, key, k + 1), eligible, query, F.col("eligible"), k)
+
+
 def top_k(scores: DataFrame, query: str, key: str, k: int = K) -> DataFrame:
     """The best k per query with ranks; of equal scores the smaller key comes first."""
     order = W.partitionBy(query).orderBy(F.desc("score"), F.asc(key))
@@ -63,9 +146,12 @@ def top_k(scores: DataFrame, query: str, key: str, k: int = K) -> DataFrame:
 
 def path_trace(scores: DataFrame, query: str, key: str, scored: Column, k: int = K) -> DataFrame:
     """Per query: scored, eligible and omitted passages and whether the k-th and the next score are equal."""
-    best = top_k(scores, query, key, k + 1)
-    border = best.groupBy(query).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == k + 1, F.col("score"))).alias("b"))
     counted = scores.groupBy(query).agg(F.count("score").alias("eligible"))  # reads the score, so that the scores' shuffle is reused
+    return _trace(top_k(scores, query, key, k + 1), counted, query, scored, k)
+
+
+def _trace(best: DataFrame, counted: DataFrame, query: str, scored: Column, k: int) -> DataFrame:
+    border = best.groupBy(query).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == k + 1, F.col("score"))).alias("b"))
     return counted.join(border, query).select(query, scored.alias("scored"), "eligible", F.greatest(F.col("eligible") - k, F.lit(0)).alias("omitted"), F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("tied_at_boundary"))
 
 

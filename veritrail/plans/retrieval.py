@@ -34,10 +34,10 @@ def _lexical(t):
     return R.bm25_scores(t("benchmark"), t("documents"), "item_id", "text", "doc_id", "text")
 
 
-def _semantic(t):
+def _semantic(t, search=R.nearest):
     vectors = t("embeddings")
     asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")  # the stated query set of searches
-    return R.cosine_scores(asked, vectors, "query_id", "vec_id", "embedding")
+    return search(asked, vectors, "query_id", "vec_id", "embedding")
 
 
 _APART = {"é": "e\u0301", "è": "e\u0300", "ó": "o\u0301", "ñ": "n\u0303", "ü": "u\u0308", "ç": "c\u0327", "ê": "e\u0302"}  # letters taken apart, to be composed again
@@ -70,7 +70,7 @@ def bm25_path_trace(t):
 
 @plans.add(f"WITH {_COSINE}, top AS ({_TOP.format(q='query_id', k='vec_id', t='semantic')}) SELECT query_id, vec_id, score, rank FROM top WHERE rank <= 50")
 def cosine_topk(t):
-    return R.top_k(_semantic(t), "query_id", "vec_id").select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _semantic(t).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @plans.add(
@@ -79,7 +79,7 @@ SELECT query_id, count(*) AS scored, count(*) AS eligible, greatest(count(*) - 5
   coalesce(max(CASE WHEN rank = 50 THEN score END) = max(CASE WHEN rank = 51 THEN score END), false) AS tied_at_boundary FROM top GROUP BY 1"""
 )
 def semantic_path_trace(t):
-    return R.path_trace(_semantic(t), "query_id", "vec_id", F.col("eligible"))
+    return _semantic(t, R.nearest_trace)
 
 
 # Fusion: item i asks with the vector 20 * i where there is one; vector ids and document ids name the same passages.
@@ -93,7 +93,7 @@ fused AS (
 
 
 def _fused(t):
-    sem = R.top_k(_semantic(t), "query_id", "vec_id").select(F.floor(F.col("query_id") / 20).alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
+    sem = _semantic(t).select(F.floor(F.col("query_id") / 20).alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
     return R.rrf_fuse(sem, R.top_k(_lexical(t), "item_id", "doc_id"), "item_id", "doc_id")
 
 
