@@ -69,3 +69,21 @@ def test_search_equals_all_pairs_scored(spark, monkeypatch):
 def test_search_makes_no_row_for_each_pair(spark, capsys):
     plan = plan_of(catalog.QUERIES["semantic_path_trace"](spark, SMALL), capsys)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scores_are_not_shuffled_before_the_best_are_taken(spark, capsys):
+    from veritrail.operators import retrieval as R
+
+    documents, items = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark"))
+    scores = R.bm25_scores(items, documents, "item_id", "text", "doc_id", "text")
+    plan = plan_of(scores, capsys)
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(item_id#" not in plan.split("HashAggregate")[1]
+
+
+def test_scores_with_many_query_terms_are_the_same(spark, monkeypatch):
+    from veritrail.operators import retrieval as R
+
+    documents, items = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark"))
+    brought = R.bm25_scores(items, documents, "item_id", "text", "doc_id", "text").collect()
+    monkeypatch.setattr(R, "SMALL", 0)
+    assert sorted(brought) == sorted(R.bm25_scores(items, documents, "item_id", "text", "doc_id", "text").collect())

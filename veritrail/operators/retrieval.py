@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B, K, RRF = 1.2, 0.75, 50, 60
+SMALL = 1 << 17  # query terms that are broadcast
 ASKED, SEARCHED, AT_ONCE = 2048, 16384, 256  # queries and passages of a cell of a search, and the queries that are scored at once
 
 
@@ -32,20 +33,24 @@ def bm25_scores(queries: DataFrame, passages: DataFrame, query: str, claim: str,
 
     The Lucene variant without the (k1 + 1) factor; a term counts as often as the query repeats it.  Passage terms outside all queries
     are dropped before anything is shuffled.  Texts are cut into tokens once: an empty term stands for each passage as a whole, so that
-    counts, document frequencies and lengths all come from one shuffled table.
+    counts, document frequencies and lengths all come from one shuffled table.  It is dealt by passages, and up to SMALL query terms are
+    brought to it, so that scores are made where the passages are and only the best of each part travel.
     """
     asked = queries.select(query, F.explode(tokens(F.col(claim))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     whole = F.lit("")  # no token is empty
+    small = asked.limit(SMALL + 1).count() <= SMALL
+    brought = F.broadcast if small else lambda df: df
     wanted = asked.select("term").unionByName(passages.sparkSession.range(1).select(whole.alias("term"))).distinct()
     cut = passages.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode(F.array_append("t", whole)).alias("term"))
-    tf = cut.join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    held = cut.join(brought(wanted), "term", "left_semi").groupBy(key).agg(F.collect_list(F.struct("dl", "term")).alias("terms"))
+    tf = held.select(key, F.explode("terms").alias("e")).select(key, "e.term", "e.dl").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
     # No use filters the table and each reads all its columns, so that the plans are equal and the shuffle is reused; queries have no empty term.
     counted, is_whole = F.col("tf") * F.col("dl") >= 0, F.col("term") == whole
     corpus = tf.agg(F.count_if(counted & is_whole).alias("n"), F.avg(F.when(is_whole, F.col("dl"))).alias("avgdl"))
     df = tf.groupBy("term").agg(F.count_if(counted).alias("df"))
     weight = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # corpus is one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    return tf.join(asked.join(weight, "term"), "term").groupBy(query, key).agg(F.round(F.sum(part), 9).alias("score"))
+    return tf.join(brought(asked.join(weight, "term")), "term").groupBy(query, key).agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def cosine_scores(queries: DataFrame, passages: DataFrame, query: str, key: str, vector: str) -> DataFrame:
