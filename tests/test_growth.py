@@ -87,3 +87,19 @@ def test_scores_with_many_query_terms_are_the_same(spark, monkeypatch):
     brought = R.bm25_scores(items, documents, "item_id", "text", "doc_id", "text").collect()
     monkeypatch.setattr(R, "SMALL", 0)
     assert sorted(brought) == sorted(R.bm25_scores(items, documents, "item_id", "text", "doc_id", "text").collect())
+
+
+def test_language_counts_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from veritrail.llm import language
+
+    words = " ".join(f"wort{i % 977} und so weiter" for i in range(100))
+    batch = pa.RecordBatch.from_arrays([pa.array(["de", "fr"] * 1000), pa.array([words] * 2000)], names=["g", "t"])  # 4 MB of texts
+    tracemalloc.start()
+    found = language.gram_counts(iter([batch]), ["de", "fr"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20 and sum(found.column(2).to_pylist()) > 4 * 1000 * 1000

@@ -31,6 +31,7 @@ TRAIN_DOCS = 4000
 SWITCH = 14.0
 WORD_LIMIT = 12.0
 UNKNOWN = "und"
+SLICE = 1 << 19  # bytes of texts taken at once: a byte has n-grams of three orders, with some hundred bytes of arrays
 
 # Script ranges: fixed values of the Unicode blocks, first and last code point.
 SCRIPTS = {
@@ -119,6 +120,24 @@ class Letters:
         return (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), word
 
 
+def gram_counts(batches: Iterator[pa.RecordBatch], langs: list[str]) -> pa.RecordBatch:
+    """(g, slot, n) of all rows (language, text): how often each language, by its place, has the n-grams of each bucket and the letters of each script."""
+    index = {g: i for i, g in enumerate(langs)}
+    tables = np.zeros((len(langs), len(ORDERS), BUCKETS), np.int64)
+    letters = np.zeros((len(langs), len(NAMES) + 1), np.int64)
+    for batch in slices(batches, SLICE):
+        labels = np.array([index[g] for g in batch.column(0).to_pylist()])
+        w = Letters(batch.column(1).to_pylist())
+        owner = labels[np.searchsorted(w.first, np.arange(len(w.start)), side="right") - 1]
+        np.add.at(letters, (owner, w.script), w.end - w.start)
+        for o, order in enumerate(ORDERS):
+            bucket, word = w.grams(order)
+            tables[:, o] += np.bincount(owner[word] * BUCKETS + bucket, minlength=len(langs) * BUCKETS).reshape(len(langs), BUCKETS)
+    flat = np.concatenate([tables.reshape(len(langs), -1), letters], axis=1)
+    which, slot = np.nonzero(flat)
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(slot, pa.int32()), pa.array(flat[which, slot], pa.int64())], names=["g", "slot", "n"])
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = TRAIN_DOCS) -> bytes:
     """A model from at most about ``most`` documents of each non-null language: a pickled dict of fixed-size tables."""
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("g")).where("g is not null and t is not null")
@@ -131,20 +150,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     chosen = rows.where(place < limit).select("g", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {g: i for i, g in enumerate(langs)}
-        tables = np.zeros((len(langs), len(ORDERS), BUCKETS), np.int64)
-        letters = np.zeros((len(langs), len(NAMES) + 1), np.int64)
-        for batch in slices(batches):
-            labels = np.array([index[g] for g in batch.column(0).to_pylist()])
-            w = Letters(batch.column(1).to_pylist())
-            owner = labels[np.searchsorted(w.first, np.arange(len(w.start)), side="right") - 1]
-            np.add.at(letters, (owner, w.script), w.end - w.start)
-            for o, order in enumerate(ORDERS):
-                bucket, word = w.grams(order)
-                tables[:, o] += np.bincount(owner[word] * BUCKETS + bucket, minlength=len(langs) * BUCKETS).reshape(len(langs), BUCKETS)
-        flat = np.concatenate([tables.reshape(len(langs), -1), letters], axis=1)
-        which, slot = np.nonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(slot, pa.int32()), pa.array(flat[which, slot], pa.int64())], names=["g", "slot", "n"])
+        yield gram_counts(batches, langs)
 
     summed = chosen.mapInArrow(count, "g int, slot int, n long").groupBy("g", "slot").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros((len(langs), len(ORDERS) * BUCKETS + len(NAMES) + 1))
@@ -247,7 +253,7 @@ def language_columns(documents: DataFrame, model: bytes, text: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             found = label(batch.column(batch.num_columns - 1).to_pylist(), known)
             arrays = [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:
