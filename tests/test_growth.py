@@ -103,3 +103,20 @@ def test_language_counts_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120 << 20 and sum(found.column(2).to_pylist()) > 4 * 1000 * 1000
+
+
+def test_sentences_without_a_cut_are_not_searched_for_abbreviations(monkeypatch):
+    from veritrail.operators import textunits as U
+
+    cut = U.sentences("Es kostet z. B. 3.5 Euro. Danach mehr.")
+    assert cut == [(0, 25), (26, 38)] and U.sentences(" \n") == U.sentences("") == []
+    monkeypatch.setattr(U, "_PROTECT", None)
+    assert U.sentences("  Ein Satz [mit Klammer, dann Dr.\n") == [(2, 33)] and U.sentences("Ohne Punkt") == [(0, 10)]
+
+
+def test_unit_digests_do_not_depend_on_null_keys_beside_them(spark):
+    from veritrail.operators import textunits as U
+
+    alone, beside = (spark.createDataFrame(rows, "k long, t string").coalesce(1) for rows in ([(1, "Ein Satz.")], [(1, "Ein Satz."), (None, "Noch einer."), (2, None), (3, "")]))
+    of_one = [sorted(r.digest for r in U.units(x, "k", "t").where("k = 1").collect()) for x in (alone, beside)]
+    assert of_one[0] == of_one[1] and len(of_one[0]) == 2 and U.units(beside, "k", "t").count() == 4

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from ..functions.text import code_point_slice
 ABBREVIATIONS = "z. B.|d. h.|u. a.|o. ä.|i. d. R.|z.B.|d.h.|u.a.|bzw.|ca.|vgl.|Dr.|Prof.|Nr.|Abb.|Tab.|St.|Mio.|Mrd.|ggf.|inkl.|max.|min.|sog.|evtl."
 CUES = "dies|diese|dieser|dieses|er|sie|es|ihre|ihr|sein|seine|dabei|dadurch|damit|daher|deshalb|hierbei|jener|jene|solche"
 KINDS = ("heading", "paragraph", "bullet", "sentence")
+ROWS = 50_000  # units of a batch that Python gives back
 
 # What a line is, as one letter, the first that fits; lower case where the line starts with white space.
 _LINE = re.compile(
@@ -36,8 +37,7 @@ _LINE = re.compile(
 _BLOCK = re.compile(r"(?P<empty>E+)|(?P<html>H|h)|(?P<fence>F|f)|(?P<atx>A|a)|(?P<setext>[Ss].)|(?P<list>[Ii][IBihfrsotb]*)|(?P<text>[Tt]+)|(?P<solid>[^E]+)")
 
 
-@dataclass(frozen=True)
-class Line:
+class Line(NamedTuple):
     """A line's place, text, and what it is."""
 
     start: int
@@ -172,19 +172,23 @@ def regions(text: str) -> tuple[dict[int, int], bool]:
     return out, whole
 
 
-_PROTECT = re.compile("|".join(rf"(?<!\w){re.escape(a)}" for a in ABBREVIATIONS.split("|")) + r"|\d+(?:[.,]\d+)+|\d{1,2}\.(?=\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)\b)|https?://\S+?(?=[.!?…]*(?:\s|$))|\b(?:usw|etc)\.(?=\s+[a-zäöüß])")
+_PROTECT = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, ABBREVIATIONS.split("|"))) + r")|\d+(?:[.,]\d+)+|\d{1,2}\.(?=\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)\b)|https?://\S+?(?=[.!?…]*(?:\s|$))|\b(?:usw|etc)\.(?=\s+[a-zäöüß])")
 _STOP = re.compile(r"([.!?…]++)[*_\"'”“»)\]’]*+(?=\s|\[|\Z)")
 _MORE = re.compile(r"(?:[.!?…]+)?[*_\"'”“»)\]’]*")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Sentence spans without surrounding white space; one span where markup is unbalanced."""
+    fin = len(text.rstrip())
+    stops = [m for m in _STOP.finditer(text) if m.end() < fin]
+    if not stops:  # nothing to cut, whatever the markup
+        return [(len(text) - len(text.lstrip()), fin)] if fin else []
     marks, whole = regions(text)
     cuts = {len(text)}
     if whole:
         safe = sorted([*marks.items(), *(m.span() for m in _PROTECT.finditer(text))])
         starts, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
-        for m in _STOP.finditer(text):
+        for m in stops:
             known = bisect_right(starts, m.start())
             if not known or reach[known - 1] < m.end(1):
                 cuts.add(_tail(text, m.end(), marks))
@@ -208,13 +212,10 @@ def units(texts: DataFrame, key: str, text: str, limit_chars: int | None = None)
     Order: start, longer first, then heading, paragraph, bullet, sentence.  ``heading`` is the order of the last heading before the unit, ``parent`` that of the
     block a sentence lies in; -1 where there is none.  Opaque blocks have no sentences.  A text longer than the limit, where one is given, has one row of kind ``index_limit_exceeded``.
     """
-    columns = [key, "ord", "kind", "start", "end", "level", "opaque", "parent", "heading", "digest"]
-
-    def one(value: object, body: str) -> list[tuple]:
-        import hashlib
 
+    def one(body: str) -> list[tuple]:
         if limit_chars is not None and len(body) > limit_chars:
-            return [(value, 0, "index_limit_exceeded", 0, len(body), 0, False, -1, -1, hashlib.sha256(f"{value}:index_limit_exceeded:0:{len(body)}".encode()).hexdigest()[:16])]
+            return [(0, "index_limit_exceeded", 0, len(body), 0, False, -1, -1)]
         found: list[tuple[int, int, int, int, bool, int]] = []
         for kind, a, b, level, opaque, content in scan(body):
             found.append((a, -b, KINDS.index(kind), level or 0, opaque, -1))
@@ -224,19 +225,29 @@ def units(texts: DataFrame, key: str, text: str, limit_chars: int | None = None)
         place = {u[0]: i for i, u in reversed(list(enumerate(found))) if u[2] != 3}
         out, heading = [], -1
         for i, (a, b, kind, level, opaque, owner) in enumerate(found):
-            digest = hashlib.sha256(f"{value}:{KINDS[kind]}:{a}:{-b}".encode()).hexdigest()[:16]
-            out.append((value, i, KINDS[kind], a, -b, level, opaque, place.get(owner, -1), heading, digest))
+            out.append((i, KINDS[kind], a, -b, level, opaque, place.get(owner, -1), heading))
             if kind == 0:
                 heading = i
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [u for value, body in zip(frame[key], frame[text], strict=True) if body for u in one(value, body)]
-            yield pd.DataFrame(rows, columns=columns)
+    kinds = {"ord": pa.int64(), "kind": pa.string(), "start": pa.int64(), "end": pa.int64(), "level": pa.int64(), "opaque": pa.bool_(), "parent": pa.int64(), "heading": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owner = [], []
+            for i, body in enumerate(batch.column(1)):
+                if text := body.as_py():
+                    rows += one(text)
+                    owner += [i] * (len(rows) - len(owner))
+                if len(rows) >= ROWS or rows and i == batch.num_rows - 1:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *columns], names=[key, *kinds])
+                    rows, owner = [], []
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, ord long, kind string, start long, end long, level long, opaque boolean, parent long, heading long, digest string")
+    made = texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, ord long, kind string, start long, end long, level long, opaque boolean, parent long, heading long")
+    name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("None")), "kind", "start", "end")
+    return made.withColumn("digest", F.substring(F.sha2(name, 256), 1, 16))
 
 
 def lf_lines(texts: DataFrame, key: str, text: str, keep: bool = False) -> DataFrame:
