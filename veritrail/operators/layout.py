@@ -8,8 +8,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from .corpus import BLOCKS, CONTAINERS, VOID
 # An element that the start of one of these ends; fixed values of HTML.
 IMPLIED = {"p": BLOCKS | CONTAINERS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"})}
 ELEMENT = "struct<ord:int,parent:int,before:int,last:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,text:string,signature:string>"
+ROWS = 20_000  # elements of a batch that Python gives back, or those of one page
 
 
 # A tag with quotes kept whole, a comment or declaration (what isn't closed takes the rest); a tag that another one cuts off is text, so that a page is read in linear time.
@@ -116,14 +118,29 @@ def elements(pages: DataFrame, key: str, html: str, *others: str, signed: bool =
     """
     kept = [key, *others]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[kept].copy()
-            out["elements"] = [page_elements(x, signed) for x in frame["__html"]]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ends, first = [], [0], 0
+            for i, page in enumerate(batch.column(len(kept))):
+                rows += page_elements(page.as_py(), signed)
+                ends.append(len(rows))
+                if len(rows) >= ROWS or i == batch.num_rows - 1:
+                    arrays = [c.slice(first, i + 1 - first) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _columns(rows))], names=[*kept, "elements"])
+                    rows, ends, first = [], [0], i + 1
 
     kinds = ", ".join(f"`{x}` {pages.schema[x].dataType.simpleString()}" for x in kept)
-    return pages.select(*kept, F.col(html).alias("__html")).mapInPandas(run, f"{kinds}, elements array<{ELEMENT}>")
+    return pages.select(*kept, F.col(html).alias("__html")).mapInArrow(run, f"{kinds}, elements array<{ELEMENT}>")
+
+
+def _columns(rows: list[dict]) -> pa.StructArray:
+    """The elements as one Arrow array, made column by column."""
+    ends = pa.array([0, *accumulate(len(r["attrs"]) for r in rows)], pa.int32())
+    names, values = (pa.array([x for r in rows for x in part(r["attrs"])], pa.string()) for part in (dict.keys, dict.values))
+    plain = {"ord": pa.int32(), "parent": pa.int32(), "before": pa.int32(), "last": pa.int32(), "tag": pa.string(), "id": pa.string(), "classes": pa.list_(pa.string()), "text": pa.string(), "signature": pa.string()}
+    made = {name: pa.array([r[name] for r in rows], kind) for name, kind in plain.items()} | {"attrs": pa.MapArray.from_arrays(ends, names, values)}
+    order = ["ord", "parent", "before", "last", "tag", "id", "classes", "attrs", "text", "signature"]
+    return pa.StructArray.from_arrays([made[x] for x in order], names=order)
 
 
 @dataclass(frozen=True)
