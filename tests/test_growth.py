@@ -120,3 +120,44 @@ def test_unit_digests_do_not_depend_on_null_keys_beside_them(spark):
     alone, beside = (spark.createDataFrame(rows, "k long, t string").coalesce(1) for rows in ([(1, "Ein Satz.")], [(1, "Ein Satz."), (None, "Noch einer."), (2, None), (3, "")]))
     of_one = [sorted(r.digest for r in U.units(x, "k", "t").where("k = 1").collect()) for x in (alone, beside)]
     assert of_one[0] == of_one[1] and len(of_one[0]) == 2 and U.units(beside, "k", "t").count() == 4
+
+
+def test_pages_leave_python_as_arrow_columns(spark, capsys, monkeypatch):
+    from veritrail.operators import layout as L
+
+    monkeypatch.setattr(L, "ROWS", 3)
+    pages = ["<p class='a b' id=x title=''>1<b>2</b></p>" * 2, None, "", "<i c='d'>é", "<br>"]
+    table = spark.createDataFrame(list(enumerate(pages)), "k long, html string").coalesce(1)
+    found = L.elements(table, "k", "html", signed=True)
+    assert "MapInArrow" in plan_of(found, capsys)
+    assert {r.k: [e.asDict() for e in r.elements] for r in found.collect()} == {k: L.page_elements(p, signed=True) for k, p in enumerate(pages)}
+
+
+def test_lineages_of_near_parents_are_written_once(spark, monkeypatch):
+    import random
+
+    from veritrail.operators import constraints as G
+
+    written, plain = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df, name: written.append(plain(df, name)) or written[-1])
+    monkeypatch.setattr(G, "discard", lambda df: None)
+    near = spark.range(3000).selectExpr("id", "nullif(id, 0) - 1 as parent")
+    assert sorted(map(tuple, G.lineage_roots(near, "id", "parent").collect())) == [(i, 0, i) for i in range(3000)]
+    assert sum(x.count() for x in written) < 2 * 3000
+    draw = random.Random(5)
+    for run in (1, 4, 7, 1 << 18):
+        monkeypatch.setattr(G, "RUN", run)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(run, 2000))
+        parents = {i: draw.choice([None, i, i - 1, i - 2, draw.randrange(200), 500]) if i % 3 == 0 else i - 1 if i else None for i in range(200)}
+        want = set()
+        for i in parents:
+            at, steps = i, 0
+            while steps <= 200 and parents.get(at) is not None:
+                at, steps = parents[at], steps + 1
+            if steps > 200:
+                want.add((i, None, -1))
+            elif at in parents:
+                want.add((i, at, steps))
+        got = G.lineage_roots(spark.createDataFrame([(i, p) for i, p in parents.items()], "id long, parent long"), "id", "parent").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)

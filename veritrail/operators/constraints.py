@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import code_point_slice
 from ..runtime import discard, materialise
 
+RUN = 1 << 18  # rows of neighbouring keys that a task follows at once
+
 
 def duplicate_ids(records: DataFrame, key: str = "id") -> DataFrame:
     """Ids that several records have."""
@@ -36,18 +43,68 @@ def span_violations(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("owner", code.alias("code")).where("code is not null")
 
 
+def _followed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, parent) in order of their keys as (key, at, depth, done), each followed to the last ancestor within its run of about ``most`` rows; on a cycle inside a run at and depth are null."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= most:
+            yield _run_followed(pa.Table.from_batches(held))
+            held = []
+    if sum(x.num_rows for x in held):
+        yield _run_followed(pa.Table.from_batches(held))
+
+
+def _run_followed(rows: pa.Table) -> pa.RecordBatch:
+    keys, parents = (pa.concat_arrays(c.chunks) for c in rows.columns)
+    known = keys.dictionary_encode()
+    code = known.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.zeros(len(known.dictionary) + 1, np.int64)
+    at[code] = np.arange(len(code))
+    alone = np.bincount(code + 1, minlength=len(at))[1:] == 1
+    alone = np.append(alone, False)
+    alone[[code[0], code[-1], -1]] = False  # a key at the edge may have further rows beside this run, a repeated one has several ways up
+    to = pc.index_in(parents, value_set=known.dictionary, skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False)
+    up = np.where(alone[to], at[to], -1)
+    far, hops = np.where(up >= 0, up, np.arange(len(up))), (up >= 0).astype(np.int64)
+    for _ in range(len(up).bit_length() + 1):
+        hops, further = hops + hops[far], far[far]
+        if (further == far).all():
+            break
+        far = further
+    cyclic = up[far] >= 0
+    root = parents.is_null().to_numpy(zero_copy_only=False)[far]
+    ends = pc.coalesce(parents, keys).take(pa.array(far))
+    none = pa.array(cyclic)
+    arrays = [keys, pc.if_else(none, pa.scalar(None, ends.type), ends), pa.array(hops + ~root, pa.int64(), mask=cyclic), pa.array(root | cyclic)]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "at", "depth", "done"])
+
+
 def lineage_roots(links: DataFrame, key: str, parent: str) -> DataFrame:
-    """(key, root, depth): the ancestor without a parent, by doubling the distance looked up in each round; on a cycle root is null and depth -1."""
-    state = materialise(links.select(F.col(key), F.coalesce(F.col(parent), F.col(key)).alias("at"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col(parent).isNull().alias("done")), "lineage")
+    """(key, root, depth): the ancestor without a parent; on a cycle root is null and depth -1.
+
+    Rows are first followed within runs of neighbouring keys, without a shuffle a step; the distance looked up is then doubled in each round, only for ancestors that rows of other runs
+    are left with.  Where parents lie near their rows that is a small share; where they are scattered it is all rows, in as many rounds as the logarithm of the depth.
+    """
+    both = links.select(F.col(key).alias("id"), F.col(parent).alias("up"))
+    kind = both.select(F.coalesce("up", "id").alias("x")).schema["x"].dataType.simpleString()
+    rows, most = both.select(F.col("id").cast(kind).alias("id"), F.col("up").cast(kind).alias("up")), RUN
+    sorted_ = rows.repartitionByRange("id").sortWithinPartitions("id")
+    start = materialise(sorted_.mapInArrow(lambda batches: _followed(batches, most), f"id {kind}, at {kind}, depth long, done boolean"), "lineage")
+    asked = materialise(start.where("not done").select(F.col("at").alias("id")).distinct(), "asked")
+    state = materialise(start.join(asked, "id", "left_semi"), "lineage")
+    looked_up = lambda df: df.select(F.col("id").alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+    moved = lambda df, up: df.where("not done").join(up, "at").select("id", F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")).unionByName(df.where("done"))
     open_rows = state.where("not done").count()
     while open_rows:
-        up = state.select(F.col(key).alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"), F.col("done").alias("ends"))
-        new = materialise(state.join(up.hint("merge"), "at").select(key, F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")), "lineage")
+        new = materialise(moved(state, looked_up(state).hint("merge")), "lineage")
         discard(state)
         state, before, open_rows = new, open_rows, new.where("not done").count()
         if open_rows == before:  # depths are contiguous, so a round without progress leaves only cycles
             break
-    return state.select(key, F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(-1).alias("depth"))
+    found = moved(start, looked_up(state))
+    good = F.col("done") & F.col("depth").isNotNull()
+    return found.select(F.col("id").cast(links.schema[key].dataType).alias(key), F.when(good, F.col("at")).alias("root"), F.when(good, F.col("depth")).otherwise(-1).alias("depth"))
 
 
 def version_violations(articles: DataFrame, key: str, previous: str, url: str) -> DataFrame:
@@ -66,8 +123,8 @@ def history_violations(rows: DataFrame, key: str, supersedes: str, subject: str,
     codes = F.array_compact(F.array(F.when(F.col(subject) != F.col("__s"), F.lit("history_subject_mismatch")), F.when(F.col(created) < F.col("__t"), F.lit("history_time_reversed"))))
     pairs = steps.select(key, F.explode(codes).alias("code"))
     branched = rows.where(F.col(supersedes).isNotNull()).groupBy(supersedes).agg(F.count("*").alias("n")).where("n > 1").select(F.col(supersedes).alias(key), F.lit("branched_history").alias("code"))
-    known = rows.select(key, F.col(supersedes).alias("__p")).join(rows.select(F.col(key).alias("__p"), F.lit(1).alias("__k")), "__p", "left")
-    cyclic = lineage_roots(known.select(key, F.when(F.col("__k").isNotNull(), F.col("__p")).alias("parent")), key, "parent").where("depth = -1").select(key, F.lit("history_cycle").alias("code"))
+    cyclic = lineage_roots(rows.select(key, F.col(supersedes).alias("parent")), key, "parent")  # a chain that ends at a missing row isn't cyclic
+    cyclic = cyclic.where("depth = -1").select(key, F.lit("history_cycle").alias("code"))
     return pairs.unionByName(branched).unionByName(cyclic)
 
 
