@@ -161,3 +161,10 @@ def test_lineages_of_near_parents_are_written_once(spark, monkeypatch):
         got = G.lineage_roots(spark.createDataFrame([(i, p) for i, p in parents.items()], "id long, parent long"), "id", "parent").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+
+
+def test_closures_are_summed_as_longs(spark):
+    from veritrail.operators import lineage
+
+    digests = spark.createDataFrame([("f" * 64,)] * 3, "d string").agg(*lineage._sums("d"))
+    assert {f.dataType.simpleString() for f in digests.schema} == {"bigint"} and set(digests.first()) == {3 * (2**32 - 1)}

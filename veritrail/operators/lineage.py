@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.text import identity
 from ..runtime import materialise
 
-_CHUNKS = [(1 + 8 * i, 8) for i in range(8)]  # a SHA-256's 64 hexadecimal digits as eight numbers
+_CHUNKS = [(1 + 8 * i, 8) for i in range(8)]  # a SHA-256's 64 hexadecimal digits as eight numbers of 32 bits: 2**31 of each fit into a long
 
 
 def _sums(digest: str) -> list[Column]:
-    return [F.sum(F.conv(F.substring(digest, a, n), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i, (a, n) in enumerate(_CHUNKS)]
+    return [F.sum(F.conv(F.substring(digest, a, n), 16, 10).cast("long")).alias(f"s{i}") for i, (a, n) in enumerate(_CHUNKS)]
 
 
 def closure_hashes(records: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def closure_hashes(records: DataFrame, edges: DataFrame) -> DataFrame:
         heard = links.join(fresh.select(F.col("id").alias("dst"), "closure"), "dst").groupBy("src").agg(F.count("*").alias("n"), *_sums("closure"))
         if waiting is not None:
             heard = heard.unionByName(waiting.select("src", "n", *names)).groupBy("src").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in names])
-        heard = heard.select("src", "n", *[F.col(s).cast("decimal(38,0)").alias(s) for s in names]).join(need.select(F.col("id").alias("src"), "digest", "need"), "src")
+        heard = heard.join(need.select(F.col("id").alias("src"), "digest", "need"), "src")
         state = materialise(heard.withColumn("closure", F.when(F.col("n") == F.col("need"), F.sha2(full, 256))), f"level{level}")
         fresh, waiting = state.where("closure is not null").select(F.col("src").alias("id"), "closure"), state.where("closure is null")
         parts.append(fresh.withColumn("level", F.lit(level)))
