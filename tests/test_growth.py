@@ -168,3 +168,54 @@ def test_closures_are_summed_as_longs(spark):
 
     digests = spark.createDataFrame([("f" * 64,)] * 3, "d string").agg(*lineage._sums("d"))
     assert {f.dataType.simpleString() for f in digests.schema} == {"bigint"} and set(digests.first()) == {3 * (2**32 - 1)}
+
+
+def test_spans_of_texts_in_pieces(spark, monkeypatch):
+    from veritrail.functions import text as T
+
+    texts = ["", None, "a\nb\r\n🍎é" * 5, "0123456789" * 3, "x"]
+    spans = spark.createDataFrame([(t, a, a + n) for t in texts for a in range(40) for n in range(12)], "t string, a long, b long")
+    for size in (1, 4, 1024):
+        monkeypatch.setattr(T, "PIECE", size)
+        cut = spans.select("t", "a", "b", T.slice_of_pieces(T.pieces(F.col("t")), F.col("a"), F.col("b")).alias("got"))
+        assert [r for r in cut.collect() if r.got != (None if r.t is None else r.t[r.a : r.b])] == []
+
+
+def test_quotes_meet_only_sentences_near_them(spark, capsys, monkeypatch):
+    import random
+
+    from veritrail.functions import text as T
+    from veritrail.operators import textunits as U
+
+    draw = random.Random(3)
+    texts = {k: "".join(draw.choice("abé🍎") for _ in range(60)) for k in range(8)}
+    units = [(k, o, a, min(60, a + draw.randrange(16)), draw.choice(["sentence", "sentence", "heading"])) for k in texts for o in range(12) for a in [draw.randrange(58)]]
+    of = {(k, o): (a, b, kind) for k, o, a, b, kind in units}
+    anchors, want = [], {}
+    for i in range(1500):
+        k, named = draw.randrange(8), sorted(draw.sample(range(12), draw.choice([1, 2, 2, 3])))
+        low, high = min(of[k, o][0] for o in named), max(of[k, o][1] for o in named)
+        at = draw.randrange(low, high + 1)
+        quote = texts[k][at : min(high, at + draw.randrange(1, 12))] or "a"
+        anchors.append((k, i, quote, named))
+        places = [p for p in range(low, high - len(quote) + 1) if texts[k][p : p + len(quote)] == quote]
+        a, b = (places[0], places[0] + len(quote)) if places else (0, 0)
+        holding = [(of[k, o][1] - of[k, o][0], o) for o in named if of[k, o][0] <= a and b <= of[k, o][1]]
+        crossed = [o for o in range(12) if o not in named and of[k, o][2] == "sentence" and of[k, o][0] < b and a < of[k, o][1]]
+        if len(places) != 1:
+            want[i] = ("location_ambiguous" if places else "quote_missing", None, None, None)
+        elif any(of[k, o][0] >= b or a >= of[k, o][1] for o in named):
+            want[i] = ("invalid_source_units", None, None, None)
+        elif not holding and crossed:
+            want[i] = ("incomplete_source_units", None, None, None)
+        else:
+            want[i] = ("located", a, b, min(holding)[1] if holding else None)
+    assert len({x[0] for x in want.values()}) == 5
+    found = spark.createDataFrame(units, "k long, ord long, start long, end long, kind string")
+    asked = spark.createDataFrame(anchors, "k long, anchor long, quote string, named array<long>")
+    for size in (3, 1024):
+        monkeypatch.setattr(T, "PIECE", size)
+        monkeypatch.setattr(U, "PIECE", size, raising=False)
+        located = U.locate_in_units(asked, found, spark.createDataFrame(list(texts.items()), "k long, text string"), "k")
+        assert {r.anchor: (r.status, r.start, r.end, r.unit) for r in located.collect()} == want
+    assert "Join [k#" in (plan := plan_of(located, capsys)) and "__piece" in plan  # no row for each quote and sentence of a text

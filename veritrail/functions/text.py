@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # The lexical token pattern: units, words with digits and marks, numbers, comparison signs.  A fixed value.
 TOKEN = r"mmol/l|mg/dl|[0-9]*[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*|[0-9]+(?:[.,][0-9]+)*|<=|>=|[<>≤≥%]"
+PIECE = 1024  # code points of a piece of a text
 QUERY_TEMPLATE = "Instruct: Given a claim, retrieve passages that support or refute the claim\nQuery: "
 
 
@@ -39,6 +40,18 @@ def code_point_slice(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
+def pieces(text: Column) -> Column:
+    """The text as an array of ``PIECE`` code points each (the last has the rest), from which spans are cut without counting from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def slice_of_pieces(cut: Column, start: Column, end: Column) -> Column:
+    """``code_point_slice`` of a text in pieces, for a start of 0 or more: only the pieces that the span touches are read."""
+    first = F.floor(start / PIECE).cast("int")
+    touched = F.slice(cut, first + 1, F.greatest(F.floor((end - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+    return code_point_slice(F.array_join(touched, ""), start - first * PIECE, end - first * PIECE)
+
+
 def canonical(**fields: Column) -> Column:
     """Canonical JSON of the fields: sorted keys, nulls kept."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import code_point_slice
+from ..functions.text import PIECE, pieces, slice_of_pieces
+from ..runtime import materialise
 
 # German abbreviations that do not end a sentence, and cue pronouns: fixed values.
 ABBREVIATIONS = "z. B.|d. h.|u. a.|o. ä.|i. d. R.|z.B.|d.h.|u.a.|bzw.|ca.|vgl.|Dr.|Prof.|Nr.|Abb.|Tab.|St.|Mio.|Mrd.|ggf.|inkl.|max.|min.|sog.|evtl."
@@ -334,16 +335,11 @@ def locate_in_units(anchors: DataFrame, found: DataFrame, texts: DataFrame, key:
     own = anchors.withColumn("__n", F.size("named"))
     touched = own.select(key, "anchor", F.explode("named").alias("ord")).join(found.select(key, "ord", "start", "end"), [key, "ord"])
     hull = touched.groupBy(key, "anchor").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.count("*").alias("known"), F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("units"))
-    rows = own.join(hull, [key, "anchor"], "left").join(texts.select(key, F.col("text").alias("__text")), key)
-    window = code_point_slice(F.col("__text"), F.col("low"), F.col("high"))
-    first = F.instr(window, F.col("quote"))
-    again = F.instr(F.substring(window, first + 1, F.length(window)), F.col("quote"))
-    rows = rows.select(key, "anchor", "named", "__n", "known", "units", first.alias("__first"), again.alias("__again"), "low", F.length("quote").alias("__len"))
-    rows = rows.withColumn("start", F.col("low") + F.col("__first") - 1).withColumn("end", F.col("start") + F.col("__len")).drop("low", "__len")
-    sentences_ = found.where("kind = 'sentence'").select(key, F.col("ord").alias("s_ord"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    crossed = rows.where("__first > 0 and __again = 0").select(key, "anchor", "named", "start", "end").join(sentences_, key).where("s_start < end and start < s_end")
-    unnamed = crossed.where(~F.array_contains("named", F.col("s_ord"))).select(key, "anchor").distinct().withColumn("__unnamed", F.lit(True))
-    rows = rows.join(unnamed, [key, "anchor"], "left")
+    rows = own.join(hull, [key, "anchor"], "left").join(texts.select(key, pieces(F.col("text")).alias("__pieces")).hint("merge"), key)
+    rows = rows.select(key, "anchor", "quote", "named", "__n", "known", "units", "low", slice_of_pieces(F.col("__pieces"), F.col("low"), F.col("high")).alias("__window"))
+    rows = rows.withColumn("__first", F.instr("__window", F.col("quote")))
+    rows = rows.withColumn("__again", F.instr(F.substring("__window", F.col("__first") + 1, F.length("__window")), F.col("quote"))).drop("__window")
+    rows = rows.withColumn("start", F.col("low") + F.col("__first") - 1).withColumn("end", F.col("start") + F.length("quote"))
     holding = F.filter("units", lambda u: (u["start"] <= F.col("start")) & (F.col("end") <= u["end"]))
     smallest = F.array_min(F.transform(holding, lambda u: F.struct((u["end"] - u["start"]).alias("n"), u["ord"].alias("ord"))))["ord"]
     status = (
@@ -352,12 +348,25 @@ def locate_in_units(anchors: DataFrame, found: DataFrame, texts: DataFrame, key:
         .when(F.col("__first") == 0, "quote_missing")
         .when(F.col("__again") > 0, "location_ambiguous")
         .when(F.exists("units", lambda u: (u["start"] >= F.col("end")) | (F.col("start") >= u["end"])), "invalid_source_units")
-        .when((F.size(holding) == 0) & F.coalesce("__unnamed", F.lit(False)), "incomplete_source_units")
         .otherwise("located")
     )
     placed = rows.withColumn("status", status)
     good = F.col("status") == "located"
-    return placed.select(key, "anchor", "status", F.when(good, F.col("start")).alias("start"), F.when(good, F.col("end")).alias("end"), F.when(good, smallest).alias("unit"))
+    placed = materialise(placed.select(key, "anchor", "named", "status", F.when(good, F.col("start")).alias("start"), F.when(good, F.col("end")).alias("end"), F.when(good, smallest).alias("unit")), "placed")
+    # Sentences meet quotes by the pieces of the text that both touch, not by the text, which would make a row for each pair.
+    sentences_ = found.where("kind = 'sentence'").select(key, F.col("ord").alias("s_ord"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), _touched_pieces("start", "end"))
+    open_ = placed.where(good & F.col("unit").isNull()).select(key, "anchor", "named", "start", "end", _touched_pieces("start", "end"))
+    crossed = open_.join(sentences_, [key, "__piece"]).where("s_start < end and start < s_end")
+    unnamed = crossed.where(~F.array_contains("named", F.col("s_ord"))).select(key, "anchor").distinct().withColumn("__unnamed", F.lit(True))
+    incomplete = good & F.col("unit").isNull() & F.coalesce("__unnamed", F.lit(False))
+    told = placed.join(unnamed, [key, "anchor"], "left").withColumn("__incomplete", incomplete)
+    place = [F.when(~F.col("__incomplete"), F.col(x)).alias(x) for x in ("start", "end", "unit")]
+    return told.select(key, "anchor", F.when(F.col("__incomplete"), "incomplete_source_units").otherwise(F.col("status")).alias("status"), *place)
+
+
+def _touched_pieces(start: str, end: str) -> Column:
+    """The numbers of the pieces of a text that a span touches, a row each."""
+    return F.explode(F.sequence(F.floor(F.col(start) / PIECE), F.floor(F.greatest(F.col(start), F.col(end) - 1) / PIECE))).alias("__piece")
 
 
 def support_envelope(anchors: DataFrame, keys: list[str]) -> DataFrame:

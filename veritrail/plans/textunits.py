@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import textunits as U
+from ..runtime import materialise
 from .base import Plans
 
 plans = Plans()
@@ -20,8 +21,9 @@ units AS (
 
 def _units(t):
     lines = U.lf_lines(t("documents"), "doc_id", "text", keep=True)
-    kind = F.when(F.length("line") < 40, "heading").otherwise("sentence")
-    before = F.last(F.when(F.length("line") < 40, F.col("ord")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
+    short = F.col("end") - F.col("start") < 40  # not the line itself, which only queries that give it then need to shuffle
+    kind = F.when(short, "heading").otherwise("sentence")
+    before = F.last(F.when(short, F.col("ord")), ignorenulls=True).over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
     return lines.withColumn("kind", kind).withColumn("heading", F.coalesce(before, F.lit(-1)))
 
 
@@ -78,11 +80,13 @@ told AS (SELECT *, CASE WHEN unknown > 0 THEN 'invalid_source_units' WHEN named
 SELECT doc_id, anchor, status, CASE WHEN status = 'located' THEN a ELSE -1 END AS start, CASE WHEN status = 'located' THEN coalesce(unit, -1) ELSE -1 END AS unit FROM told"""
 )
 def anchor_location(t):
-    u, o = _units(t), F.col("ord")
-    quote = T.code_point_slice(F.col("text"), F.greatest(F.col("end") - 7, F.lit(0)), F.greatest(F.col("end") - 7, F.lit(0)) + F.when(o % 3 == 2, 3).otherwise(12))
+    u, o = materialise(_units(t).select("doc_id", "ord", "start", "end", "kind"), "units"), F.col("ord")
+    first = F.greatest(F.col("end") - 7, F.lit(0))
+    quote = T.slice_of_pieces(F.col("__pieces"), first, first + F.when(o % 3 == 2, 3).otherwise(12))
     named = F.when(o % 4 == 0, F.array(o)).when(o % 4 == 1, F.array(o, o + 1)).when(o % 4 == 2, F.array(o + 1, o)).otherwise(F.array(o, o + 1, o + 2))
-    anchors = u.join(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", o.alias("anchor"), quote.alias("quote"), named.alias("named"))
-    found = U.locate_in_units(anchors, u, t("documents").select("doc_id", "text"), "doc_id")
+    d = t("documents").select("doc_id", "text")
+    anchors = u.join(d.select("doc_id", T.pieces(F.col("text")).alias("__pieces")).hint("merge"), "doc_id").select("doc_id", o.alias("anchor"), quote.alias("quote"), named.alias("named"))
+    found = U.locate_in_units(anchors, u, d, "doc_id")
     return found.select("doc_id", "anchor", "status", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("unit", F.lit(-1)).alias("unit"))
 
 
