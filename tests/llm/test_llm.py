@@ -622,3 +622,21 @@ def test_pipeline(spark, tmp_path):
     assert all("hunter2xyz" not in r.text and r.n_chars == len(r.text) for r in masked.collect()) and masked.count() == 31
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in masked.collect()}
     assert coded.count() == mixed.count()
+
+
+def test_quality_keeps_only_parts_on_disk(spark, monkeypatch):
+    """Counts and values are made in parts, each deleted once used, and add up to what one part gives."""
+    docs = spark.createDataFrame([(i, words(60, i), "en") for i in range(80)], "doc_id long, text string, lang string")
+    written, gone, plain = [], [], quality.materialise
+    monkeypatch.setattr(quality, "materialise", lambda df, name: written.append((name, plain(df, name), len(gone))) or written[-1][1])
+    monkeypatch.setattr(quality, "discard", lambda df: gone.append(df))
+    monkeypatch.setattr(quality, "FREQUENT", 64)
+    _, chosen = quality.train(docs, docs.select("doc_id"))
+    ids = {r.doc_id for r in chosen.collect()}
+    whole = Counter(p for r in docs.collect() if r.doc_id in ids for p in pairs_of(r.text))
+    counts = [[r.n for r in df.select("n").collect()] for name, df, _ in written if name == "bigrams"]
+    assert sorted(n for part in counts for n in part) == sorted(whole.values()) and max(map(len, counts)) < 0.7 * len(whole)
+    pairs = [(df, before) for name, df, before in written if name == "pairs"]
+    sizes = [df.count() for df, _ in pairs]
+    assert sum(sizes) == sum(w != ">" or u != "<" for u, w in whole) and max(sizes) < 0.4 * len(whole)
+    assert pairs[0][1] == 0 and pairs[-1][1] == len(counts) - 1  # the first counts are gone before the last values are made

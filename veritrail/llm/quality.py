@@ -8,7 +8,7 @@ For a seen bigram ``p(w|u) = (c(uw) - D) / c(u) + g(u) * q(w)``, for an unseen o
 itself discounted and interpolated with the uniform one.  A document's log probability is thus a sum of ``log q(w) + log g(w)`` over
 its words plus a correction for each seen bigram.  The values of the most frequent words and bigrams (at most ``FREQUENT`` of each) are looked up on the
 map side, those of all others by a join on the sharded tables, in ``PASSES`` parts of the key space one after the other, so that only one part's
-shuffle is on disk at a time; a Bloom filter of fixed size keeps bigrams that the model has never seen, of which the value is 0, out of it.  Values are whole multiples of 2**-24, so that sums do not depend on the order in which shards add up.
+shuffle is on disk at a time; for the same reason bigrams are counted and given their values in parts of their contexts, and counts are deleted once used.  A Bloom filter of fixed size keeps bigrams that the model has never seen, of which the value is 0, out of it.  Values are whole multiples of 2**-24, so that sums do not depend on the order in which shards add up.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` of the trusted documents of its language that the model was not trained on (of all
 languages where a language has fewer than ``LEAST`` of them).
@@ -34,7 +34,9 @@ from .filters import bloom, hit
 from .words import Words, mix
 
 FREQUENT = 1 << 20
-PASSES = 4
+PASSES = 5
+COUNTED = 2  # parts of the contexts that bigrams are counted in, one after the other
+JOINED = 8  # parts that their values are made in, a multiple of COUNTED
 UNIT = float(1 << 24)
 QUANTILE = 0.99
 LEAST = 20
@@ -77,9 +79,14 @@ def _word_keys(w: np.ndarray) -> np.ndarray:
     return mix(w ^ _WORD)
 
 
-def _part(column: str, i: int) -> Column:
-    """Whether a key is in the i-th of PASSES parts of the key space."""
-    return F.shiftright(F.shiftrightunsigned(column, 32) * PASSES, 32) == i
+def _part(column: str, i: int, of: int) -> Column:
+    """Whether a key is in the i-th of so many parts of the key space."""
+    return F.shiftright(F.shiftrightunsigned(column, 32) * of, 32) == i
+
+
+def _in_part(keys: np.ndarray, i: int, of: int) -> np.ndarray:
+    """The same over an array of keys."""
+    return (keys >> np.uint64(32)) * np.uint64(of) >> np.uint64(32) == i
 
 
 def _least(rows: DataFrame, n: str, most: int) -> int:
@@ -103,18 +110,26 @@ def train(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str
     chosen = materialise(trusted.where(F.pmod(F.xxhash64(F.col(key), F.lit("trusted")), F.lit(1 << 20)) < int(share * 0.75 * (1 << 20))), "chosen")  # a quarter stays out for the thresholds
     picked = documents.select(key, text).join(chosen, key, "left_semi").select(text)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            u, w, _ = _sequences(batch.column(0))
-            order = np.lexsort((w, u))
-            u, w = u[order], w[order]
-            edge = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
-            n = np.diff(np.append(edge, len(u)))
-            yield pa.RecordBatch.from_arrays([pa.array(u[edge].view(np.int64)), pa.array(w[edge].view(np.int64)), pa.array(n.astype(np.int64))], names=["u", "w", "n"])
+    def count(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                u, w, _ = _sequences(batch.column(0))
+                mine = _in_part(u, part, COUNTED)
+                u, w = u[mine], w[mine]
+                order = np.lexsort((w, u))
+                u, w = u[order], w[order]
+                edge = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
+                n = np.diff(np.append(edge, len(u)))
+                yield pa.RecordBatch.from_arrays([pa.array(u[edge].view(np.int64)), pa.array(w[edge].view(np.int64)), pa.array(n.astype(np.int64))], names=["u", "w", "n"])
+
+        return run
 
     spark = documents.sparkSession
-    types = materialise(picked.mapInArrow(count, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "bigrams")
-    release(spark)
+    counted = []
+    for part in range(COUNTED):
+        counted.append(materialise(picked.mapInArrow(count(part), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "bigrams"))
+        release(spark)
+    types = reduce(DataFrame.unionByName, counted)
     d = _discounts({r["n"]: r["k"] for r in types.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()})
     contexts = types.groupBy("u").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") >= 3).alias("n3"))
     contexts = materialise(contexts.select("u", "total", ((F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("total")).alias("g")), "contexts")
@@ -136,15 +151,18 @@ def train(documents: DataFrame, trusted: DataFrame, text: str = "text", key: str
     more = F.greatest(F.log(((F.col("n") - less) / F.col("total") + low) / low), F.lit(0.0))
     often, seen = _least(types, "n", FREQUENT), []
     release(spark)
-    for i in range(PASSES):
-        joined = types.where(_part("u", i)).join(contexts.where(_part("u", i)).hint("shuffle_hash"), "u").join(words.hint("shuffle_hash"), "w")
+    for i in range(JOINED):
+        own = counted[i * COUNTED // JOINED].where(_part("u", i, JOINED))
+        joined = own.join(contexts.where(_part("u", i, JOINED)).hint("shuffle_hash"), "u").join(words.hint("shuffle_hash"), "w")
         keyed = joined.select("u", "w", "n", _units(more).alias("more")).mapInArrow(_keyed(_pair_keys, 2), "k long, n long, more int")
         seen.append(materialise(keyed, "pairs"))
-        del joined, keyed  # a reference would keep their shuffle files
+        del own, joined, keyed  # a reference would keep their shuffle files
+        if (i + 1) * COUNTED % JOINED == 0:
+            discard(counted[i * COUNTED // JOINED])
         release(spark)
     usual = _least(values, "times", FREQUENT)
     single = materialise(values.select("w", "times", "more").mapInArrow(_keyed(_word_keys, 1), "k long, n long, more int"), "words")
-    for done in (types, contexts, follow, values):
+    for done in (*counted, contexts, follow, values):
         discard(done)
     release(spark)
     model = {"unknown": unknown, "ends": math.log(start["g"]) + math.log(end["q"]), "tables": [single, *seen]}
@@ -217,6 +235,7 @@ def score_columns(documents: DataFrame, model: dict, text: str = "text", key: st
     base, sums = materialise(base, "base"), []
     table = model["words"][2].unionByName(model["pairs"][2])
     rare = spark.sparkContext.broadcast(bloom(table, "k"))
+    release(spark)  # what built the filter
 
     def others(part: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +244,7 @@ def score_columns(documents: DataFrame, model: dict, text: str = "text", key: st
                 ask, ids = _requests(batch.column(1)), batch.column(0).to_numpy()
                 ks, owners = [], []
                 for name, asked, owner in (("words", *ask[:2]), ("pairs", *ask[2:])):
-                    mine = np.flatnonzero((asked >> np.uint64(32)) * np.uint64(PASSES) >> np.uint64(32) == part)
+                    mine = np.flatnonzero(_in_part(asked, part, PASSES))
                     mine = mine[hit(asked[mine], rare.value)]
                     rest = mine[~_find(asked[mine], tables[name][0])[1]]
                     ks.append(asked[rest])
@@ -241,7 +260,7 @@ def score_columns(documents: DataFrame, model: dict, text: str = "text", key: st
 
     for i in range(PASSES):
         asked = known.select("h", text).mapInArrow(others(i), "h long, k long, n int")
-        joined = asked.join(table.where(_part("k", i)).hint("shuffle_hash"), "k").groupBy("h").agg(F.sum(F.col("more").cast("long") * F.col("n")).alias("sum"))
+        joined = asked.join(table.where(_part("k", i, PASSES)).hint("shuffle_hash"), "k").groupBy("h").agg(F.sum(F.col("more").cast("long") * F.col("n")).alias("sum"))
         sums.append(materialise(joined, "sums"))
         del asked, joined  # a reference would keep their shuffle files
         release(spark)
